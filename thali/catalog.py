@@ -396,3 +396,268 @@ SELECT c.customer_id,
        MAX(r.created_at) AS last_order
 FROM m_customers c LEFT JOIN m_rows r ON c.customer_id = r.customer_id
 GROUP BY c.customer_id, c.name""", "per customer over R12's rows")(L.customer_report_stats)
+
+# ------------------------------------------------ primitives P / J / A / O / F
+
+from thali.functions import predicates as P  # noqa: E402
+from thali.functions import quality as Qy  # noqa: E402
+from thali.functions import scalars as Fx  # noqa: E402
+from thali.operators import changes as D  # noqa: E402
+from thali.operators.joins import anti, valid_session_activity  # noqa: E402
+from thali.sources import requests as Rq  # noqa: E402
+
+register("p12_birthday_customers", f"""
+SELECT customer_id, name, dob FROM m_customers
+WHERE month(dob) = 3 AND day(dob) = 14""")(
+    lambda t: t.customers.filter(P.customer_segment("birthday", "2024-03-14")).select("customer_id", "name", "dob"))
+
+register("p13_search_customers", """
+SELECT customer_id, name, phone FROM m_customers
+WHERE lower(name) LIKE '%' || lower(trim('  Customer#00000012 ')) || '%' OR phone LIKE '%' || lower(trim('  Customer#00000012 ')) || '%'""")(
+    lambda t: t.customers.filter(P.search_customers("  Customer#00000012 ")).select("customer_id", "name", "phone"))
+
+register("j7_unsold_items", """
+SELECT item_id, item_name FROM m_menu_items i
+WHERE NOT EXISTS (SELECT 1 FROM m_order_items oi WHERE oi.item_id = i.item_id)""")(
+    lambda t: anti(t.menu_items, t.order_items, ["item_id"]).select("item_id", "item_name"))
+
+register("j9_valid_session_activity", """
+SELECT s.id AS session_pk, a.customer_id, a.event_id, a.event_type, a.ts
+FROM m_activity a JOIN m_sessions s
+  ON a.customer_id = s.customer_id AND a.ts >= s.created_at AND a.ts < s.expires_at""")(
+    lambda t: valid_session_activity(t.sessions, t.activity))
+
+register("f_scalar_showcase", f"""
+SELECT c.customer_id,
+       SUBSTRING(c.phone, 1, 2) || 'XXXXXX' || SUBSTRING(c.phone, 9, 2) AS masked_phone,
+       regexp_matches(regexp_replace(c.phone, '\\D', '', 'g'), '^[6-9][0-9]{{9}}$') AS phone_ok,
+       upper(substr(array_to_string(list_transform(string_split_regex(trim(c.name), '\\s+'), lambda w: substr(w, 1, 1)), ''), 1, 2)) AS initials,
+       CASE WHEN c.dob IS NULL THEN NULL ELSE
+         CAST(year(DATE '{EA}') - year(c.dob)
+              - CASE WHEN month(DATE '{EA}') < month(c.dob)
+                       OR (month(DATE '{EA}') = month(c.dob) AND day(DATE '{EA}') < day(c.dob)) THEN 1 ELSE 0 END AS INT) END
+         AS age,
+       strftime(c.created_at, '%d %b %Y') AS joined_text
+FROM m_customers c""", "F9 F12 F13 F16 F23 F27")(
+    lambda t: t.customers.select(
+        "customer_id", Fx.mask_phone("phone").alias("masked_phone"), Qy.phone_ok("phone").alias("phone_ok"),
+        Fx.initials("name").alias("initials"), Fx.age_years("dob", EA).alias("age"),
+        Fx.short_date("created_at").alias("joined_text")))
+
+# ------------------------------------------------------------ V quality rules
+
+register("v7_fk_orphans", """
+SELECT 'menu_items.category_id' AS fk, 'menu_category.category_id' AS parent,
+       (SELECT COUNT(*) FROM m_menu_items c WHERE c.category_id IS NOT NULL
+          AND NOT EXISTS (SELECT 1 FROM m_menu_category p WHERE p.category_id = c.category_id)) AS orphans
+UNION ALL SELECT 'order_items.order_id', 'orders.order_id', (SELECT COUNT(*) FROM m_order_items c WHERE c.order_id IS NOT NULL
+          AND NOT EXISTS (SELECT 1 FROM m_orders p WHERE p.order_id = c.order_id))
+UNION ALL SELECT 'order_items.item_id', 'menu_items.item_id', (SELECT COUNT(*) FROM m_order_items c WHERE c.item_id IS NOT NULL
+          AND NOT EXISTS (SELECT 1 FROM m_menu_items p WHERE p.item_id = c.item_id))
+UNION ALL SELECT 'orders.customer_id', 'customers.customer_id', (SELECT COUNT(*) FROM m_orders c WHERE c.customer_id IS NOT NULL
+          AND NOT EXISTS (SELECT 1 FROM m_customers p WHERE p.customer_id = c.customer_id))
+UNION ALL SELECT 'payments.order_id', 'orders.order_id', (SELECT COUNT(*) FROM m_payments c WHERE c.order_id IS NOT NULL
+          AND NOT EXISTS (SELECT 1 FROM m_orders p WHERE p.order_id = c.order_id))
+UNION ALL SELECT 'ratings.customer_id', 'customers.customer_id', (SELECT COUNT(*) FROM m_ratings c WHERE c.customer_id IS NOT NULL
+          AND NOT EXISTS (SELECT 1 FROM m_customers p WHERE p.customer_id = c.customer_id))
+UNION ALL SELECT 'ratings.item_id', 'menu_items.item_id', (SELECT COUNT(*) FROM m_ratings c WHERE c.item_id IS NOT NULL
+          AND NOT EXISTS (SELECT 1 FROM m_menu_items p WHERE p.item_id = c.item_id))
+UNION ALL SELECT 'ratings.order_id', 'orders.order_id', (SELECT COUNT(*) FROM m_ratings c WHERE c.order_id IS NOT NULL
+          AND NOT EXISTS (SELECT 1 FROM m_orders p WHERE p.order_id = c.order_id))
+UNION ALL SELECT 'sessions.customer_id', 'customers.customer_id', (SELECT COUNT(*) FROM m_sessions c WHERE c.customer_id IS NOT NULL
+          AND NOT EXISTS (SELECT 1 FROM m_customers p WHERE p.customer_id = c.customer_id))""")(Qy.fk_orphans)
+
+register("v1_v2_customer_violations", """
+SELECT customer_id,
+       NOT COALESCE(regexp_matches(regexp_replace(phone, '\\D', '', 'g'), '^[6-9][0-9]{9}$'), false) AS bad_phone,
+       NOT COALESCE(length(trim(name)) >= 2 AND regexp_matches(trim(name), '^[A-Za-z\\s]+$'), false) AS bad_name
+FROM m_customers""")(
+    lambda t: Qy.validate_customers(t.customers).select(
+        "customer_id", F.array_contains("violations", "phone").alias("bad_phone"),
+        F.array_contains("violations", "name").alias("bad_name")))
+
+register("d9_duplicate_phones", """
+SELECT phone, COUNT(*) AS n FROM m_customers WHERE phone IS NOT NULL GROUP BY phone HAVING COUNT(*) > 1""")(
+    lambda t: Qy.duplicate_keys(t.customers, ["phone"]))
+
+# ------------------------------------------------------------ D change jobs
+
+register("d2_occupied_tables", f"""
+SELECT DISTINCT table_number FROM m_orders
+WHERE status IN ('pending', 'preparing', 'ready') AND CAST(created_at AS DATE) = DATE '{OA}'""")(
+    lambda t: D.occupied_tables(t.orders, OA))
+
+_UPDATES_SQL = """
+m_updates AS (
+  SELECT CAST(CASE WHEN event_type = 'error' THEN -1 - event_id ELSE floor(event_id / 2) * 3 END AS BIGINT) AS order_id,
+         CASE WHEN event_type = 'signup' THEN 'served'
+              ELSE (['pending', 'preparing', 'ready', 'completed', 'cancelled'])[event_id % 5 + 1] END AS status,
+         CAST(ts AS TIMESTAMP) AS ts
+  FROM events)"""
+
+register("d3_status_snapshot", _UPDATES_SQL + """,
+m_latest AS (
+  SELECT order_id, status FROM m_updates
+  WHERE status IN ('pending', 'preparing', 'ready', 'completed', 'cancelled')
+  QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY ts DESC, status DESC) = 1)
+SELECT o.order_id, o.customer_id, o.table_number, CAST(o.total_amount AS DOUBLE) AS total_amount,
+       COALESCE(l.status, o.status) AS status, o.created_at
+FROM m_orders o LEFT JOIN m_latest l ON o.order_id = l.order_id""")(
+    lambda t: D.apply_status_updates(t.orders, Rq.status_updates(t))["orders"]
+    .withColumn("total_amount", Fx.money("total_amount")))
+
+register("d3_status_rejects", _UPDATES_SQL + """
+SELECT order_id, status, ts, 'invalid_status' AS reason FROM m_updates
+WHERE status NOT IN ('pending', 'preparing', 'ready', 'completed', 'cancelled')
+UNION ALL
+SELECT order_id, status, ts, 'unknown_order' FROM m_updates u
+WHERE status IN ('pending', 'preparing', 'ready', 'completed', 'cancelled')
+  AND NOT EXISTS (SELECT 1 FROM m_orders o WHERE o.order_id = u.order_id)""")(
+    lambda t: D.apply_status_updates(t.orders, Rq.status_updates(t)).rejects)
+
+register("d4_mark_paid_payments", f"""
+m_marks AS (SELECT DISTINCT event_id * 2 AS order_id FROM events WHERE event_type = 'purchase'),
+m_known AS (SELECT m.order_id FROM m_marks m WHERE EXISTS (SELECT 1 FROM m_orders o WHERE o.order_id = m.order_id))
+SELECT p.payment_id, p.order_id, CAST(p.amount AS DOUBLE) AS amount,
+       CASE WHEN k.order_id IS NOT NULL THEN 'completed' ELSE p.payment_status END AS payment_status,
+       CASE WHEN k.order_id IS NOT NULL THEN 'cash' ELSE p.payment_method END AS payment_method,
+       p.razorpay_payment_id, p.created_at
+FROM m_payments p LEFT JOIN m_known k ON p.order_id = k.order_id
+UNION ALL
+SELECT NULL, k.order_id, CAST(o.total_amount AS DOUBLE), 'completed', 'cash', NULL, TIMESTAMP '{ORDERS_NOW}'
+FROM m_known k JOIN m_orders o ON o.order_id = k.order_id
+WHERE NOT EXISTS (SELECT 1 FROM m_payments p WHERE p.order_id = k.order_id)""", "new payment ids are hashes: compared as NULL")(
+    lambda t: D.mark_paid(t.orders, t.payments, Rq.cash_marks(t), ORDERS_NOW)["payments"].select(
+        F.when(F.col("payment_id") < F.lit(1 << 40), F.col("payment_id")).alias("payment_id"), "order_id",
+        Fx.money("amount").alias("amount"), "payment_status", "payment_method", "razorpay_payment_id",
+        "created_at"))
+
+register("d10_cancel_rejects", """
+m_req AS (SELECT DISTINCT o_orderkey AS order_id,
+                 CASE WHEN o_orderkey % 3 = 0 THEN o_custkey + 1 ELSE o_custkey END AS customer_id
+          FROM orders WHERE o_orderkey % 11 = 0),
+m_first_pay AS (SELECT order_id, arg_min(payment_status, payment_id) AS first_status FROM m_payments GROUP BY order_id)
+SELECT * FROM (
+  SELECT r.order_id, r.customer_id,
+         CASE WHEN o.order_id IS NULL OR o.customer_id != r.customer_id THEN 'not_found'
+              WHEN o.status != 'pending' THEN 'not_pending'
+              WHEN f.first_status = 'completed' THEN 'paid' END AS reason
+  FROM m_req r LEFT JOIN m_orders o ON r.order_id = o.order_id LEFT JOIN m_first_pay f ON r.order_id = f.order_id) x
+WHERE reason IS NOT NULL""")(lambda t: D.cancel_orders(t, Rq.cancellations(t)).rejects)
+
+register("d5_orders_after_cancel", """
+m_req AS (SELECT DISTINCT o_orderkey AS order_id,
+                 CASE WHEN o_orderkey % 3 = 0 THEN o_custkey + 1 ELSE o_custkey END AS customer_id
+          FROM orders WHERE o_orderkey % 11 = 0),
+m_first_pay AS (SELECT order_id, arg_min(payment_status, payment_id) AS first_status FROM m_payments GROUP BY order_id),
+m_gone AS (SELECT r.order_id FROM m_req r JOIN m_orders o ON r.order_id = o.order_id AND o.customer_id = r.customer_id
+           LEFT JOIN m_first_pay f ON r.order_id = f.order_id
+           WHERE o.status = 'pending' AND f.first_status IS DISTINCT FROM 'completed')
+SELECT (SELECT COUNT(*) FROM m_orders WHERE order_id NOT IN (SELECT order_id FROM m_gone)) AS orders,
+       (SELECT COUNT(*) FROM m_order_items WHERE order_id NOT IN (SELECT order_id FROM m_gone)) AS order_items,
+       (SELECT COUNT(*) FROM m_payments WHERE order_id NOT IN (SELECT order_id FROM m_gone)) AS payments,
+       (SELECT COUNT(*) FROM m_ratings WHERE order_id IS NULL OR order_id NOT IN (SELECT order_id FROM m_gone)) AS ratings""")(
+    lambda t: (lambda ch: ch["orders"].agg(F.count(F.lit(1)).alias("orders")).unionByName(
+        ch["order_items"].agg(F.count(F.lit(1)).alias("order_items")), allowMissingColumns=True).unionByName(
+        ch["payments"].agg(F.count(F.lit(1)).alias("payments")), allowMissingColumns=True).unionByName(
+        ch["ratings"].agg(F.count(F.lit(1)).alias("ratings")), allowMissingColumns=True).agg(
+        *[F.max(c).alias(c) for c in ("orders", "order_items", "payments", "ratings")]))(
+        D.cancel_orders(t, Rq.cancellations(t))))
+
+register("d6_item_delete_rejects", """
+m_ids AS (SELECT DISTINCT p_partkey * 3 AS item_id FROM part WHERE p_partkey % 4 = 0)
+SELECT item_id, 'not_found' AS reason FROM m_ids i WHERE NOT EXISTS (SELECT 1 FROM m_menu_items m WHERE m.item_id = i.item_id)
+UNION ALL
+SELECT item_id, 'in_orders' FROM m_ids i WHERE EXISTS (SELECT 1 FROM m_menu_items m WHERE m.item_id = i.item_id)
+  AND EXISTS (SELECT 1 FROM m_order_items oi WHERE oi.item_id = i.item_id)""")(
+    lambda t: D.guarded_delete_items(t.menu_items, t.order_items, t.raw("part").filter(
+        F.col("p_partkey") % 4 == 0).select((F.col("p_partkey") * 3).alias("item_id"))).rejects)
+
+register("d7_dedupe_ratings", """
+m_first_item AS (SELECT customer_id, item_id, arg_min(rating_id, (created_at, rating_id)) AS rid
+                 FROM m_ratings WHERE item_id IS NOT NULL GROUP BY customer_id, item_id),
+m_first_order AS (SELECT customer_id, order_id, arg_min(rating_id, (created_at, rating_id)) AS rid
+                  FROM m_ratings WHERE order_id IS NOT NULL GROUP BY customer_id, order_id)
+SELECT rating_id, customer_id, rating_value, item_id, order_id FROM m_ratings r
+WHERE (item_id IS NULL OR rating_id IN (SELECT rid FROM m_first_item))
+  AND (order_id IS NULL OR rating_id IN (SELECT rid FROM m_first_order))""")(
+    lambda t: D.dedupe_ratings(t.ratings)["ratings"].select(
+        "rating_id", "customer_id", "rating_value", "item_id", "order_id"))
+
+register("d8_rating_reasons", """
+m_sub AS (
+  SELECT user_id AS customer_id,
+         CASE WHEN event_type IN ('purchase', 'signup') THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS item_id,
+         CASE WHEN event_type IN ('purchase', 'signup') THEN CAST(json_extract_string(props, '$.k') AS BIGINT) * 150 + user_id END AS order_id,
+         CAST(event_id % 7 AS INT) AS rating
+  FROM events)
+SELECT s.customer_id, s.item_id, s.order_id, s.rating,
+  CASE WHEN s.rating IS NULL OR s.rating < 1 OR s.rating > 5 THEN 'bad_rating'
+       WHEN s.item_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM m_menu_items i WHERE i.item_id = s.item_id) THEN 'unknown_item'
+       WHEN s.item_id IS NOT NULL AND NOT EXISTS (
+            SELECT 1 FROM m_orders o JOIN m_order_items oi ON o.order_id = oi.order_id
+            WHERE o.customer_id = s.customer_id AND oi.item_id = s.item_id AND o.status = 'completed') THEN 'not_ordered'
+       WHEN s.item_id IS NOT NULL AND EXISTS (
+            SELECT 1 FROM m_ratings r WHERE r.customer_id = s.customer_id AND r.item_id = s.item_id) THEN 'already_rated'
+       WHEN s.item_id IS NOT NULL THEN NULL
+       WHEN s.order_id IS NULL THEN 'missing_target'
+       WHEN NOT EXISTS (SELECT 1 FROM m_orders o WHERE o.order_id = s.order_id AND o.customer_id = s.customer_id)
+            THEN 'order_not_found'
+       WHEN (SELECT o.status FROM m_orders o WHERE o.order_id = s.order_id) != 'completed' THEN 'order_not_completed'
+       WHEN EXISTS (SELECT 1 FROM m_ratings r WHERE r.customer_id = s.customer_id AND r.order_id = s.order_id)
+            THEN 'already_rated' END AS reason
+FROM m_sub s""")(
+    lambda t: D.rating_reasons(t, Rq.rating_submissions(t)).select(
+        "customer_id", "item_id", "order_id", "rating", "reason"))
+
+register("d11_purge_sessions", f"""
+SELECT id, customer_id, created_at, expires_at FROM m_sessions
+WHERE expires_at > TIMESTAMP '{EVENTS_NOW}'
+QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY created_at DESC, id) = 1""")(
+    lambda t: D.purge_sessions(t.sessions, EVENTS_NOW)["sessions"].select(
+        "id", "customer_id", "created_at", "expires_at"))
+
+register("d12_menu_item_rejects", """
+m_req AS (
+  SELECT CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_partkey END AS item_id, p_name || ' special' AS item_name,
+         CASE WHEN p_partkey % 9 = 0 THEN 'abc' ELSE CAST(CAST(p_retailprice AS DECIMAL(10,2)) AS VARCHAR) END AS price
+  FROM part)
+SELECT item_id, item_name, 'bad_price' AS reason FROM m_req WHERE TRY_CAST(trim(price) AS DECIMAL(10,2)) IS NULL""",
+         "every item id in the requests exists")(
+    lambda t: D.upsert_menu_items(t.menu_items, Rq.menu_item_requests(t)).rejects)
+
+register("d14_birth_date_reasons", f"""
+m_req AS (
+  SELECT c_custkey AS customer_id,
+         CASE WHEN c_custkey % 13 = 0 THEN 'dob ' || CAST(c_custkey AS VARCHAR)
+              ELSE lpad(CAST(1890 + c_custkey % 150 AS VARCHAR), 4, '0') || '-' || lpad(CAST(1 + c_custkey % 12 AS VARCHAR), 2, '0')
+                   || '-' || lpad(CAST(1 + c_custkey % 31 AS VARCHAR), 2, '0') END AS dob
+  FROM customer),
+m_parsed AS (SELECT *, TRY_CAST(dob AS DATE) AS d FROM m_req)
+SELECT customer_id, dob,
+  CASE WHEN dob IS NULL OR dob = '' THEN 'required'
+       WHEN NOT regexp_matches(dob, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN 'bad_format'
+       WHEN d IS NULL THEN 'invalid_date'
+       WHEN d > DATE '{EA}' THEN 'future'
+       WHEN year(DATE '{EA}') - year(d) - CASE WHEN month(DATE '{EA}') < month(d)
+            OR (month(DATE '{EA}') = month(d) AND day(DATE '{EA}') < day(d)) THEN 1 ELSE 0 END < 13 THEN 'too_young'
+       WHEN year(DATE '{EA}') - year(d) - CASE WHEN month(DATE '{EA}') < month(d)
+            OR (month(DATE '{EA}') = month(d) AND day(DATE '{EA}') < day(d)) THEN 1 ELSE 0 END > 120 THEN 'too_old'
+  END AS reason
+FROM m_parsed""")(
+    lambda t: Rq.birth_dates(t).select("customer_id", "dob", Qy.dob_reason("dob", EA).alias("reason")))
+
+register("d1_ingest_rejects", None, "carts from orders+lines; rows-only")(
+    lambda t: D.ingest_orders(t.orders, Rq.carts(t)).rejects)
+register("d1_ingest_orders", None, "new orders from carts; rows-only")(
+    lambda t: D.ingest_orders(t.orders, Rq.carts(t))["orders"])
+register("d13_category_snapshot", None, "rename all, insert one per brand name; rows-only")(
+    lambda t: D.upsert_categories(t.menu_category, t.raw("part").select(
+        F.when(F.substring("p_brand", 7, 10).cast("int") % 2 == 0, F.substring("p_brand", 7, 10).cast("int"))
+        .alias("category_id"), F.concat(F.lit(" Menu "), F.col("p_brand"), F.lit(" ")).alias("category_name"))
+        .distinct())["menu_category"])
+register("d15_record_payments_rejects", None, "purchase events as verified payments; rows-only")(
+    lambda t: D.record_payments(t.orders, t.payments, t.raw("events").filter(F.col("event_type") == "purchase").select(
+        F.col("event_id").alias("order_id"), F.col("user_id").alias("customer_id"),
+        F.concat(F.lit("pay_e"), F.col("event_id").cast("string")).alias("razorpay_payment_id"),
+        F.col("ts"))).rejects)
