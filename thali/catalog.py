@@ -661,3 +661,25 @@ register("d15_record_payments_rejects", None, "purchase events as verified payme
         F.col("event_id").alias("order_id"), F.col("user_id").alias("customer_id"),
         F.concat(F.lit("pay_e"), F.col("event_id").cast("string")).alias("razorpay_payment_id"),
         F.col("ts"))).rejects)
+
+# ------------------------------------------- T streams: batch twins (same code)
+
+from thali.streaming import streams as St  # noqa: E402
+
+register("t1_quota_breaches_daily", """
+SELECT CAST(user_id AS VARCHAR) AS client, date_trunc('day', ts) AS window_start,
+       date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, COUNT(*) AS n
+FROM events GROUP BY 1, 2, 3 HAVING COUNT(*) > 5""", "1-day windows, max 5 (FIXTURES quota case)")(
+    lambda t: St.quota_breaches_batch(
+        t.raw("events").select(F.col("user_id").cast("string").alias("client"), "ts"), "1 day", 5))
+
+register("t6_revenue_hourly", """
+SELECT date_trunc('hour', created_at) AS window_start, date_trunc('hour', created_at) + INTERVAL 1 HOUR AS window_end,
+       CAST(SUM(total_amount) AS DOUBLE) AS revenue, COUNT(*) AS orders
+FROM m_live_orders GROUP BY 1, 2""")(lambda t: St.revenue_batch(t.live_orders, "1 hour"))
+
+register("t3_latest_status", _UPDATES_SQL + """
+SELECT order_id, arg_max(status, (ts, status)) AS status, MAX(ts) AS ts,
+       arg_max(status, (ts, status)) IN ('pending', 'preparing', 'ready') AS is_open
+FROM m_updates WHERE status IN ('pending', 'preparing', 'ready', 'completed', 'cancelled') GROUP BY order_id""")(
+    lambda t: St.latest_status_batch(Rq.status_updates(t).filter(Qy.status_ok("status"))))

@@ -230,5 +230,13 @@ class Tables:
         return bind_live_orders(self.raw("events"))
 
 
+def from_frames(spark: SparkSession, **frames: DataFrame) -> Tables:
+    """Tables over given model frames (tests, or snapshots written by change jobs)."""
+    t = Tables(spark, "")
+    for name, df in frames.items():
+        setattr(t, name, df)
+    return t
+
+
 def load(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(spark, sf_dir)
