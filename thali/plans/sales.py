@@ -52,6 +52,11 @@ def best_sellers(t: Tables, period: str | None = "all", as_of=None, limit: int |
     """R2: items by quantity sold in the period, with revenue and category; top `limit`."""
     limit = limit or 10
     sales = item_sales(lines_in_period(t, period, as_of, check_fk))
+    if not check_fk:
+        # FK order_items.item_id → menu_items: every sold item exists, so the
+        # top `limit` can be cut before the item join (which then sees `limit` rows).
+        sales = top_k(sales.filter(F.col("item_id").isNotNull()),
+                      [F.col("total_quantity_sold").desc_nulls_first(), F.col("item_id").asc()], limit)
     rows = sales.join(items_with_category(t), "item_id").select(
         "item_id", F.col("item_name").alias("name"), money("price").alias("price"),
         F.coalesce("category_name", F.lit("Uncategorized")).alias("category"), "image_url",
@@ -160,11 +165,13 @@ def sales_overview(orders: DataFrame, period: str | None = "all", as_of=None) ->
         F.coalesce(money(F.sum("total_amount")) / F.count("total_amount"), F.lit(0.0)).alias("avg_order_value"))
 
 
-def top_customers(t: Tables, period: str | None = "all", as_of=None, limit: int = 20) -> DataFrame:
+def top_customers(t: Tables, period: str | None = "all", as_of=None, limit: int = 20,
+                  check_fk: bool = False) -> DataFrame:
     """The biggest spenders in the period with order count and last order.
 
-    Orders are reduced per customer first; the inner join to customers then
-    sees one row per customer.
+    Orders are reduced per customer first; under the FK orders.customer_id →
+    customers the top `limit` is cut before the join, which then sees only
+    `limit` rows (``check_fk=True`` joins all).
     """
     o = period_filter(t.orders.select("order_id", "customer_id", "total_amount", "created_at"),
                       "created_at", period, as_of)
@@ -172,6 +179,9 @@ def top_customers(t: Tables, period: str | None = "all", as_of=None, limit: int
         F.count("order_id").alias("total_orders"),
         F.coalesce(F.sum("total_amount"), F.lit(0)).alias("total_spent"),
         F.max("created_at").alias("last_order_date"))
+    if not check_fk:
+        per = top_k(per.filter(F.col("customer_id").isNotNull()),
+                    [F.col("total_spent").desc_nulls_first(), F.col("customer_id").asc()], limit)
     rows = t.customers.select("customer_id", "name", "phone").join(per, "customer_id").select(
         "customer_id", "name", "phone", "total_orders", money("total_spent").alias("total_spent"),
         "last_order_date")
