@@ -130,3 +130,19 @@ def test_ingest_stream_exactly_once_per_batch(spark):
     assert [r.table_number for r in new.collect()] == ["T-4"]
     rej = spark.read.parquet(f"{out}/rejects")
     assert [(r.cart_id, r.reason) for r in rej.collect()] == [("c2", "table_occupied")]
+
+
+def test_attempt_limits_stream_equals_batch(spark):
+    path = os.path.join(_scratch(), "attempts")
+    t0 = dt.datetime(2024, 1, 30, 9)
+    rows = [("a", t0, t0 + dt.timedelta(minutes=m)) for m in range(7)]            # 6 inside 10 min + 1... all inside
+    rows += [("a", t0, t0 + dt.timedelta(minutes=12))]                              # expired: not counted
+    rows += [("b", t0, t0 + dt.timedelta(minutes=m)) for m in range(3)]
+    rows += [("z", t0 + dt.timedelta(hours=5), t0 + dt.timedelta(hours=5))]        # moves the watermark
+    schema = "key string, issued_at timestamp_ntz, ts timestamp_ntz"
+    spark.createDataFrame(rows, schema).write.parquet(path)
+    s = spark.readStream.schema(schema).parquet(path)
+    _run(St.attempt_limits(s, max_attempts=5), "t4_out")
+    got = [(r.key, r.attempts) for r in spark.table("t4_out").collect()]
+    batch = [(r.key, r.attempts) for r in St.attempt_limits(spark.createDataFrame(rows, schema), 5).collect()]
+    assert got == batch == [("a", 7)]

@@ -21,6 +21,8 @@ MOBILE_PATTERN = r"^[6-9][0-9]{9}$"
 NAME_PATTERN = r"^[A-Za-z\s]+$"
 ISO_DATE_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 MIN_AGE, MAX_AGE = 13, 120
+# Fixed value: the largest request body the reference accepts (10 MB).
+MAX_BODY_BYTES = 10 * 1024 * 1024
 
 
 def _c(x: str | Column) -> Column:
@@ -63,14 +65,18 @@ def dob_reason(text: str | Column, as_of) -> Column:
 
 
 def cart_reason(items: str | Column, table_number: str | Column) -> Column:
-    """V6 (static part): empty cart, missing table, a line without item, quantity or price
-    (0 counts as missing, as JS truthiness does). Occupancy is checked by the change job."""
+    """V6 (static part): body over the 10 MB request limit, empty cart, missing table,
+    a line without item, quantity or price (0 counts as missing, as JS
+    truthiness does). Occupancy is checked by the change job. The size limit
+    also bounds every order's line count, hence every nested item array."""
     arr = _c(items)
     bad_line = F.exists(arr, lambda x: x["item_id"].isNull() | (x["item_id"] == 0)
                         | x["quantity"].isNull() | (x["quantity"] == 0)
                         | x["price"].isNull() | (x["price"] == 0))
     table = F.trim(_c(table_number))
-    return (F.when(arr.isNull() | (F.size(arr) == 0), "empty_cart")
+    body = F.length(F.to_json(F.struct(arr.alias("items"), _c(table_number).alias("table_number"))))
+    return (F.when(body > MAX_BODY_BYTES, "too_large")
+            .when(arr.isNull() | (F.size(arr) == 0), "empty_cart")
             .when(table.isNull() | (table == ""), "missing_table")
             .when(bad_line, "invalid_item"))
 

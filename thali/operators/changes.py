@@ -85,7 +85,7 @@ def ingest_orders(orders: DataFrame, carts: DataFrame) -> Change:
         F.min(F.struct("ts", "cart_id")).alias("_win"))
     c = c.join(winners, ["table_number", "day"], "left")
     beaten = F.col("_win").isNotNull() & (F.struct("ts", "cart_id") > F.col("_win"))
-    reason = (F.when(F.col("_static").isin("empty_cart", "missing_table"), F.col("_static"))
+    reason = (F.when(F.col("_static").isin("too_large", "empty_cart", "missing_table"), F.col("_static"))
               .when(F.col("_occ") | beaten, F.lit("table_occupied"))
               .when(F.col("_static").isNotNull(), F.col("_static")))
     c = c.withColumn("reason", reason)
@@ -109,6 +109,16 @@ def ingest_orders(orders: DataFrame, carts: DataFrame) -> Change:
     return Change({"orders": new_orders, "order_items": lines, "payments": payments}, rejects)
 
 
+def price_mismatches(carts: DataFrame, menu_items: DataFrame) -> DataFrame:
+    """Q8 corrected: cart lines whose client price differs from the menu price
+    (or whose item is unknown). Faithful ingestion trusts client prices."""
+    lines = carts.select("cart_id", F.posexplode("items").alias("pos", "line")).select(
+        "cart_id", "pos", F.col("line.item_id").alias("item_id"), F.col("line.price").alias("cart_price"))
+    j = lines.join(menu_items.select("item_id", F.col("price").alias("menu_price")), "item_id", "left")
+    return j.filter(F.col("menu_price").isNull() | (F.col("cart_price") != F.col("menu_price"))) \
+        .select("cart_id", "pos", "item_id", "cart_price", "menu_price")
+
+
 def occupied_tables(orders: DataFrame, as_of) -> DataFrame:
     """D2 probe for one day: tables with an open order on as_of."""
     return orders.filter(F.col("status").isin(*OPEN_STATUSES) & day_range("created_at", as_of)) \

@@ -56,10 +56,22 @@ def quota_breaches(requests: DataFrame, window: str = "15 minutes", max_requests
         key, _wall(F.col("w.start")).alias("window_start"), _wall(F.col("w.end")).alias("window_end"), "n")
 
 
-def attempt_limits(attempts: DataFrame, window: str = "10 minutes", max_attempts: int = 5,
-                   delay: str = "10 minutes", key: str = "key", ts: str = "ts") -> DataFrame:
-    """T4: keys with more than `max_attempts` attempts in a 10-minute window."""
-    return quota_breaches(attempts, window, max_attempts, delay, key, ts)
+def attempt_limits(attempts: DataFrame, max_attempts: int = 5, lifetime: str = "10 minutes",
+                   delay: str = "10 minutes", key: str = "key") -> DataFrame:
+    """T4: codes tried more than `max_attempts` times within `lifetime` of being issued.
+
+    Each attempt carries its code's issue time (`issued_at`) and its own time
+    (`ts`). Grouping by (key, issued_at) with the watermark on `issued_at`
+    drops a code's state once the watermark passes its issue time plus the
+    delay; attempts after the code's lifetime do not count (they are refused
+    as expired by the reference, not as over-limit).
+    """
+    a = event_time(event_time(attempts.select(key, "issued_at", "ts"), "issued_at"), "ts") \
+        .withWatermark("issued_at", delay)
+    live = a.filter((F.col("ts") >= F.col("issued_at")) & (F.col("ts") < F.col("issued_at") + F.expr(f"INTERVAL {lifetime}")))
+    counts = live.groupBy(key, "issued_at").agg(F.count(F.lit(1)).alias("attempts"))
+    return counts.filter(F.col("attempts") > max_attempts).select(
+        key, _wall(F.col("issued_at")).alias("issued_at"), "attempts")
 
 
 def quota_breaches_batch(requests: DataFrame, window: str, max_requests: int, key: str = "client",
