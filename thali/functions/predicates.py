@@ -36,8 +36,12 @@ def as_timestamp(as_of) -> dt.datetime:
     return dt.datetime.fromisoformat(str(as_of))
 
 
-def _ts(value: dt.datetime) -> Column:
-    return F.lit(value).cast("timestamp_ntz")
+def ts_literal(value) -> Column:
+    """A zone-less timestamp literal, parsed from text so no time zone is involved."""
+    return F.lit(as_timestamp(value).isoformat(sep=" ")).cast("timestamp_ntz")
+
+
+_ts = ts_literal
 
 
 def day_range(ts: str | Column, day) -> Column:

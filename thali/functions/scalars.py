@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from thali.functions.predicates import as_date, as_timestamp
+from thali.functions.predicates import as_date, ts_literal
 
 
 def _c(x: str | Column) -> Column:
@@ -78,11 +78,14 @@ def age_years(dob: str | Column, as_of) -> Column:
     return (F.lit(d.year) - F.year(b) - F.when(before, 1).otherwise(0)).cast("int")
 
 
+def _micros_until(ts: str | Column, now) -> Column:
+    """Wall-clock microseconds from ts to now (zone-less, no time zone involved)."""
+    return F.timestamp_diff("MICROSECOND", _c(ts), ts_literal(now))
+
+
 def elapsed_seconds(ts: str | Column, now) -> Column:
     """whole seconds from ts to now (floor, like Math.floor on ms)."""
-    n = F.lit(as_timestamp(now)).cast("timestamp_ntz")
-    micros = F.unix_micros(n.cast("timestamp")) - F.unix_micros(_c(ts).cast("timestamp"))
-    return F.floor(micros / F.lit(1_000_000)).cast("long")
+    return F.floor(_micros_until(ts, now) / F.lit(1_000_000)).cast("long")
 
 
 def mm_ss(seconds: str | Column) -> Column:
@@ -99,9 +102,7 @@ URGENT_MIN = 20
 
 def age_class(ts: str | Column, now) -> Column:
     """> 20 min urgent, > 10 min warning, else '' (fractional minutes, strict)."""
-    n = F.lit(as_timestamp(now)).cast("timestamp_ntz")
-    micros = F.unix_micros(n.cast("timestamp")) - F.unix_micros(_c(ts).cast("timestamp"))
-    minutes = micros / F.lit(60_000_000.0)
+    minutes = _micros_until(ts, now) / F.lit(60_000_000.0)
     return (F.when(minutes > URGENT_MIN, "urgent").when(minutes > WARNING_MIN, "warning").otherwise(""))
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thali.functions import quality as Q
-from thali.functions.predicates import as_timestamp, day_range
+from thali.functions.predicates import day_range, ts_literal
 from thali.functions.scalars import coerce_bool, parse_number
 from thali.sources.schema import MONEY, OPEN_STATUSES, PRICE
 
@@ -31,7 +31,7 @@ def new_key(*cols: str | Column) -> Column:
 
 
 def _now(as_of) -> Column:
-    return F.lit(as_timestamp(as_of)).cast("timestamp_ntz")
+    return ts_literal(as_of)
 
 
 @dataclass

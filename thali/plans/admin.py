@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from thali.functions import scalars as S
 from thali.functions.predicates import (as_date, as_timestamp, day_range, non_empty, optional_eq,
-                                        period_predicate, within_hours)
+                                        period_predicate, ts_literal, within_hours)
 from thali.operators.aggregates import count_if, sum_if
 from thali.operators.joins import exists_flag
 from thali.operators.ordering import page
@@ -23,7 +23,7 @@ from thali.sources.schema import DEFAULT_TABLES, OPEN_STATUSES
 
 
 def _start_of(as_of):
-    return F.lit(as_timestamp(as_date(as_of))).cast("timestamp_ntz")
+    return ts_literal(as_date(as_of))
 
 
 def dashboard_stats(t: Tables, as_of=None) -> DataFrame:

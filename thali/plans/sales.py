@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thali.functions.predicates import as_date, as_timestamp, period_predicate, period_filter
+from thali.functions.predicates import as_date, as_timestamp, period_predicate, period_filter, ts_literal
 from thali.functions.scalars import hour_of, money, to_day
 from thali.operators.ordering import top_k
 from thali.sources.model import Tables
@@ -112,7 +112,7 @@ def revenue_trend(orders: DataFrame, as_of=None, days: int | None = 7, corrected
     """
     days = days or 7
     start = as_timestamp(as_date(as_of)) - dt.timedelta(days=days)
-    recent = orders.filter(F.col("created_at") >= F.lit(start).cast("timestamp_ntz"))
+    recent = orders.filter(F.col("created_at") >= ts_literal(start))
     out = recent.groupBy(to_day("created_at").alias("date")).agg(
         F.coalesce(F.sum("total_amount"), F.lit(0)).alias("revenue"))
     if corrected:

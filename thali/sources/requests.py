@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thali.sources.model import Tables
-from thali.sources.schema import MONEY, ORDER_STATUSES, PRICE
+from thali.sources.schema import ORDER_STATUSES, PRICE
 
 
 def status_updates(t: Tables) -> DataFrame:
@@ -94,8 +94,7 @@ def carts(t: Tables) -> DataFrame:
     per = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(
         F.struct(F.col("l_linenumber"), line.alias("x")))).alias("xs"))
     k = F.col("o_orderkey")
-    ts = (F.col("o_orderdate").cast("timestamp_ntz").cast("timestamp") + F.make_interval(
-        mins=(k % 600).cast("int"))).cast("timestamp")
+    ts = F.col("o_orderdate").cast("timestamp_ntz") + F.make_interval(mins=(k % 600).cast("int"))
     return o.join(per, o.o_orderkey == per.l_orderkey, "left").select(
         F.concat(F.lit("cart-"), k.cast("string")).alias("cart_id"),
         F.col("o_custkey").alias("customer_id"),
