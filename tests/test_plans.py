@@ -1,5 +1,7 @@
 """Plan checks: no Python UDF, no cartesian product, pushed filters, top-k operator."""
 
+import re
+
 import pytest
 
 from conftest import SF_SMALL
@@ -17,6 +19,8 @@ def test_no_udf_or_cartesian(spark, name):
     plan = _plan(catalog.run(name, spark, SF_SMALL))
     for bad in FORBIDDEN:
         assert bad not in plan, f"{name}: {bad}"
+    # every window is partitioned (a global window would pull all rows into one task)
+    assert not re.search(r"Window \[.*\], \[\], \[", plan), f"{name}: unpartitioned window"
 
 
 def test_period_filter_reaches_scan(spark):

@@ -35,9 +35,10 @@ def nested_array(lines: DataFrame, key: str, fields: Sequence[str], sort_by: str
     present = lines.filter(F.col(fields[0]).isNotNull())
     if sort_by is None:
         sort_by = fields[0]
-    keyed = F.struct(F.col(sort_by).isNull().alias("_null_key"), F.col(sort_by).alias("_key"),
-                     *[F.col(f) for f in fields])
-    arr = F.array_sort(F.collect_list(keyed))
+    # Sort key first (NULL names last), each field once; then the fields in their order.
+    keyed = F.struct(F.col(sort_by).isNull().alias("_null_key"), F.col(sort_by).alias(sort_by),
+                     *[F.col(f) for f in fields if f != sort_by])
+    arr = F.sort_array(F.collect_list(keyed))
     strip = F.transform(arr, lambda x: F.struct(*[x[f].alias(f) for f in fields]))
     return present.groupBy(key).agg(strip.alias(name))
 

@@ -58,10 +58,12 @@ def attach_items(rows: DataFrame, arrays: DataFrame, fields) -> DataFrame:
     j = rows.join(arrays, "order_id", "left")
     arr = F.coalesce(F.col("items"), empty)
     repeated = repeat_array(arr, F.col("_k"))
-    # Re-sort after repetition so equal names stay adjacent, as ORDER BY inside json_agg does.
-    resorted = F.array_sort(F.transform(repeated, lambda x: F.struct(
+    # Re-sort after repetition so equal names stay adjacent, as ORDER BY inside json_agg does;
+    # only orders with several equal payment rows need it.
+    resorted = F.sort_array(F.transform(repeated, lambda x: F.struct(
         x["item_name"].isNull().alias("_n"), x["item_name"].alias("_key"), *[x[f].alias(f) for f in fields])))
-    final = F.transform(resorted, lambda x: F.struct(*[x[f].alias(f) for f in fields]))
+    final = F.when(F.coalesce(F.col("_k"), F.lit(1)) > 1,
+                   F.transform(resorted, lambda x: F.struct(*[x[f].alias(f) for f in fields]))).otherwise(arr)
     return j.withColumn("items", final).drop("_k")
 
 
