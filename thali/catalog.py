@@ -423,8 +423,9 @@ WHERE NOT EXISTS (SELECT 1 FROM m_order_items oi WHERE oi.item_id = i.item_id)""
 
 register("j9_valid_session_activity", """
 SELECT s.id AS session_pk, a.customer_id, a.event_id, a.event_type, a.ts
-FROM m_activity a JOIN m_sessions s
-  ON a.customer_id = s.customer_id AND a.ts >= s.created_at AND a.ts < s.expires_at""")(
+FROM m_activity a ASOF JOIN m_sessions s
+  ON a.customer_id = s.customer_id AND a.ts >= s.created_at
+WHERE a.ts < s.expires_at""")(
     lambda t: valid_session_activity(t.sessions, t.activity))
 
 register("f_scalar_showcase", f"""
@@ -668,8 +669,8 @@ from thali.streaming import streams as St  # noqa: E402
 
 
 def St_attempts(t):
-    """Attempts for T4: each signup issues a code; the user's events within its lifetime try it.
-    Joined on (user, day buckets) through the session range join, never all pairs of a user."""
+    """Attempts for T4: each signup issues a code; the user's later events try the newest
+    code while it lives (the as-of join of J9, never all pairs of a user)."""
     from thali.operators.joins import valid_session_activity as _vsa
     hits = _vsa(t.sessions, t.activity)
     s = t.sessions.select(F.col("id").alias("session_pk"), F.col("created_at").alias("issued_at"))
@@ -698,11 +699,10 @@ register("q8_cart_price_mismatches", None, "corrected Q8 over carts derived from
 
 register("t4_attempt_limits", """
 m_att AS (
-  SELECT CAST(s.user_id AS VARCHAR) AS key, CAST(s.ts AS TIMESTAMP) AS issued_at, CAST(a.ts AS TIMESTAMP) AS ts
-  FROM events s JOIN events a ON a.user_id = s.user_id AND a.event_type <> 'signup'
-   AND a.ts >= s.ts AND a.ts < s.ts + INTERVAL 1 DAY
-  WHERE s.event_type = 'signup')
+  SELECT CAST(a.customer_id AS VARCHAR) AS key, s.created_at AS issued_at, a.ts
+  FROM m_activity a ASOF JOIN m_sessions s ON a.customer_id = s.customer_id AND a.ts >= s.created_at
+  WHERE a.ts < s.expires_at)
 SELECT key, issued_at, COUNT(*) AS attempts FROM m_att
 WHERE ts >= issued_at AND ts < issued_at + INTERVAL 1 DAY GROUP BY key, issued_at HAVING COUNT(*) > 1""",
-         "signups issue codes, the user's later events within a day are attempts (max 1)")(
+         "signups issue codes; the user's later events try the newest code within its day (max 1)")(
     lambda t: St.attempt_limits(St_attempts(t), max_attempts=1, lifetime="1 day"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -43,16 +43,31 @@ def outer_with_condition(left: DataFrame, right: DataFrame, on: Column) -> DataF
 
 
 def valid_session_activity(sessions: DataFrame, activity: DataFrame) -> DataFrame:
-    """Activity that falls inside one of its owner's sessions (``start <= ts < expires``).
-
-    A range join made an equi-join: each session is listed under every
-    calendar day it covers (two for a 24-hour session) and activity joins on
-    (owner, day) plus the range test, so only pairs of one owner and one day
-    are compared, never all pairs of an owner.
+    """Each activity with the session it ran under, if that session was unexpired.
+
+    A login deletes the customer's other sessions before creating a new one,
+    so the session in force at `ts` is the owner's newest one started at or
+    before `ts`, valid while ``ts < expires_at``: an as-of join. It is done
+    without comparing pairs: sessions and activity are unioned and
+    ``last(session)`` runs over a window per (owner, calendar day), ordered
+    by time. Each session is listed under every day it can cover (two for a
+    24-hour session), so the newest session that can still be valid on that
+    day is always in the day's group (sessions of one owner have one length).
+    Work per group is a sort and one pass, never all pairs.
     """
-    s = sessions.select(F.col("id").alias("session_pk"), F.col("customer_id").alias("owner"),
-                        F.col("created_at").alias("s_start"), F.col("expires_at").alias("s_end"))
-    s = s.withColumn("s_day", F.explode(F.sequence(F.to_date("s_start"), F.to_date("s_end"))))
-    a = activity.select("event_id", "customer_id", "ts", "event_type").withColumn("a_day", F.to_date("ts"))
-    cond = ((a.customer_id == s.owner) & (a.a_day == s.s_day) & (a.ts >= s.s_start) & (a.ts < s.s_end))
-    return a.join(s, cond, "inner").select("session_pk", "customer_id", "event_id", "event_type", "ts")
+    s = sessions.select(
+        F.col("customer_id").alias("owner"), F.col("created_at").alias("ts"), F.lit(0).alias("kind"),
+        F.struct(F.col("id").alias("session_pk"), F.col("created_at").alias("s_start"),
+                 F.col("expires_at").alias("s_end")).alias("sess"),
+        F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("string").alias("event_type"),
+        F.explode(F.sequence(F.to_date("created_at"), F.to_date("expires_at"))).alias("day"))
+    a = activity.select(
+        F.col("customer_id").alias("owner"), "ts", F.lit(1).alias("kind"),
+        F.lit(None).cast(s.schema["sess"].dataType).alias("sess"), "event_id", "event_type",
+        F.to_date("ts").alias("day"))
+    w = (Window.partitionBy("owner", "day").orderBy("ts", "kind", F.col("sess.session_pk"))
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    tagged = s.unionByName(a).withColumn("_cur", F.last("sess", ignorenulls=True).over(w))
+    return tagged.filter((F.col("kind") == 1) & F.col("_cur").isNotNull() & (F.col("ts") < F.col("_cur.s_end"))) \
+        .select(F.col("_cur.session_pk").alias("session_pk"), F.col("owner").alias("customer_id"),
+                "event_id", "event_type", "ts")

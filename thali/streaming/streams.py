@@ -8,7 +8,7 @@ the session time zone and cast results back. Run streams with
 ``spark.sql.session.timeZone=UTC`` (as ``thali.session.get_spark`` does) so
 that day and hour windows align to wall-clock midnights and hours.
 
-State is always bounded: windowed aggregates and stream–stream joins drop
+State is always bounded: windowed aggregates and de-duplication drop
 state behind the watermark; the status tracker drops a key once its order
 is finished or idle past a timeout.
 """
@@ -141,18 +141,65 @@ def latest_status_batch(updates: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ T5
 
-def valid_session_activity(sessions: DataFrame, activity: DataFrame, session_length: str = "24 hours",
-                           delay: str = "1 hour") -> DataFrame:
-    """T5: stream–stream inner join: activity inside its owner's session
-    (created_at <= ts < created_at + length). The time bound lets Spark drop
-    join state behind both watermarks."""
-    s = event_time(sessions.select(F.col("id").alias("session_pk"), F.col("customer_id").alias("owner"),
-                                   F.col("created_at").alias("s_start")), "s_start").withWatermark("s_start", delay)
-    a = event_time(activity.select("event_id", "customer_id", "ts", "event_type"), "ts").withWatermark("ts", delay)
-    cond = ((a.customer_id == s.owner) & (a.ts >= s.s_start)
-            & (a.ts < s.s_start + F.expr(f"INTERVAL {session_length}")))
-    return a.join(s, cond, "inner").select("session_pk", "customer_id", "event_id", "event_type",
-                                           _wall(F.col("ts")).alias("ts"))
+SESSION_OUT = T.StructType([
+    T.StructField("session_pk", T.LongType()),
+    T.StructField("customer_id", T.LongType()),
+    T.StructField("event_id", T.LongType()),
+    T.StructField("event_type", T.StringType()),
+    T.StructField("ts", T.TimestampType()),
+])
+SESSION_STATE = T.StructType([
+    T.StructField("session_pk", T.LongType()),
+    T.StructField("s_start", T.TimestampType()),
+    T.StructField("s_end", T.TimestampType()),
+])
+
+
+def _sessions_as_of(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    owner = key[0]
+    if state.hasTimedOut:
+        state.remove()
+        return
+    cur = state.get if state.exists else None
+    rows = pd.concat(list(batches), ignore_index=True)
+    rows = rows.sort_values(["ts", "kind", "session_pk"], na_position="last", kind="mergesort")
+    out = []
+    for r in rows.itertuples(index=False):
+        if r.kind == 0:
+            if cur is None or (r.ts, r.session_pk) >= (cur[1], cur[0]):
+                cur = (int(r.session_pk), r.ts, r.s_end)
+        elif cur is not None and cur[1] <= r.ts < cur[2]:
+            out.append((cur[0], owner, r.event_id, r.event_type, r.ts))
+    if out:
+        yield pd.DataFrame(out, columns=[f.name for f in SESSION_OUT.fields])
+    if cur is not None:
+        state.update(cur)
+        # The state goes once the watermark passes the session's expiry.
+        state.setTimeoutTimestamp(int(pd.Timestamp(cur[2]).timestamp() * 1000))
+
+
+def valid_session_activity(sessions: DataFrame, activity: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """T5: activity with the session in force (the owner's newest session started at or
+    before it, unexpired) — the as-of join of J9 as keyed state.
+
+    State per owner is one session, kept until the watermark passes its
+    expiry, so each event costs O(1) and no pairs are formed. A login
+    precedes any use of its session, so sessions are expected no later than
+    the activity they cover (within the watermark delay).
+    """
+    s = event_time(sessions.select(
+        F.col("customer_id").alias("owner"), F.col("created_at").alias("ts"), F.lit(0).alias("kind"),
+        F.col("id").alias("session_pk"), F.col("expires_at").alias("s_end"),
+        F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("string").alias("event_type")), "ts")
+    s = event_time(s, "s_end")
+    a = event_time(activity.select(
+        F.col("customer_id").alias("owner"), "ts", F.lit(1).alias("kind"),
+        F.lit(None).cast("long").alias("session_pk"), F.lit(None).cast("timestamp").alias("s_end"),
+        "event_id", "event_type"), "ts")
+    u = s.unionByName(a).withWatermark("ts", delay)
+    out = u.groupBy("owner").applyInPandasWithState(
+        _sessions_as_of, SESSION_OUT, SESSION_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return out.withColumn("ts", _wall(F.col("ts")))
 
 
 # ------------------------------------------------------------------ T6
