@@ -28,18 +28,31 @@ LISTING_ITEM_FIELDS = ("order_item_id", "quantity", "price", "item_name")
 HISTORY_ITEM_FIELDS = ("order_item_id", "quantity", "price", "item_name", "image_url")
 
 
-def named_lines(t: Tables, orders: DataFrame | None = None) -> DataFrame:
-    """order_items LEFT JOIN menu_items, optionally only for the given orders (semi-join)."""
+def named_lines(t: Tables, orders: DataFrame | None = None, page: bool = False) -> DataFrame:
+    """order_items LEFT JOIN menu_items, optionally only for the given orders (semi-join).
+
+    With ``page=True`` the orders are a bounded page, so their lines are
+    bounded too (the 10 MB request limit caps lines per order) and are
+    broadcast into the item join: the items table is probed, not shuffled.
+    A broadcast side must be the inner one, so under the FK
+    order_items.item_id → menu_items the page uses an inner join and keeps
+    lines without an item id as they are.
+    """
     lines = t.order_items.select("order_id", "order_item_id", "quantity", "price", "item_id")
     if orders is not None:
         lines = lines.join(orders.select("order_id"), "order_id", "left_semi")
     items = t.menu_items.select("item_id", "item_name", "image_url")
+    if page:
+        known = items.join(F.broadcast(lines.filter(F.col("item_id").isNotNull())), "item_id")
+        unknown = lines.filter(F.col("item_id").isNull()).withColumn("item_name", F.lit(None).cast("string")) \
+            .withColumn("image_url", F.lit(None).cast("string"))
+        return known.unionByName(unknown)
     return lines.join(items, "item_id", "left")
 
 
 def item_arrays(t: Tables, fields=LISTING_ITEM_FIELDS, sort_by: str | None = "item_name",
-                orders: DataFrame | None = None) -> DataFrame:
-    return nested_array(named_lines(t, orders), "order_id", list(fields), sort_by=sort_by)
+                orders: DataFrame | None = None, page: bool = False) -> DataFrame:
+    return nested_array(named_lines(t, orders, page), "order_id", list(fields), sort_by=sort_by)
 
 
 def payment_groups(t: Tables, with_ref: bool) -> DataFrame:
@@ -96,22 +109,30 @@ def orders_listing(t: Tables, status: str | None = None, date_filter: str | None
     elif date_filter == "old":
         preds.append(before_day("created_at", as_of))
     o = o.filter(conjunction(preds))
-    if not check_fk:
-        o = o.filter(F.col("customer_id").isNotNull()).orderBy(
-            F.col("created_at").desc_nulls_first(), F.col("order_id").desc()).limit(int(offset) + int(limit))
     c = t.customers.select("customer_id", F.col("name").alias("customer_name"),
                            F.col("phone").alias("customer_phone"))
-    rows = (o.join(c, "customer_id")
-            .join(payment_groups(t, with_ref=True), "order_id", "left")
-            .select("order_id", "customer_id", "customer_name", "customer_phone", "table_number",
-                    "total_amount", "status", "created_at", "payment_status", "payment_method",
-                    "razorpay_payment_id", "_k"))
-    rows = page(rows, [F.col("created_at").desc_nulls_first(), F.col("order_id").desc(),
-                       F.col("payment_status").asc_nulls_last(), F.col("payment_method").asc_nulls_last(),
-                       F.col("razorpay_payment_id").asc_nulls_last()], limit, offset)
-    # The page is at most `limit` rows: a proven bound, so it is broadcast to
-    # pick its lines out of order_items without shuffling them.
-    arrays = item_arrays(t, LISTING_ITEM_FIELDS, sort_by="item_name", orders=F.broadcast(rows.select("order_id")))
+    order = [F.col("created_at").desc_nulls_first(), F.col("order_id").desc(),
+             F.col("payment_status").asc_nulls_last(), F.col("payment_method").asc_nulls_last(),
+             F.col("razorpay_payment_id").asc_nulls_last()]
+    cols = ["order_id", "customer_id", "customer_name", "customer_phone", "table_number", "total_amount",
+            "status", "created_at", "payment_status", "payment_method", "razorpay_payment_id", "_k"]
+    if check_fk:
+        rows = o.join(c, "customer_id").join(payment_groups(t, with_ref=True), "order_id", "left").select(*cols)
+        rows = page(rows, order, limit, offset)
+        arrays = item_arrays(t, LISTING_ITEM_FIELDS, sort_by="item_name", orders=F.broadcast(rows.select("order_id")),
+                             page=True)
+        return attach_items(rows, arrays, LISTING_ITEM_FIELDS)
+    # At most offset+limit orders: a proven bound, so the page is broadcast into
+    # every join below; customers, payments and lines are only scanned and probed.
+    # It is used three times in this one job, so it is persisted (a few rows).
+    first = F.broadcast(o.filter(F.col("customer_id").isNotNull()).orderBy(
+        F.col("created_at").desc_nulls_first(), F.col("order_id").desc()).limit(int(offset) + int(limit)).persist())
+    pay_cols = ["order_id", "payment_status", "payment_method", "razorpay_payment_id"]
+    pays = t.payments.select(*pay_cols).join(first.select("order_id"), "order_id", "left_semi") \
+        .groupBy(*pay_cols).agg(F.count(F.lit(1)).alias("_k"))
+    rows = c.join(first, "customer_id").join(pays, "order_id", "left").select(*cols)
+    rows = page(rows, order, limit, offset)
+    arrays = item_arrays(t, LISTING_ITEM_FIELDS, sort_by="item_name", orders=first.select("order_id"), page=True)
     return attach_items(rows, arrays, LISTING_ITEM_FIELDS)
 
 
