@@ -122,17 +122,20 @@ def orders_listing(t: Tables, status: str | None = None, date_filter: str | None
         arrays = item_arrays(t, LISTING_ITEM_FIELDS, sort_by="item_name", orders=F.broadcast(rows.select("order_id")),
                              page=True)
         return attach_items(rows, arrays, LISTING_ITEM_FIELDS)
-    # At most offset+limit orders: a proven bound, so the page is broadcast into
-    # every join below; customers, payments and lines are only scanned and probed.
-    # It is used three times in this one job, so it is persisted (a few rows).
-    first = F.broadcast(o.filter(F.col("customer_id").isNotNull()).orderBy(
-        F.col("created_at").desc_nulls_first(), F.col("order_id").desc()).limit(int(offset) + int(limit)).persist())
+    # The ids of the first offset+limit orders: a proven bound, broadcast into
+    # every join below, so orders, customers, payments and lines are only
+    # probed. All three consumers use the same broadcast plan, which Spark
+    # builds once and reuses.
+    ids = F.broadcast(o.filter(F.col("customer_id").isNotNull()).orderBy(
+        F.col("created_at").desc_nulls_first(), F.col("order_id").desc())
+        .limit(int(offset) + int(limit)).select("order_id"))
+    first = o.join(ids, "order_id", "left_semi")
     pay_cols = ["order_id", "payment_status", "payment_method", "razorpay_payment_id"]
-    pays = t.payments.select(*pay_cols).join(first.select("order_id"), "order_id", "left_semi") \
+    pays = t.payments.select(*pay_cols).join(ids, "order_id", "left_semi") \
         .groupBy(*pay_cols).agg(F.count(F.lit(1)).alias("_k"))
-    rows = c.join(first, "customer_id").join(pays, "order_id", "left").select(*cols)
+    rows = c.join(F.broadcast(first), "customer_id").join(pays, "order_id", "left").select(*cols)
     rows = page(rows, order, limit, offset)
-    arrays = item_arrays(t, LISTING_ITEM_FIELDS, sort_by="item_name", orders=first.select("order_id"), page=True)
+    arrays = item_arrays(t, LISTING_ITEM_FIELDS, sort_by="item_name", orders=ids, page=True)
     return attach_items(rows, arrays, LISTING_ITEM_FIELDS)
 
 
