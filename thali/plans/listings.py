@@ -176,7 +176,7 @@ def order_history(t: Tables, customer_id: int | None = None, limit: int | None =
 def with_items_text(df: DataFrame, fields=LISTING_ITEM_FIELDS) -> DataFrame:
     """Replace the nested array by its canonical text (for engine-neutral comparison)."""
     return df.withColumn("items_text", canonical_text(F.col("items"), list(fields))) \
-        .withColumn("n_items", F.size("items")).drop("items")
+        .withColumn("n_items", F.size("items").cast("long")).drop("items")
 
 
 def kitchen_queue(t: Tables, orders: DataFrame, now, status: str = "pending,preparing",
@@ -192,7 +192,7 @@ def kitchen_queue(t: Tables, orders: DataFrame, now, status: str = "pending,prep
         "order_id", "table_number", S.table_label("table_number").alias("table_label"),
         "created_at", secs.alias("elapsed_seconds"), S.mm_ss(secs).alias("timer"),
         S.age_class("created_at", now).alias("age_class"),
-        F.size("items").alias("n_items"), "items"
+        F.size("items").cast("long").alias("n_items"), "items"
     ).orderBy(F.col("created_at").asc_nulls_last(), F.col("order_id").asc())
 
 
