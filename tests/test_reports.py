@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from frames import tables
 from thali.functions import scalars as Fx

@@ -3,7 +3,7 @@
 import datetime as dt
 import os
 import tempfile
-from decimal import Decimal as D
+
 
 from pyspark.sql import functions as F
 

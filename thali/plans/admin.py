@@ -7,13 +7,12 @@ be narrowed with a filter — never a loop over customers.
 
 from __future__ import annotations
 
-import datetime as dt
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thali.functions import scalars as S
-from thali.functions.predicates import (as_date, as_timestamp, day_range, non_empty, optional_eq,
+from thali.functions.predicates import (as_date, day_range, non_empty, optional_eq,
                                         period_predicate, ts_literal, within_hours)
 from thali.operators.aggregates import count_if, sum_if
 from thali.operators.joins import exists_flag
