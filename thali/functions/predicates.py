@@ -68,9 +68,45 @@ def period_predicate(ts: str | Column, period: str | None, as_of) -> Column | No
     return None
 
 
+def period_bounds(period: str | None, as_of) -> tuple[dt.datetime | None, dt.datetime | None]:
+    """[start, end) of a period; (None, None) when it has no filter."""
+    if period == "today":
+        start = as_timestamp(as_date(as_of))
+        return start, start + dt.timedelta(days=1)
+    if period in PERIOD_DAYS:
+        return as_timestamp(as_date(as_of)) - dt.timedelta(days=PERIOD_DAYS[period]), None
+    return None, None
+
+
+# Layout convention (thali.sources.layout): a frame partitioned by month carries
+# this string column ('yyyy-MM') of the order's time.
+MONTH_PARTITION = "order_month"
+
+
+def month_guard(df: DataFrame, period: str | None, as_of) -> Column | None:
+    """Partition predicate implied by a period, when `df` is month-partitioned.
+
+    Redundant with the exact time predicate, but on the partition column, so
+    Spark skips whole partitions (``PartitionFilters``) before reading files.
+    """
+    if MONTH_PARTITION not in df.columns:
+        return None
+    start, end = period_bounds(period, as_of)
+    if start is None:
+        return None
+    m = F.col(MONTH_PARTITION)
+    pred = m >= F.lit(start.strftime("%Y-%m"))
+    if end is not None:
+        pred = pred & (m <= F.lit((end - dt.timedelta(microseconds=1)).strftime("%Y-%m")))
+    return pred
+
+
 def period_filter(df: DataFrame, ts: str, period: str | None, as_of) -> DataFrame:
     pred = period_predicate(ts, period, as_of)
-    return df if pred is None else df.filter(pred)
+    if pred is None:
+        return df
+    guard = month_guard(df, period, as_of)
+    return df.filter(pred if guard is None else guard & pred)
 
 
 def within_hours(ts: str | Column, now, hours: int) -> Column:
