@@ -103,7 +103,7 @@ def test_session_activity_stream_join_equals_batch(spark):
     _run(St.valid_session_activity(s, a), "t5_out")
     got = sorted((r.session_pk, r.event_id) for r in spark.table("t5_out").collect())
     from thali.operators.joins import valid_session_activity
-    want = sorted((r.session_pk, r.event_id) for r in valid_session_activity(t.sessions, act).collect())
+    want = sorted((r.session_pk, r.event_id) for r in valid_session_activity(t.sessions, act).collect())  # noqa
     # activity 2 falls in both sessions of owner 1: the newest (2) is the one in force
     assert got == want == [(1, 1), (2, 2)]
 

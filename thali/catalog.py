@@ -426,7 +426,7 @@ SELECT s.id AS session_pk, a.customer_id, a.event_id, a.event_type, a.ts
 FROM m_activity a ASOF JOIN m_sessions s
   ON a.customer_id = s.customer_id AND a.ts >= s.created_at
 WHERE a.ts < s.expires_at""")(
-    lambda t: valid_session_activity(t.sessions, t.activity))
+    lambda t: valid_session_activity(t.sessions, t.activity).drop("session_start"))
 
 register("f_scalar_showcase", f"""
 SELECT c.customer_id,
@@ -672,9 +672,8 @@ def St_attempts(t):
     """Attempts for T4: each signup issues a code; the user's later events try the newest
     code while it lives (the as-of join of J9, never all pairs of a user)."""
     from thali.operators.joins import valid_session_activity as _vsa
-    hits = _vsa(t.sessions, t.activity)
-    s = t.sessions.select(F.col("id").alias("session_pk"), F.col("created_at").alias("issued_at"))
-    return hits.join(s, "session_pk").select(F.col("customer_id").cast("string").alias("key"), "issued_at", "ts")
+    return _vsa(t.sessions, t.activity).select(
+        F.col("customer_id").cast("string").alias("key"), F.col("session_start").alias("issued_at"), "ts")
 
 register("t1_quota_breaches_daily", """
 SELECT CAST(user_id AS VARCHAR) AS client, date_trunc('day', ts) AS window_start,

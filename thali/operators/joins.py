@@ -53,7 +53,8 @@ def valid_session_activity(sessions: DataFrame, activity: DataFrame) -> DataFram
     by time. Each session is listed under every day it can cover (two for a
     24-hour session), so the newest session that can still be valid on that
     day is always in the day's group (sessions of one owner have one length).
-    Work per group is a sort and one pass, never all pairs.
+    Work per group is a sort and one pass, never all pairs. The session's
+    start comes along as ``session_start``.
     """
     s = sessions.select(
         F.col("customer_id").alias("owner"), F.col("created_at").alias("ts"), F.lit(0).alias("kind"),
@@ -70,4 +71,4 @@ def valid_session_activity(sessions: DataFrame, activity: DataFrame) -> DataFram
     tagged = s.unionByName(a).withColumn("_cur", F.last("sess", ignorenulls=True).over(w))
     return tagged.filter((F.col("kind") == 1) & F.col("_cur").isNotNull() & (F.col("ts") < F.col("_cur.s_end"))) \
         .select(F.col("_cur.session_pk").alias("session_pk"), F.col("owner").alias("customer_id"),
-                "event_id", "event_type", "ts")
+                "event_id", "event_type", "ts", F.col("_cur.s_start").alias("session_start"))

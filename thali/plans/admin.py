@@ -209,19 +209,39 @@ def ordered_items(t: Tables, customer_id: int | None = None) -> DataFrame:
         .orderBy(F.col("customer_id"), F.col("last_ordered").desc_nulls_first(), F.col("item_id"))
 
 
-def recent_reviews(t: Tables, limit: int | None = 10, offset: int | None = 0, item_id=None) -> DataFrame:
-    """Latest non-empty reviews with masked phone (F9), one page, optional item."""
+def recent_reviews(t: Tables, limit: int | None = 10, offset: int | None = 0, item_id=None,
+                   check_fk: bool = False) -> DataFrame:
+    """Latest non-empty reviews with masked phone (F9), one page, optional item.
+
+    ratings.customer_id is NOT NULL with an FK to customers, so the inner join
+    drops nothing: the newest offset+limit reviews are cut first (a top-k)
+    and broadcast into the customer and item joins, which then only probe.
+    ``check_fk=True`` joins every review instead.
+    """
+    limit, offset = limit or 10, offset or 0
     r = t.ratings.filter(non_empty("review_text"))
     cond = optional_eq("item_id", item_id)
     if cond is not None:
         r = r.filter(cond)
+    order = [F.col("created_at").desc_nulls_first(), F.col("rating_id").desc()]
+    if not check_fk:
+        r = F.broadcast(r.filter(F.col("customer_id").isNotNull()).orderBy(*order).limit(limit + offset))
     c = t.customers.select("customer_id", F.col("name").alias("customer_name"), "phone")
     items = t.menu_items.select("item_id", "item_name", F.col("image_url").alias("item_image"))
-    j = r.join(c, "customer_id").join(items, "item_id", "left").select(
+    j = c.join(r, "customer_id")
+    if check_fk:
+        j = j.join(items, "item_id", "left")
+    else:
+        # The page is the broadcast (inner) side: menu_items is probed. Under the
+        # FK an item rating's item exists; order ratings keep NULL item columns.
+        rated = items.join(F.broadcast(j.filter(F.col("item_id").isNotNull())), "item_id")
+        unrated = j.filter(F.col("item_id").isNull()).withColumn("item_name", F.lit(None).cast("string")) \
+            .withColumn("item_image", F.lit(None).cast("string"))
+        j = rated.unionByName(unrated)
+    j = j.select(
         "rating_id", "customer_id", "rating_value", "review_text", "item_id", "created_at",
         "customer_name", S.mask_phone("phone").alias("masked_phone"), "item_name", "item_image")
-    return page(j, [F.col("created_at").desc_nulls_first(), F.col("rating_id").desc()],
-                limit or 10, offset or 0)
+    return page(j, order, limit, offset)
 
 
 def table_availability(orders: DataFrame, as_of=None, tables=DEFAULT_TABLES) -> DataFrame:

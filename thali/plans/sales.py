@@ -63,9 +63,10 @@ def best_sellers(t: Tables, period: str | None = "all", as_of=None, limit: int |
     if not check_fk:
         # FK order_items.item_id → menu_items: every sold item exists, so the
         # top `limit` can be cut before the item join (which then sees `limit` rows).
-        sales = top_k(sales.filter(F.col("item_id").isNotNull()),
-                      [F.col("total_quantity_sold").desc_nulls_first(), F.col("item_id").asc()], limit)
-    rows = sales.join(items_with_category(t), "item_id").select(
+        # The cut is at most `limit` rows: broadcast, so menu_items is probed, not shuffled.
+        sales = F.broadcast(top_k(sales.filter(F.col("item_id").isNotNull()),
+                                  [F.col("total_quantity_sold").desc_nulls_first(), F.col("item_id").asc()], limit))
+    rows = items_with_category(t).join(sales, "item_id").select(
         "item_id", F.col("item_name").alias("name"), money("price").alias("price"),
         F.coalesce("category_name", F.lit("Uncategorized")).alias("category"), "image_url",
         F.col("total_quantity_sold").cast("long").alias("total_quantity_sold"),
@@ -188,8 +189,8 @@ def top_customers(t: Tables, period: str | None = "all", as_of=None, limit: int
         F.coalesce(F.sum("total_amount"), F.lit(0)).alias("total_spent"),
         F.max("created_at").alias("last_order_date"))
     if not check_fk:
-        per = top_k(per.filter(F.col("customer_id").isNotNull()),
-                    [F.col("total_spent").desc_nulls_first(), F.col("customer_id").asc()], limit)
+        per = F.broadcast(top_k(per.filter(F.col("customer_id").isNotNull()),
+                                [F.col("total_spent").desc_nulls_first(), F.col("customer_id").asc()], limit))
     rows = t.customers.select("customer_id", "name", "phone").join(per, "customer_id").select(
         "customer_id", "name", "phone", "total_orders", money("total_spent").alias("total_spent"),
         "last_order_date")
