@@ -5,6 +5,8 @@ from decimal import Decimal as D
 
 
 from frames import tables
+from pyspark.sql import functions as F
+
 from thali.functions import quality as Q
 from thali.operators import changes as C
 from thali.sources import schema as S
@@ -195,3 +197,27 @@ def test_birth_dates_d14_and_payments_d15(spark):
 def test_duplicate_keys_d9(spark):
     df = spark.createDataFrame([("a",), ("a",), ("b",), (None,), (None,)], "phone string")
     assert [(r.phone, r.n) for r in Q.duplicate_keys(df, ["phone"]).collect()] == [("a", 2)]
+
+
+def test_delete_ratings_and_end_sessions(spark):
+    t = tables(spark)
+    ch = C.delete_ratings(t.ratings, spark.createDataFrame([(2,), (99,)], "rating_id long"))
+    assert sorted(r.rating_id for r in ch["ratings"].collect()) == [1, 3, 4]
+    assert [(r.rating_id, r.reason) for r in ch.rejects.collect()] == [(99, "not_found")]
+    s = C.end_sessions(t.sessions, spark.createDataFrame([("a",), ("zz",)], "session_id string"))["sessions"]
+    assert sorted(r.session_id for r in s.collect()) == ["b", "c"]
+
+
+def test_register_customers(spark):
+    t = tables(spark)
+    req = spark.createDataFrame([
+        ("Dev Patel", "98111 22334", dt.datetime(2024, 1, 30, 10)),     # digits only → valid
+        ("Dev Two", "9811122334", dt.datetime(2024, 1, 30, 11)),       # same phone later → duplicate
+        ("Asha Again", "9876543210", dt.datetime(2024, 1, 30, 10)),    # phone of customer 1 → exists
+        ("X", "9000000001", dt.datetime(2024, 1, 30, 10)),             # bad name
+        ("Good Name", "12345", dt.datetime(2024, 1, 30, 10)),          # bad phone
+    ], "name string, phone string, ts timestamp")
+    ch = C.register_customers(t.customers, req)
+    new = ch["customers"].filter(~F.col("customer_id").isin(1, 2, 3)).collect()
+    assert [(r.name, r.phone) for r in new] == [("Dev Patel", "9811122334")]
+    assert sorted(r.reason for r in ch.rejects.collect()) == ["bad_name", "bad_phone", "duplicate", "exists"]

@@ -376,3 +376,43 @@ def record_payments(orders: DataFrame, payments: DataFrame, verified: DataFrame)
                     F.col("ts").cast("timestamp_ntz").alias("created_at"))
     return Change({"payments": payments.unionByName(new)},
                   j.filter(F.col("reason").isNotNull()).select("order_id", "customer_id", "reason"))
+
+
+# ---------------------------------------------------------------- accounts and ratings
+
+def delete_ratings(ratings: DataFrame, rating_ids: DataFrame) -> Change:
+    """Admin deletes ratings by id; unknown ids are rejected ('not_found')."""
+    ids = rating_ids.select("rating_id").filter(F.col("rating_id").isNotNull()).distinct()
+    unknown = ids.join(ratings.select("rating_id"), "rating_id", "left_anti").withColumn("reason", F.lit("not_found"))
+    return Change({"ratings": ratings.join(ids, "rating_id", "left_anti")}, unknown)
+
+
+def end_sessions(sessions: DataFrame, session_ids: DataFrame) -> Change:
+    """Logout: the named sessions are removed (unknown ids are a no-op, as in the source)."""
+    ids = session_ids.select("session_id").filter(F.col("session_id").isNotNull()).distinct()
+    return Change({"sessions": sessions.join(ids, "session_id", "left_anti")}, None)
+
+
+def register_customers(customers: DataFrame, requests: DataFrame) -> Change:
+    """Registrations (name, phone, ts): phone normalised to digits (V1), name checked (V2),
+    refused when the phone already belongs to a customer ('exists') or to an earlier
+    registration of the batch ('duplicate'). New ids are hashes of the phone."""
+    from thali.functions.scalars import digits_only
+
+    r = requests.select("name", "phone", F.col("ts").cast("timestamp_ntz").alias("ts")) \
+        .withColumn("phone_norm", digits_only("phone"))
+    r = r.withColumn("reason", F.when(~Q.phone_ok("phone"), "bad_phone").when(~Q.name_ok("name"), "bad_name"))
+    known = customers.select(F.col("phone").alias("phone_norm")).filter(F.col("phone_norm").isNotNull()) \
+        .distinct().withColumn("_exists", F.lit(True))
+    r = r.join(known, "phone_norm", "left").withColumn(
+        "reason", F.coalesce("reason", F.when(F.col("_exists"), F.lit("exists"))))
+    ok = r.filter(F.col("reason").isNull())
+    first = ok.groupBy("phone_norm").agg(F.min(F.struct("ts", "name")).alias("_w"))
+    ok = ok.join(first, "phone_norm").withColumn("_first", F.struct("ts", "name") == F.col("_w"))
+    dup = ok.filter(~F.col("_first")).withColumn("reason", F.lit("duplicate"))
+    new = ok.filter(F.col("_first")).dropDuplicates(["phone_norm"]).select(
+        new_key(F.lit("customer"), "phone_norm").alias("customer_id"), F.trim("name").alias("name"),
+        F.col("phone_norm").alias("phone"), F.col("ts").alias("created_at"), F.lit(None).cast("date").alias("dob"))
+    rejects = r.filter(F.col("reason").isNotNull()).select("name", "phone", "ts", "reason") \
+        .unionByName(dup.select("name", "phone", "ts", "reason"))
+    return Change({"customers": customers.unionByName(new.select(*customers.columns))}, rejects)
