@@ -242,6 +242,17 @@ def ingest_stream(carts: DataFrame, orders_path: str, out_path: str, checkpoint:
             current = base.unionByName(done.select(*base.columns))
         except Exception:  # noqa: BLE001 - nothing ingested yet
             current = base
+        # Occupancy and re-sent carts only involve orders of the batch's own days
+        # (a re-sent cart keeps its timestamp), so the check reads those days only.
+        lo, hi = batch.agg(F.min(F.col("ts").cast("timestamp_ntz")), F.max(F.col("ts").cast("timestamp_ntz"))).first()
+        if lo is None:
+            return
+        from thali.functions.predicates import as_date, ts_literal
+        import datetime as _dt
+        current = current.filter((F.col("created_at") >= ts_literal(as_date(lo)))
+                                 & (F.col("created_at") < ts_literal(as_date(hi) + _dt.timedelta(days=1))))
+        days = batch.select(F.to_date(F.col("ts").cast("timestamp_ntz")).alias("_day")).distinct()
+        current = current.join(F.broadcast(days), F.to_date("created_at") == F.col("_day"), "left_semi")
         change = ingest_orders(current, batch)
         for name, df in list(change.tables.items()) + [("rejects", change.rejects)]:
             df.write.mode("overwrite").parquet(f"{out_path}/{name}/batch={batch_id}")
