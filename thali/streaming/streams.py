@@ -15,6 +15,7 @@ is finished or idle past a timeout.
 
 from __future__ import annotations
 
+import datetime as dt
 from typing import Iterator
 
 import pandas as pd
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from thali.functions.predicates import as_date, ts_literal
 from thali.sources.schema import OPEN_STATUSES
 
 FINISHED = ("ready", "completed", "cancelled")
@@ -247,10 +249,8 @@ def ingest_stream(carts: DataFrame, orders_path: str, out_path: str, checkpoint:
         lo, hi = batch.agg(F.min(F.col("ts").cast("timestamp_ntz")), F.max(F.col("ts").cast("timestamp_ntz"))).first()
         if lo is None:
             return
-        from thali.functions.predicates import as_date, ts_literal
-        import datetime as _dt
         current = current.filter((F.col("created_at") >= ts_literal(as_date(lo)))
-                                 & (F.col("created_at") < ts_literal(as_date(hi) + _dt.timedelta(days=1))))
+                                 & (F.col("created_at") < ts_literal(as_date(hi) + dt.timedelta(days=1))))
         days = batch.select(F.to_date(F.col("ts").cast("timestamp_ntz")).alias("_day")).distinct()
         current = current.join(F.broadcast(days), F.to_date("created_at") == F.col("_day"), "left_semi")
         change = ingest_orders(current, batch)
