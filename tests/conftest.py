@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -12,6 +13,7 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = get_spark(master="local[4]", shuffle_partitions=4)
+    s = get_spark(master="local[4]", shuffle_partitions=4,
+                  extra={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="thali-warehouse-")})
     yield s
     s.stop()

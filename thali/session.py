@@ -15,13 +15,16 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app_name: str = "thali") -> SparkSession:
+              app_name: str = "thali", extra: dict | None = None) -> SparkSession:
     """Local session tuned like a small cluster: AQE on, UI off, UTC wall clock."""
     cpus = os.environ.get("BENCH_CPUS", "8")
     master = master or f"local[{cpus}]"
     parts = str(shuffle_partitions or int(cpus))
+    builder = SparkSession.builder
+    for k, v in (extra or {}).items():
+        builder = builder.config(k, v)
     spark = (
-        SparkSession.builder.master(master)
+        builder.master(master)
         .appName(app_name)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", parts)
