@@ -52,8 +52,8 @@ def main():
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     print("# PLANS — physical plans of the registered queries at scale posture\n")
     print("Generated by `scripts/plan_report.py`: AQE and automatic broadcast off, so every shuffle a 100 TB run could")
-    print("take is listed; the remaining broadcasts are explicit hints on sides bounded by construction (≤ 20 categories,")
-    print("a page of ≤ offset+limit orders or their lines, a top-k). At runtime AQE may still replace a sort-merge join")
+    print("take is listed; the remaining broadcasts are explicit hints on sides a limit bounds (a top-k result, a page")
+    print("of ≤ offset+limit orders or reviews, that page's lines). At runtime AQE may still replace a sort-merge join")
     print("by a broadcast after measuring a side, coalesce partitions and split skewed ones.\n")
     print("| query | shuffles | shuffle keys | bounded broadcasts | tables scanned | pushed filters | top-k | window |")
     print("|---|---|---|---|---|---|---|---|")

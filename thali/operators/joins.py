@@ -3,8 +3,8 @@
 No join here forces a strategy on a side that grows with the data; AQE picks
 broadcast at runtime from measured sizes (``autoBroadcastJoinThreshold``) and
 splits skewed partitions of sort-merge joins. Explicit ``broadcast`` is used
-only for sides bounded by construction (categories, a page of orders, a
-parameter list).
+only for sides whose size a limit proves (a top-k result, a page of
+orders or reviews, that page's lines).
 """
 
 from __future__ import annotations

@@ -109,7 +109,7 @@ def ratings_listing(t: Tables) -> DataFrame:
     c = t.customers.select("customer_id", F.col("name").alias("customer_name"),
                            F.col("phone").alias("customer_phone"))
     items = t.menu_items.select("item_id", "item_name", F.col("image_url").alias("item_image"), "category_id")
-    cat = F.broadcast(t.menu_category.select("category_id", F.col("category_name").alias("item_category")))
+    cat = t.menu_category.select("category_id", F.col("category_name").alias("item_category"))
     r = t.ratings.join(c, "customer_id").join(items, "item_id", "left").join(cat, "category_id", "left")
     return r.select(
         "rating_id", "customer_id", "order_id", "rating_value", "review_text", "item_id", "created_at",
@@ -151,7 +151,7 @@ def menu_with_ratings(t: Tables, category_id=None) -> DataFrame:
     cond = optional_eq("category_id", category_id)
     if cond is not None:
         items = items.filter(cond)
-    j = items.join(F.broadcast(t.menu_category), "category_id").join(per, "item_id", "left")
+    j = items.join(t.menu_category, "category_id").join(per, "item_id", "left")
     return j.select(
         "item_id", "item_name", "category_id", "category_name", S.money("price").alias("price"),
         "image_url", "description", "is_available",
@@ -162,7 +162,7 @@ def menu_with_ratings(t: Tables, category_id=None) -> DataFrame:
 
 def menu_items_admin(t: Tables) -> DataFrame:
     """All items with their category; an unknown category gives NULL, the item stays."""
-    j = t.menu_items.join(F.broadcast(t.menu_category), "category_id", "left")
+    j = t.menu_items.join(t.menu_category, "category_id", "left")
     return j.select("item_id", "item_name", "category_id", "category_name", S.money("price").alias("price"),
                     "image_url", "description", "is_available") \
         .orderBy(F.col("category_name").asc_nulls_last(), F.col("item_name").asc_nulls_last(), F.col("item_id"))
@@ -203,7 +203,7 @@ def ordered_items(t: Tables, customer_id: int | None = None) -> DataFrame:
     # done first, it costs no reshuffle of `per`.
     per = exists_flag(per, t.ratings, ["customer_id", "item_id"], "already_rated")
     items = t.menu_items.select("item_id", "item_name", "price", "image_url", "description", "category_id")
-    j = per.join(items, "item_id").join(F.broadcast(t.menu_category), "category_id", "left")
+    j = per.join(items, "item_id").join(t.menu_category, "category_id", "left")
     return j.select("customer_id", "item_id", "item_name", S.money("price").alias("price"), "image_url",
                     "description", "category_name", "times_ordered", "last_ordered", "already_rated") \
         .orderBy(F.col("customer_id"), F.col("last_ordered").desc_nulls_first(), F.col("item_id"))

@@ -51,8 +51,9 @@ def item_sales(lines: DataFrame) -> DataFrame:
 
 
 def items_with_category(t: Tables) -> DataFrame:
-    """menu_items LEFT JOIN menu_category (the category side is bounded: ≤ 20 rows)."""
-    return t.menu_items.join(F.broadcast(t.menu_category), "category_id", "left")
+    """menu_items LEFT JOIN menu_category. No hint: a menu's categories are few and AQE
+    broadcasts them after measuring them at runtime."""
+    return t.menu_items.join(t.menu_category, "category_id", "left")
 
 
 def best_sellers(t: Tables, period: str | None = "all", as_of=None, limit: int | None = 10,
@@ -103,7 +104,7 @@ def sales_by_category(t: Tables, period: str | None = "all", as_of=None, correct
     """
     sales = item_sales(lines_in_period(t, period, as_of)).select("item_id", "total_revenue")
     per_item = sales.join(t.menu_items.select("item_id", "category_id"), "item_id")
-    named = per_item.join(F.broadcast(t.menu_category), "category_id", "left")
+    named = per_item.join(t.menu_category, "category_id", "left")
     label = F.coalesce("category_name", F.lit("Uncategorized"))
     if corrected:
         out = named.groupBy(label.alias("category")).agg(F.sum("total_revenue").alias("total_revenue"))

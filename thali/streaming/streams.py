@@ -252,7 +252,10 @@ def ingest_stream(carts: DataFrame, orders_path: str, out_path: str, checkpoint:
         current = current.filter((F.col("created_at") >= ts_literal(as_date(lo)))
                                  & (F.col("created_at") < ts_literal(as_date(hi) + dt.timedelta(days=1))))
         days = batch.select(F.to_date(F.col("ts").cast("timestamp_ntz")).alias("_day")).distinct()
-        current = current.join(F.broadcast(days), F.to_date("created_at") == F.col("_day"), "left_semi")
+        # At most (hi - lo) + 1 distinct days: a checked bound, so small spans are broadcast.
+        if (as_date(hi) - as_date(lo)).days <= 366:
+            days = F.broadcast(days)
+        current = current.join(days, F.to_date("created_at") == F.col("_day"), "left_semi")
         change = ingest_orders(current, batch)
         for name, df in list(change.tables.items()) + [("rejects", change.rejects)]:
             df.write.mode("overwrite").parquet(f"{out_path}/{name}/batch={batch_id}")
