@@ -83,3 +83,15 @@ def test_session_as_of_join_independent_of_bucket_width(spark):
             if a.ts < cur[3]:
                 want.add((cur[2], a.customer_id, a.event_id))
     assert set(map(tuple, fine.collect())) == want
+
+
+def test_keyset_page_two_equals_offset_page_two(spark):
+    from thali.operators.ordering import keyset_page, page
+    t = load(spark, SF_SMALL)
+    o = t.orders.select("order_id", "created_at")
+    order = [F.col("created_at").desc_nulls_first(), F.col("order_id").desc()]
+    p1 = page(o, order, 15).collect()
+    last = p1[-1]
+    p2_keyset = [r.order_id for r in keyset_page(o, "created_at", "order_id", 15, after=(last.created_at, last.order_id)).collect()]
+    p2_offset = [r.order_id for r in page(o, order, 15, 15).collect()]
+    assert p2_keyset == p2_offset

@@ -752,3 +752,13 @@ FROM m_orders o JOIN (SELECT order_id AS oid, CAST(SUM(quantity) AS BIGINT) AS q
         F.sum("quantity").cast("long").alias("quantity_total")), "order_id").select(
         "order_id", Fx.fixed("total_amount", 2).alias("amount_text"), Fx.paise("total_amount").alias("paise"),
         "quantity_total"))
+
+from thali.operators.ordering import keyset_page  # noqa: E402
+
+register("o3_keyset_page", """
+SELECT order_id, customer_id, status, created_at FROM m_orders
+WHERE created_at < TIMESTAMP '2001-07-20 00:00:00'
+   OR (created_at = TIMESTAMP '2001-07-20 00:00:00' AND order_id < 7000)
+ORDER BY created_at DESC, order_id DESC LIMIT 20""", "deep page by cursor (created_at, order_id), no offset scan")(
+    lambda t: keyset_page(t.orders.select("order_id", "customer_id", "status", "created_at"),
+                          "created_at", "order_id", 20, after=("2001-07-20 00:00:00", 7000)))

@@ -13,6 +13,9 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
+
+from thali.functions.predicates import ts_literal
 
 
 def pg_asc(col: str) -> Column:
@@ -54,7 +57,9 @@ def keyset_page(df: DataFrame, ts: str, key: str, limit: int, after: tuple | Non
     out = df
     if after is not None:
         last_ts, last_key = after
-        t = F.lit(last_ts).cast(df.schema[ts].dataType)
+        dtype = df.schema[ts].dataType
+        # Zone-less columns get a literal parsed from text: no session time zone involved.
+        t = ts_literal(last_ts) if isinstance(dtype, TimestampNTZType) else F.lit(last_ts).cast(dtype)
         out = out.filter((F.col(ts) < t) | ((F.col(ts) == t) & (F.col(key) < F.lit(last_key))))
     return top_k(out, [F.col(ts).desc_nulls_first(), F.col(key).desc()], limit)
 
