@@ -1,9 +1,10 @@
 """SQL twins of the registered queries, for an independent engine (DuckDB).
 
 Only the driver's tables exist there, so every statement starts with the
-model bindings of FIXTURES.md §2 as CTEs (``m_*``), then states the
-reference's query in plain SQL. The twins are written from the reference's
-SQL, not from our DataFrame plans, so they check the plans independently.
+model bindings of FIXTURES.md §2 as CTEs (``m_*``), then states what the
+report computes in plain SQL of its own (aggregate first, then join). The
+twins are written from the reports' semantics, not from our DataFrame plans,
+so they check the plans independently.
 """
 
 from __future__ import annotations
@@ -92,5 +93,5 @@ def period_sql(col: str, period: str | None, as_of: str) -> str:
 # Canonical text of a nested item array: sorted 'f1|f2|…' pieces joined by ';'.
 def items_text_sql(fields: list[str], alias: str = "items_text") -> str:
     piece = " || '|' || ".join(f"COALESCE(CAST({f} AS VARCHAR), '~')" for f in fields)
-    return (f"COALESCE(string_agg({piece}, ';' ORDER BY {piece}) FILTER (WHERE oi.order_item_id IS NOT NULL), '')"
-            f" AS {alias}, COUNT(oi.order_item_id) AS n_items")
+    return (f"COALESCE(string_agg({piece}, ';' ORDER BY {piece}) FILTER (WHERE li.order_item_id IS NOT NULL), '')"
+            f" AS {alias}, count(li.order_item_id) AS n_items")
