@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# The order status domain, and the statuses of an open (unfinished) order.
 ORDER_STATUSES = ("pending", "preparing", "ready", "completed", "cancelled")
 OPEN_STATUSES = ("pending", "preparing", "ready")
 
