@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from thali.session import scratch_path
+from thali.session import ensure_checkpoint_dir, scratch_path
 from thali.sources.schema import CART
 
 CORRUPT = "_corrupt_record"
@@ -62,5 +62,9 @@ def read_snapshot(spark: SparkSession, table: str, version: int, base: str | Non
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint on the shared checkpoint folder (survives executor loss)."""
+    """Reliable checkpoint on the shared checkpoint folder (survives executor loss).
+
+    The folder is the session's ``spark.checkpoint.dir``; a scratch folder is
+    made only when the session names none (local runs)."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
