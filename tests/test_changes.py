@@ -166,12 +166,12 @@ def test_purge_sessions_d11(spark):
 def test_upserts_d12_d13(spark):
     t = tables(spark)
     req = spark.createDataFrame([
-        (10, "Samosa XL", 1, "25.50", "TRUE"), (None, " Chai ", 1, "10", None), (11, "Lassi", 1, "abc", "no"),
+        (10, "Samosa XL", 1, "25.50", "TRUE"), (None, " Chai ", 1, " 10abc", None), (11, "Lassi", 1, "abc", "no"),
         (None, "", 1, "5", "true"), (77, "Ghost", 1, "5", "true")], S.MENU_ITEM_REQUESTS)
     ch = C.upsert_menu_items(t.menu_items, req)
     items = {r.item_name: r for r in ch["menu_items"].collect()}
     assert items["Samosa XL"].price == D("25.50") and items["Samosa XL"].is_available is True
-    assert items["Chai"].is_available is True and "Samosa" not in items
+    assert items["Chai"].is_available is True and items["Chai"].price == D("10.00") and "Samosa" not in items
     assert sorted(r.reason for r in ch.rejects.collect()) == ["bad_price", "missing_field", "not_found"]
     cats = C.upsert_categories(t.menu_category, spark.createDataFrame(
         [(1, " Snacks "), (None, "Drinks"), (None, "  "), (9, "X")], "category_id int, category_name string"))

@@ -632,7 +632,8 @@ m_req AS (
   SELECT CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_partkey END AS item_id, p_name || ' special' AS item_name,
          CASE WHEN p_partkey % 9 = 0 THEN 'abc' ELSE CAST(CAST(p_retailprice AS DECIMAL(10,2)) AS VARCHAR) END AS price
   FROM part)
-SELECT item_id, item_name, 'bad_price' AS reason FROM m_req WHERE TRY_CAST(trim(price) AS DECIMAL(10,2)) IS NULL""",
+SELECT item_id, item_name, 'bad_price' AS reason FROM m_req
+WHERE regexp_extract(ltrim(price), '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?', 0) = ''""",
          "every item id in the requests exists")(
     lambda t: D.upsert_menu_items(t.menu_items, Rq.menu_item_requests(t)).rejects)
 

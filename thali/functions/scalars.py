@@ -66,10 +66,21 @@ def coerce_bool(x: str | Column) -> Column:
 
 
 def parse_number(x: str | Column, type_: str = "decimal(10,2)") -> Column:
-    """parseFloat/parseInt without failing the job on bad text."""
+    """a number from text without failing the job on bad text (NULL instead)."""
     return _c(x).try_cast(type_)
 
 
+# Fixed value: the numeric prefix JS parseFloat reads (sign, digits, point, exponent).
+FLOAT_PREFIX = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?"
+
+
+def parse_float_prefix(x: str | Column, type_: str = "decimal(10,2)") -> Column:
+    """F15 as JS parseFloat: leading blanks skipped, the longest numeric prefix read
+    ('12abc' → 12); text without one gives NULL."""
+    prefix = F.regexp_extract(F.ltrim(_c(x)), FLOAT_PREFIX, 0)
+    return F.when(prefix != "", prefix.try_cast("double").try_cast(type_))
+
+
 def age_years(dob: str | Column, as_of) -> Column:
     """F16: whole years by month/day comparison (Feb 29 → Feb 28 is not a birthday)."""
     d = as_date(as_of)

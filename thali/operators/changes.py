@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from thali.functions import quality as Q
 from thali.functions.predicates import day_range, ts_literal
-from thali.functions.scalars import coerce_bool, parse_number
+from thali.functions.scalars import coerce_bool, parse_float_prefix
 from thali.sources.schema import MONEY, OPEN_STATUSES, PRICE
 
 MASK = 0x7FFFFFFFFFFFFFFF
@@ -303,11 +303,18 @@ def purge_sessions(sessions: DataFrame, now) -> Change:
 def upsert_menu_items(menu_items: DataFrame, requests: DataFrame) -> Change:
     """Coerce and check item requests; insert (no id) or replace (known id).
 
-    Required: name, category, price (absent or '' → 'missing_field'); price text
-    must parse ('bad_price'); availability NULL → true, else text = 'true' (F14).
+    Required: name, category, price (absent or '' → 'missing_field'). Price is
+    read like JS parseFloat (longest numeric prefix); text without one is
+    refused ('bad_price') rather than stored as NaN. Availability NULL → true,
+    else text = 'true' (F14). A replace sets every field, as the source's
+    UPDATE does: description and image come from the request (optional
+    columns; absent or '' → NULL).
     """
     r = requests
-    price = parse_number(F.trim("price"), "decimal(10,2)")
+    for opt in ("description", "image_url"):
+        if opt not in r.columns:
+            r = r.withColumn(opt, F.lit(None).cast("string"))
+    price = parse_float_prefix("price", "decimal(10,2)")
     name = F.trim("item_name")
     reason = (F.when(name.isNull() | (name == "") | F.col("category_id").isNull() | (F.col("category_id") == 0)
                      | F.col("price").isNull() | (F.trim("price") == ""), "missing_field")
@@ -317,14 +324,14 @@ def upsert_menu_items(menu_items: DataFrame, requests: DataFrame) -> Change:
         F.coalesce("item_id", new_key(F.lit("item"), "item_name", "category_id", "price")).alias("item_id"),
         F.col("item_id").isNull().alias("_insert"),
         name.alias("item_name"), F.col("category_id").cast("int").alias("category_id"),
-        price.cast(PRICE).alias("price"), coerce_bool("is_available").alias("is_available"))
+        price.cast(PRICE).alias("price"),
+        F.when(F.col("image_url") != "", F.col("image_url")).alias("image_url"),
+        F.when(F.col("description") != "", F.col("description")).alias("description"),
+        coerce_bool("is_available").alias("is_available"))
     updates = ok.filter(~F.col("_insert"))
     unknown = updates.join(menu_items.select("item_id"), "item_id", "left_anti")
-    # A replaced item keeps its image and description.
-    updates = updates.join(menu_items.select("item_id", "image_url", "description"), "item_id")
-    inserts = ok.filter(F.col("_insert")).withColumn("image_url", F.lit(None).cast("string")) \
-        .withColumn("description", F.lit(None).cast("string"))
-    changed = updates.unionByName(inserts).select(*menu_items.columns)
+    updates = updates.join(menu_items.select("item_id"), "item_id", "left_semi")
+    changed = updates.unionByName(ok.filter(F.col("_insert"))).select(*menu_items.columns)
     snap = menu_items.join(changed.select("item_id"), "item_id", "left_anti").unionByName(changed)
     rejects = r.filter(F.col("reason").isNotNull()).select("item_id", "item_name", "reason") \
         .unionByName(unknown.select("item_id", "item_name", F.lit("not_found").alias("reason")))
