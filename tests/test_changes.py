@@ -188,10 +188,11 @@ def test_birth_dates_d14_and_payments_d15(spark):
     assert dob[2] == dt.date(1999, 12, 31) and dob[3] == dt.date(2000, 2, 29)
     assert sorted(r.reason for r in ch.rejects.collect()) == ["not_found", "too_young"]
     pay = C.record_payments(t.orders, t.payments, spark.createDataFrame(
-        [(101, 1, "pay_a", dt.datetime(2024, 1, 30, 9, 1)), (101, 2, "pay_b", dt.datetime(2024, 1, 30, 9, 1))],
+        [(101, 1, "pay_a", dt.datetime(2024, 1, 30, 9, 1)), (101, 2, "pay_b", dt.datetime(2024, 1, 30, 9, 1)),
+         (555, 1, "pay_c", dt.datetime(2024, 1, 30, 9, 1)), (101, 1, None, dt.datetime(2024, 1, 30, 9, 1))],
         "order_id long, customer_id long, razorpay_payment_id string, ts timestamp"))
     assert pay["payments"].count() == t.payments.count() + 1
-    assert [r.reason for r in pay.rejects.collect()] == ["not_owner"]
+    assert sorted(r.reason for r in pay.rejects.collect()) == ["missing_field", "not_found", "unauthorized"]
 
 
 def test_duplicate_keys_d9(spark):

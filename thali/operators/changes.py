@@ -370,11 +370,15 @@ def set_birth_dates(customers: DataFrame, requests: DataFrame, as_of) -> Change:
 
 def record_payments(orders: DataFrame, payments: DataFrame, verified: DataFrame) -> Change:
     """Append verified online payments for orders owned by the payer; amount is
-    the order's total. (The gateway signature check is outside the data.)"""
+    the order's total. Refusals: 'missing_field', 'not_found' (no such order),
+    'unauthorized' (someone else's order). The gateway signature check is outside the data."""
     v = verified.select("order_id", "customer_id", "razorpay_payment_id", "ts")
     o = orders.select("order_id", F.col("customer_id").alias("_owner"), "total_amount")
     j = v.join(o, "order_id", "left")
-    reason = F.when(F.col("_owner").isNull() | (F.col("_owner") != F.col("customer_id")), "not_owner")
+    reason = (F.when(F.col("order_id").isNull() | F.col("razorpay_payment_id").isNull()
+                     | (F.col("razorpay_payment_id") == ""), "missing_field")
+              .when(F.col("total_amount").isNull() & F.col("_owner").isNull(), "not_found")
+              .when(F.col("_owner").isNull() | (F.col("_owner") != F.col("customer_id")), "unauthorized"))
     j = j.withColumn("reason", reason)
     ok = j.filter(F.col("reason").isNull())
     new = ok.select(new_key(F.lit("payment"), "razorpay_payment_id", "order_id").alias("payment_id"), "order_id",
