@@ -667,7 +667,12 @@ register("d13_category_snapshot", None, "rename all, insert one per brand name;
         F.when(F.substring("p_brand", 7, 10).cast("int") % 2 == 0, F.substring("p_brand", 7, 10).cast("int"))
         .alias("category_id"), F.concat(F.lit(" Menu "), F.col("p_brand"), F.lit(" ")).alias("category_name"))
         .distinct())["menu_category"])
-register("d15_record_payments_rejects", None, "purchase events as verified payments; rows-only")(
+register("d15_record_payments_rejects", """
+m_req AS (SELECT event_id AS order_id, user_id AS customer_id FROM events WHERE event_type = 'purchase')
+SELECT rq.order_id, rq.customer_id,
+       CASE WHEN od.order_id IS NULL THEN 'not_found' ELSE 'unauthorized' END AS reason
+FROM m_req rq LEFT JOIN m_orders od ON od.order_id = rq.order_id
+WHERE od.order_id IS NULL OR od.customer_id <> rq.customer_id""", "purchase events as verified payments")(
     lambda t: D.record_payments(t.orders, t.payments, t.raw("events").filter(F.col("event_type") == "purchase").select(
         F.col("event_id").alias("order_id"), F.col("user_id").alias("customer_id"),
         F.concat(F.lit("pay_e"), F.col("event_id").cast("string")).alias("razorpay_payment_id"),
