@@ -662,11 +662,21 @@ register("d1_ingest_rejects", None, "carts from orders+lines; rows-only")(
     lambda t: D.ingest_orders(t.orders, Rq.carts(t)).rejects)
 register("d1_ingest_orders", None, "new orders from carts; rows-only")(
     lambda t: D.ingest_orders(t.orders, Rq.carts(t))["orders"])
-register("d13_category_snapshot", None, "rename all, insert one per brand name; rows-only")(
+register("d13_category_snapshot", """
+m_req AS (SELECT DISTINCT CASE WHEN CAST(substr(p_brand, 7) AS INT) % 2 = 0 THEN CAST(substr(p_brand, 7) AS INT) END
+                   AS category_id, trim(' Menu ' || p_brand || ' ') AS category_name FROM part),
+m_ren AS (SELECT rq.category_id, rq.category_name FROM m_req rq
+          JOIN m_menu_category mc ON mc.category_id = rq.category_id)
+SELECT mc.category_id, mc.category_name FROM m_menu_category mc
+WHERE mc.category_id NOT IN (SELECT category_id FROM m_ren)
+UNION ALL SELECT category_id, category_name FROM m_ren
+UNION ALL SELECT NULL, category_name FROM m_req WHERE category_id IS NULL""",
+         "rename even brands, insert odd ones; new ids are hashes: compared as NULL")(
     lambda t: D.upsert_categories(t.menu_category, t.raw("part").select(
         F.when(F.substring("p_brand", 7, 10).cast("int") % 2 == 0, F.substring("p_brand", 7, 10).cast("int"))
         .alias("category_id"), F.concat(F.lit(" Menu "), F.col("p_brand"), F.lit(" ")).alias("category_name"))
-        .distinct())["menu_category"])
+        .distinct())["menu_category"].select(
+        F.when(F.col("category_id") <= 1000, F.col("category_id")).alias("category_id"), "category_name"))
 register("d15_record_payments_rejects", """
 m_req AS (SELECT event_id AS order_id, user_id AS customer_id FROM events WHERE event_type = 'purchase')
 SELECT rq.order_id, rq.customer_id,
