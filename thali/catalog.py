@@ -658,10 +658,47 @@ SELECT customer_id, dob,
 FROM m_parsed""")(
     lambda t: Rq.birth_dates(t).select("customer_id", "dob", Qy.dob_reason("dob", EA).alias("reason")))
 
-register("d1_ingest_rejects", None, "carts from orders+lines; rows-only")(
+_CARTS_SQL = """
+m_cart_lines AS (
+  SELECT l_orderkey, count(*) AS n,
+         bool_or(l_partkey = 0 OR CAST(l_quantity AS INT) = 0 OR CAST(l_extendedprice AS DECIMAL(10,2)) = 0) AS bad,
+         sum(CAST(l_extendedprice AS DECIMAL(10,2)) * CAST(l_quantity AS INT)) AS total
+  FROM lineitem GROUP BY l_orderkey),
+m_carts AS (
+  SELECT 'cart-' || o_orderkey AS cart_id, o_custkey AS customer_id,
+         CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE 'T-' || CAST(1 + o_orderkey % 5 AS VARCHAR) END AS table_number,
+         CAST(o_orderdate AS TIMESTAMP) + (o_orderkey % 600) * INTERVAL 1 MINUTE AS ts,
+         o_orderkey % 89 = 0 AS online, coalesce(cl.n, 0) AS n, coalesce(cl.bad, false) AS bad, cl.total
+  FROM orders LEFT JOIN m_cart_lines cl ON cl.l_orderkey = o_orderkey),
+m_checked AS (
+  SELECT ct.*, CAST(ct.ts AS DATE) AS day,
+         CASE WHEN n = 0 THEN 'empty_cart' WHEN coalesce(trim(table_number), '') = '' THEN 'missing_table'
+              WHEN bad THEN 'invalid_item' END AS static_reason,
+         EXISTS (SELECT 1 FROM m_orders od WHERE od.table_number = ct.table_number
+                  AND od.status IN ('pending', 'preparing', 'ready')
+                  AND CAST(od.created_at AS DATE) = CAST(ct.ts AS DATE)) AS occupied
+  FROM m_carts ct),
+m_first AS (
+  SELECT table_number, day, ts AS w_ts, cart_id AS w_cart FROM m_checked
+  WHERE static_reason IS NULL AND NOT occupied
+  QUALIFY row_number() OVER (PARTITION BY table_number, day ORDER BY ts, cart_id) = 1),
+m_decided AS (
+  SELECT ck.*,
+         CASE WHEN static_reason IN ('empty_cart', 'missing_table') THEN static_reason
+              WHEN occupied OR (fs.w_ts IS NOT NULL AND (ck.ts > fs.w_ts OR (ck.ts = fs.w_ts AND ck.cart_id > fs.w_cart)))
+                THEN 'table_occupied'
+              ELSE static_reason END AS reason
+  FROM m_checked ck LEFT JOIN m_first fs ON fs.table_number = ck.table_number AND fs.day = ck.day)"""
+
+register("d1_ingest_rejects", _CARTS_SQL + """
+SELECT cart_id, customer_id, table_number, ts, reason FROM m_decided WHERE reason IS NOT NULL""",
+         "every order re-sent as a cart of its lines")(
     lambda t: D.ingest_orders(t.orders, Rq.carts(t)).rejects)
-register("d1_ingest_orders", None, "new orders from carts; rows-only")(
-    lambda t: D.ingest_orders(t.orders, Rq.carts(t))["orders"])
+register("d1_ingest_orders", _CARTS_SQL + """
+SELECT NULL AS order_id, customer_id, table_number, total AS total_amount, 'pending' AS status, ts AS created_at
+FROM m_decided WHERE reason IS NULL""", "accepted carts; new order ids are hashes: compared as NULL")(
+    lambda t: D.ingest_orders(t.orders, Rq.carts(t))["orders"].withColumn(
+        "order_id", F.lit(None).cast("long")))
 register("d13_category_snapshot", """
 m_req AS (SELECT DISTINCT CASE WHEN CAST(substr(p_brand, 7) AS INT) % 2 = 0 THEN CAST(substr(p_brand, 7) AS INT) END
                    AS category_id, trim(' Menu ' || p_brand || ' ') AS category_name FROM part),
@@ -718,7 +755,16 @@ SELECT order_id, arg_max(status, (ts, status)) AS status, MAX(ts) AS ts,
 FROM m_updates WHERE status IN ('pending', 'preparing', 'ready', 'completed', 'cancelled') GROUP BY order_id""")(
     lambda t: St.latest_status_batch(Rq.status_updates(t).filter(Qy.status_ok("status"))))
 
-register("q8_cart_price_mismatches", None, "corrected Q8 over carts derived from orders; rows-only")(
+register("q8_cart_price_mismatches", """
+m_pos AS (
+  SELECT 'cart-' || l_orderkey AS cart_id,
+         CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, CAST(l_quantity AS INT),
+                                 CAST(l_extendedprice AS DECIMAL(10,2))) - 1 AS INTEGER) AS pos,
+         l_partkey AS item_id, CAST(l_extendedprice AS DECIMAL(10,2)) AS cart_price
+  FROM lineitem)
+SELECT ps.cart_id, ps.pos, ps.item_id, ps.cart_price, it.price AS menu_price
+FROM m_pos ps LEFT JOIN m_menu_items it ON it.item_id = ps.item_id
+WHERE it.price IS NULL OR ps.cart_price <> it.price""", "corrected Q8 over carts re-sent from orders")(
     lambda t: D.price_mismatches(Rq.carts(t), t.menu_items))
 
 register("t4_attempt_limits", """

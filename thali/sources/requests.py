@@ -84,13 +84,13 @@ def menu_item_requests(t: Tables) -> DataFrame:
 
 
 def carts(t: Tables) -> DataFrame:
-    """Every order re-submitted as a cart of its lines (price = line price / quantity),
+    """Every order re-submitted as a cart of its lines (price = the bound line price),
     stamped at the order's date plus a key-derived time; every 97th cart lacks a
     table and every 89th is paid online."""
     o = t.raw("orders").select("o_orderkey", "o_custkey", "o_orderdate")
     li = t.raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
     line = F.struct(F.col("l_partkey").alias("item_id"), F.col("l_quantity").cast("int").alias("quantity"),
-                    (F.col("l_extendedprice") / F.col("l_quantity")).cast(PRICE).alias("price"))
+                    F.col("l_extendedprice").cast(PRICE).alias("price"))
     per = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(
         F.struct(F.col("l_linenumber"), line.alias("x")))).alias("xs"))
     k = F.col("o_orderkey")
