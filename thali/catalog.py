@@ -13,11 +13,20 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from thali.functions import predicates as P
+from thali.functions import quality as Qy
+from thali.functions import scalars as Fx
+from thali.operators import changes as D
+from thali.operators.aggregates import canonical_text
+from thali.operators.joins import anti, valid_session_activity
+from thali.operators.ordering import keyset_page
 from thali.plans import admin as A
 from thali.plans import listings as L
 from thali.plans import sales as S
 from thali.plans.oracle import items_text_sql, period_sql, with_model
+from thali.sources import requests as Rq
 from thali.sources.model import EVENTS_AS_OF, ORDERS_AS_OF, Tables, load
+from thali.streaming import streams as St
 
 OA = ORDERS_AS_OF
 EA = EVENTS_AS_OF
@@ -408,12 +417,6 @@ GROUP BY cu.customer_id, cu.name""", "per customer over R12's rows")(L.customer_
 
 # ------------------------------------------------ primitives P / J / A / O / F
 
-from thali.functions import predicates as P  # noqa: E402
-from thali.functions import quality as Qy  # noqa: E402
-from thali.functions import scalars as Fx  # noqa: E402
-from thali.operators import changes as D  # noqa: E402
-from thali.operators.joins import anti, valid_session_activity  # noqa: E402
-from thali.sources import requests as Rq  # noqa: E402
 
 register("p12_birthday_customers", f"""
 SELECT customer_id, name, dob FROM m_customers
@@ -727,10 +730,8 @@ WHERE od.order_id IS NULL OR od.customer_id <> rq.customer_id""", "purchase even
 
 # ------------------------------------------- T streams: batch twins (same code)
 
-from thali.streaming import streams as St  # noqa: E402
 
-
-def St_attempts(t):
+def _attempts(t):
     """Attempts for T4: each signup issues a code; the user's later events try the newest
     code while it lives (the as-of join of J9, never all pairs of a user)."""
     from thali.operators.joins import valid_session_activity as _vsa
@@ -775,11 +776,10 @@ m_att AS (
 SELECT key, issued_at, COUNT(*) AS attempts FROM m_att
 WHERE ts >= issued_at AND ts < issued_at + INTERVAL 1 DAY GROUP BY key, issued_at HAVING COUNT(*) > 1""",
          "signups issue codes; the user's later events try the newest code within its day (max 1)")(
-    lambda t: St.attempt_limits(St_attempts(t), max_attempts=1, lifetime="1 day"))
+    lambda t: St.attempt_limits(_attempts(t), max_attempts=1, lifetime="1 day"))
 
 # ----------------------------------------- more primitives with their own key
 
-from thali.operators.aggregates import canonical_text  # noqa: E402
 
 register("a12_nested_items", f"""
 SELECT od.order_id, {items_text_sql(_LIST_FIELDS)}
@@ -816,7 +816,6 @@ FROM m_orders o JOIN (SELECT order_id AS oid, CAST(SUM(quantity) AS BIGINT) AS q
         "order_id", Fx.fixed("total_amount", 2).alias("amount_text"), Fx.paise("total_amount").alias("paise"),
         "quantity_total"))
 
-from thali.operators.ordering import keyset_page  # noqa: E402
 
 register("o3_keyset_page", """
 SELECT order_id, customer_id, status, created_at FROM m_orders
