@@ -734,10 +734,10 @@ WHERE od.order_id IS NULL OR od.customer_id <> rq.customer_id""", "purchase even
 def _attempts(t):
     """Attempts for T4: each signup issues a code; the user's later events try the newest
     code while it lives (the as-of join of J9, never all pairs of a user)."""
-    from thali.operators.joins import valid_session_activity as _vsa
-    return _vsa(t.sessions, t.activity).select(
+    return valid_session_activity(t.sessions, t.activity).select(
         F.col("customer_id").cast("string").alias("key"), F.col("session_start").alias("issued_at"), "ts")
 
+
 register("t1_quota_breaches_daily", """
 SELECT CAST(user_id AS VARCHAR) AS client, date_trunc('day', ts) AS window_start,
        date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, COUNT(*) AS n
