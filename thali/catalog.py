@@ -824,3 +824,17 @@ WHERE created_at < TIMESTAMP '2001-07-20 00:00:00'
 ORDER BY created_at DESC, order_id DESC LIMIT 20""", "deep page by cursor (created_at, order_id), no offset scan")(
     lambda t: keyset_page(t.orders.select("order_id", "customer_id", "status", "created_at"),
                           "created_at", "order_id", 20, after=("2001-07-20 00:00:00", 7000)))
+
+register("r11_users_with_dob_search", """
+m_per AS (SELECT customer_id, count(DISTINCT order_id) AS n,
+                 sum(total_amount) FILTER (WHERE status = 'completed') AS spent, max(created_at) AS last_at
+          FROM m_orders GROUP BY customer_id)
+SELECT cu.customer_id, cu.name, cu.phone, cu.dob, cu.created_at AS joined_date,
+       coalesce(pr.n, 0) AS total_orders, CAST(coalesce(pr.spent, 0) AS DOUBLE) AS total_spent,
+       pr.last_at AS last_order_date
+FROM m_customers cu LEFT JOIN m_per pr ON pr.customer_id = cu.customer_id
+WHERE cu.dob IS NOT NULL
+  AND (position('customer#0000001' IN lower(cu.name)) > 0 OR position('customer#0000001' IN cu.phone) > 0)""",
+         "the users page: R11 with the with_dob segment (P12) and a search (P13)")(
+    lambda t: A.customers_with_stats(t).filter(P.customer_segment("with_dob", EA))
+    .filter(P.search_customers(" Customer#0000001 ")))
