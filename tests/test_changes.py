@@ -222,3 +222,9 @@ def test_register_customers(spark):
     new = ch["customers"].filter(~F.col("customer_id").isin(1, 2, 3)).collect()
     assert [(r.name, r.phone) for r in new] == [("Dev Patel", "9811122334")]
     assert sorted(r.reason for r in ch.rejects.collect()) == ["bad_name", "bad_phone", "duplicate", "exists"]
+
+
+def test_oversized_orders_bound(spark):
+    t = tables(spark)
+    assert Q.oversized_orders(t.order_items).count() == 0
+    assert [(r.order_id, r.lines) for r in Q.oversized_orders(t.order_items, max_lines=1).collect()] == [(100, 2)]

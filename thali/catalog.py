@@ -838,3 +838,8 @@ WHERE cu.dob IS NOT NULL
          "the users page: R11 with the with_dob segment (P12) and a search (P13)")(
     lambda t: A.customers_with_stats(t).filter(P.customer_segment("with_dob", EA))
     .filter(P.search_customers(" Customer#0000001 ")))
+
+register("v8_oversized_orders", f"""
+SELECT order_id, count(*) AS lines FROM m_order_items GROUP BY order_id HAVING count(*) > {Qy.MAX_LINES_PER_ORDER}""",
+         "orders beyond the lines one 10 MB request can carry (empty on valid data)")(
+    lambda t: Qy.oversized_orders(t.order_items))

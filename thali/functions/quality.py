@@ -23,6 +23,9 @@ ISO_DATE_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 MIN_AGE, MAX_AGE = 13, 120
 # Fixed value: the largest request body the reference accepts (10 MB).
 MAX_BODY_BYTES = 10 * 1024 * 1024
+# The smallest cart line as JSON ({"item_id":1,"quantity":1,"price":1} plus a comma) is 36 bytes,
+# so no order placed through a request can have more lines than this.
+MAX_LINES_PER_ORDER = MAX_BODY_BYTES // 36
 
 
 def _c(x: str | Column) -> Column:
@@ -135,3 +138,10 @@ def duplicate_keys(df: DataFrame, keys: list[str], skip_null: bool = True) -> Da
 def not_null_violations(df: DataFrame, columns: list[str]) -> DataFrame:
     """V8: count of NULLs per NOT NULL column, one pass."""
     return df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in columns])
+
+
+def oversized_orders(order_items: DataFrame, max_lines: int = MAX_LINES_PER_ORDER) -> DataFrame:
+    """V8 (bound): orders with more lines than one request can carry. Empty on valid data;
+    it makes the bound on nested item arrays checkable for lines loaded by any means."""
+    return order_items.groupBy("order_id").agg(F.count(F.lit(1)).alias("lines")) \
+        .filter(F.col("lines") > max_lines)
