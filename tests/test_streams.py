@@ -147,3 +147,30 @@ def test_attempt_limits_stream_equals_batch(spark):
     got = [(r.key, r.attempts) for r in spark.table("t4_out").collect()]
     batch = [(r.key, r.attempts) for r in St.attempt_limits(spark.createDataFrame(rows, schema), 5).collect()]
     assert got == batch == [("a", 7)]
+
+
+def test_session_stream_handles_late_older_session(spark):
+    """Batch 1 brings session 2 (10:00) and activity at 11:00; batch 2 brings the older
+    session 1 (08:00) and activity at 09:00. As in the batch as-of join, 09:00 belongs to
+    session 1 and 11:00 to session 2."""
+    root = _scratch()
+    sdir, adir = os.path.join(root, "s"), os.path.join(root, "a")
+    day = dt.datetime(2024, 1, 30)
+    s_schema = "id long, customer_id long, created_at timestamp_ntz, expires_at timestamp_ntz"
+    a_schema = "event_id long, customer_id long, ts timestamp_ntz, event_type string"
+    spark.createDataFrame([(2, 1, day.replace(hour=10), day.replace(hour=10) + dt.timedelta(hours=24))], s_schema) \
+        .coalesce(1).write.parquet(os.path.join(sdir, "p1"))
+    spark.createDataFrame([(20, 1, day.replace(hour=11), "click")], a_schema).coalesce(1).write.parquet(os.path.join(adir, "p1"))
+    s = spark.readStream.schema(s_schema).option("maxFilesPerTrigger", 1).parquet(sdir + "/*")
+    a = spark.readStream.schema(a_schema).option("maxFilesPerTrigger", 1).parquet(adir + "/*")
+    ck = os.path.join(root, "ck")
+    q = St.valid_session_activity(s, a, delay="1 day").writeStream.format("memory").queryName("t5_late") \
+        .outputMode("append").option("checkpointLocation", ck).start()
+    q.processAllAvailable()
+    spark.createDataFrame([(1, 1, day.replace(hour=8), day.replace(hour=8) + dt.timedelta(hours=24))], s_schema) \
+        .coalesce(1).write.parquet(os.path.join(sdir, "p2"))
+    spark.createDataFrame([(10, 1, day.replace(hour=9), "view")], a_schema).coalesce(1).write.parquet(os.path.join(adir, "p2"))
+    q.processAllAvailable()
+    q.stop()
+    got = sorted((r.session_pk, r.event_id) for r in spark.table("t5_late").collect())
+    assert got == [(1, 10), (2, 20)]

@@ -16,6 +16,7 @@ is finished or idle past a timeout.
 from __future__ import annotations
 
 import datetime as dt
+import json
 from typing import Iterator
 
 import pandas as pd
@@ -111,11 +112,13 @@ def _track_status(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.Da
     if state.hasTimedOut:
         state.remove()
         return
-    last_status, last_ts = state.get if state.exists else (None, None)
-    for pdf in batches:
-        for status, ts in zip(pdf["status"], pdf["ts"]):
-            if last_ts is None or (ts, status) > (last_ts, last_status):
-                last_status, last_ts = status, ts
+    rows = pd.concat([b[["status", "ts"]] for b in batches], ignore_index=True)
+    if state.exists:
+        last_status, last_ts = state.get
+        rows = pd.concat([rows, pd.DataFrame({"status": [last_status], "ts": [last_ts]})], ignore_index=True)
+    # Latest update by (ts, status), vectorised.
+    latest = rows.sort_values(["ts", "status"], kind="mergesort").iloc[-1]
+    last_status, last_ts = latest["status"], latest["ts"]
     is_open = last_status in OPEN_STATUSES
     yield pd.DataFrame({"order_id": [order_id], "status": [last_status], "ts": [last_ts], "is_open": [is_open]})
     if is_open:
@@ -150,11 +153,12 @@ SESSION_OUT = T.StructType([
     T.StructField("event_type", T.StringType()),
     T.StructField("ts", T.TimestampType()),
 ])
-SESSION_STATE = T.StructType([
-    T.StructField("session_pk", T.LongType()),
-    T.StructField("s_start", T.TimestampType()),
-    T.StructField("s_end", T.TimestampType()),
-])
+# The owner's sessions still unexpired at the watermark, as JSON [[pk, start_ms, end_ms], ...].
+SESSION_STATE = T.StructType([T.StructField("sessions", T.StringType())])
+
+
+def _ms(ts) -> int:
+    return int(pd.Timestamp(ts).value // 1_000_000)
 
 
 def _sessions_as_of(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -162,32 +166,41 @@ def _sessions_as_of(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.
     if state.hasTimedOut:
         state.remove()
         return
-    cur = state.get if state.exists else None
-    rows = pd.concat(list(batches), ignore_index=True)
+    rows = pd.concat(list(batches), ignore_index=True)[["ts", "kind", "session_pk", "s_end", "event_id", "event_type"]]
+    if state.exists:
+        kept = json.loads(state.get[0])
+        old = pd.DataFrame({"ts": pd.to_datetime([k[1] for k in kept], unit="ms"), "kind": 0,
+                            "session_pk": [k[0] for k in kept], "s_end": pd.to_datetime([k[2] for k in kept], unit="ms"),
+                            "event_id": None, "event_type": None})
+        rows = pd.concat([rows, old.astype({"ts": rows["ts"].dtype, "s_end": rows["s_end"].dtype})], ignore_index=True)
+    # As-of, vectorised: in time order, each row sees the newest session so far (forward fill).
     rows = rows.sort_values(["ts", "kind", "session_pk"], na_position="last", kind="mergesort")
-    out = []
-    for r in rows.itertuples(index=False):
-        if r.kind == 0:
-            if cur is None or (r.ts, r.session_pk) >= (cur[1], cur[0]):
-                cur = (int(r.session_pk), r.ts, r.s_end)
-        elif cur is not None and cur[1] <= r.ts < cur[2]:
-            out.append((cur[0], owner, r.event_id, r.event_type, r.ts))
-    if out:
-        yield pd.DataFrame(out, columns=[f.name for f in SESSION_OUT.fields])
-    if cur is not None:
-        state.update(cur)
-        # The state goes once the watermark passes the session's expiry.
-        state.setTimeoutTimestamp(int(pd.Timestamp(cur[2]).timestamp() * 1000))
+    is_session = rows["kind"] == 0
+    rows["cur_pk"] = rows["session_pk"].where(is_session).ffill()
+    rows["cur_end"] = rows["s_end"].where(is_session).ffill()
+    acts = rows[~is_session & rows["cur_pk"].notna() & (rows["ts"] < rows["cur_end"])]
+    if len(acts):
+        yield pd.DataFrame({"session_pk": acts["cur_pk"].astype("int64"), "customer_id": owner,
+                            "event_id": acts["event_id"], "event_type": acts["event_type"], "ts": acts["ts"]})
+    # Keep the sessions a later (in-watermark) row could still fall into; drop the state when none.
+    watermark = state.getCurrentWatermarkMs()
+    sessions = rows[is_session].drop_duplicates("session_pk")
+    keep = [[int(r.session_pk), _ms(r.ts), _ms(r.s_end)] for r in sessions.itertuples() if _ms(r.s_end) > watermark]
+    if keep:
+        state.update((json.dumps(keep),))
+        state.setTimeoutTimestamp(max(k[2] for k in keep))
+    else:
+        state.remove()
 
 
 def valid_session_activity(sessions: DataFrame, activity: DataFrame, delay: str = "1 hour") -> DataFrame:
     """T5: activity with the session in force (the owner's newest session started at or
     before it, unexpired) — the as-of join of J9 as keyed state.
 
-    State per owner is one session, kept until the watermark passes its
-    expiry, so each event costs O(1) and no pairs are formed. A login
-    precedes any use of its session, so sessions are expected no later than
-    the activity they cover (within the watermark delay).
+    State per owner is the list of its sessions not yet expired at the
+    watermark (bounded by time: a session leaves when the watermark passes its
+    expiry), so rows may arrive out of order within the watermark delay and
+    still meet the session an as-of join would give them; no pairs are formed.
     """
     s = event_time(sessions.select(
         F.col("customer_id").alias("owner"), F.col("created_at").alias("ts"), F.lit(0).alias("kind"),
