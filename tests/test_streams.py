@@ -174,3 +174,21 @@ def test_session_stream_handles_late_older_session(spark):
     q.stop()
     got = sorted((r.session_pk, r.event_id) for r in spark.table("t5_late").collect())
     assert got == [(1, 10), (2, 20)]
+
+
+
+def test_live_status_late_update_cannot_reopen(spark):
+    root = _scratch()
+    udir = os.path.join(root, "u")
+    t0 = dt.datetime(2024, 1, 30, 9)
+    spark.createDataFrame([(1, "completed", t0 + dt.timedelta(minutes=30))], S.STATUS_UPDATES) \
+        .coalesce(1).write.parquet(os.path.join(udir, "p1"))
+    s = spark.readStream.schema(S.STATUS_UPDATES).option("maxFilesPerTrigger", 1).parquet(udir + "/*")
+    q = St.live_order_status(s, delay="1 hour").writeStream.format("memory").queryName("t3_late") \
+        .outputMode("update").option("checkpointLocation", os.path.join(root, "ck")).start()
+    q.processAllAvailable()
+    spark.createDataFrame([(1, "preparing", t0 + dt.timedelta(minutes=5))], S.STATUS_UPDATES) \
+        .coalesce(1).write.parquet(os.path.join(udir, "p2"))
+    q.processAllAvailable()
+    q.stop()
+    assert {(r.status, r.is_open) for r in spark.table("t3_late").collect()} == {("completed", False)}

@@ -42,6 +42,11 @@ def _wall(c):
     return c.cast("timestamp_ntz")
 
 
+def _ms(ts) -> int:
+    """Epoch milliseconds of a pandas/stdlib timestamp (state timeouts are in ms)."""
+    return int(pd.Timestamp(ts).value // 1_000_000)
+
+
 # ------------------------------------------------------------------ T1, T4
 
 def quota_breaches(requests: DataFrame, window: str = "15 minutes", max_requests: int = 5,
@@ -121,17 +126,16 @@ def _track_status(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.Da
     last_status, last_ts = latest["status"], latest["ts"]
     is_open = last_status in OPEN_STATUSES
     yield pd.DataFrame({"order_id": [order_id], "status": [last_status], "ts": [last_ts], "is_open": [is_open]})
-    if is_open:
-        state.update((last_status, last_ts))
-        # Idle orders leave the state a day after their last update (event time).
-        state.setTimeoutTimestamp(int(pd.Timestamp(last_ts).timestamp() * 1000) + 24 * 3600 * 1000)
-    else:
-        state.remove()
+    # A finished order keeps its final state until the watermark passes its last update, so a
+    # late, earlier update cannot reopen it; an open order stays a day after its last update.
+    state.update((last_status, last_ts))
+    state.setTimeoutTimestamp(_ms(last_ts) + (24 * 3600 * 1000 if is_open else 0))
 
 
 def live_order_status(updates: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """The live queue — latest status per order; an order leaves the state when it
-    becomes ready/completed/cancelled (emitted once with is_open = false)."""
+    """The live queue — latest status per order (by time, out-of-order within the
+    watermark allowed). A finished order (ready/completed/cancelled) is emitted with
+    is_open = false and leaves the state once the watermark passes its last update."""
     u = event_time(updates.select("order_id", "status", "ts")).withWatermark("ts", delay)
     return u.groupBy("order_id").applyInPandasWithState(
         _track_status, STATUS_OUT, STATUS_STATE, "update", GroupStateTimeout.EventTimeTimeout)
@@ -157,10 +161,6 @@ SESSION_OUT = T.StructType([
 SESSION_STATE = T.StructType([T.StructField("sessions", T.StringType())])
 
 
-def _ms(ts) -> int:
-    return int(pd.Timestamp(ts).value // 1_000_000)
-
-
 def _sessions_as_of(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     owner = key[0]
     if state.hasTimedOut:
