@@ -192,3 +192,33 @@ def test_live_status_late_update_cannot_reopen(spark):
     q.processAllAvailable()
     q.stop()
     assert {(r.status, r.is_open) for r in spark.table("t3_late").collect()} == {("completed", False)}
+
+
+
+def _limiter_brute_force(rows, window, max_requests):
+    out, state = set(), {}
+    for client, t in sorted(rows, key=lambda r: (r[0], r[1])):
+        start, hits = state.get(client, (None, 0))
+        if start is None or t >= start + window:
+            start, hits = t, 0
+        hits += 1
+        state[client] = (start, hits)
+        if hits > max_requests:
+            out.add((client, t, start, hits))
+    return out
+
+
+def test_rate_limit_per_client_windows(spark):
+    root = _scratch()
+    t0 = dt.datetime(2024, 1, 30, 9)
+    rows = [("a", t0 + dt.timedelta(minutes=m)) for m in (0, 1, 2, 3, 4, 5, 6, 14, 15, 16, 17)]
+    rows += [("b", t0 + dt.timedelta(minutes=m)) for m in (10, 11, 12)]
+    rows += [("z", t0 + dt.timedelta(hours=3))]                       # moves the watermark on
+    path = os.path.join(root, "req")
+    spark.createDataFrame(rows, "client string, ts timestamp_ntz").write.parquet(path)
+    s = spark.readStream.schema("client string, ts timestamp_ntz").parquet(path)
+    _run(St.rate_limit(s, window_seconds=900, max_requests=5), "t1_exact")
+    got = {(r.client, r.ts, r.window_start, r.hits) for r in spark.table("t1_exact").collect()}
+    want = _limiter_brute_force(rows, dt.timedelta(minutes=15), 5)
+    # a: window 09:00–09:15 takes hits 6, 7, 8 (09:05, 09:06, 09:14); 09:15 opens a new window
+    assert got == want and {(c, h) for c, _, _, h in got} == {("a", 6), ("a", 7), ("a", 8)}

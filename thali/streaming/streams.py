@@ -82,6 +82,53 @@ def attempt_limits(attempts: DataFrame, max_attempts: int = 5, lifetime: str = "
         key, _wall(F.col("issued_at")).alias("issued_at"), "attempts")
 
 
+LIMIT_OUT = T.StructType([
+    T.StructField("client", T.StringType()),
+    T.StructField("ts", T.TimestampType()),
+    T.StructField("window_start", T.TimestampType()),
+    T.StructField("hits", T.LongType()),
+])
+LIMIT_STATE = T.StructType([T.StructField("window_start", T.TimestampType()), T.StructField("hits", T.LongType())])
+
+
+def _limiter(window_ms: int, max_requests: int):
+    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        ts = pd.concat([b["ts"] for b in batches], ignore_index=True).sort_values(kind="mergesort")
+        start, hits = state.get if state.exists else (None, 0)
+        refused = []
+        # One client's rows of one micro-batch, in time order: the chained windows are sequential.
+        for t in ts:
+            if start is None or _ms(t) >= _ms(start) + window_ms:
+                start, hits = t, 0
+            hits += 1
+            if hits > max_requests:
+                refused.append((key[0], t, start, hits))
+        if refused:
+            yield pd.DataFrame(refused, columns=[f.name for f in LIMIT_OUT.fields])
+        state.update((start, hits))
+        state.setTimeoutTimestamp(_ms(start) + window_ms)
+    return step
+
+
+def rate_limit(requests: DataFrame, window_seconds: int = 900, max_requests: int = 5,
+               delay: str = "15 minutes", key: str = "client", ts: str = "ts") -> DataFrame:
+    """T1 as the reference's limiter: each client gets a fixed window that opens at its
+    first request after the previous window closed; requests beyond `max_requests`
+    in a window are refused (emitted with their hit number).
+
+    Keyed state holds one (window start, hits) row per active client and is
+    dropped when the watermark passes the window's end.
+    """
+    r = event_time(requests.select(F.col(key).alias("client"), F.col(ts).alias("ts")), "ts").withWatermark("ts", delay)
+    out = r.groupBy("client").applyInPandasWithState(
+        _limiter(window_seconds * 1000, max_requests), LIMIT_OUT, LIMIT_STATE, "append",
+        GroupStateTimeout.EventTimeTimeout)
+    return out.withColumn("ts", _wall(F.col("ts"))).withColumn("window_start", _wall(F.col("window_start")))
+
+
 def quota_breaches_batch(requests: DataFrame, window: str, max_requests: int, key: str = "client",
                          ts: str = "ts") -> DataFrame:
     """Batch twin of T1 on zone-less times (no watermark, same windows)."""
