@@ -32,3 +32,15 @@ def test_period_filter_reaches_scan(spark):
 def test_scan_reads_only_needed_columns(spark):
     plan = _plan(catalog.run("sales_overview", spark, SF_SMALL))
     assert "ReadSchema: struct<o_custkey:bigint,o_totalprice:double>" in plan
+
+
+@pytest.mark.parametrize("name", sorted(catalog.REGISTRY))
+def test_no_nested_loop_at_scale_posture(spark, name):
+    """With automatic broadcast off (as when every table is large), no plan may fall back
+    to a nested-loop or cartesian join."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(catalog.run(name, spark, SF_SMALL))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
