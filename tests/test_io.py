@@ -62,3 +62,12 @@ def test_fk_fast_paths_equal_full_joins(spark):
     ]
     for fast, full in pairs:
         assert fast.exceptAll(full).count() == 0 and full.exceptAll(fast).count() == 0
+
+
+def test_jdbc_options_for_parallel_reads():
+    from thali.sources.driver import jdbc_options
+    o = jdbc_options("jdbc:postgresql://db/shop", "orders", "order_id", 1, 1_000_000, 64, user="ro")
+    assert o["partitionColumn"] == "order_id" and o["numPartitions"] == "64" and o["user"] == "ro"
+    import pytest
+    with pytest.raises(ValueError):
+        jdbc_options("u", "t", "k", 10, 1, 4)
