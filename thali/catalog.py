@@ -698,7 +698,8 @@ SELECT cart_id, customer_id, table_number, ts, reason FROM m_decided WHERE reaso
          "every order re-sent as a cart of its lines")(
     lambda t: D.ingest_orders(t.orders, Rq.carts(t)).rejects)
 register("d1_ingest_orders", _CARTS_SQL + """
-SELECT NULL AS order_id, customer_id, table_number, total AS total_amount, 'pending' AS status, ts AS created_at
+SELECT CAST(NULL AS BIGINT) AS order_id, customer_id, table_number, CAST(total AS DECIMAL(12,2)) AS total_amount,
+       'pending' AS status, ts AS created_at
 FROM m_decided WHERE reason IS NULL""", "accepted carts; new order ids are hashes: compared as NULL")(
     lambda t: D.ingest_orders(t.orders, Rq.carts(t))["orders"].withColumn(
         "order_id", F.lit(None).cast("long")))
