@@ -28,10 +28,20 @@ def _key(row):
     return tuple((x is None, type(x).__name__ if x is not None else "", x if x is not None else 0) for x in row)
 
 
+# Spark type name → DuckDB type name for the types the reports return.
+TYPE_NAMES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+              "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
+
+
 @pytest.mark.parametrize("name", sorted(n for n, q in catalog.REGISTRY.items() if q.sql))
 def test_matches_sql_twin(spark, con, name):
     df = catalog.run(name, spark, SF_SMALL)
     srows = [tuple(_norm(x) for x in r) for r in df.collect()]
+    rel = con.sql(catalog.REGISTRY[name].sql)
+    types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    for f in df.schema.fields:
+        spark_t = f.dataType.simpleString()
+        assert TYPE_NAMES.get(spark_t, spark_t.upper()) == types.get(f.name), (name, f.name, spark_t, types.get(f.name))
     res = con.execute(catalog.REGISTRY[name].sql)
     ocols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(ocols)
