@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thali.functions import quality as Q
-from thali.functions.predicates import day_range, ts_literal
+from thali.functions.predicates import day_range, ts_literal, unexpired
 from thali.functions.scalars import coerce_bool, parse_float_prefix
 from thali.sources.schema import MONEY, OPEN_STATUSES, PRICE
 
@@ -291,7 +291,7 @@ def eligible_ratings(t, submissions: DataFrame, as_of=None) -> Change:
 
 def purge_sessions(sessions: DataFrame, now) -> Change:
     """Drop expired sessions (expires_at <= now), then keep each owner's newest."""
-    live = sessions.filter(F.col("expires_at") > _now(now))
+    live = sessions.filter(unexpired("expires_at", now))
     newest = _first_per_key(live.withColumn("_neg", -F.unix_micros(F.col("created_at").cast("timestamp"))),
                             ["customer_id"], ["_neg"], "id")
     kept = live.filter(F.col("customer_id").isNull()).unionByName(live.join(newest, "id", "left_semi"))

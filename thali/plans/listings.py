@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from thali.functions import scalars as S
 from thali.functions.predicates import before_day, conjunction, csv_list, day_range, in_list
 from thali.operators.aggregates import canonical_text, nested_array, repeat_array
-from thali.operators.ordering import page, top_k_per_group
+from thali.operators.ordering import oldest_first, page, top_k_per_group
 from thali.sources.model import Tables
 
 LISTING_ITEM_FIELDS = ("order_item_id", "quantity", "price", "item_name")
@@ -193,7 +193,7 @@ def kitchen_queue(t: Tables, orders: DataFrame, now, status: str = "pending,prep
         "created_at", secs.alias("elapsed_seconds"), S.mm_ss(secs).alias("timer"),
         S.age_class("created_at", now).alias("age_class"),
         F.size("items").cast("long").alias("n_items"), "items"
-    ).orderBy(F.col("created_at").asc_nulls_last(), F.col("order_id").asc())
+    ).transform(oldest_first)
 
 
 def archive_stats(t: Tables, limit: int = 50, as_of=None) -> DataFrame:

@@ -28,9 +28,6 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from thali.functions.predicates import as_date, ts_literal
 from thali.sources.schema import OPEN_STATUSES
 
-FINISHED = ("ready", "completed", "cancelled")
-
-
 def event_time(df: DataFrame, col: str = "ts") -> DataFrame:
     """Watermarks need TIMESTAMP; zone-less times are cast in the session zone."""
     if isinstance(df.schema[col].dataType, T.TimestampNTZType):
