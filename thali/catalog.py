@@ -844,3 +844,14 @@ register("v8_oversized_orders", f"""
 SELECT order_id, count(*) AS lines FROM m_order_items GROUP BY order_id HAVING count(*) > {Qy.MAX_LINES_PER_ORDER}""",
          "orders beyond the lines one 10 MB request can carry (empty on valid data)")(
     lambda t: Qy.oversized_orders(t.order_items))
+
+register("p10_menu_category_3", """
+m_rated AS (SELECT item_id, sum(rating_value) AS s, count(rating_id) AS c FROM m_ratings GROUP BY item_id)
+SELECT it.item_id, it.item_name, it.category_id, cat.category_name, CAST(it.price AS DOUBLE) AS price,
+       it.image_url, it.description, it.is_available,
+       coalesce((20 * rr.s + rr.c) // (2 * rr.c) / 10.0, 0) AS avg_rating, coalesce(rr.c, 0) AS rating_count
+FROM m_menu_items it
+JOIN m_menu_category cat ON cat.category_id = it.category_id
+LEFT JOIN m_rated rr ON rr.item_id = it.item_id
+WHERE it.is_available AND it.category_id = 3""", "the public menu for one category (P10; 'all' or absent = no filter)")(
+    lambda t: A.menu_with_ratings(t, category_id=3))

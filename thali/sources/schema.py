@@ -128,7 +128,3 @@ CLIENT_REQUESTS = T.StructType([
     T.StructField("client", T.StringType()),
     T.StructField("ts", T.TimestampType()),
 ])
-
-
-def empty_frame(spark, schema: T.StructType):
-    return spark.createDataFrame([], schema)
