@@ -66,10 +66,9 @@ def payment_groups(t: Tables, with_ref: bool) -> DataFrame:
     return t.payments.select(*cols).groupBy(*cols).agg(F.count(F.lit(1)).alias("_k"))
 
 
-def attach_items(rows: DataFrame, arrays: DataFrame, fields) -> DataFrame:
-    """Attach each order's array (``[]`` when it has no lines), repeated k times."""
-    empty = F.array().cast(arrays.schema["items"].dataType)
-    j = rows.join(arrays, "order_id", "left")
+def _finish_items(j: DataFrame, fields) -> DataFrame:
+    """`items` (NULL → []) repeated k times for k equal payment rows, in name order."""
+    empty = F.array().cast(j.schema["items"].dataType)
     arr = F.coalesce(F.col("items"), empty)
     repeated = repeat_array(arr, F.col("_k"))
     # Re-sort after repetition so equal names stay adjacent, as ORDER BY inside json_agg does;
@@ -81,6 +80,25 @@ def attach_items(rows: DataFrame, arrays: DataFrame, fields) -> DataFrame:
     return j.withColumn("items", final).drop("_k")
 
 
+def attach_items(rows: DataFrame, arrays: DataFrame, fields) -> DataFrame:
+    """Attach each order's array (``[]`` when it has no lines), repeated k times."""
+    return _finish_items(rows.join(arrays, "order_id", "left"), fields)
+
+
+def nest_items_into(rows: DataFrame, lines: DataFrame, fields, sort_by: str = "item_name") -> DataFrame:
+    """Give each row its order's item array in one pass: rows ⋈ lines on order_id, then a
+    group by the row's own columns. The join leaves both sides hash-partitioned on
+    order_id, which also serves the grouping, so `rows` is used once and nothing is
+    shuffled twice."""
+    keyed = F.when(F.col(fields[0]).isNotNull(), F.struct(
+        F.col(sort_by).isNull().alias("_null_key"), F.col(sort_by).alias(sort_by),
+        *[F.col(f) for f in fields if f != sort_by]))
+    j = rows.join(lines.select("order_id", *fields), "order_id", "left")
+    grouped = j.groupBy(*rows.columns).agg(F.sort_array(F.collect_list(keyed)).alias("_arr"))
+    items = F.transform("_arr", lambda x: F.struct(*[x[f].alias(f) for f in fields]))
+    return _finish_items(grouped.withColumn("items", items).drop("_arr"), fields)
+
+
 def orders_listing(t: Tables, status: str | None = None, date_filter: str | None = None,
                    view_type: str = "active", limit: int = 50, offset: int = 0, as_of=None,
                    orders: DataFrame | None = None, check_fk: bool = False) -> DataFrame:
@@ -169,10 +187,9 @@ def order_history(t: Tables, customer_id: int | None = None, limit: int | None =
         F.col("created_at").desc_nulls_first(), F.col("order_id").desc(),
         F.col("payment_status").asc_nulls_last(), F.col("payment_method").asc_nulls_last(),
         F.col("razorpay_payment_id").asc_nulls_last()], limit, offset)
-    # Arrays only for the orders on some customer's page: with long histories most orders
-    # are off-page, and their lines are dropped before the collect.
-    arrays = item_arrays(t, HISTORY_ITEM_FIELDS, "item_name", orders=rows.select("order_id"))
-    return attach_items(rows, arrays, HISTORY_ITEM_FIELDS)
+    # Arrays only for the orders on some customer's page (with long histories most orders
+    # are off-page), built in one pass over the paged rows.
+    return nest_items_into(rows, named_lines(t), HISTORY_ITEM_FIELDS)
 
 
 def with_items_text(df: DataFrame, fields=LISTING_ITEM_FIELDS) -> DataFrame:
