@@ -228,3 +228,11 @@ def test_oversized_orders_bound(spark):
     t = tables(spark)
     assert Q.oversized_orders(t.order_items).count() == 0
     assert [(r.order_id, r.lines) for r in Q.oversized_orders(t.order_items, max_lines=1).collect()] == [(100, 2)]
+
+
+def test_price_mismatches_q8(spark):
+    t = tables(spark)
+    ts = dt.datetime(2024, 1, 30, 12)
+    carts = _carts(spark, [("c1", 1, "T-3", ts, [(10, 1, D("20.00")), (11, 1, D("35.00")), (99, 1, D("1.00"))], None)])
+    got = sorted((r.pos, r.item_id, r.cart_price, r.menu_price) for r in C.price_mismatches(carts, t.menu_items).collect())
+    assert got == [(1, 11, D("35.00"), D("40.00")), (2, 99, D("1.00"), None)]
