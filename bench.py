@@ -31,24 +31,29 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "5"))
     names = sys.argv[1:] or HEADLINE
     spark = get_spark()
-    times = {}
+    times, failed = {}, {}
     for name in names:
-        df = catalog.run(name, spark, sf_dir)
-        df.write.format("noop").mode("overwrite").save()
-        samples = []
-        for _ in range(runs):
-            t0 = time.perf_counter()
+        try:
             catalog.run(name, spark, sf_dir).write.format("noop").mode("overwrite").save()
-            samples.append(time.perf_counter() - t0)
-        times[name] = round(statistics.median(samples), 4)
+            samples = []
+            for _ in range(runs):
+                t0 = time.perf_counter()
+                catalog.run(name, spark, sf_dir).write.format("noop").mode("overwrite").save()
+                samples.append(time.perf_counter() - t0)
+            times[name] = round(statistics.median(samples), 4)
+        except Exception as e:  # noqa: BLE001 - one failing query must not hide the others
+            failed[name] = str(e).splitlines()[0][:200]
     m = re.search(r"sf([0-9.]+)", sf_dir)
-    print(json.dumps({
+    out = {
         "metric": "headline_reports_total_median",
         "value": round(sum(times.values()), 4),
         "unit": "sec",
         "queries": times,
         "sf": float(m.group(1)) if m else sf_dir,
-    }))
+    }
+    if failed:
+        out["failed"] = failed
+    print(json.dumps(out))
     spark.stop()
 
 
