@@ -2,10 +2,8 @@
 
 import tempfile
 
-from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
-from thali import catalog
 from thali.plans import listings as L
 from thali.plans import sales as S
 from thali.sources import layout
