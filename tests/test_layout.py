@@ -2,7 +2,6 @@
 
 import tempfile
 
-
 from conftest import SF_SMALL
 from thali.plans import listings as L
 from thali.plans import sales as S
