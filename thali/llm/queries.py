@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thali.llm import ann, bpe, chat, gru_lm, packing, quality_rules, simhash, suffix_dedup, toxicity
+from thali.llm import ann, bpe, chat, cotrain, gru_lm, packing, quality_rules, simhash, suffix_dedup, toxicity
 from thali.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,6 +98,13 @@ def op8_external_induced_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_co_training_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = cotrain.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scores.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"), "content_score",
+                         "metadata_score", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query
 def op10_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, sf_dir, "documents")).select(
