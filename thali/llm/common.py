@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thali.session import ensure_checkpoint_dir, ship_package
+from thali.session import ensure_checkpoint_dir, scratch_path, ship_package
 from thali.sources.driver import read_table
 
 
@@ -26,6 +29,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """``df`` as a Parquet table in the shared folder that the cluster names (far smaller there than a
+    checkpoint), and a function that deletes the table once nothing reads it any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, f"written-{uuid.uuid4().hex}"))
+    df.write.parquet(path.toString())
+
+    def delete() -> None:
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    return spark.read.schema(df.schema).parquet(path.toString()), delete
+
+
 def broadcast_bytes(spark: SparkSession, path: str):
     """A small file of the driver (a tokenizer's vocabulary) as a broadcast variable."""
     with open(path, "rb") as f:

@@ -20,7 +20,7 @@ own size. Its windows are counted by a 128-bit hash instead, pre-aggregated in S
 Defined results: texts are UTF-8 bytes (null: none), which may be cut inside a character;
 texts shorter than ``length`` bytes are kept; equal rows are documents of their own and so
 lose whatever is long enough; rows that share an id but not the text are kept apart by a
-hash of the text; an empty table gives no rows; extra columns are ignored.
+32-bit hash of the text; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thali.llm.bpe import slices
-from thali.llm.common import cut_lineage, id_and_text
+from thali.llm.common import cut_lineage, id_and_text, written
 from thali.llm.induced_sort import sort_suffixes
 
 LENGTH = 200
@@ -90,7 +90,8 @@ def segments(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[
 
 
 def all_segments(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(key, content, doc_id, text_key, start, windows, again) of all documents; content is a hash of the bytes."""
+    """(key, content, doc_id, text_key, start, windows, again) of all documents; content is a hash of the bytes,
+    text_key one of the whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,18 +106,19 @@ def all_segments(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     for column, x in zip(out, (key.view(np.int64), content.view(np.int64), np.full(len(key), i),
                                                np.full(len(key), text_key), start, windows, again)):
                         column.append(x)
-                yield pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) for x in out],
+                kinds = (np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, bool)
+                yield pa.record_batch([pa.array(np.concatenate(x).astype(kind)) for x, kind in zip(out, kinds)],
                                       names=["key", "content", "doc_id", "text_key", "start", "windows", "again"])
 
     return with_text_key(docs).mapInArrow(
-        run, "key long, content long, doc_id long, text_key long, start long, windows long, again long")
+        run, "key long, content long, doc_id long, text_key int, start int, windows int, again boolean")
 
 
 def with_text_key(docs: DataFrame) -> DataFrame:
-    return id_and_text(docs).withColumn("text_key", F.xxhash64("text")).select("doc_id", "text", "text_key")
+    return id_and_text(docs).withColumn("text_key", F.hash("text")).select("doc_id", "text", "text_key")
 
 
-def extract(texts: DataFrame, wanted: DataFrame, shards: int, length: int) -> DataFrame:
+def extract(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """(shard, doc_id, text_key, start, data) for the wanted segments; those of one document that meet in one
     shard and overlap become one text, so a shard holds no place twice. Hot segments come with shard -1, one
     row per window, with the window's 128-bit hash for data."""
@@ -147,10 +149,11 @@ def extract(texts: DataFrame, wanted: DataFrame, shards: int, length: int) -> Da
                     for shard, a, b in spans:
                         for column, v in zip(out, (shard, i, text_key, a, raw[a:b])):
                             column.append(v)
-                yield pa.record_batch([*(pa.array(x, pa.int64()) for x in out[:4]), pa.array(out[4], pa.binary())],
-                                      names=["shard", "doc_id", "text_key", "start", "data"])
+                yield pa.record_batch([pa.array(x, kind) for x, kind in zip(
+                    out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))],
+                    names=["shard", "doc_id", "text_key", "start", "data"])
 
-    return joined.mapInArrow(run, "shard long, doc_id long, text_key long, start long, data binary")
+    return joined.mapInArrow(run, "shard long, doc_id long, text_key int, start int, data binary")
 
 
 def runs_of(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,35 +189,39 @@ def repeated_windows(parts: list[bytes], length: int) -> list[tuple[int, int, in
 def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES,
                    hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """(doc_id, text_key, start, windows): runs of windows that occur twice or more."""
-    found = cut_lineage(all_segments(docs, length))
+    every, delete = written(all_segments(docs, length))
+    # what there is to look at: keys of two or more segments, and runs that may repeat in themselves
+    keys = every.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).filter(
+        "n > 1 or again").select("key")
+    found = cut_lineage(every.join(keys, "key", "left_semi"))
+    delete()
     place = F.struct("doc_id", "text_key", "start", "windows")
     distinct = found.groupBy("key", "content").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place"),
                                                    F.max("again").alias("again"))
     equal = distinct.filter("n > 1").select("key", "content")
     copies = found.join(equal, ["key", "content"], "left_semi").select("doc_id", "text_key", "start", "windows")
-    # what has to be sorted: keys with different bytes, and runs that may repeat in themselves
+    # what has to be sorted: keys with different bytes, and such runs of which there is one
     several = distinct.groupBy("key").agg(
-        F.count(F.lit(1)).alias("kinds"), F.sum(F.col("place.windows") + length).alias("bytes"),
-        F.max((F.col("again") > 0) & (F.col("n") == 1)).alias("alone")).filter("kinds > 1 or alone")
-    several = cut_lineage(several)
-    total = several.agg(F.sum("bytes")).first()[0] or 0
+        F.count(F.lit(1)).alias("kinds"), F.max(F.col("again") & (F.col("n") == 1)).alias("alone")).filter("kinds > 1 or alone")
+    total = found.agg(F.sum(F.col("windows") + length)).first()[0] or 0       # an upper bound of what is sorted
     shards = max(1, -(-int(total) // shard_bytes))
     wanted = distinct.join(several, "key").select(
         "place.*", F.when(F.col("kinds") > hot_segments, F.lit(-1)).otherwise(
             F.pmod(F.xxhash64("key"), F.lit(shards))).cast("long").alias("shard"))
-    texts = cut_lineage(extract(with_text_key(docs), wanted, shards, length))
+    texts = with_text_key(docs)
 
     def sort(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates(["doc_id", "text_key", "start"])          # repeated rows
         ids, keys, starts = (pdf[c].tolist() for c in ("doc_id", "text_key", "start"))
         rows = [(ids[p], keys[p], starts[p] + a, n) for p, a, n in repeated_windows(pdf["data"].tolist(), length)]
         return pd.DataFrame(rows, columns=["doc_id", "text_key", "start", "windows"])
 
-    schema = "doc_id long, text_key long, start long, windows long"
-    sorted_ = texts.filter("shard >= 0").dropDuplicates(["shard", "doc_id", "text_key", "start"]).groupBy(
-        "shard").applyInPandas(sort, schema)
-    hot = texts.filter("shard < 0").dropDuplicates(["doc_id", "text_key", "start"])
-    twice = hot.groupBy("data").count().filter("count > 1").select("data")
-    windows = hot.join(twice, "data", "left_semi").select("doc_id", "text_key", "start", F.lit(1).cast("long").alias("windows"))
+    sorted_ = extract(texts, wanted.filter("shard >= 0"), length).groupBy("shard").applyInPandas(
+        sort, "doc_id long, text_key int, start int, windows int")
+    hot = extract(texts, wanted.filter("shard < 0"), length)
+    here = F.struct("doc_id", "text_key", "start")
+    twice = hot.groupBy("data").agg(F.min(here).alias("a"), F.max(here).alias("b")).filter("a < b").select("data")
+    windows = hot.join(twice, "data", "left_semi").select("doc_id", "text_key", "start", F.lit(1).alias("windows"))
     return copies.unionByName(sorted_).unionByName(windows)
 
 
@@ -229,14 +236,14 @@ def cut_out(raw: bytes, spans: list[dict], length: int) -> tuple[bytes, list[tup
     return np.frombuffer(raw, dtype=np.uint8)[~removed].tobytes(), list(zip(start.tolist(), size.tolist()))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES,
-                   hot_segments: int = HOT_SEGMENTS, keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, *keep[, kept binary]) of every row of ``docs``."""
+def _cut(docs: DataFrame, keep: list[str], with_text: bool, length: int = LENGTH, shard_bytes: int = SHARD_BYTES,
+         hot_segments: int = HOT_SEGMENTS) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, _keep struct of further columns, kept binary)."""
     spans = repeated_spans(docs, length, shard_bytes, hot_segments).groupBy("doc_id", "text_key").agg(
         F.collect_set(F.struct("start", "windows")).alias("spans")).select(
         F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "spans")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), text.alias("_text"), F.xxhash64(text).alias("_tk"),
+    rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), text.alias("_text"), F.hash(text).alias("_tk"),
                        F.struct(F.lit(0).alias("_"), *keep).alias("_keep"))
     joined = rows.join(spans.hint("shuffle_hash"), F.col("_doc").eqNullSafe(F.col("_id"))
                        & (F.col("_tk") == F.col("_key")), "left").select("_doc", "_text", "spans", "_keep")
@@ -255,7 +262,29 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
                                        pa.array(out[3], pa.string()), part.column(3), pa.array(out[4], pa.binary())],
                                       names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "_keep", "kept"])
 
-    done = joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
                                   f"_keep {joined.schema['_keep'].dataType.simpleString()}, kept binary")
-    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256",
-                       *(F.col(f"_keep.`{c}`").alias(c) for c in keep), *(["kept"] if with_text else []))
+
+
+def remove_repeats(docs: DataFrame, with_text: bool = False, **limits: int) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept binary]) of every row of ``docs``."""
+    return _cut(docs, [], with_text, **limits).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else []))
+
+
+def decoded(kept: pd.Series) -> pd.Series:
+    return kept.map(lambda b: b.decode("utf-8", errors="ignore"))
+
+
+def without_repeats(docs: DataFrame, **limits: int) -> DataFrame:
+    """All documents and columns, their texts without repeated bytes; of a character that was cut, the rest
+    goes too. ``n_chars``, where there is one, follows the text."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    text = F.pandas_udf(decoded, "string")
+    done = _cut(docs, rest, True, **limits).withColumn("_text", text("kept"))
+    out = {c: F.col(f"_keep.`{c}`") for c in rest} | {
+        "doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("_text")}
+    if "n_chars" in rest:
+        out["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("_text")).otherwise(out["n_chars"]).cast(
+            docs.schema["n_chars"].dataType)
+    return done.select(*(out[c].alias(c) for c in docs.columns))
