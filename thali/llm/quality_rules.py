@@ -163,9 +163,12 @@ def verdicts(docs: DataFrame, host_col: str = "source", min_docs: int = MIN_DOCS
 
 
 def without_lines(texts: pd.Series, removed: pd.Series) -> pd.Series:
-    """Texts without the lines whose hashes are listed."""
+    """Texts without the lines whose hashes are listed; null stays null."""
     out = []
     for text, hashes in zip(texts, removed):
+        if text is None:
+            out.append(None)
+            continue
         drop = set(hashes)
         keep = []
         for line in text.split("\n"):
@@ -189,12 +192,13 @@ def clean_documents(docs: DataFrame, host_col: str = "source", **limits: int) ->
         acts, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
         & F.col(host_col).cast("string").eqNullSafe(F.col("_host")), "left").filter(
         F.coalesce("_kept", F.lit(True)))
-    cut = F.pandas_udf(without_lines, "string")
-    same = joined.filter(F.col("_removed").isNull())
-    less = joined.filter(F.col("_removed").isNotNull()).withColumn("text", cut("text", "_removed"))
+    # texts that lose no line are not sent to Python
+    less = F.pandas_udf(without_lines, "string")(F.when(F.col("_removed").isNotNull(), F.col("text")), F.col("_removed"))
+    out = joined.withColumn("_less", less).withColumn("text", F.coalesce("_less", F.col("text").cast("string")))
     if "n_chars" in docs.columns:
-        less = less.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return same.select(*docs.columns).unionByName(less.select(*docs.columns))
+        out = out.withColumn("n_chars", F.when(F.col("_less").isNotNull(), F.char_length("_less")).otherwise(
+            F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def oracle_sql(min_docs: int = MIN_DOCS, min_share: int = MIN_SHARE, max_removed: int = MAX_REMOVED) -> str:

@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thali.llm.bpe import slices
@@ -86,15 +86,16 @@ def fingerprint_of(hashes: list[list[int]]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp long): the 64 bits as a signed integer."""
+    """(doc_id, key, fp long): a hash of the text, and the 64 bits as a signed integer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in slices(batch):
                 fp = fingerprint_of([shingle_hashes(t, words) for t in rows.column(1).to_pylist()])
-                yield pa.record_batch([rows.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+                yield pa.record_batch([rows.column(0), rows.column(2), pa.array(fp.view(np.int64))],
+                                      names=["doc_id", "key", "fp"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
+    return id_and_text(docs).withColumn("key", F.xxhash64("text")).mapInArrow(run, "doc_id long, key long, fp long")
 
 
 def embed(fp: np.ndarray, segment_bits: int = SEGMENT_BITS) -> np.ndarray:
@@ -246,7 +247,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, segment_bits: int = SEGMENT_
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS,
                     segment_bits: int = SEGMENT_BITS) -> DataFrame:
-    """(doc_id, fp long, component_id): component_id is the smallest doc_id reachable over links."""
+    """(doc_id, key, fp long, component_id): key is a hash of the text, component_id the smallest doc_id
+    reachable over links."""
     found = cut_lineage(fingerprints(docs, words))
     distinct = cut_lineage(found.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
     roots = components(links(distinct, max_bits, segment_bits))
@@ -254,4 +256,17 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int =
         "fp", "first_doc", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     classes = rooted.join(least, "root").select("fp", "component_id")
-    return found.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return found.join(classes, "fp").select("doc_id", "key", "fp", "component_id")
+
+
+def one_per_group(docs: DataFrame, **limits: int) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest id, with all columns. Rows
+    that repeat a document are one document; rows without an id cannot be named and stay."""
+    copies = near_duplicates(docs, **limits).filter(F.col("doc_id") != F.col("component_id")).select(
+        F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    left = docs.withColumn("_text_key", text).withColumn("_doc", F.col("doc_id").cast("long")).join(
+        copies, (F.col("_doc") == F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_anti")
+    # the join above has dealt and sorted the rows by these columns
+    again = F.row_number().over(Window.partitionBy("_doc", "_text_key").orderBy("_doc"))
+    return left.withColumn("_again", again).filter((F.col("_again") == 1) | F.col("_doc").isNull()).select(*docs.columns)

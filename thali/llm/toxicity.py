@@ -33,6 +33,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -297,22 +298,35 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> dic
     return {"model": model, "lexicon": both, "weights": weights.tolist()}
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, score) of every whole text."""
+def scorer(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS):
+    """A function from a column of texts to a column of scores, fitted on ``docs`` and ``labels``."""
     fitted = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, train_rows))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("double")
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = fitted.value
         restorer, lexicon, weights = Restorer(own["model"]), own["lexicon"], own["weights"]
         memo = _Memo(lambda t: max((lexicon.get(s, 0.0) for w in restorer.word(t) for s in signs(w)), default=0.0))
-        for batch in batches:
-            for rows in slices(batch):
-                out = []
-                for text in rows.column(1).to_pylist():
-                    tokens = tokens_of(text)
-                    a, b = evidence(memo, tokens, restorer.spaced(tokens), lexicon)
-                    z = weights[0] + weights[1] * a + weights[2] * b
-                    out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-                yield pa.record_batch([rows.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
+        for texts in parts:
+            out = []
+            for text in texts:
+                tokens = tokens_of(text)
+                a, b = evidence(memo, tokens, restorer.spaced(tokens), lexicon)
+                z = weights[0] + weights[1] * a + weights[2] * b
+                out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+            yield pd.Series(out, dtype="float64")
+
+    return lambda text: score(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """(doc_id, score) of every whole text."""
+    score = scorer(docs, labels, train_rows)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), score(F.col("text")).alias("score"))
+
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, score double")
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
+                  train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The documents that score below the threshold, with all their columns."""
+    score = scorer(docs, labels, train_rows)
+    return docs.withColumn("_toxicity", score(F.col("text"))).filter(F.col("_toxicity") < threshold).select(*docs.columns)
