@@ -30,8 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thali.llm.bpe import slices
-from thali.llm.common import cut_lineage
-from thali.session import ship_package
+from thali.llm.common import cut_lineage, prepare
 
 TABLES = 10
 PROBES = 16
@@ -81,7 +80,7 @@ def vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
 
 def filed(distinct: DataFrame, tables: int, probes: int) -> DataFrame:
     """Each distinct vector under its ``probes`` nearest axes of every table."""
-    ship_package(distinct.sparkSession)
+    prepare(distinct.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -16,9 +16,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, sf_dir, name)
 
 
+#: Rows per Arrow batch: texts are long, and a batch is held whole on both sides of the pipe.
+BATCH_ROWS = 500
+_ROWS_CONF, _ROWS_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ship the package to Python workers, and keep Arrow batches of texts small unless the session
+    sets a size of its own."""
+    ship_package(spark)
+    if spark.conf.get(_ROWS_CONF, _ROWS_DEFAULT) == _ROWS_DEFAULT:
+        spark.conf.set(_ROWS_CONF, str(BATCH_ROWS))
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text string) of any document-like frame; a null text counts as empty."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 

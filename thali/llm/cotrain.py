@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thali.llm.bpe import slices
-from thali.session import ship_package
+from thali.llm.common import prepare
 
 LABELLED, UNLABELLED = 20_000, 20_000
 ROUNDS, PER_ROUND, CONFIDENT = 5, 400, 0.9
@@ -133,7 +133,7 @@ def co_train(views: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds:
 
 def features(docs: DataFrame, host_col: str, lang_col: str) -> DataFrame:
     """(id, content array<double>, metadata array<double>) of every row."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(host_col).cast("string").alias("host"),
                        F.col(lang_col).cast("string").alias("lang"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

@@ -78,7 +78,7 @@ def suffix_types(text: np.ndarray) -> np.ndarray:
 def run_lengths(text: np.ndarray) -> np.ndarray:
     """How often the character at each place repeats from there on."""
     ends = np.flatnonzero(np.append(text[1:] != text[:-1], True))
-    return np.repeat(ends, np.diff(np.concatenate([[-1], ends]))) - np.arange(len(text)) + 1
+    return (np.repeat(ends, np.diff(np.concatenate([[-1], ends]))) - np.arange(len(text)) + 1).astype(np.int32)
 
 
 def names(text: np.ndarray, stars: np.ndarray) -> np.ndarray:
@@ -88,7 +88,7 @@ def names(text: np.ndarray, stars: np.ndarray) -> np.ndarray:
     bits = int(int(text.max()) + 2).bit_length()        # text + 1, 0 for its end, the greatest for "no more"
     beyond = (1 << bits) - 1
     step = max(1, (62 - m.bit_length()) // bits)        # characters that fit behind a rank
-    padded = np.concatenate([text.astype(np.int64) + 1, np.zeros(1, np.int64)])
+    padded = np.concatenate([text.astype(np.int32) + 1, np.zeros(1, np.int32)])
     rank = np.zeros(m, dtype=np.int64)
     open_ = np.arange(m)
     at = 0
@@ -195,7 +195,7 @@ def _scan(text, types, runs, seeds, chars, budget, depth, ascending, with_prefix
         if ascending and len(text):                      # the end of the text, smallest of all, comes first
             last = len(text) - 1
             if not types[last]:
-                queues.push(int(text[last]), np.array([last]), np.array([0], dtype=np.int32))
+                queues.push(int(text[last]), np.array([last], dtype=next(iter(seeds.values()))[0].dtype if seeds else np.int64), np.array([0], dtype=np.int32))
                 if with_prefixes:
                     pushed[text[last]], carry[text[last]] = True, 0
         for c in chars if ascending else reversed(chars):
@@ -227,9 +227,10 @@ def sort_suffixes(text: np.ndarray, depth: int, base_items: int = BASE_ITEMS, qu
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int32)
     assert not with_prefixes or text.dtype == np.uint8, "prefixes are carried over bytes"
+    place = np.int32 if n < 2**31 - 8 else np.int64
     types = suffix_types(text)
     runs = run_lengths(text)
-    stars = np.flatnonzero(types[1:] & ~types[:-1]) + 1
+    stars = (np.flatnonzero(types[1:] & ~types[:-1]) + 1).astype(place)
     chars = np.unique(text).tolist()
     seeds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     if len(stars):

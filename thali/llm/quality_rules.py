@@ -34,8 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thali.llm.bpe import slices
-from thali.llm.common import cut_lineage
-from thali.session import ship_package
+from thali.llm.common import cut_lineage, prepare
 
 #: A line is boilerplate in more documents of a host than this number and than this share (percent) of them.
 MIN_DOCS, MIN_SHARE = 20, 2
@@ -86,7 +85,7 @@ def repeated_words(words: list[list[bytes]]) -> np.ndarray:
 def document_lines(docs: DataFrame, host_col: str = "source") -> DataFrame:
     """(doc_id, key, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, least, greatest,
     lines array<struct<h, words>>): one row per row of ``docs``; key is a hash of the text."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"),
                        F.xxhash64(text).alias("key"), text.alias("text"))

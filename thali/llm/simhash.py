@@ -35,9 +35,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thali.llm.bpe import slices
-from thali.llm.common import cut_lineage, id_and_text
+from thali.llm.common import cut_lineage, id_and_text, prepare
 from thali.llm.components import components
-from thali.session import ship_package
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -118,7 +117,7 @@ def bands(max_bits: int) -> int:
 
 def grid(fps: DataFrame, max_bits: int = MAX_BITS, segment_bits: int = SEGMENT_BITS) -> DataFrame:
     """(cell long, fp, resident boolean): each fingerprint in its own cells and in those one count above."""
-    ship_package(fps.sparkSession)
+    prepare(fps.sparkSession)
     n_bands = bands(max_bits)
     width = 64 // n_bands
     up = max_bits // n_bands >= 1

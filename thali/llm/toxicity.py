@@ -29,6 +29,7 @@ import math
 import re
 import unicodedata
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -113,7 +114,7 @@ class Restorer:
     """Viterbi decoder of noisy spans under the character model."""
 
     def __init__(self, model: np.ndarray):
-        self.model = model.tolist()
+        self.model = array("f", np.asarray(model, dtype=np.float32).tobytes())
 
     def decode(self, span: str) -> str:
         options = []
