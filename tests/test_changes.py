@@ -224,12 +224,6 @@ def test_register_customers(spark):
     assert sorted(r.reason for r in ch.rejects.collect()) == ["bad_name", "bad_phone", "duplicate", "exists"]
 
 
-def test_oversized_orders_bound(spark):
-    t = tables(spark)
-    assert Q.oversized_orders(t.order_items).count() == 0
-    assert [(r.order_id, r.lines) for r in Q.oversized_orders(t.order_items, max_lines=1).collect()] == [(100, 2)]
-
-
 def test_price_mismatches_q8(spark):
     t = tables(spark)
     ts = dt.datetime(2024, 1, 30, 12)

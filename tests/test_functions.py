@@ -1,6 +1,7 @@
 """Scalar functions, predicates and small operators not covered by a registered query."""
 
 import datetime as dt
+from decimal import ROUND_HALF_UP
 from decimal import Decimal as D
 
 from frames import tables
@@ -9,18 +10,13 @@ from thali.functions import quality as Q
 from thali.functions import scalars as Fx
 from thali.operators import joins as J
 from thali.operators import ordering as O
-from thali.sources import requests as Rq
-from thali.sources.model import load
 
-from conftest import SF_SMALL
-
-
-def test_js_default_line_total_birthday(spark):
+def test_line_total_birthday(spark):
     df = spark.createDataFrame([("", 2, D("3.50"), dt.date(1990, 1, 30)), ("x", 0, D("1.00"), None)],
                                "s string, q int, p decimal(10,2), dob date")
-    got = df.select(Fx.js_default("s", "dflt"), Fx.js_default("q", 9), Fx.line_total("q", "p"),
+    got = df.select(Fx.line_total("q", "p"),
                     Fx.birthday_on("dob", "2024-01-30"), Fx.paise("p")).collect()
-    assert [tuple(r) for r in got] == [("dflt", 2, D("7.00"), True, 350), ("x", 9, D("0.00"), None, 100)]
+    assert [tuple(r) for r in got] == [(D("7.00"), True, 350), (D("0.00"), None, 100)]
 
 
 def test_unexpired_and_within_hours(spark):
@@ -48,9 +44,16 @@ def test_semi_and_outer_with_condition(spark):
     assert j.count() == 5 and j.filter(t.order_items.order_id.isNotNull()).count() == 1
 
 
-def test_not_null_violations_and_client_requests(spark):
+def test_not_null_violations(spark):
     t = tables(spark)
     r = Q.not_null_violations(t.customers, ["phone", "dob"]).collect()[0]
     assert (r.phone, r.dob) == (1, 1)
-    reqs = Rq.client_requests(load(spark, SF_SMALL))
-    assert reqs.columns == ["client", "ts"] and reqs.count() > 0
+
+
+def test_to_fixed_rounds_the_exact_binary_value(spark):
+    values = [1.005, 2.675, 0.125, 0.375, 1.0, 0.0, 0.995, 9.995, -1.005, -0.001, 1e-9, 0.5, 1.5, 2.5, 123456789.125, 0.015, 1.45]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (0, 1, 2, 3):
+        step = D(1).scaleb(-digits)
+        want = [("-" if v < 0 else "") + str(abs(D(v)).quantize(step, rounding=ROUND_HALF_UP)) for v in values]
+        assert [r[0] for r in df.select(Fx.fixed("v", digits)).collect()] == want

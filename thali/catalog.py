@@ -225,7 +225,9 @@ m_agg AS (
          count(*) FILTER (WHERE coalesce(review_text, '') <> '') AS with_review
   FROM m_ratings)
 SELECT total_ratings, coalesce(CAST(s AS DOUBLE) / c, 0) AS average_rating,
-       printf('%.2f', coalesce((200 * s + c) // (2 * c), 0) / 100.0) AS average_rating_text,
+       -- printf is exact but rounds ties to even; toFixed takes the greater of the two
+       printf('%.2f', CASE WHEN (8.0 * s / c) % 2 = 1 THEN CAST(s AS DOUBLE) / c + 0.001 ELSE coalesce(CAST(s AS DOUBLE) / c, 0) END)
+         AS average_rating_text,
        five_star, four_star, three_star, two_star, one_star, today_ratings, week_ratings, with_review
 FROM m_agg""")(lambda t: A.ratings_summary(t.ratings, EA))
 
@@ -247,11 +249,11 @@ FROM m_menu_items it LEFT JOIN m_menu_category cat ON cat.category_id = it.categ
 register("categories", "SELECT category_id, category_name FROM m_menu_category")(A.categories)
 
 register("profile_summary", """
-SELECT c.customer_id AS id, c.name, c.phone, c.created_at AS joinDate,
-       (SELECT COUNT(*) FROM m_orders o WHERE o.customer_id = c.customer_id) AS totalOrders,
-       (SELECT CAST(COALESCE(SUM(total_amount), 0) AS DOUBLE) FROM m_orders o
-         WHERE o.customer_id = c.customer_id AND o.status = 'completed') AS totalSpent
-FROM m_customers c""", "all customers at once")(lambda t: A.profile_summary(t))
+m_sum AS (SELECT customer_id, count(*) AS n, sum(total_amount) FILTER (WHERE status = 'completed') AS spent
+          FROM m_orders GROUP BY customer_id)
+SELECT cu.customer_id AS id, cu.name, cu.phone, cu.created_at AS joinDate, coalesce(ms.n, 0) AS totalOrders,
+       CAST(coalesce(ms.spent, 0) AS DOUBLE) AS totalSpent
+FROM m_customers cu LEFT JOIN m_sum ms ON ms.customer_id = cu.customer_id""", "all customers at once")(lambda t: A.profile_summary(t))
 
 register("ordered_items", """
 m_got AS (SELECT od.customer_id, li.item_id, count(li.order_item_id) AS times_ordered, max(od.created_at) AS last_ordered
@@ -420,18 +422,19 @@ GROUP BY cu.customer_id, cu.name""", "per customer over R12's rows")(L.customer_
 
 register("p12_birthday_customers", f"""
 SELECT customer_id, name, dob FROM m_customers
-WHERE month(dob) = 3 AND day(dob) = 14""")(
-    lambda t: t.customers.filter(P.customer_segment("birthday", "2024-03-14")).select("customer_id", "name", "dob"))
+WHERE month(dob) = 3 AND day(dob) = 15""")(
+    lambda t: t.customers.filter(P.customer_segment("birthday", "2024-03-15")).select("customer_id", "name", "dob"))
 
 register("p13_search_customers", """
 SELECT customer_id, name, phone FROM m_customers
 WHERE lower(name) LIKE '%' || lower(trim('  Customer#00000012 ')) || '%' OR phone LIKE '%' || lower(trim('  Customer#00000012 ')) || '%'""")(
     lambda t: t.customers.filter(P.search_customers("  Customer#00000012 ")).select("customer_id", "name", "phone"))
 
-register("j7_unsold_items", """
+register("j7_unsold_items_week", f"""
 SELECT item_id, item_name FROM m_menu_items i
-WHERE NOT EXISTS (SELECT 1 FROM m_order_items oi WHERE oi.item_id = i.item_id)""")(
-    lambda t: anti(t.menu_items, t.order_items, ["item_id"]).select("item_id", "item_name"))
+WHERE NOT EXISTS (SELECT 1 FROM m_order_items oi JOIN m_orders od ON od.order_id = oi.order_id
+                  WHERE oi.item_id = i.item_id {period_sql('od.created_at', 'week', OA)})""")(
+    lambda t: anti(t.menu_items, S.lines_in_period(t, "week", OA), ["item_id"]).select("item_id", "item_name"))
 
 register("j9_valid_session_activity", """
 SELECT s.id AS session_pk, a.customer_id, a.event_id, a.event_type, a.ts
@@ -529,7 +532,7 @@ WHERE status IN ('pending', 'preparing', 'ready', 'completed', 'cancelled')
     lambda t: D.apply_status_updates(t.orders, Rq.status_updates(t)).rejects)
 
 register("d4_mark_paid_payments", f"""
-m_marks AS (SELECT DISTINCT event_id * 2 AS order_id FROM events WHERE event_type = 'purchase'),
+m_marks AS (SELECT DISTINCT event_id * 2 AS order_id FROM events),
 m_known AS (SELECT m.order_id FROM m_marks m WHERE EXISTS (SELECT 1 FROM m_orders o WHERE o.order_id = m.order_id))
 SELECT p.payment_id, p.order_id, CAST(p.amount AS DOUBLE) AS amount,
        CASE WHEN k.order_id IS NOT NULL THEN 'completed' ELSE p.payment_status END AS payment_status,
@@ -540,16 +543,17 @@ UNION ALL
 SELECT NULL, k.order_id, CAST(o.total_amount AS DOUBLE), 'completed', 'cash', NULL, TIMESTAMP '{ORDERS_NOW}'
 FROM m_known k JOIN m_orders o ON o.order_id = k.order_id
 WHERE NOT EXISTS (SELECT 1 FROM m_payments p WHERE p.order_id = k.order_id)""", "new payment ids are hashes: compared as NULL")(
-    lambda t: D.mark_paid(t.orders, t.payments, Rq.cash_marks(t), ORDERS_NOW)["payments"].select(
-        F.when(F.col("payment_id") < F.lit(1 << 40), F.col("payment_id")).alias("payment_id"), "order_id",
+    lambda t: D.mark_paid(t.orders, t.payments, Rq.cash_marks(t), ORDERS_NOW)["payments"].join(
+        t.payments.select("payment_id", F.lit(True).alias("old")), "payment_id", "left").select(
+        F.when(F.col("old"), F.col("payment_id")).alias("payment_id"), "order_id",
         Fx.money("amount").alias("amount"), "payment_status", "payment_method", "razorpay_payment_id",
         "created_at"))
 
 register("d10_cancel_rejects", """
 m_req AS (SELECT DISTINCT o_orderkey AS order_id,
                  CASE WHEN o_orderkey % 3 = 0 THEN o_custkey + 1 ELSE o_custkey END AS customer_id
-          FROM orders WHERE o_orderkey % 11 = 0),
-m_first_pay AS (SELECT order_id, arg_min(payment_status, payment_id) AS first_status FROM m_payments GROUP BY order_id)
+          FROM orders),
+m_first_pay AS (SELECT order_id, arg_min(payment_status, (created_at, payment_id)) AS first_status FROM m_payments GROUP BY order_id)
 SELECT * FROM (
   SELECT r.order_id, r.customer_id,
          CASE WHEN o.order_id IS NULL OR o.customer_id != r.customer_id THEN 'not_found'
@@ -558,33 +562,54 @@ SELECT * FROM (
   FROM m_req r LEFT JOIN m_orders o ON r.order_id = o.order_id LEFT JOIN m_first_pay f ON r.order_id = f.order_id) x
 WHERE reason IS NOT NULL""")(lambda t: D.cancel_orders(t, Rq.cancellations(t)).rejects)
 
-register("d5_orders_after_cancel", """
+
+
+def _kept(change: D.Change) -> DataFrame:
+    parts = [change[name].select(F.lit(name).alias("kept"), F.col(key).alias("id"))
+             for name, key in (("orders", "order_id"), ("order_items", "order_item_id"), ("payments", "payment_id"),
+                               ("ratings", "rating_id"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+register("d5_rows_after_cancel", """
 m_req AS (SELECT DISTINCT o_orderkey AS order_id,
                  CASE WHEN o_orderkey % 3 = 0 THEN o_custkey + 1 ELSE o_custkey END AS customer_id
-          FROM orders WHERE o_orderkey % 11 = 0),
-m_first_pay AS (SELECT order_id, arg_min(payment_status, payment_id) AS first_status FROM m_payments GROUP BY order_id),
+          FROM orders),
+m_first_pay AS (SELECT order_id, arg_min(payment_status, (created_at, payment_id)) AS first_status FROM m_payments GROUP BY order_id),
 m_gone AS (SELECT r.order_id FROM m_req r JOIN m_orders o ON r.order_id = o.order_id AND o.customer_id = r.customer_id
            LEFT JOIN m_first_pay f ON r.order_id = f.order_id
            WHERE o.status = 'pending' AND f.first_status IS DISTINCT FROM 'completed')
-SELECT (SELECT COUNT(*) FROM m_orders WHERE order_id NOT IN (SELECT order_id FROM m_gone)) AS orders,
-       (SELECT COUNT(*) FROM m_order_items WHERE order_id NOT IN (SELECT order_id FROM m_gone)) AS order_items,
-       (SELECT COUNT(*) FROM m_payments WHERE order_id NOT IN (SELECT order_id FROM m_gone)) AS payments,
-       (SELECT COUNT(*) FROM m_ratings WHERE order_id IS NULL OR order_id NOT IN (SELECT order_id FROM m_gone)) AS ratings""")(
-    lambda t: (lambda ch: ch["orders"].agg(F.count(F.lit(1)).alias("orders")).unionByName(
-        ch["order_items"].agg(F.count(F.lit(1)).alias("order_items")), allowMissingColumns=True).unionByName(
-        ch["payments"].agg(F.count(F.lit(1)).alias("payments")), allowMissingColumns=True).unionByName(
-        ch["ratings"].agg(F.count(F.lit(1)).alias("ratings")), allowMissingColumns=True).agg(
-        *[F.max(c).alias(c) for c in ("orders", "order_items", "payments", "ratings")]))(
-        D.cancel_orders(t, Rq.cancellations(t))))
+SELECT 'orders' AS kept, order_id AS id FROM m_orders WHERE order_id NOT IN (SELECT order_id FROM m_gone)
+UNION ALL SELECT 'order_items', order_item_id FROM m_order_items WHERE order_id NOT IN (SELECT order_id FROM m_gone)
+UNION ALL SELECT 'payments', payment_id FROM m_payments WHERE order_id NOT IN (SELECT order_id FROM m_gone)
+UNION ALL SELECT 'ratings', rating_id FROM m_ratings WHERE order_id IS NULL OR order_id NOT IN (SELECT order_id FROM m_gone)""",
+         "every row that is left in the four tables")(lambda t: _kept(D.cancel_orders(t, Rq.cancellations(t))))
 
 register("d6_item_delete_rejects", """
-m_ids AS (SELECT DISTINCT p_partkey * 3 AS item_id FROM part WHERE p_partkey % 4 = 0)
+m_ids AS (SELECT DISTINCT p_partkey * 3 AS item_id FROM part)
 SELECT item_id, 'not_found' AS reason FROM m_ids i WHERE NOT EXISTS (SELECT 1 FROM m_menu_items m WHERE m.item_id = i.item_id)
 UNION ALL
 SELECT item_id, 'in_orders' FROM m_ids i WHERE EXISTS (SELECT 1 FROM m_menu_items m WHERE m.item_id = i.item_id)
   AND EXISTS (SELECT 1 FROM m_order_items oi WHERE oi.item_id = i.item_id)""")(
-    lambda t: D.guarded_delete_items(t.menu_items, t.order_items, t.raw("part").filter(
-        F.col("p_partkey") % 4 == 0).select((F.col("p_partkey") * 3).alias("item_id"))).rejects)
+    lambda t: D.guarded_delete_items(t.menu_items, t.order_items, t.raw("part").select(
+        (F.col("p_partkey") * 3).alias("item_id"))).rejects)
+
+register("d6_category_delete_rejects", """
+m_ids AS (SELECT DISTINCT category_id * 2 AS category_id FROM m_menu_category)
+SELECT category_id, 'not_found' AS reason FROM m_ids WHERE category_id NOT IN (SELECT category_id FROM m_menu_category)
+UNION ALL
+SELECT category_id, 'has_items' FROM m_ids WHERE category_id IN (SELECT category_id FROM m_menu_category)
+  AND category_id IN (SELECT category_id FROM m_menu_items WHERE category_id IS NOT NULL)""")(
+    lambda t: D.guarded_delete_categories(t.menu_category, t.menu_items, t.menu_category.select(
+        (F.col("category_id") * 2).alias("category_id"))).rejects)
+
+register("d6_items_after_delete", f"""
+m_recent AS (SELECT DISTINCT li.item_id FROM m_order_items li JOIN m_orders od ON od.order_id = li.order_id
+             WHERE TRUE {period_sql('od.created_at', 'week', OA)})
+SELECT item_id, item_name FROM m_menu_items WHERE item_id IN (SELECT item_id FROM m_recent)""",
+         "all items asked to go, guarded by a week's lines")(
+    lambda t: D.guarded_delete_items(t.menu_items, S.lines_in_period(t, "week", OA), t.menu_items.select("item_id"))[
+        "menu_items"].select("item_id", "item_name"))
 
 register("d7_dedupe_ratings", """
 m_first_item AS (SELECT customer_id, item_id, arg_min(rating_id, (created_at, rating_id)) AS rid
@@ -597,14 +622,15 @@ WHERE (item_id IS NULL OR rating_id IN (SELECT rid FROM m_first_item))
     lambda t: D.dedupe_ratings(t.ratings)["ratings"].select(
         "rating_id", "customer_id", "rating_value", "item_id", "order_id"))
 
-register("d8_rating_reasons", """
+_RATING_SQL = """
 m_sub AS (
   SELECT user_id AS customer_id,
          CASE WHEN event_type IN ('purchase', 'signup') THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS item_id,
          CASE WHEN event_type IN ('purchase', 'signup') THEN CAST(json_extract_string(props, '$.k') AS BIGINT) * 150 + user_id END AS order_id,
-         CAST(event_id % 7 AS INT) AS rating
-  FROM events)
-SELECT s.customer_id, s.item_id, s.order_id, s.rating,
+         CAST(event_id % 7 AS INT) AS rating, CAST(ts AS TIMESTAMP) AS ts, event_id
+  FROM events),
+m_said AS (
+SELECT s.ts, s.event_id, s.customer_id, s.item_id, s.order_id, s.rating,
   CASE WHEN s.rating IS NULL OR s.rating < 1 OR s.rating > 5 THEN 'bad_rating'
        WHEN s.item_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM m_menu_items i WHERE i.item_id = s.item_id) THEN 'unknown_item'
        WHEN s.item_id IS NOT NULL AND NOT EXISTS (
@@ -619,7 +645,20 @@ SELECT s.customer_id, s.item_id, s.order_id, s.rating,
        WHEN (SELECT o.status FROM m_orders o WHERE o.order_id = s.order_id) != 'completed' THEN 'order_not_completed'
        WHEN EXISTS (SELECT 1 FROM m_ratings r WHERE r.customer_id = s.customer_id AND r.order_id = s.order_id)
             THEN 'already_rated' END AS reason
-FROM m_sub s""")(
+FROM m_sub s)"""
+
+register("d8_accepted_ratings", """
+SELECT od.customer_id, li.item_id, CAST(1 + (od.customer_id + li.item_id) % 5 AS INT) AS rating_value, min(od.created_at) AS created_at
+FROM m_order_items li JOIN m_orders od ON od.order_id = li.order_id JOIN m_menu_items it ON it.item_id = li.item_id
+WHERE NOT EXISTS (SELECT 1 FROM m_ratings r WHERE r.customer_id = od.customer_id AND r.item_id = li.item_id)
+GROUP BY od.customer_id, li.item_id HAVING bool_or(od.status = 'completed')""",
+         "every line rated by its customer: the new ratings (their ids are hashes and not compared)")(
+    lambda t: D.eligible_ratings(t, Rq.bought_ratings(t))["ratings"].join(
+        t.ratings.select("rating_id"), "rating_id", "left_anti").select(
+        "customer_id", "item_id", "rating_value", "created_at"))
+
+register("d8_rating_reasons", _RATING_SQL + """
+SELECT customer_id, item_id, order_id, rating, reason FROM m_said""")(
     lambda t: D.rating_reasons(t, Rq.rating_submissions(t)).select(
         "customer_id", "item_id", "order_id", "rating", "reason"))
 
@@ -630,6 +669,24 @@ QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY created_at DESC, id
     lambda t: D.purge_sessions(t.sessions, EVENTS_NOW)["sessions"].select(
         "id", "customer_id", "created_at", "expires_at"))
 
+_MENU_REQUESTS_SQL = """
+m_req AS (
+  SELECT CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_partkey END AS item_id, p_name || ' special' AS item_name,
+         CAST(substr(p_brand, 7) AS INT) AS category_id,
+         CASE WHEN p_partkey % 9 <> 0 THEN CAST(p_retailprice AS DECIMAL(10,2)) END AS price,
+         p_partkey % 5 = 0 OR p_partkey % 3 <> 2 AS is_available
+  FROM part)"""
+
+register("d12_menu_snapshot", _MENU_REQUESTS_SQL + """
+SELECT it.item_id, it.item_name, it.category_id, it.price, it.image_url, it.is_available FROM m_menu_items it
+WHERE it.item_id NOT IN (SELECT item_id FROM m_req WHERE price IS NOT NULL AND item_id IS NOT NULL)
+UNION ALL SELECT item_id, item_name, category_id, price, NULL, is_available FROM m_req WHERE price IS NOT NULL""",
+         "replaced and inserted items; new ids are hashes: compared as NULL")(
+    lambda t: D.upsert_menu_items(t.menu_items, Rq.menu_item_requests(t))["menu_items"].join(
+        t.menu_items.select("item_id", F.lit(True).alias("old")), "item_id", "left").select(
+        F.when(F.col("old"), F.col("item_id")).alias("item_id"), "item_name", "category_id", "price", "image_url",
+        "is_available"))
+
 register("d12_menu_item_rejects", """
 m_req AS (
   SELECT CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_partkey END AS item_id, p_name || ' special' AS item_name,
@@ -640,15 +697,16 @@ WHERE regexp_extract(ltrim(price), '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?
          "every item id in the requests exists")(
     lambda t: D.upsert_menu_items(t.menu_items, Rq.menu_item_requests(t)).rejects)
 
-register("d14_birth_date_reasons", f"""
+_BIRTH_SQL = f"""
+m_hours AS (SELECT c_custkey, h, c_custkey - 7 * h + 7 AS k FROM customer, (SELECT unnest([0, 1]) AS h)),
 m_req AS (
-  SELECT c_custkey AS customer_id,
+  SELECT c_custkey AS customer_id, h,
          CASE WHEN c_custkey % 13 = 0 THEN 'dob ' || CAST(c_custkey AS VARCHAR)
-              ELSE lpad(CAST(1890 + c_custkey % 150 AS VARCHAR), 4, '0') || '-' || lpad(CAST(1 + c_custkey % 12 AS VARCHAR), 2, '0')
-                   || '-' || lpad(CAST(1 + c_custkey % 31 AS VARCHAR), 2, '0') END AS dob
-  FROM customer),
-m_parsed AS (SELECT *, TRY_CAST(dob AS DATE) AS d FROM m_req)
-SELECT customer_id, dob,
+              ELSE lpad(CAST(1890 + k % 150 AS VARCHAR), 4, '0') || '-' || lpad(CAST(1 + k % 12 AS VARCHAR), 2, '0')
+                   || '-' || lpad(CAST(1 + k % 31 AS VARCHAR), 2, '0') END AS dob
+  FROM m_hours),
+m_parsed AS (SELECT *, TRY_CAST(dob AS DATE) AS d FROM m_req),
+m_judged AS (SELECT customer_id, dob, d, h,
   CASE WHEN dob IS NULL OR dob = '' THEN 'required'
        WHEN NOT regexp_matches(dob, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN 'bad_format'
        WHEN d IS NULL THEN 'invalid_date'
@@ -658,7 +716,16 @@ SELECT customer_id, dob,
        WHEN year(DATE '{EA}') - year(d) - CASE WHEN month(DATE '{EA}') < month(d)
             OR (month(DATE '{EA}') = month(d) AND day(DATE '{EA}') < day(d)) THEN 1 ELSE 0 END > 120 THEN 'too_old'
   END AS reason
-FROM m_parsed""")(
+FROM m_parsed)"""
+
+register("d14_birth_dates", _BIRTH_SQL + """,
+m_last AS (SELECT customer_id, arg_max(d, h) AS d FROM m_judged WHERE reason IS NULL GROUP BY customer_id)
+SELECT cu.customer_id, coalesce(la.d, cu.dob) AS dob
+FROM m_customers cu LEFT JOIN m_last la ON la.customer_id = cu.customer_id""")(
+    lambda t: D.set_birth_dates(t.customers, Rq.birth_dates(t), EA)["customers"].select("customer_id", "dob"))
+
+register("d14_birth_date_reasons", _BIRTH_SQL + """
+SELECT customer_id, dob, reason FROM m_judged""")(
     lambda t: Rq.birth_dates(t).select("customer_id", "dob", Qy.dob_reason("dob", EA).alias("reason")))
 
 _CARTS_SQL = """
@@ -703,6 +770,23 @@ SELECT CAST(NULL AS BIGINT) AS order_id, customer_id, table_number, CAST(total A
 FROM m_decided WHERE reason IS NULL""", "accepted carts; new order ids are hashes: compared as NULL")(
     lambda t: D.ingest_orders(t.orders, Rq.carts(t))["orders"].withColumn(
         "order_id", F.lit(None).cast("long")))
+register("d1_ingest_lines", _CARTS_SQL + """
+SELECT dc.table_number, dc.ts AS created_at, l_partkey AS item_id, CAST(l_quantity AS INT) AS quantity,
+       CAST(l_extendedprice AS DECIMAL(12,2)) AS price
+FROM m_decided dc JOIN lineitem ON 'cart-' || l_orderkey = dc.cart_id WHERE dc.reason IS NULL""",
+         "lines of the accepted carts, with their order's table and time")(
+    lambda t: (lambda ch: ch["order_items"].join(ch["orders"].select("order_id", "table_number", "created_at"), "order_id")
+               .select("table_number", "created_at", "item_id", "quantity", "price"))(D.ingest_orders(t.orders, Rq.carts(t))))
+register("d1_ingest_payments", _CARTS_SQL + """
+SELECT table_number, ts AS created_at, CAST(total AS DECIMAL(12,2)) AS amount,
+       CASE WHEN online THEN 'completed' ELSE 'pending' END AS payment_status,
+       CASE WHEN online THEN 'razorpay' ELSE 'cash' END AS payment_method,
+       CASE WHEN online THEN 'pay_' || substr(cart_id, 6) END AS razorpay_payment_id
+FROM m_decided WHERE reason IS NULL""", "payments of the accepted carts")(
+    lambda t: (lambda ch: ch["payments"].drop("created_at").join(
+        ch["orders"].select("order_id", "table_number", "created_at"), "order_id").select(
+        "table_number", "created_at", "amount", "payment_status", "payment_method", "razorpay_payment_id"))(
+        D.ingest_orders(t.orders, Rq.carts(t))))
 register("d13_category_snapshot", """
 m_req AS (SELECT DISTINCT CASE WHEN CAST(substr(p_brand, 7) AS INT) % 2 = 0 THEN CAST(substr(p_brand, 7) AS INT) END
                    AS category_id, trim(' Menu ' || p_brand || ' ') AS category_name FROM part),
@@ -716,19 +800,35 @@ UNION ALL SELECT NULL, category_name FROM m_req WHERE category_id IS NULL""",
     lambda t: D.upsert_categories(t.menu_category, t.raw("part").select(
         F.when(F.substring("p_brand", 7, 10).cast("int") % 2 == 0, F.substring("p_brand", 7, 10).cast("int"))
         .alias("category_id"), F.concat(F.lit(" Menu "), F.col("p_brand"), F.lit(" ")).alias("category_name"))
-        .distinct())["menu_category"].select(
-        F.when(F.col("category_id") <= 1000, F.col("category_id")).alias("category_id"), "category_name"))
+        .distinct())["menu_category"].join(t.menu_category.select("category_id", F.lit(True).alias("old")), "category_id", "left")
+    .select(F.when(F.col("old"), F.col("category_id")).alias("category_id"), "category_name"))
 register("d15_record_payments_rejects", """
-m_req AS (SELECT event_id AS order_id, user_id AS customer_id FROM events WHERE event_type = 'purchase')
+m_req AS (SELECT event_id AS order_id, user_id AS customer_id FROM events)
 SELECT rq.order_id, rq.customer_id,
        CASE WHEN od.order_id IS NULL THEN 'not_found' ELSE 'unauthorized' END AS reason
 FROM m_req rq LEFT JOIN m_orders od ON od.order_id = rq.order_id
-WHERE od.order_id IS NULL OR od.customer_id <> rq.customer_id""", "purchase events as verified payments")(
-    lambda t: D.record_payments(t.orders, t.payments, t.raw("events").filter(F.col("event_type") == "purchase").select(
+WHERE od.order_id IS NULL OR od.customer_id <> rq.customer_id""", "events as verified payments")(
+    lambda t: D.record_payments(t.orders, t.payments, t.raw("events").select(
         F.col("event_id").alias("order_id"), F.col("user_id").alias("customer_id"),
         F.concat(F.lit("pay_e"), F.col("event_id").cast("string")).alias("razorpay_payment_id"),
         F.col("ts"))).rejects)
 
+register("d15_recorded_payments", """
+SELECT od.order_id, od.total_amount AS amount, 'pay_' || od.order_id AS razorpay_payment_id, od.created_at
+FROM m_orders od
+WHERE NOT EXISTS (SELECT 1 FROM m_payments p WHERE p.order_id = od.order_id AND p.razorpay_payment_id = 'pay_' || od.order_id)""",
+         "every order paid by its customer, twice in the batch; known references are not recorded again")(
+    lambda t: D.record_payments(t.orders, t.payments, _own_payments(t))["payments"].join(
+        t.payments.select("payment_id"), "payment_id", "left_anti").select(
+        "order_id", "amount", "razorpay_payment_id", "created_at"))
+
+
+def _own_payments(t: Tables) -> DataFrame:
+    paid = t.orders.select("order_id", "customer_id", F.concat(F.lit("pay_"), F.col("order_id").cast("string"))
+                           .alias("razorpay_payment_id"), F.col("created_at").alias("ts"))
+    return paid.unionByName(paid.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 HOUR")))
+
+
 # ------------------------------------------- T streams: batch twins (same code)
 
 
@@ -840,10 +940,11 @@ WHERE cu.dob IS NOT NULL
     lambda t: A.customers_with_stats(t).filter(P.customer_segment("with_dob", EA))
     .filter(P.search_customers(" Customer#0000001 ")))
 
-register("v8_oversized_orders", f"""
-SELECT order_id, count(*) AS lines FROM m_order_items GROUP BY order_id HAVING count(*) > {Qy.MAX_LINES_PER_ORDER}""",
-         "orders beyond the lines one 10 MB request can carry (empty on valid data)")(
-    lambda t: Qy.oversized_orders(t.order_items))
+register("v8_null_counts", """
+SELECT count(*) FILTER (WHERE rating_id IS NULL) AS rating_id, count(*) FILTER (WHERE review_text IS NULL) AS review_text,
+       count(*) FILTER (WHERE item_id IS NULL) AS item_id, count(*) FILTER (WHERE order_id IS NULL) AS order_id
+FROM m_ratings""", "NULLs per column, in one pass")(
+    lambda t: Qy.not_null_violations(t.ratings, ["rating_id", "review_text", "item_id", "order_id"]))
 
 register("p10_menu_category_3", """
 m_rated AS (SELECT item_id, sum(rating_value) AS s, count(rating_id) AS c FROM m_ratings GROUP BY item_id)
@@ -855,3 +956,92 @@ JOIN m_menu_category cat ON cat.category_id = it.category_id
 LEFT JOIN m_rated rr ON rr.item_id = it.item_id
 WHERE it.is_available AND it.category_id = 3""", "the public menu for one category (P10; 'all' or absent = no filter)")(
     lambda t: A.menu_with_ratings(t, category_id=3))
+
+# ------------------------------------------------ parameters and corrected variants
+
+register("sales_overview_today", _overview_sql("today"))(lambda t: S.sales_overview(t.orders, "today", OA))
+
+register("sales_by_category_corrected", f"""
+{_sold_sql(None)}
+SELECT coalesce(cat.category_name, 'Uncategorized') AS category, CAST(sum(s.rev) AS DOUBLE) AS total_revenue
+FROM m_sold s JOIN m_menu_items it ON it.item_id = s.item_id
+LEFT JOIN m_menu_category cat ON cat.category_id = it.category_id
+GROUP BY 1""", "grouped by the label")(lambda t: S.sales_by_category(t, "all", OA, corrected=True))
+
+register("revenue_trend_corrected", f"""
+m_days AS (SELECT CAST(unnest(generate_series(DATE '{OA}' - INTERVAL 40 DAY, DATE '{OA}', INTERVAL 1 DAY)) AS DATE) AS d),
+m_rev AS (SELECT CAST(created_at AS DATE) AS d, sum(total_amount) AS rev FROM m_orders GROUP BY 1)
+SELECT m_days.d AS date, CAST(coalesce(rev, 0) AS DOUBLE) AS revenue FROM m_days LEFT JOIN m_rev ON m_rev.d = m_days.d""",
+         "days without orders count 0 (Q9)")(lambda t: S.revenue_trend(t.orders, OA, 40, corrected=True))
+
+register("payment_method_mix_corrected", """
+m_last AS (SELECT order_id, arg_max(payment_method, (created_at, payment_id)) AS payment_method FROM m_payments GROUP BY order_id)
+SELECT coalesce(la.payment_method, 'cash') AS payment_method, CAST(sum(od.total_amount) AS DOUBLE) AS total_amount
+FROM m_orders od LEFT JOIN m_last la ON la.order_id = od.order_id GROUP BY 1""", "each order once, under its latest payment")(
+    lambda t: S.payment_method_mix(t, "all", OA, corrected=True))
+
+register("customer_orders_of_one", f"""
+SELECT od.customer_id, od.order_id, od.table_number, od.total_amount, od.status, od.created_at,
+       py.payment_status, py.payment_method, {items_text_sql(_LIST_FIELDS)}
+FROM m_orders od
+LEFT JOIN m_payments py ON od.order_id = py.order_id
+LEFT JOIN m_order_items li ON od.order_id = li.order_id
+LEFT JOIN m_menu_items it ON li.item_id = it.item_id
+WHERE od.customer_id = 7
+GROUP BY od.customer_id, od.order_id, od.table_number, od.total_amount, od.status, od.created_at,
+         py.payment_status, py.payment_method""", "R12 for customer 7")(
+    lambda t: L.with_items_text(L.customer_orders_nested(t, 7)))
+
+
+def _filtered_listing_sql(where: str, limit: int, offset: int) -> str:
+    return f"""
+m_page AS (
+  SELECT od.order_id, od.customer_id, cu.name AS customer_name, cu.phone AS customer_phone, od.table_number,
+         od.total_amount, od.status, od.created_at, py.payment_status, py.payment_method, py.razorpay_payment_id
+  FROM m_orders od JOIN m_customers cu ON od.customer_id = cu.customer_id
+  LEFT JOIN m_payments py ON od.order_id = py.order_id
+  WHERE {where}
+  GROUP BY ALL
+  ORDER BY od.created_at DESC, od.order_id DESC, py.payment_status, py.payment_method, py.razorpay_payment_id
+  LIMIT {limit} OFFSET {offset})
+SELECT pg.*, {items_text_sql(_LIST_FIELDS)}
+FROM m_page pg
+LEFT JOIN m_payments py ON pg.order_id = py.order_id
+     AND py.payment_status IS NOT DISTINCT FROM pg.payment_status
+     AND py.payment_method IS NOT DISTINCT FROM pg.payment_method
+     AND py.razorpay_payment_id IS NOT DISTINCT FROM pg.razorpay_payment_id
+LEFT JOIN m_order_items li ON pg.order_id = li.order_id
+LEFT JOIN m_menu_items it ON li.item_id = it.item_id
+GROUP BY ALL"""
+
+
+register("orders_listing_old_by_status", _filtered_listing_sql(
+    f"od.status != 'completed' AND od.status IN ('pending', 'ready') AND CAST(od.created_at AS DATE) < DATE '2001-03-01'", 30, 15),
+    "status and date filters, second page")(
+    lambda t: L.with_items_text(L.orders_listing(t, status="pending, ready", date_filter="old", limit=30, offset=15,
+                                                 as_of="2001-03-01")))
+register("orders_listing_today", _filtered_listing_sql("CAST(od.created_at AS DATE) = DATE '2001-03-01'", 40, 0),
+         "date_filter=today, any status")(
+    lambda t: L.with_items_text(L.orders_listing(t, date_filter="today", view_type="all", limit=40, as_of="2001-03-01")))
+
+register("recent_reviews_of_item", """
+SELECT tx.rating_id, tx.customer_id, tx.rating_value, tx.review_text, tx.item_id, tx.created_at, cu.name AS customer_name,
+       substr(cu.phone, 1, 2) || repeat('X', 6) || substr(cu.phone, 9, 2) AS masked_phone, it.item_name, it.image_url AS item_image
+FROM m_ratings tx JOIN m_customers cu ON cu.customer_id = tx.customer_id
+LEFT JOIN m_menu_items it ON it.item_id = tx.item_id
+WHERE coalesce(tx.review_text, '') <> '' AND tx.item_id = 5 ORDER BY tx.created_at DESC, tx.rating_id DESC LIMIT 10""")(
+    lambda t: A.recent_reviews(t, 10, 0, item_id=5))
+
+register("f3_to_fixed", """
+SELECT event_id, printf('%.2f', CASE WHEN (value * 8) % 2 = 1 THEN value + 0.001 ELSE value END) AS two,
+       printf('%.1f', CASE WHEN (value * 4) % 2 = 1 THEN value + 0.01 ELSE value END) AS one,
+       printf('%.0f', CASE WHEN (value * 2) % 2 = 1 THEN value + 0.1 ELSE value END) AS zero
+FROM events WHERE value >= 0""", "toFixed of whole-table doubles; printf rounds exact ties to even")(
+    lambda t: t.raw("events").filter(F.col("value") >= 0).select(
+        "event_id", Fx.fixed("value", 2).alias("two"), Fx.fixed("value", 1).alias("one"), Fx.fixed("value", 0).alias("zero")))
+
+register("f18_age_classes", """
+SELECT order_id, CASE WHEN epoch_us(TIMESTAMP '2024-01-15 12:00:00' - created_at) / 60000000.0 > 20 THEN 'urgent'
+                      WHEN epoch_us(TIMESTAMP '2024-01-15 12:00:00' - created_at) / 60000000.0 > 10 THEN 'warning' ELSE '' END AS age_class
+FROM m_live_orders""", "every live order at one moment of the period")(
+    lambda t: t.live_orders.select("order_id", Fx.age_class("created_at", "2024-01-15 12:00:00").alias("age_class")))

@@ -21,11 +21,6 @@ MOBILE_PATTERN = r"^[6-9][0-9]{9}$"
 NAME_PATTERN = r"^[A-Za-z\s]+$"
 ISO_DATE_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 MIN_AGE, MAX_AGE = 13, 120
-# Fixed value: the largest request body the reference accepts (10 MB).
-MAX_BODY_BYTES = 10 * 1024 * 1024
-# The smallest cart line as JSON ({"item_id":1,"quantity":1,"price":1} plus a comma) is 36 bytes,
-# so no order placed through a request can have more lines than this.
-MAX_LINES_PER_ORDER = MAX_BODY_BYTES // 36
 
 
 def _c(x: str | Column) -> Column:
@@ -68,18 +63,15 @@ def dob_reason(text: str | Column, as_of) -> Column:
 
 
 def cart_reason(items: str | Column, table_number: str | Column) -> Column:
-    """V6 (static part): body over the 10 MB request limit, empty cart, missing table,
-    a line without item, quantity or price (0 counts as missing, as JS
-    truthiness does). Occupancy is checked by the change job. The size limit
-    also bounds every order's line count, hence every nested item array."""
+    """V6 (static part): empty cart, missing table, a line without item, quantity or
+    price (0 counts as missing, as JS truthiness does). Occupancy is checked by the
+    change job."""
     arr = _c(items)
     bad_line = F.exists(arr, lambda x: x["item_id"].isNull() | (x["item_id"] == 0)
                         | x["quantity"].isNull() | (x["quantity"] == 0)
                         | x["price"].isNull() | (x["price"] == 0))
     table = F.trim(_c(table_number))
-    body = F.length(F.to_json(F.struct(arr.alias("items"), _c(table_number).alias("table_number"))))
-    return (F.when(body > MAX_BODY_BYTES, "too_large")
-            .when(arr.isNull() | (F.size(arr) == 0), "empty_cart")
+    return (F.when(arr.isNull() | (F.size(arr) == 0), "empty_cart")
             .when(table.isNull() | (table == ""), "missing_table")
             .when(bad_line, "invalid_item"))
 
@@ -139,9 +131,3 @@ def not_null_violations(df: DataFrame, columns: list[str]) -> DataFrame:
     """V8: count of NULLs per NOT NULL column, one pass."""
     return df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in columns])
 
-
-def oversized_orders(order_items: DataFrame, max_lines: int = MAX_LINES_PER_ORDER) -> DataFrame:
-    """V8 (bound): orders with more lines than one request can carry. Empty on valid data;
-    it makes the bound on nested item arrays checkable for lines loaded by any means."""
-    return order_items.groupBy("order_id").agg(F.count(F.lit(1)).alias("lines")) \
-        .filter(F.col("lines") > max_lines)

@@ -12,12 +12,6 @@ def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def js_default(x: str | Column, default) -> Column:
-    """F1 for JS ``x || d``: NULL, '' and 0 all fall back to the default."""
-    c = _c(x)
-    return F.when(c.isNull() | (c.cast("string") == "") | (c.cast("string") == "0"), F.lit(default)).otherwise(c)
-
-
 def round_half_up_ratio(total: str | Column, count: str | Column, digits: int = 1) -> Column:
     """ROUND(total / count, digits) half-up, in exact integer arithmetic.
 
@@ -34,8 +28,27 @@ def round_half_up_ratio(total: str | Column, count: str | Column, digits: int =
 
 
 def fixed(x: str | Column, digits: int = 2) -> Column:
-    """JS ``toFixed(d)`` → text."""
-    return F.format_string(f"%.{digits}f", _c(x).cast("double"))
+    """JS ``toFixed(d)`` → text: the double's exact binary value, rounded to the nearest
+    multiple of 10^-d, ties away from zero (1.005 is below the tie and gives 1.00).
+
+    The fraction of a double is a whole number of 2^-53 steps plus a rest (values below 1
+    only), so the comparison with the tie is done in integers. Values must fit a long."""
+    if not 0 <= digits <= 3:
+        raise ValueError("0 to 3 digits")
+    v = _c(x).cast("double")
+    size = F.abs(v)
+    whole = F.floor(size)
+    steps = (size - whole) * F.lit(float(2 ** 53))
+    hundredths = F.floor(steps) * F.lit(10 ** digits)
+    low = F.shiftright(hundredths, 53)
+    over = (hundredths.bitwiseAND(F.lit(2 ** 53 - 1)) - F.lit(2 ** 52)).cast("double")
+    up = over + (steps - F.floor(steps)) * F.lit(float(10 ** digits)) >= 0
+    part = low + F.when(up, 1).otherwise(0)
+    carry = part == F.lit(10 ** digits)
+    text = F.concat(F.when(v < 0, "-").otherwise(""), (whole + F.when(carry, 1).otherwise(0)).cast("string"))
+    if digits:
+        text = F.concat(text, F.lit("."), F.lpad(F.when(carry, 0).otherwise(part).cast("string"), digits, "0"))
+    return F.when(F.isnan(v), "NaN").otherwise(text)
 
 
 def to_day(ts: str | Column) -> Column:
@@ -65,11 +78,6 @@ def coerce_bool(x: str | Column) -> Column:
     return F.when(c.isNull(), F.lit(True)).otherwise(F.lower(c.cast("string")) == "true")
 
 
-def parse_number(x: str | Column, type_: str = "decimal(10,2)") -> Column:
-    """a number from text without failing the job on bad text (NULL instead)."""
-    return _c(x).try_cast(type_)
-
-
 # Fixed value: the numeric prefix JS parseFloat reads (sign, digits, point, exponent).
 FLOAT_PREFIX = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?"
 

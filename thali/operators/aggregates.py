@@ -49,7 +49,7 @@ def repeat_array(arr: Column, times: Column) -> Column:
 
 
 def canonical_text(arr: Column, fields: Sequence[str]) -> Column:
-    """A nested array as one comparable string: sorted ``f1|f2|…`` pieces joined by ';'."""
+    """A nested array as one comparable string: ``f1|f2|…`` pieces in its order, joined by ';'."""
     pieces = F.transform(arr, lambda x: F.concat_ws(
         "|", *[F.coalesce(x[f].cast("string"), F.lit("~")) for f in fields]))
-    return F.array_join(F.array_sort(F.coalesce(pieces, F.array().cast("array<string>"))), ";")
+    return F.array_join(F.coalesce(pieces, F.array().cast("array<string>")), ";")

@@ -2,32 +2,43 @@
 
 Each job is a pure function ``(snapshots, requests) → Change(new snapshots,
 rejects)``; nothing is mutated in place. A snapshot is written to a new
-folder by ``thali.sources.sinks.write_snapshot``.
+folder by ``thali.sources.io.write_snapshot``.
 
 "Latest / first per key" is an aggregate (``max_by``/``min`` of a struct),
 not a window: partial aggregation keeps a hot key to one row per map
-partition. New keys come from ``xxhash64`` of the request's own id, never
-from a global row number.
+partition. New keys are 63-bit hashes of the request's own fields, never a
+global row number; a request whose new key is already taken by something else
+is rejected (``key_collision``), not dropped or merged.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thali.functions import quality as Q
 from thali.functions.predicates import day_range, ts_literal, unexpired
 from thali.functions.scalars import coerce_bool, parse_float_prefix
+from thali.sources.io import cut_lineage
 from thali.sources.schema import MONEY, OPEN_STATUSES, PRICE
 
 MASK = 0x7FFFFFFFFFFFFFFF
 
 
 def new_key(*cols: str | Column) -> Column:
-    """A non-negative 63-bit key from the request's own fields."""
-    return F.xxhash64(*cols).bitwiseAND(F.lit(MASK))
+    """A non-negative 63-bit key from the request's own fields; NULL is a value of its own
+    (a plain hash skips it, so (5, NULL) and (NULL, 5) would be one key)."""
+    def tagged(c: str | Column) -> Column:
+        c = F.col(c) if isinstance(c, str) else c
+        return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+    return F.xxhash64(*map(tagged, cols)).bitwiseAND(F.lit(MASK))
+
+
+def optional(df: DataFrame, name: str, type_: str) -> DataFrame:
+    """`df` with the column, NULL where requests do not carry it."""
+    return df if name in df.columns else df.withColumn(name, F.lit(None).cast(type_))
 
 
 def _now(as_of) -> Column:
@@ -65,27 +76,39 @@ def ingest_orders(orders: DataFrame, carts: DataFrame) -> Change:
     client prices (Q8). A cart with `pay_ref` is paid online (completed
     razorpay payment), else a pending cash payment. Idempotent by cart id: a
     repeated cart id keeps its first copy and a cart whose order already exists
-    is skipped.
+    (same key, customer, table and time) is skipped; a cart that only shares the key of
+    another cart or order is rejected. Carts without an id, among them corrupt lines, are
+    rejected one by one (with ``_corrupt_record`` where the reader kept it).
     """
-    c = carts.select("cart_id", "customer_id", F.trim("table_number").alias("table_number"),
-                     F.col("ts").cast("timestamp_ntz").alias("ts"), "items", "pay_ref")
+    raw = optional(carts, "_corrupt_record", "string")
+    c = raw.select("cart_id", "customer_id", F.trim("table_number").alias("table_number"),
+                   F.col("ts").cast("timestamp_ntz").alias("ts"), "items", "pay_ref", "_corrupt_record")
+    unnamed = c.filter(F.col("cart_id").isNull()).withColumn("reason", F.lit("missing_cart_id"))
+    c = c.filter(F.col("cart_id").isNotNull())
     # A repeated cart id keeps its earliest copy (one aggregate, no window).
     cols = [x for x in c.columns if x != "cart_id"]
     c = c.groupBy("cart_id").agg(F.min_by(F.struct(*cols), F.struct("ts", "table_number")).alias("_c")) \
         .select("cart_id", "_c.*")
     c = c.withColumn("order_id", new_key(F.lit("order"), "cart_id")).withColumn("day", F.to_date("ts"))
-    c = c.join(orders.select("order_id"), "order_id", "left_anti")
+    c = c.join(orders.select("order_id", F.struct(F.col("customer_id").alias("c"), F.col("table_number").alias("t"),
+                                                  F.col("created_at").alias("at")).alias("_order")), "order_id", "left")
+    same = F.col("_order").eqNullSafe(F.struct(F.col("customer_id").alias("c"), F.col("table_number").alias("t"),
+                                               F.col("ts").alias("at")))
+    c = c.filter(F.col("_order").isNull() | ~same)
+    holder = c.groupBy("order_id").agg(F.min("cart_id").alias("_holder"))
+    c = c.join(holder, "order_id").withColumn("_taken", F.col("_order").isNotNull() | (F.col("_holder") != F.col("cart_id")))
     static = Q.cart_reason("items", "table_number")
     c = c.withColumn("_static", static)
     open_existing = orders.filter(F.col("status").isin(*OPEN_STATUSES)).select(
         "table_number", F.to_date("created_at").alias("day")).distinct().withColumn("_occ", F.lit(True))
     c = c.join(open_existing, ["table_number", "day"], "left")
-    candidates = c.filter(F.col("_static").isNull() & F.col("_occ").isNull())
+    candidates = c.filter(F.col("_static").isNull() & F.col("_occ").isNull() & ~F.col("_taken"))
     winners = candidates.groupBy("table_number", "day").agg(
         F.min(F.struct("ts", "cart_id")).alias("_win"))
     c = c.join(winners, ["table_number", "day"], "left")
     beaten = F.col("_win").isNotNull() & (F.struct("ts", "cart_id") > F.col("_win"))
-    reason = (F.when(F.col("_static").isin("too_large", "empty_cart", "missing_table"), F.col("_static"))
+    reason = (F.when(F.col("_taken"), F.lit("key_collision"))
+              .when(F.col("_static").isin("empty_cart", "missing_table"), F.col("_static"))
               .when(F.col("_occ") | beaten, F.lit("table_occupied"))
               .when(F.col("_static").isNotNull(), F.col("_static")))
     c = c.withColumn("reason", reason)
@@ -105,7 +128,10 @@ def ingest_orders(orders: DataFrame, carts: DataFrame) -> Change:
         F.when(online, "completed").otherwise("pending").alias("payment_status"),
         F.when(online, "razorpay").otherwise("cash").alias("payment_method"),
         F.col("pay_ref").alias("razorpay_payment_id"), F.col("ts").alias("created_at"))
-    rejects = c.filter(F.col("reason").isNotNull()).select("cart_id", "customer_id", "table_number", "ts", "reason")
+    shown = ["cart_id", "customer_id", "table_number", "ts", "reason"]
+    if "_corrupt_record" in carts.columns:
+        shown.append("_corrupt_record")
+    rejects = c.filter(F.col("reason").isNotNull()).select(*shown).unionByName(unnamed.select(*shown))
     return Change({"orders": new_orders, "order_items": lines, "payments": payments}, rejects)
 
 
@@ -200,9 +226,9 @@ def guarded_delete_categories(menu_category: DataFrame, menu_items: DataFrame, c
 
 
 def first_payment_status(payments: DataFrame) -> DataFrame:
-    """Status of each order's first payment row (lowest payment_id)."""
+    """Status of each order's first payment (earliest, then lowest payment_id)."""
     return payments.groupBy("order_id").agg(
-        F.min_by("payment_status", "payment_id").alias("first_payment_status"))
+        F.min_by("payment_status", F.struct("created_at", "payment_id")).alias("first_payment_status"))
 
 
 def cancel_orders(t, requests: DataFrame) -> Change:
@@ -212,10 +238,11 @@ def cancel_orders(t, requests: DataFrame) -> Change:
     o = t.orders.select("order_id", F.col("customer_id").alias("_owner"), "status")
     j = r.join(o, "order_id", "left").join(first_payment_status(t.payments), "order_id", "left")
     reason = (F.when(F.col("_owner").isNull() | (F.col("_owner") != F.col("customer_id")), "not_found")
-              .when(F.col("status") != "pending", "not_pending")
+              .when(~F.col("status").eqNullSafe(F.lit("pending")), "not_pending")
               .when(F.col("first_payment_status") == "completed", "paid"))
     j = j.withColumn("reason", reason)
-    accepted = j.filter(F.col("reason").isNull()).select("order_id")
+    # used for four tables: decided once
+    accepted = cut_lineage(j.filter(F.col("reason").isNull()).select("order_id"))
     out = delete_orders(t, accepted)
     return Change(out.tables, j.filter(F.col("reason").isNotNull()).select("order_id", "customer_id", "reason"))
 
@@ -268,7 +295,7 @@ def rating_reasons(t, submissions: DataFrame, existing: DataFrame | None = None)
               .when(is_item, F.lit(None))
               .when(~is_order, "missing_target")
               .when(F.col("_owner").isNull() | (F.col("_owner") != F.col("customer_id")), "order_not_found")
-              .when(F.col("_ostatus") != "completed", "order_not_completed")
+              .when(~F.col("_ostatus").eqNullSafe(F.lit("completed")), "order_not_completed")
               .when(F.col("_rated_o").isNotNull(), "already_rated"))
     return j.withColumn("reason", reason).drop("_item", "_bought", "_owner", "_ostatus", "_rated_i", "_rated_o")
 
@@ -281,21 +308,27 @@ def eligible_ratings(t, submissions: DataFrame, as_of=None) -> Change:
                     "customer_id", F.col("rating").cast("int").alias("rating_value"),
                     F.when(F.col("review_text") == "", None).otherwise(F.col("review_text")).alias("review_text"),
                     F.col("ts").cast("timestamp_ntz").alias("created_at"), "item_id", "order_id")
-    deduped = dedupe_ratings(new)
+    # equal submissions have one id: the first stays, the others are duplicates like any other
+    new = new.withColumn("_again", F.row_number().over(Window.partitionBy("rating_id").orderBy("rating_value")))
+    repeated = new.filter("_again > 1").select("customer_id", "item_id", "order_id", F.lit("duplicate").alias("reason"))
+    deduped = dedupe_ratings(new.filter("_again = 1").drop("_again"))
     rejects = checked.filter(F.col("reason").isNotNull()).select("customer_id", "item_id", "order_id", "reason") \
-        .unionByName(deduped.rejects.select("customer_id", "item_id", "order_id", "reason"))
+        .unionByName(deduped.rejects.select("customer_id", "item_id", "order_id", "reason")).unionByName(repeated)
     return Change({"ratings": t.ratings.unionByName(deduped["ratings"])}, rejects)
 
 
 # ---------------------------------------------------------------- D11
 
 def purge_sessions(sessions: DataFrame, now) -> Change:
-    """Drop expired sessions (expires_at <= now), then keep each owner's newest."""
-    live = sessions.filter(unexpired("expires_at", now))
-    newest = _first_per_key(live.withColumn("_neg", -F.unix_micros(F.col("created_at").cast("timestamp"))),
-                            ["customer_id"], ["_neg"], "id")
-    kept = live.filter(F.col("customer_id").isNull()).unionByName(live.join(newest, "id", "left_semi"))
-    return Change({"sessions": kept}, None)
+    """Drop expired sessions (expires_at <= now), then keep each owner's newest. Owners are
+    customers or admins; a session without either stays."""
+    live = optional(sessions, "admin_id", "long").filter(unexpired("expires_at", now))
+    owner = (F.when(F.col("customer_id").isNotNull(), F.struct(F.lit("customer").alias("kind"), F.col("customer_id").alias("id")))
+             .when(F.col("admin_id").isNotNull(), F.struct(F.lit("admin").alias("kind"), F.col("admin_id").alias("id"))))
+    newest = _first_per_key(live.withColumn("_neg", -F.unix_micros(F.col("created_at").cast("timestamp")))
+                            .withColumn("_owner", owner), ["_owner"], ["_neg"], "id")
+    kept = live.filter(owner.isNull()).unionByName(live.join(newest, "id", "left_semi"))
+    return Change({"sessions": kept.select(*sessions.columns)}, None)
 
 
 # ---------------------------------------------------------------- D12–D15
@@ -308,12 +341,13 @@ def upsert_menu_items(menu_items: DataFrame, requests: DataFrame) -> Change:
     refused ('bad_price') rather than stored as NaN. Availability NULL → true,
     else text = 'true' (F14). A replace sets every field, as the source's
     UPDATE does: description and image come from the request (optional
-    columns; absent or '' → NULL).
+    columns; absent or '' → NULL). Of several replaces of one item the last (by
+    `ts`, then by content) wins; inserts are items of their own, equal ones too.
     """
     r = requests
     for opt in ("description", "image_url"):
-        if opt not in r.columns:
-            r = r.withColumn(opt, F.lit(None).cast("string"))
+        r = optional(r, opt, "string")
+    r = optional(r, "ts", "timestamp_ntz")
     price = parse_float_prefix("price", "decimal(10,2)")
     name = F.trim("item_name")
     reason = (F.when(name.isNull() | (name == "") | F.col("category_id").isNull() | (F.col("category_id") == 0)
@@ -321,45 +355,62 @@ def upsert_menu_items(menu_items: DataFrame, requests: DataFrame) -> Change:
               .when(price.isNull(), "bad_price"))
     r = r.withColumn("reason", reason)
     ok = r.filter(F.col("reason").isNull()).select(
-        F.coalesce("item_id", new_key(F.lit("item"), "item_name", "category_id", "price")).alias("item_id"),
-        F.col("item_id").isNull().alias("_insert"),
+        "item_id", "ts",
         name.alias("item_name"), F.col("category_id").cast("int").alias("category_id"),
         price.cast(PRICE).alias("price"),
         F.when(F.col("image_url") != "", F.col("image_url")).alias("image_url"),
         F.when(F.col("description") != "", F.col("description")).alias("description"),
         coerce_bool("is_available").alias("is_available"))
-    updates = ok.filter(~F.col("_insert"))
-    unknown = updates.join(menu_items.select("item_id"), "item_id", "left_anti")
-    updates = updates.join(menu_items.select("item_id"), "item_id", "left_semi")
-    changed = updates.unionByName(ok.filter(F.col("_insert"))).select(*menu_items.columns)
+    changed, unknown, taken = _upserted(menu_items, ok, "item_id", F.col("item_id"), "item")
     snap = menu_items.join(changed.select("item_id"), "item_id", "left_anti").unionByName(changed)
     rejects = r.filter(F.col("reason").isNotNull()).select("item_id", "item_name", "reason") \
-        .unionByName(unknown.select("item_id", "item_name", F.lit("not_found").alias("reason")))
+        .unionByName(unknown.select("item_id", "item_name", F.lit("not_found").alias("reason"))) \
+        .unionByName(taken.select("item_id", "item_name", F.lit("key_collision").alias("reason")))
     return Change({"menu_items": snap}, rejects)
 
 
+def _upserted(table: DataFrame, ok: DataFrame, key: str, new_id: Column, kind: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Changed rows, replaces of unknown ids and inserts whose new id is taken, from checked
+    requests. The last replace per id wins (by `ts`, then by content); an insert's id hashes its
+    content and its number among equal inserts. `new_id` brings the hash (column `key`) to the id's range."""
+    content = [c for c in table.columns if c != key]
+    replaces = ok.filter(F.col(key).isNotNull())
+    last = replaces.groupBy(key).agg(F.max_by(F.struct(*content), F.struct("ts", *content)).alias("_last")).select(
+        key, "_last.*")
+    unknown = replaces.join(table.select(key), key, "left_anti")
+    last = last.join(table.select(key), key, "left_semi").select(*table.columns)
+    again = F.row_number().over(Window.partitionBy(*content).orderBy("ts"))
+    inserts = ok.filter(F.col(key).isNull()).withColumn("_again", again).withColumn(
+        key, new_key(F.lit(kind), *content, "_again")).withColumn(key, new_id)
+    holder = inserts.groupBy(key).agg(F.min(F.struct(*content, "_again")).alias("_holder"))
+    inserts = inserts.join(holder, key).join(table.select(key).withColumn("_known", F.lit(True)), key, "left")
+    free = F.col("_known").isNull() & F.struct(*content, "_again").eqNullSafe(F.col("_holder"))
+    return last.unionByName(inserts.filter(free).select(*table.columns)), unknown, inserts.filter(~free)
+
+
 def upsert_categories(menu_category: DataFrame, requests: DataFrame) -> Change:
-    """Trimmed non-empty names; insert (no id) or rename (known id)."""
+    """Trimmed non-empty names; insert (no id) or rename (known id). The last rename of a
+    category (by `ts`, then by name) wins."""
     name = F.trim("category_name")
-    r = requests.withColumn("reason", F.when(name.isNull() | (name == ""), "missing_name"))
-    ok = r.filter(F.col("reason").isNull()).select(
-        F.coalesce(F.col("category_id"), (new_key(F.lit("category"), name) % F.lit(2**31 - 1)).cast("int"))
-        .alias("category_id"), name.alias("category_name"), F.col("category_id").isNull().alias("_insert"))
-    renames = ok.filter(~F.col("_insert"))
-    unknown = renames.join(menu_category.select("category_id"), "category_id", "left_anti")
-    renames = renames.join(menu_category.select("category_id"), "category_id", "left_semi")
-    changed = renames.unionByName(ok.filter(F.col("_insert"))).select("category_id", "category_name")
+    r = optional(requests, "ts", "timestamp_ntz").withColumn(
+        "reason", F.when(name.isNull() | (name == ""), "missing_name"))
+    ok = r.filter(F.col("reason").isNull()).select("category_id", "ts", name.alias("category_name"))
+    changed, unknown, taken = _upserted(menu_category.select("category_id", "category_name"), ok, "category_id",
+                                        (F.col("category_id") % F.lit(2**31 - 1)).cast("int"), "category")
     snap = menu_category.join(changed.select("category_id"), "category_id", "left_anti").unionByName(changed)
     rejects = r.filter(F.col("reason").isNotNull()).select("category_id", "category_name", "reason") \
-        .unionByName(unknown.select("category_id", "category_name", F.lit("not_found").alias("reason")))
+        .unionByName(unknown.select("category_id", "category_name", F.lit("not_found").alias("reason"))) \
+        .unionByName(taken.select("category_id", "category_name", F.lit("key_collision").alias("reason")))
     return Change({"menu_category": snap}, rejects)
 
 
 def set_birth_dates(customers: DataFrame, requests: DataFrame, as_of) -> Change:
-    """Apply valid dates of birth (V4); the last request per customer wins."""
-    r = requests.select("customer_id", "dob").withColumn("reason", Q.dob_reason("dob", as_of))
+    """Apply valid dates of birth (V4); the last request per customer (by `ts`, then by date) wins."""
+    r = optional(requests, "ts", "timestamp_ntz").select("customer_id", "dob", "ts").withColumn(
+        "reason", Q.dob_reason("dob", as_of))
     ok = r.filter(F.col("reason").isNull()).groupBy("customer_id").agg(
-        F.max_by(F.to_date("dob"), "dob").alias("_dob"))
+        F.max_by(F.to_date("dob"), F.struct("ts", "dob")).alias("_dob"))
+    r = r.drop("ts")
     known = ok.join(customers.select("customer_id"), "customer_id", "left_semi")
     unknown = ok.join(customers.select("customer_id"), "customer_id", "left_anti") \
         .select("customer_id", F.col("_dob").cast("string").alias("dob"), F.lit("not_found").alias("reason"))
@@ -371,7 +422,8 @@ def set_birth_dates(customers: DataFrame, requests: DataFrame, as_of) -> Change:
 def record_payments(orders: DataFrame, payments: DataFrame, verified: DataFrame) -> Change:
     """Append verified online payments for orders owned by the payer; amount is
     the order's total. Refusals: 'missing_field', 'not_found' (no such order),
-    'unauthorized' (someone else's order). The gateway signature check is outside the data."""
+    'unauthorized' (someone else's order), 'already_recorded' (the order has a payment with
+    this reference, or the batch an earlier one). The gateway signature check is outside the data."""
     v = verified.select("order_id", "customer_id", "razorpay_payment_id", "ts")
     o = orders.select("order_id", F.col("customer_id").alias("_owner"), "total_amount")
     j = v.join(o, "order_id", "left")
@@ -380,7 +432,13 @@ def record_payments(orders: DataFrame, payments: DataFrame, verified: DataFrame)
               .when(F.col("total_amount").isNull() & F.col("_owner").isNull(), "not_found")
               .when(F.col("_owner").isNull() | (F.col("_owner") != F.col("customer_id")), "unauthorized"))
     j = j.withColumn("reason", reason)
-    ok = j.filter(F.col("reason").isNull())
+    keys = ["order_id", "razorpay_payment_id"]
+    known = payments.select(*keys).filter(F.col("razorpay_payment_id").isNotNull()).distinct().withColumn("_known", F.lit(True))
+    fine = j.filter(F.col("reason").isNull()).join(known, keys, "left")
+    again = F.row_number().over(Window.partitionBy(*keys).orderBy("ts"))
+    fine = fine.withColumn("reason", F.when(F.col("_known") | (again > 1), F.lit("already_recorded"))).drop("_known")
+    j = j.filter(F.col("reason").isNotNull()).unionByName(fine.filter(F.col("reason").isNotNull()))
+    ok = fine.filter(F.col("reason").isNull())
     new = ok.select(new_key(F.lit("payment"), "razorpay_payment_id", "order_id").alias("payment_id"), "order_id",
                     F.col("total_amount").alias("amount"), F.lit("completed").alias("payment_status"),
                     F.lit("razorpay").alias("payment_method"), "razorpay_payment_id",

@@ -108,9 +108,11 @@ def ratings_listing(t: Tables) -> DataFrame:
     """Ratings with customer, item and category, newest first; kind and stars."""
     c = t.customers.select("customer_id", F.col("name").alias("customer_name"),
                            F.col("phone").alias("customer_phone"))
-    items = t.menu_items.select("item_id", "item_name", F.col("image_url").alias("item_image"), "category_id")
     cat = t.menu_category.select("category_id", F.col("category_name").alias("item_category"))
-    r = t.ratings.join(c, "customer_id").join(items, "item_id", "left").join(cat, "category_id", "left")
+    # the category goes to the items first, so ratings are never dealt by its few values
+    items = t.menu_items.select("item_id", "item_name", F.col("image_url").alias("item_image"), "category_id").join(
+        cat, "category_id", "left").drop("category_id")
+    r = t.ratings.join(c, "customer_id").join(items, "item_id", "left")
     return r.select(
         "rating_id", "customer_id", "order_id", "rating_value", "review_text", "item_id", "created_at",
         "customer_name", "customer_phone", "item_name", "item_image", "item_category",
@@ -135,7 +137,7 @@ def ratings_summary(ratings: DataFrame, as_of=None) -> DataFrame:
     return out.select(
         "total_ratings",
         F.coalesce(avg, F.lit(0.0)).alias("average_rating"),
-        S.fixed(F.coalesce(S.round_half_up_ratio("_sum", "_n", 2), F.lit(0.0)), 2).alias("average_rating_text"),
+        S.fixed(F.coalesce(avg, F.lit(0.0)), 2).alias("average_rating_text"),
         "five_star", "four_star", "three_star", "two_star", "one_star",
         "today_ratings", "week_ratings", "with_review")
 
@@ -202,21 +204,19 @@ def ordered_items(t: Tables, customer_id: int | None = None) -> DataFrame:
     # The exists flag joins on (customer, item), the key `per` is already partitioned by:
     # done first, it costs no reshuffle of `per`.
     per = exists_flag(per, t.ratings, ["customer_id", "item_id"], "already_rated")
-    items = t.menu_items.select("item_id", "item_name", "price", "image_url", "description", "category_id")
-    j = per.join(items, "item_id").join(t.menu_category, "category_id", "left")
+    items = t.menu_items.select("item_id", "item_name", "price", "image_url", "description", "category_id").join(
+        t.menu_category, "category_id", "left")
+    j = per.join(items, "item_id")
     return j.select("customer_id", "item_id", "item_name", S.money("price").alias("price"), "image_url",
                     "description", "category_name", "times_ordered", "last_ordered", "already_rated") \
         .orderBy(F.col("customer_id"), F.col("last_ordered").desc_nulls_first(), F.col("item_id"))
 
 
-def recent_reviews(t: Tables, limit: int | None = 10, offset: int | None = 0, item_id=None,
-                   check_fk: bool = False) -> DataFrame:
+def recent_reviews(t: Tables, limit: int | None = 10, offset: int | None = 0, item_id=None) -> DataFrame:
     """Latest non-empty reviews with masked phone (F9), one page, optional item.
 
-    ratings.customer_id is NOT NULL with an FK to customers, so the inner join
-    drops nothing: the newest offset+limit reviews are cut first (a top-k)
-    and broadcast into the customer and item joins, which then only probe.
-    ``check_fk=True`` joins every review instead.
+    Reviews meet their customers (inner join), the page is cut, and only the page meets the
+    items: a left join on their key cannot drop or add rows.
     """
     limit, offset = limit or 10, offset or 0
     r = t.ratings.filter(non_empty("review_text"))
@@ -224,24 +224,12 @@ def recent_reviews(t: Tables, limit: int | None = 10, offset: int | None = 0, it
     if cond is not None:
         r = r.filter(cond)
     order = [F.col("created_at").desc_nulls_first(), F.col("rating_id").desc()]
-    if not check_fk:
-        r = F.broadcast(r.filter(F.col("customer_id").isNotNull()).orderBy(*order).limit(limit + offset))
     c = t.customers.select("customer_id", F.col("name").alias("customer_name"), "phone")
     items = t.menu_items.select("item_id", "item_name", F.col("image_url").alias("item_image"))
-    j = c.join(r, "customer_id")
-    if check_fk:
-        j = j.join(items, "item_id", "left")
-    else:
-        # The page is the broadcast (inner) side: menu_items is probed. Under the
-        # FK an item rating's item exists; order ratings keep NULL item columns.
-        rated = items.join(F.broadcast(j.filter(F.col("item_id").isNotNull())), "item_id")
-        unrated = j.filter(F.col("item_id").isNull()).withColumn("item_name", F.lit(None).cast("string")) \
-            .withColumn("item_image", F.lit(None).cast("string"))
-        j = rated.unionByName(unrated)
-    j = j.select(
+    shown = page(r.join(c, "customer_id"), order, limit, offset)
+    return shown.join(items, "item_id", "left").select(
         "rating_id", "customer_id", "rating_value", "review_text", "item_id", "created_at",
-        "customer_name", S.mask_phone("phone").alias("masked_phone"), "item_name", "item_image")
-    return page(j, order, limit, offset)
+        "customer_name", S.mask_phone("phone").alias("masked_phone"), "item_name", "item_image").orderBy(*order)
 
 
 def table_availability(orders: DataFrame, as_of=None, tables=DEFAULT_TABLES) -> DataFrame:

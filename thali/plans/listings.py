@@ -24,35 +24,24 @@ from thali.operators.aggregates import canonical_text, nested_array, repeat_arra
 from thali.operators.ordering import oldest_first, page, top_k_per_group
 from thali.sources.model import Tables
 
+#: Ids of a page's orders are broadcast up to this many.
+MAX_BROADCAST_IDS = 100_000
+
 LISTING_ITEM_FIELDS = ("order_item_id", "quantity", "price", "item_name")
 HISTORY_ITEM_FIELDS = ("order_item_id", "quantity", "price", "item_name", "image_url")
 
 
-def named_lines(t: Tables, orders: DataFrame | None = None, page: bool = False) -> DataFrame:
-    """order_items LEFT JOIN menu_items, optionally only for the given orders (semi-join).
-
-    With ``page=True`` the orders are a bounded page, so their lines are
-    bounded too (the 10 MB request limit caps lines per order) and are
-    broadcast into the item join: the items table is probed, not shuffled.
-    A broadcast side must be the inner one, so under the FK
-    order_items.item_id → menu_items the page uses an inner join and keeps
-    lines without an item id as they are.
-    """
+def named_lines(t: Tables, orders: DataFrame | None = None) -> DataFrame:
+    """order_items LEFT JOIN menu_items, optionally only for the given orders (semi-join)."""
     lines = t.order_items.select("order_id", "order_item_id", "quantity", "price", "item_id")
     if orders is not None:
         lines = lines.join(orders.select("order_id"), "order_id", "left_semi")
-    items = t.menu_items.select("item_id", "item_name", "image_url")
-    if page:
-        known = items.join(F.broadcast(lines.filter(F.col("item_id").isNotNull())), "item_id")
-        unknown = lines.filter(F.col("item_id").isNull()).withColumn("item_name", F.lit(None).cast("string")) \
-            .withColumn("image_url", F.lit(None).cast("string"))
-        return known.unionByName(unknown)
-    return lines.join(items, "item_id", "left")
+    return lines.join(t.menu_items.select("item_id", "item_name", "image_url"), "item_id", "left")
 
 
 def item_arrays(t: Tables, fields=LISTING_ITEM_FIELDS, sort_by: str | None = "item_name",
-                orders: DataFrame | None = None, page: bool = False) -> DataFrame:
-    return nested_array(named_lines(t, orders, page), "order_id", list(fields), sort_by=sort_by)
+                orders: DataFrame | None = None) -> DataFrame:
+    return nested_array(named_lines(t, orders), "order_id", list(fields), sort_by=sort_by)
 
 
 def payment_groups(t: Tables, with_ref: bool) -> DataFrame:
@@ -101,7 +90,7 @@ def nest_items_into(rows: DataFrame, lines: DataFrame, fields, sort_by: str = "i
 
 def orders_listing(t: Tables, status: str | None = None, date_filter: str | None = None,
                    view_type: str = "active", limit: int = 50, offset: int = 0, as_of=None,
-                   orders: DataFrame | None = None, check_fk: bool = False) -> DataFrame:
+                   orders: DataFrame | None = None) -> DataFrame:
     """The admin order listing: filters, newest first, one page, nested items.
 
     Faithful: `view_type` other than 'active' means no filter (Q6); 'active'
@@ -109,11 +98,8 @@ def orders_listing(t: Tables, status: str | None = None, date_filter: str | None
     order with several payments gives several rows (Q3). Ties on created_at are
     broken by order_id, newest first.
 
-    Every order with a customer yields at least one row, and the FK
-    orders.customer_id → customers (checked by ``quality.fk_orphans``) means
-    every non-NULL customer exists; so the page's rows come from the first
-    offset+limit orders, which are cut first (a top-k) and only they meet
-    customers and payments. ``check_fk=True`` joins every order instead.
+    An order that has its customer (inner join) yields at least one row, so the page's rows
+    come from the first offset+limit such orders; only they meet payments and lines.
     """
     o = orders if orders is not None else t.orders
     preds = []
@@ -134,27 +120,16 @@ def orders_listing(t: Tables, status: str | None = None, date_filter: str | None
              F.col("razorpay_payment_id").asc_nulls_last()]
     cols = ["order_id", "customer_id", "customer_name", "customer_phone", "table_number", "total_amount",
             "status", "created_at", "payment_status", "payment_method", "razorpay_payment_id", "_k"]
-    if check_fk:
-        rows = o.join(c, "customer_id").join(payment_groups(t, with_ref=True), "order_id", "left").select(*cols)
-        rows = page(rows, order, limit, offset)
-        arrays = item_arrays(t, LISTING_ITEM_FIELDS, sort_by="item_name", orders=F.broadcast(rows.select("order_id")),
-                             page=True)
-        return attach_items(rows, arrays, LISTING_ITEM_FIELDS)
-    # The ids of the first offset+limit orders: a proven bound, broadcast into
-    # every join below, so orders, customers, payments and lines are only
-    # probed. All three consumers use the same broadcast plan, which Spark
-    # builds once and reuses.
-    ids = F.broadcast(o.filter(F.col("customer_id").isNotNull()).orderBy(
-        F.col("created_at").desc_nulls_first(), F.col("order_id").desc())
-        .limit(int(offset) + int(limit)).select("order_id"))
-    first = o.join(ids, "order_id", "left_semi")
+    rows_needed = int(offset) + int(limit)
+    first = o.join(c, "customer_id").orderBy(*order[:2]).limit(rows_needed)
+    # offset + limit ids: broadcast while that is a small number, however large the tables
+    ids = first.select("order_id")
+    ids = F.broadcast(ids) if rows_needed <= MAX_BROADCAST_IDS else ids
     pay_cols = ["order_id", "payment_status", "payment_method", "razorpay_payment_id"]
     pays = t.payments.select(*pay_cols).join(ids, "order_id", "left_semi") \
         .groupBy(*pay_cols).agg(F.count(F.lit(1)).alias("_k"))
-    rows = c.join(F.broadcast(first), "customer_id").join(pays, "order_id", "left").select(*cols)
-    rows = page(rows, order, limit, offset)
-    arrays = item_arrays(t, LISTING_ITEM_FIELDS, sort_by="item_name", orders=ids, page=True)
-    return attach_items(rows, arrays, LISTING_ITEM_FIELDS)
+    rows = page(first.join(pays, "order_id", "left").select(*cols), order, limit, offset)
+    return attach_items(rows, item_arrays(t, LISTING_ITEM_FIELDS, sort_by="item_name", orders=ids), LISTING_ITEM_FIELDS)
 
 
 def customer_orders_nested(t: Tables, customer_id: int | None = None) -> DataFrame:

@@ -20,13 +20,13 @@ m_customers AS (
                              CAST(1 + c_custkey % 28 AS INT)) END AS dob
   FROM customer),
 m_menu_items AS (
-  SELECT p_partkey AS item_id, p_name AS item_name, CAST(substr(p_brand, 7) AS INT) AS category_id,
+  SELECT p_partkey AS item_id, p_name AS item_name, CASE WHEN p_partkey % 31 <> 0 THEN CAST(substr(p_brand, 7) AS INT) END AS category_id,
          CAST(p_retailprice AS DECIMAL(10,2)) AS price, 'img/' || CAST(p_partkey AS VARCHAR) || '.jpg' AS image_url,
          p_type AS description, p_size % 7 <> 0 AS is_available
   FROM part),
 m_menu_category AS (
   SELECT DISTINCT CAST(substr(p_brand, 7) AS INT) AS category_id, p_brand AS category_name
-  FROM part WHERE CAST(substr(p_brand, 7) AS INT) <= 20),
+  FROM part),
 m_orders AS (
   SELECT o_orderkey AS order_id, o_custkey AS customer_id, 'T-' || CAST(1 + o_orderkey % 5 AS VARCHAR) AS table_number,
          CAST(o_totalprice AS DECIMAL(12,2)) AS total_amount,
@@ -90,8 +90,8 @@ def period_sql(col: str, period: str | None, as_of: str) -> str:
     return ""
 
 
-# Canonical text of a nested item array: sorted 'f1|f2|…' pieces joined by ';'.
+# Text of a nested item array: 'f1|f2|…' pieces joined by ';', by item name (NULL last), then line.
 def items_text_sql(fields: list[str], alias: str = "items_text") -> str:
     piece = " || '|' || ".join(f"COALESCE(CAST({f} AS VARCHAR), '~')" for f in fields)
-    return (f"COALESCE(string_agg({piece}, ';' ORDER BY {piece}) FILTER (WHERE li.order_item_id IS NOT NULL), '')"
+    return (f"COALESCE(string_agg({piece}, ';' ORDER BY it.item_name NULLS LAST, li.order_item_id, li.quantity, li.price) FILTER (WHERE li.order_item_id IS NOT NULL), '')"
             f" AS {alias}, count(li.order_item_id) AS n_items")

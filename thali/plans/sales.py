@@ -4,10 +4,9 @@ Plan shape shared by the item reports: lines are reduced to one row per item
 by a partial+final hash aggregate *before* any dimension join, so the joins
 see one row per item instead of one per line, and a hot item costs one row
 per map partition (map-side combine). A period filter is applied to `orders`
-first and enters as a semi-join; with no period filter the join is skipped
-because the schema's FK (order_items.order_id → orders, checked by
-``quality.fk_orphans``) guarantees every line has its order, unless
-``check_fk=True`` asks to keep it.
+first and enters as a semi-join, which also drops lines without an order, as the
+reference's inner join does. Parquet enforces no foreign keys; where they are known to
+hold (``quality.fk_orphans``), ``check_fk=False`` skips joins that would drop nothing.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ from thali.sources.model import Tables
 import datetime as dt
 
 
-def lines_in_period(t: Tables, period: str | None, as_of, check_fk: bool = False) -> DataFrame:
+def lines_in_period(t: Tables, period: str | None, as_of, check_fk: bool = True) -> DataFrame:
     """Order lines whose order falls in the period (inner join to orders, as a semi-join).
 
     On the partitioned layout, lines carry their order's time
@@ -32,11 +31,12 @@ def lines_in_period(t: Tables, period: str | None, as_of, check_fk: bool = False
     """
     lines = t.order_items.select("order_id", "item_id", "quantity", "price")
     pred = period_predicate("created_at", period, as_of)
-    if pred is None and not check_fk:
-        return lines.filter(F.col("order_id").isNotNull())
-    if pred is not None and not check_fk and "order_created_at" in t.order_items.columns:
+    if "order_created_at" in t.order_items.columns:
+        # written from the join with orders: a line has a time if its order exists
         return period_filter(t.order_items, "order_created_at", period, as_of) \
-            .filter(F.col("order_id").isNotNull()).select("order_id", "item_id", "quantity", "price")
+            .filter(F.col("order_created_at").isNotNull()).select("order_id", "item_id", "quantity", "price")
+    if pred is None and not check_fk:
+        return lines
     orders = t.orders.select("order_id", "created_at")
     if pred is not None:
         orders = orders.filter(pred)
@@ -50,24 +50,21 @@ def item_sales(lines: DataFrame) -> DataFrame:
         F.sum(F.col("quantity") * F.col("price")).alias("total_revenue"))
 
 
-def items_with_category(t: Tables) -> DataFrame:
-    """menu_items LEFT JOIN menu_category. No hint: a menu's categories are few and AQE
-    broadcasts them after measuring them at runtime."""
-    return t.menu_items.join(t.menu_category, "category_id", "left")
-
-
 def best_sellers(t: Tables, period: str | None = "all", as_of=None, limit: int | None = 10,
-                 check_fk: bool = False) -> DataFrame:
-    """R2: items by quantity sold in the period, with revenue and category; top `limit`."""
+                 check_fk: bool = True) -> DataFrame:
+    """R2: items by quantity sold in the period, with revenue and category; top `limit`.
+
+    Sold items meet the menu first (inner join, one row per item), then the top `limit` is
+    cut, and only that meets the categories: a left join on their key cannot drop or add rows.
+    """
     limit = limit or 10
     sales = item_sales(lines_in_period(t, period, as_of, check_fk))
+    order = [F.col("total_quantity_sold").desc_nulls_first(), F.col("item_id").asc()]
     if not check_fk:
-        # FK order_items.item_id → menu_items: every sold item exists, so the
-        # top `limit` can be cut before the item join (which then sees `limit` rows).
-        # The cut is at most `limit` rows: broadcast, so menu_items is probed, not shuffled.
-        sales = F.broadcast(top_k(sales.filter(F.col("item_id").isNotNull()),
-                                  [F.col("total_quantity_sold").desc_nulls_first(), F.col("item_id").asc()], limit))
-    rows = items_with_category(t).join(sales, "item_id").select(
+        # every sold item is known to exist: the cut comes first and menu_items is only probed
+        sales = F.broadcast(top_k(sales.filter(F.col("item_id").isNotNull()), order, limit))
+    sold = top_k(t.menu_items.join(sales, "item_id"), order, limit)
+    rows = sold.join(t.menu_category, "category_id", "left").select(
         "item_id", F.col("item_name").alias("name"), money("price").alias("price"),
         F.coalesce("category_name", F.lit("Uncategorized")).alias("category"), "image_url",
         F.col("total_quantity_sold").cast("long").alias("total_quantity_sold"),
@@ -84,10 +81,13 @@ def worst_sellers(t: Tables, period: str | None = "all", as_of=None, limit: int
     ``corrected=True`` counts only lines of orders in the period.
     """
     limit = limit or 10
-    lines = lines_in_period(t, period if corrected else None, as_of)
+    # faithful: orders are outer-joined, so a line without an order counts
+    lines = lines_in_period(t, period if corrected else None, as_of, check_fk=corrected)
     sales = item_sales(lines)
-    items = items_with_category(t).filter(F.col("is_available"))
-    rows = items.join(sales, "item_id", "left").select(
+    sold = F.coalesce("total_quantity_sold", F.lit(0))
+    items = top_k(t.menu_items.filter(F.col("is_available")).join(sales, "item_id", "left"),
+                  [sold.asc(), F.col("item_id").asc()], limit)
+    rows = items.join(t.menu_category, "category_id", "left").select(
         "item_id", F.col("item_name").alias("name"), money("price").alias("price"),
         F.coalesce("category_name", F.lit("Uncategorized")).alias("category"), "image_url",
         F.coalesce("total_quantity_sold", F.lit(0)).cast("long").alias("total_quantity_sold"),
@@ -142,9 +142,11 @@ def payment_method_mix(t: Tables, period: str | None = "all", as_of=None, correc
     its latest payment.
     """
     orders = period_filter(t.orders.select("order_id", "total_amount", "created_at"), "created_at", period, as_of)
-    pays = t.payments.select("order_id", "payment_method", "payment_id")
+    pays = t.payments.select("order_id", "payment_method", "payment_id", "created_at")
     if corrected:
-        pays = pays.groupBy("order_id").agg(F.max_by("payment_method", "payment_id").alias("payment_method"))
+        pays = pays.groupBy("order_id").agg(
+            F.max_by("payment_method", F.struct("created_at", "payment_id")).alias("payment_method"))
+    pays = pays.select("order_id", "payment_method")
     joined = orders.join(pays, "order_id", "left")
     label = F.coalesce("payment_method", F.lit("cash"))
     if corrected:
@@ -176,12 +178,11 @@ def sales_overview(orders: DataFrame, period: str | None = "all", as_of=None) ->
 
 
 def top_customers(t: Tables, period: str | None = "all", as_of=None, limit: int = 20,
-                  check_fk: bool = False) -> DataFrame:
+                  check_fk: bool = True) -> DataFrame:
     """The biggest spenders in the period with order count and last order.
 
-    Orders are reduced per customer first; under the FK orders.customer_id →
-    customers the top `limit` is cut before the join, which then sees only
-    `limit` rows (``check_fk=True`` joins all).
+    Orders are reduced per customer before the join. ``check_fk=False`` (customers known to
+    exist) cuts the top `limit` first, so the join sees only `limit` rows.
     """
     o = period_filter(t.orders.select("order_id", "customer_id", "total_amount", "created_at"),
                       "created_at", period, as_of)

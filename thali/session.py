@@ -7,6 +7,7 @@ takes DataFrames. ``get_spark`` is for tests, the bench and local runs only.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -43,17 +44,20 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by the cluster.
+    """Return the shared checkpoint folder that the cluster names, by ``setCheckpointDir`` or by
+    ``spark.checkpoint.dir``, and use it for checkpoints.
 
-    On a cluster ``spark.checkpoint.dir`` points at shared storage and is used
-    as is. Only when it is unset (local tests) do we create a scratch folder.
+    Only a local session (one machine) may go without: it gets a scratch folder of its own.
+    On a cluster a missing setting is an error, never a folder that only the driver sees.
     """
-    current = spark.conf.get(CHECKPOINT_CONF, None)
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir() or spark.conf.get(CHECKPOINT_CONF, None)
     if not current:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError(f"name a shared folder in {CHECKPOINT_CONF}")
         current = tempfile.mkdtemp(prefix="thali-ckpt-")
-        spark.conf.set(CHECKPOINT_CONF, current)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(current)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(current)
     return current
 
 

@@ -61,6 +61,18 @@ def read_snapshot(spark: SparkSession, table: str, version: int, base: str | Non
     return spark.read.parquet(f"{root}/{table}/v={version:010d}")
 
 
+def newest_snapshot(spark: SparkSession, table: str, base: str | None = None) -> DataFrame:
+    """The newest complete version of a table: the greatest one whose writer left its
+    ``_SUCCESS`` marker. A version that is being written, or whose writer died, is passed over."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{base or scratch_path(spark, 'snapshots')}/{table}")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, "v=*/_SUCCESS"))
+    done = sorted(x.getPath().getParent().toString() for x in found or [])
+    if not done:
+        raise FileNotFoundError(f"no complete version of {table}")
+    return spark.read.parquet(done[-1])
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint on the shared checkpoint folder (survives executor loss).
 

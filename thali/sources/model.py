@@ -22,9 +22,6 @@ from thali.sources.schema import MONEY, PRICE
 ORDERS_AS_OF = "2001-08-01"
 EVENTS_AS_OF = "2024-01-30"
 
-# Categories above this id stay uncategorised (their items keep a dangling id).
-MAX_CATEGORY_ID = 20
-
 
 def _i(c: Column) -> Column:
     return c.cast("int")
@@ -50,7 +47,7 @@ def bind_menu_items(part: DataFrame) -> DataFrame:
     return part.select(
         k.alias("item_id"),
         F.col("p_name").alias("item_name"),
-        _category_id().alias("category_id"),
+        F.when(k % 31 != 0, _category_id()).alias("category_id"),
         F.col("p_retailprice").cast(PRICE).alias("price"),
         F.concat(F.lit("img/"), k.cast("string"), F.lit(".jpg")).alias("image_url"),
         F.col("p_type").alias("description"),
@@ -59,11 +56,8 @@ def bind_menu_items(part: DataFrame) -> DataFrame:
 
 
 def bind_menu_category(part: DataFrame) -> DataFrame:
-    # At most MAX_CATEGORY_ID rows by construction: the id is filtered to 1..20
-    # and the brand name is a function of the id.
-    return (part.select(_category_id().alias("category_id"), F.col("p_brand").alias("category_name"))
-            .filter(F.col("category_id") <= MAX_CATEGORY_ID)
-            .distinct())
+    # One category per brand; the brand name is a function of the id.
+    return part.select(_category_id().alias("category_id"), F.col("p_brand").alias("category_name")).distinct()
 
 
 def order_status(key: Column, orderstatus: Column) -> Column:

@@ -28,15 +28,14 @@ def status_updates(t: Tables) -> DataFrame:
 
 
 def cash_marks(t: Tables) -> DataFrame:
-    """Orders marked paid in cash: purchase events point at order event_id * 2
+    """Orders marked paid in cash: every event points at order event_id * 2
     (known orders without, with one and with two payments, and unknown ones)."""
-    e = t.raw("events").filter(F.col("event_type") == "purchase")
-    return e.select((F.col("event_id") * 2).alias("order_id"))
+    return t.raw("events").select((F.col("event_id") * 2).alias("order_id"))
 
 
 def cancellations(t: Tables) -> DataFrame:
-    """Every 11th order is asked to be cancelled; a third of the asks come from the wrong customer."""
-    o = t.raw("orders").filter(F.col("o_orderkey") % 11 == 0)
+    """Every order is asked to be cancelled; a third of the asks come from the wrong customer."""
+    o = t.raw("orders")
     k = F.col("o_orderkey")
     return o.select(k.alias("order_id"),
                     F.when(k % 3 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")).alias("customer_id"))
@@ -57,16 +56,27 @@ def rating_submissions(t: Tables) -> DataFrame:
         F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
+def bought_ratings(t: Tables) -> DataFrame:
+    """Every order line as a rating of its item by the customer, at the order's time."""
+    o = t.orders.select("order_id", "customer_id", "created_at")
+    rating = (1 + (F.col("customer_id") + F.col("item_id")) % 5).cast("int")
+    return t.order_items.select("order_id", "item_id").join(o, "order_id").select(
+        "customer_id", "item_id", F.lit(None).cast("long").alias("order_id"), rating.alias("rating"),
+        F.lit("as ordered").alias("review_text"), F.col("created_at").alias("ts"))
+
+
 def birth_dates(t: Tables) -> DataFrame:
-    """One date-of-birth text per customer: years 1890..2039, days 1..31 (some
-    impossible), every 13th text malformed."""
-    c = t.raw("customer")
-    k = F.col("c_custkey")
+    """Two date-of-birth texts per customer, an hour apart: years 1890..2039, days 1..31 (some
+    impossible), every 13th text malformed; the second lies 7 years before the first."""
+    hours = F.explode(F.array(F.lit(0), F.lit(1))).alias("hour")
+    c = t.raw("customer").select("c_custkey", hours)
+    n, k = F.col("c_custkey"), F.col("c_custkey") - 7 * F.col("hour") + 7
     text = F.concat_ws("-", F.lpad((1890 + k % 150).cast("string"), 4, "0"),
                        F.lpad((1 + k % 12).cast("string"), 2, "0"),
                        F.lpad((1 + k % 31).cast("string"), 2, "0"))
-    text = F.when(k % 13 == 0, F.concat(F.lit("dob "), k.cast("string"))).otherwise(text)
-    return c.select(k.alias("customer_id"), text.alias("dob"))
+    text = F.when(n % 13 == 0, F.concat(F.lit("dob "), n.cast("string"))).otherwise(text)
+    at = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_interval(hours=F.col("hour"))
+    return c.select(n.alias("customer_id"), text.alias("dob"), at.alias("ts"))
 
 
 def menu_item_requests(t: Tables) -> DataFrame:
@@ -105,8 +115,3 @@ def carts(t: Tables) -> DataFrame:
                    F.array().cast("array<struct<item_id:bigint,quantity:int,price:decimal(10,2)>>")).alias("items"),
         F.when(k % 89 == 0, F.concat(F.lit("pay_"), k.cast("string"))).alias("pay_ref"))
 
-
-def client_requests(t: Tables) -> DataFrame:
-    """Rate-limited requests: one per event, the user as client."""
-    e = t.raw("events")
-    return e.select(F.col("user_id").cast("string").alias("client"), F.col("ts").cast("timestamp").alias("ts"))

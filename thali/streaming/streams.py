@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from thali.functions.predicates import as_date, ts_literal
+from thali.functions.predicates import ts_literal
+from thali.session import ship_package
 from thali.sources.schema import OPEN_STATUSES
 
+
 def event_time(df: DataFrame, col: str = "ts") -> DataFrame:
     """Watermarks need TIMESTAMP; zone-less times are cast in the session zone."""
     if isinstance(df.schema[col].dataType, T.TimestampNTZType):
@@ -67,12 +69,13 @@ def attempt_limits(attempts: DataFrame, max_attempts: int = 5, lifetime: str = "
 
     Each attempt carries its code's issue time (`issued_at`) and its own time
     (`ts`). Grouping by (key, issued_at) with the watermark on `issued_at`
-    drops a code's state once the watermark passes its issue time plus the
-    delay; attempts after the code's lifetime do not count (they are refused
+    drops a code's state once the watermark passes its issue time plus its
+    lifetime and the delay (attempts come that much later than the issue they are
+    grouped by); attempts after the code's lifetime do not count (they are refused
     as expired by the reference, not as over-limit).
     """
     a = event_time(event_time(attempts.select(key, "issued_at", "ts"), "issued_at"), "ts") \
-        .withWatermark("issued_at", delay)
+        .withWatermark("issued_at", f"{lifetime} {delay}")
     live = a.filter((F.col("ts") >= F.col("issued_at")) & (F.col("ts") < F.col("issued_at") + F.expr(f"INTERVAL {lifetime}")))
     counts = live.groupBy(key, "issued_at").agg(F.count(F.lit(1)).alias("attempts"))
     return counts.filter(F.col("attempts") > max_attempts).select(
@@ -119,6 +122,7 @@ def rate_limit(requests: DataFrame, window_seconds: int = 900, max_requests: int
     Keyed state holds one (window start, hits) row per active client and is
     dropped when the watermark passes the window's end.
     """
+    ship_package(requests.sparkSession)
     r = event_time(requests.select(F.col(key).alias("client"), F.col(ts).alias("ts")), "ts").withWatermark("ts", delay)
     out = r.groupBy("client").applyInPandasWithState(
         _limiter(window_seconds * 1000, max_requests), LIMIT_OUT, LIMIT_STATE, "append",
@@ -156,33 +160,39 @@ STATUS_STATE = T.StructType([
 ])
 
 
-def _track_status(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    order_id = key[0]
-    if state.hasTimedOut:
-        state.remove()
-        return
-    rows = pd.concat([b[["status", "ts"]] for b in batches], ignore_index=True)
-    if state.exists:
-        last_status, last_ts = state.get
-        rows = pd.concat([rows, pd.DataFrame({"status": [last_status], "ts": [last_ts]})], ignore_index=True)
-    # Latest update by (ts, status), vectorised.
-    latest = rows.sort_values(["ts", "status"], kind="mergesort").iloc[-1]
-    last_status, last_ts = latest["status"], latest["ts"]
-    is_open = last_status in OPEN_STATUSES
-    yield pd.DataFrame({"order_id": [order_id], "status": [last_status], "ts": [last_ts], "is_open": [is_open]})
-    # A finished order keeps its final state until the watermark passes its last update, so a
-    # late, earlier update cannot reopen it; an open order stays a day after its last update.
-    state.update((last_status, last_ts))
-    state.setTimeoutTimestamp(_ms(last_ts) + (24 * 3600 * 1000 if is_open else 0))
-
-
-def live_order_status(updates: DataFrame, delay: str = "1 hour") -> DataFrame:
+def _status_tracker(idle_ms: int):
+    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        order_id = key[0]
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat([b[["status", "ts"]] for b in batches], ignore_index=True)
+        if state.exists:
+            last_status, last_ts = state.get
+            rows = pd.concat([rows, pd.DataFrame({"status": [last_status], "ts": [last_ts]})], ignore_index=True)
+        # Latest update by (ts, status), vectorised.
+        latest = rows.sort_values(["ts", "status"], kind="mergesort").iloc[-1]
+        last_status, last_ts = latest["status"], latest["ts"]
+        is_open = last_status in OPEN_STATUSES
+        yield pd.DataFrame({"order_id": [order_id], "status": [last_status], "ts": [last_ts], "is_open": [is_open]})
+        # A finished order keeps its final state until the watermark passes its last update, so a
+        # late, earlier update cannot reopen it; an open order stays for the idle time after its last update.
+        state.update((last_status, last_ts))
+        state.setTimeoutTimestamp(_ms(last_ts) + (idle_ms if is_open else 0))
+
+    return step
+
+
+def live_order_status(updates: DataFrame, delay: str = "1 hour", idle_hours: float = 24) -> DataFrame:
     """The live queue — latest status per order (by time, out-of-order within the
     watermark allowed). A finished order (ready/completed/cancelled) is emitted with
-    is_open = false and leaves the state once the watermark passes its last update."""
+    is_open = false and leaves the state once the watermark passes its last update; an open
+    one leaves `idle_hours` after its last update, so state does not grow with orders that
+    are never closed (a later update of such an order is emitted as a new one)."""
+    ship_package(updates.sparkSession)
     u = event_time(updates.select("order_id", "status", "ts")).withWatermark("ts", delay)
     return u.groupBy("order_id").applyInPandasWithState(
-        _track_status, STATUS_OUT, STATUS_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+        _status_tracker(int(idle_hours * 3_600_000)), STATUS_OUT, STATUS_STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest_status_batch(updates: DataFrame) -> DataFrame:
@@ -195,9 +205,9 @@ def latest_status_batch(updates: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ T5
 
 SESSION_OUT = T.StructType([
-    T.StructField("session_pk", T.LongType()),
+    T.StructField("session_pk", T.StringType()),
     T.StructField("customer_id", T.LongType()),
-    T.StructField("event_id", T.LongType()),
+    T.StructField("event_id", T.StringType()),
     T.StructField("event_type", T.StringType()),
     T.StructField("ts", T.TimestampType()),
 ])
@@ -218,18 +228,19 @@ def _sessions_as_of(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.
                             "event_id": None, "event_type": None})
         rows = pd.concat([rows, old.astype({"ts": rows["ts"].dtype, "s_end": rows["s_end"].dtype})], ignore_index=True)
     # As-of, vectorised: in time order, each row sees the newest session so far (forward fill).
-    rows = rows.sort_values(["ts", "kind", "session_pk"], na_position="last", kind="mergesort")
+    rows["_order"] = pd.array([int(x) if isinstance(x, str) else None for x in rows["session_pk"]], dtype="Int64")
+    rows = rows.sort_values(["ts", "kind", "_order"], na_position="last", kind="mergesort")
     is_session = rows["kind"] == 0
     rows["cur_pk"] = rows["session_pk"].where(is_session).ffill()
     rows["cur_end"] = rows["s_end"].where(is_session).ffill()
     acts = rows[~is_session & rows["cur_pk"].notna() & (rows["ts"] < rows["cur_end"])]
     if len(acts):
-        yield pd.DataFrame({"session_pk": acts["cur_pk"].astype("int64"), "customer_id": owner,
+        yield pd.DataFrame({"session_pk": acts["cur_pk"], "customer_id": owner,
                             "event_id": acts["event_id"], "event_type": acts["event_type"], "ts": acts["ts"]})
     # Keep the sessions a later (in-watermark) row could still fall into; drop the state when none.
     watermark = state.getCurrentWatermarkMs()
     sessions = rows[is_session].drop_duplicates("session_pk")
-    keep = [[int(r.session_pk), _ms(r.ts), _ms(r.s_end)] for r in sessions.itertuples() if _ms(r.s_end) > watermark]
+    keep = [[r.session_pk, _ms(r.ts), _ms(r.s_end)] for r in sessions.itertuples() if _ms(r.s_end) > watermark]
     if keep:
         state.update((json.dumps(keep),))
         state.setTimeoutTimestamp(max(k[2] for k in keep))
@@ -245,20 +256,24 @@ def valid_session_activity(sessions: DataFrame, activity: DataFrame, delay: str
     watermark (bounded by time: a session leaves when the watermark passes its
     expiry), so rows may arrive out of order within the watermark delay and
     still meet the session an as-of join would give them; no pairs are formed.
+    Ids travel as text: a missing value would turn a pandas integer column into floating
+    point, which rounds ids above 2^53.
     """
+    ship_package(sessions.sparkSession)
     s = event_time(sessions.select(
         F.col("customer_id").alias("owner"), F.col("created_at").alias("ts"), F.lit(0).alias("kind"),
-        F.col("id").alias("session_pk"), F.col("expires_at").alias("s_end"),
-        F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("string").alias("event_type")), "ts")
+        F.col("id").cast("string").alias("session_pk"), F.col("expires_at").alias("s_end"),
+        F.lit(None).cast("string").alias("event_id"), F.lit(None).cast("string").alias("event_type")), "ts")
     s = event_time(s, "s_end")
     a = event_time(activity.select(
         F.col("customer_id").alias("owner"), "ts", F.lit(1).alias("kind"),
-        F.lit(None).cast("long").alias("session_pk"), F.lit(None).cast("timestamp").alias("s_end"),
-        "event_id", "event_type"), "ts")
+        F.lit(None).cast("string").alias("session_pk"), F.lit(None).cast("timestamp").alias("s_end"),
+        F.col("event_id").cast("string").alias("event_id"), "event_type"), "ts")
     u = s.unionByName(a).withWatermark("ts", delay)
     out = u.groupBy("owner").applyInPandasWithState(
         _sessions_as_of, SESSION_OUT, SESSION_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    return out.withColumn("ts", _wall(F.col("ts")))
+    return out.select(F.col("session_pk").cast("long").alias("session_pk"), "customer_id",
+                      F.col("event_id").cast("long").alias("event_id"), "event_type", _wall(F.col("ts")).alias("ts"))
 
 
 # ------------------------------------------------------------------ T6
@@ -285,37 +300,53 @@ def revenue_batch(orders: DataFrame, window: str = "1 day", ts: str = "created_a
 def ingest_stream(carts: DataFrame, orders_path: str, out_path: str, checkpoint: str, trigger: dict | None = None):
     """Carts arriving as a stream → D1/D2 per micro-batch via ``foreachBatch``.
 
-    Each batch is checked against the orders snapshot plus everything already
-    ingested, and written under ``batch=<id>`` with overwrite, so a batch
-    replayed after a failure replaces its own output (exactly-once per batch
-    id). Order ids derive from cart ids, so a re-sent cart is skipped.
+    Each batch is checked against the orders snapshot plus everything already ingested on
+    the batch's own days: output is partitioned by order day, so a batch reads only those
+    folders. A batch writes its rows under ``batch=<id>`` with overwrite, so a batch replayed
+    after a failure replaces its own output (exactly-once per batch id). Order ids derive
+    from cart ids, so a re-sent cart is skipped. Carts without a time only yield rejects.
+    A read failure fails the batch; only output that does not exist yet counts as empty.
     """
     from thali.operators.changes import ingest_orders
 
+    def exists(spark, path: str) -> bool:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        base = spark.read.parquet(orders_path)
+        batch = batch.persist()                  # read four times below
         try:
-            done = spark.read.parquet(f"{out_path}/orders")
-            done = done.filter(F.col("batch") != batch_id).drop("batch")
-            current = base.unionByName(done.select(*base.columns))
-        except Exception:  # noqa: BLE001 - nothing ingested yet
+            base = spark.read.parquet(orders_path)
             current = base
-        # Occupancy and re-sent carts only involve orders of the batch's own days
-        # (a re-sent cart keeps its timestamp), so the check reads those days only.
-        lo, hi = batch.agg(F.min(F.col("ts").cast("timestamp_ntz")), F.max(F.col("ts").cast("timestamp_ntz"))).first()
-        if lo is None:
-            return
-        current = current.filter((F.col("created_at") >= ts_literal(as_date(lo)))
-                                 & (F.col("created_at") < ts_literal(as_date(hi) + dt.timedelta(days=1))))
-        days = batch.select(F.to_date(F.col("ts").cast("timestamp_ntz")).alias("_day")).distinct()
-        # At most (hi - lo) + 1 distinct days: a checked bound, so small spans are broadcast.
-        if (as_date(hi) - as_date(lo)).days <= 366:
-            days = F.broadcast(days)
-        current = current.join(days, F.to_date("created_at") == F.col("_day"), "left_semi")
-        change = ingest_orders(current, batch)
-        for name, df in list(change.tables.items()) + [("rejects", change.rejects)]:
-            df.write.mode("overwrite").parquet(f"{out_path}/{name}/batch={batch_id}")
+            if exists(spark, f"{out_path}/orders"):
+                schema = T.StructType([*base.schema.fields, T.StructField("batch", T.LongType()), T.StructField("day", T.DateType())])
+                done = spark.read.schema(schema).parquet(f"{out_path}/orders").filter(F.col("batch") != batch_id)
+                current = base.unionByName(done.select(*base.columns, F.col("day").alias("_day")),
+                                           allowMissingColumns=True)
+            else:
+                current = base.withColumn("_day", F.lit(None).cast("date"))
+            # Occupancy and re-sent carts only involve orders of the batch's own days (a
+            # re-sent cart keeps its timestamp), so the check reads those days only.
+            lo, hi = batch.agg(F.min(F.to_date(F.col("ts").cast("timestamp_ntz"))),
+                               F.max(F.to_date(F.col("ts").cast("timestamp_ntz")))).first()
+            if lo is None:
+                current = current.limit(0)
+            else:
+                current = current.filter((F.col("_day").isNull() | F.col("_day").between(F.lit(lo), F.lit(hi)))
+                                         & (F.col("created_at") >= ts_literal(lo))
+                                         & (F.col("created_at") < ts_literal(hi + dt.timedelta(days=1))))
+                days = batch.select(F.to_date(F.col("ts").cast("timestamp_ntz")).alias("_on")).distinct()
+                current = current.join(days, F.to_date("created_at") == F.col("_on"), "left_semi")
+            change = ingest_orders(current.drop("_day"), batch)
+            for name, df in list(change.tables.items()) + [("rejects", change.rejects)]:
+                if name == "orders":
+                    df.withColumn("day", F.to_date("created_at")).write.mode("overwrite").partitionBy("day").parquet(
+                        f"{out_path}/{name}/batch={batch_id}")
+                else:
+                    df.write.mode("overwrite").parquet(f"{out_path}/{name}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     w = carts.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     if trigger:
