@@ -16,7 +16,7 @@ the padding is at most one sequence per block (about 1/400 of the tokens).
 
 Defined results: a null or empty text is one piece that holds only the end token; ties in
 length go by (doc_id, start); a row that repeats another (same id and text) is packed again
-with the same keys; an empty table gives no rows; further columns are ignored.
+with the same keys; rows without an id are packed like any other; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -153,23 +153,27 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
                                  F.sum(F.octet_length("text")).alias("bytes")).first()
     blocks = max(1, -(-(size["n"] + (size["bytes"] or 0) // (2 * capacity)) // block_pieces))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    columns = ", ".join(f"{c} long" for c in names) + (", ids binary" if with_ids else "")
+    columns = ", ".join(f"{c} long" for c in names) + ", named boolean" + (", ids binary" if with_ids else "")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         block = int(pdf["block"].iloc[0]) << 32
         full = pdf[pdf["length"] == capacity].sort_values(["doc_id", "start", "ids_crc32"])
         pdf = pdf[pdf["length"] < capacity].sort_values(["length", "doc_id", "start", "ids_crc32"],
                                                         ascending=[False, True, True, True])
-        doc, start, total, ids = (pdf[c].tolist() for c in ("doc_id", "start", "doc_tokens", "ids"))
+        doc, start, total, ids, named = (pdf[c].tolist() for c in ("doc_id", "start", "doc_tokens", "ids", "named"))
         rows, sequences = [], 0
         for p, at, n, s, offset in pack_lengths(pdf["length"].to_numpy(), capacity, linear, quadratic):
             part = ids[p][4 * at:4 * (at + n)]
-            rows.append((doc[p], start[p] + at, n, zlib.crc32(part), total[p], block + s, offset, part))
+            rows.append((doc[p], start[p] + at, n, zlib.crc32(part), total[p], block + s, offset, named[p], part))
             sequences = max(sequences, s + 1)
-        packed = pd.DataFrame(rows, columns=[*names, "ids"])
-        full = full.assign(sequence_id=block + sequences + np.arange(len(full)), offset=0)[[*names, "ids"]]
+        packed = pd.DataFrame(rows, columns=[*names, "named", "ids"])
+        full = full.assign(sequence_id=block + sequences + np.arange(len(full)), offset=0)[[*names, "named", "ids"]]
         out = pd.concat([packed, full]) if len(packed) and len(full) else (packed if len(packed) else full)
-        return out if with_ids else out[names]
-
-    return pieces(docs, vocabulary, capacity, end_id, with_ids).withColumn(
-        "block", F.pmod(F.xxhash64("doc_id", "start"), F.lit(blocks))).groupBy("block").applyInPandas(run, columns)
+        return out if with_ids else out.drop(columns="ids")
+
+    # pandas has no missing integers: a missing id travels as 0 and a flag
+    dealt = pieces(docs, vocabulary, capacity, end_id, with_ids).withColumns(
+        {"block": F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(blocks)), "named": F.col("doc_id").isNotNull(),
+         "doc_id": F.coalesce("doc_id", F.lit(0))})
+    return dealt.groupBy("block").applyInPandas(run, columns).select(
+        F.when(F.col("named"), F.col("doc_id")).alias("doc_id"), *names[1:], *(["ids"] if with_ids else []))

@@ -20,7 +20,7 @@ own size. Its windows are counted by a 128-bit hash instead, pre-aggregated in S
 Defined results: texts are UTF-8 bytes (null: none), which may be cut inside a character;
 texts shorter than ``length`` bytes are kept; equal rows are documents of their own and so
 lose whatever is long enough; rows that share an id but not the text are kept apart by a
-32-bit hash of the text; an empty table gives no rows; extra columns are ignored.
+32-bit hash of the text, rows without an id by a 64-bit one; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thali.llm.bpe import slices
@@ -114,8 +114,14 @@ def all_segments(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         run, "key long, content long, doc_id long, text_key int, start int, windows int, again boolean")
 
 
+def reference(doc_id: Column, text: Column) -> Column:
+    """What names a document in the joins: its id, or a hash of the text where it has none."""
+    return F.coalesce(doc_id.cast("long"), F.xxhash64(text))
+
+
 def with_text_key(docs: DataFrame) -> DataFrame:
-    return id_and_text(docs).withColumn("text_key", F.hash("text")).select("doc_id", "text", "text_key")
+    return id_and_text(docs).select(reference(F.col("doc_id"), F.col("text")).alias("doc_id"), "text",
+                                    F.hash("text").alias("text_key"))
 
 
 def extract(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -125,7 +131,7 @@ def extract(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     per_doc = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("shard", "start", "windows")).alias("at"))
     per_doc = per_doc.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "at")
     # equal rows are one text here: every window of theirs is marked as a repeat by its equal segments
-    joined = texts.join(per_doc.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id"))
+    joined = texts.join(per_doc.hint("shuffle_hash"), (F.col("doc_id") == F.col("_id"))
                         & (F.col("text_key") == F.col("_key"))).select("doc_id", "text_key", "text", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,8 +250,8 @@ def _cut(docs: DataFrame, keep: list[str], with_text: bool, length: int = LENGTH
         F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "spans")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), text.alias("_text"), F.hash(text).alias("_tk"),
-                       F.struct(F.lit(0).alias("_"), *keep).alias("_keep"))
-    joined = rows.join(spans.hint("shuffle_hash"), F.col("_doc").eqNullSafe(F.col("_id"))
+                       reference(F.col("doc_id"), text).alias("_ref"), F.struct(F.lit(0).alias("_"), *keep).alias("_keep"))
+    joined = rows.join(spans.hint("shuffle_hash"), (F.col("_ref") == F.col("_id"))
                        & (F.col("_tk") == F.col("_key")), "left").select("_doc", "_text", "spans", "_keep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
