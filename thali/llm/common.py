@@ -36,6 +36,16 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def hash_sample(ids: DataFrame, n: int, total: int) -> DataFrame:
+    """The ``n`` ids (column ``id``) with the least hashes, of ``total`` altogether. Rows that cannot be
+    among them are dropped by their hash first, so no task sorts or sends more than about 2 n rows."""
+    key = F.xxhash64("id")
+    if total > 2 * n:
+        bound = -(1 << 63) + int((1 << 64) * (2 * n + 100) / total)
+        ids = ids.filter(key < F.lit(min(bound, (1 << 63) - 1)))
+    return ids.orderBy(key, "id").limit(n)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder that the cluster names."""
     ensure_checkpoint_dir(df.sparkSession)

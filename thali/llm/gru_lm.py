@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thali.llm.bpe import slices
-from thali.llm.common import cut_lineage, id_and_text
+from thali.llm.common import cut_lineage, hash_sample, id_and_text
 
 CLASSES = 48
 VOCABULARY = CLASSES * CLASSES
@@ -44,7 +44,7 @@ HIDDEN = 24
 TOP = 131_072
 TRAIN_DOCS, TRAIN_TASKS, TRAIN_ROUNDS, TRAIN_TOKENS = 1_500, 6, 3, 60_000
 LANES, WINDOW, RATE = 32, 20, 0.01
-SCORE_LANES, SCORE_WINDOW = 512, 32
+SCORE_LANES, SCORE_WINDOW, SCORE_TOKENS = 512, 32, 2_000_000
 #: Distinct words that a task counts before it hands the counts on.
 COUNT_WORDS = 200_000
 END = ""           # the end token: no word is empty
@@ -88,6 +88,7 @@ class GatedLM:
         self.w = weights
         self.hidden = weights["Wh"].shape[0]
         self.classes, self.size = weights["bw"].shape
+        self.projected = None       # every symbol's input to the gates, once the weights are fixed
 
     @staticmethod
     def start(counts: np.ndarray, hidden: int = HIDDEN, classes: int = CLASSES) -> GatedLM:
@@ -108,7 +109,7 @@ class GatedLM:
     def steps(self, inputs: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None, keep: bool = False):
         """States after each of the inputs (time, lane); ``fresh`` marks where a document starts."""
         w, k = self.w, self.hidden
-        x = w["emb"][inputs] @ w["Wx"] + w["b"]
+        x = w["emb"][inputs] @ w["Wx"] + w["b"] if self.projected is None else self.projected[inputs]
         states, saved = np.empty((*inputs.shape, k), np.float32), []
         for t in range(len(inputs)):
             if fresh is not None:
@@ -229,6 +230,7 @@ class GatedLM:
     def score(self, documents: list[np.ndarray], lanes: int = SCORE_LANES, window: int = SCORE_WINDOW) -> np.ndarray:
         """log10 probability of each whole document; the state goes on from window to window."""
         out = np.zeros(len(documents))
+        self.projected = self.w["emb"] @ self.w["Wx"] + self.w["b"]
         order = sorted(range(len(documents)), key=lambda i: -len(documents[i]))
         for at in range(0, len(order), lanes):
             some = order[at:at + lanes]
@@ -254,16 +256,31 @@ class GatedLM:
                 logs[keep] = self.log_probabilities(states.reshape(-1, self.hidden)[keep], y.T.ravel()[keep])
                 total[:live] += logs.reshape(width, live).sum(axis=0)
             out[some] = total / math.log(10)
+        self.projected = None
         return out
 
 
+def most_frequent(counts: DataFrame, top: int) -> DataFrame:
+    """The words counted at least so often that no more than ``top`` words are. The bound comes from a
+    histogram of a few thousand steps (exact below 4096), so nothing is sorted."""
+    step = F.when(F.col("n") < 4096, F.col("n")).otherwise(4096 + F.floor(64 * F.log2("n"))).cast("long")
+    rows = sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True)
+    least, have = None, 0
+    for at, words in rows:
+        have += words
+        if have > top:
+            break
+        least = at
+    return counts.filter(step >= least) if least is not None else counts.limit(0)
+
+
 def fit(docs: DataFrame, symbols: dict[bytes, int], counts: np.ndarray, train_docs: int, tasks: int, rounds: int,
         tokens: int) -> GatedLM:
     """The model, from a bounded sample of training documents, in rounds of averaged local training."""
     sc = docs.sparkSession.sparkContext
     model = GatedLM.start(counts)
-    ids = (docs.filter(trains() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id")).distinct()
-           .orderBy(F.xxhash64("id"), "id").limit(train_docs).withColumn("task", F.pmod(F.xxhash64("id", F.lit(4)), F.lit(tasks))))
+    ids = docs.filter(trains() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id")).distinct()
+    ids = hash_sample(ids, train_docs, ids.count()).withColumn("task", F.pmod(F.xxhash64("id", F.lit(4)), F.lit(tasks)))
     rows = id_and_text(docs).join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("task", "doc_id", "text")
     rows = cut_lineage(rows.repartition(tasks, "task"))           # at most train_docs documents
     for _ in range(rounds):
@@ -299,7 +316,7 @@ def score_documents(docs: DataFrame, top: int = TOP, train_docs: int = TRAIN_DOC
     spark = docs.sparkSession
     counts = cut_lineage(word_counts(docs))
     n_all, n_words = (int(x or 0) for x in counts.agg(F.sum("n"), F.count(F.lit(1))).first())
-    frequent = counts.orderBy(F.desc("n"), "word").limit(top).collect()        # at most ``top`` rows
+    frequent = sorted(most_frequent(counts, top).collect(), key=lambda r: (-r.n, r.word))      # at most ``top`` rows
     own = [(END, 0), *((r.word, r.n) for r in frequent if r.word != END)][:VOCABULARY - 1]
     end_count = next((r.n for r in frequent if r.word == END), 0) or int(
         (counts.filter(F.col("word") == END).agg(F.sum("n")).first()[0]) or 0)
@@ -318,19 +335,34 @@ def score_documents(docs: DataFrame, top: int = TOP, train_docs: int = TRAIN_DOC
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, known, logs = sent.value
         lm = GatedLM(weights)
+        names = ["doc_id", "row", "n_tokens", "n_listed", "listed", "n_other", "spread", "model"]
+        kinds = [pa.int64()] * 4 + [pa.float64(), pa.int64(), pa.float64(), pa.float64()]
+        held: list[tuple] = []
+        ids: list[np.ndarray] = []
+
+        def scored() -> pa.RecordBatch:
+            columns = [*zip(*held), lm.score(ids)]
+            held.clear()
+            ids.clear()
+            return pa.record_batch([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=names)
+
+        size = 0
         for batch in batches:
-            for part in slices(batch, SCORE_LANES):
-                words = [[*t.encode().lower().split(), b""] for t in part.column(1).to_pylist()]
-                ids = [np.array([known.get(w, 0) for w in d], dtype=np.int64) for d in words]
-                found = [[logs.get(w) for w in d] for d in words]
-                sure = [[x for x in f if x is not None] for f in found]
-                spread = [sum(x for x, i in zip(f, d.tolist()) if x is not None and not i) for f, d in zip(found, ids)]
-                yield pa.record_batch(
-                    [part.column(0), part.column(2), pa.array([len(d) for d in words], pa.int64()),
-                     pa.array([len(x) for x in sure], pa.int64()), pa.array([math.fsum(x) for x in sure], pa.float64()),
-                     pa.array([int((d == 0).sum()) for d in ids], pa.int64()), pa.array(spread, pa.float64()),
-                     pa.array(lm.score(ids), pa.float64())],
-                    names=["doc_id", "row", "n_tokens", "n_listed", "listed", "n_other", "spread", "model"])
+            for part in slices(batch, 100):
+                for doc, text, row in zip(*(part.column(c).to_pylist() for c in range(3))):
+                    words = [*text.encode().lower().split(), b""]
+                    own = np.fromiter((known.get(w, 0) for w in words), dtype=np.int32, count=len(words))
+                    found = [logs.get(w) for w in words]
+                    sure = [x for x in found if x is not None]
+                    spread = sum(x for x, i in zip(found, own.tolist()) if not i and x is not None)
+                    held.append((doc, row, len(words), len(sure), math.fsum(sure), int((own == 0).sum()), spread))
+                    ids.append(own)
+                    size += len(own)
+                if size >= SCORE_TOKENS:           # many documents at once: their lanes stay full for longer
+                    yield scored()
+                    size = 0
+        if held:
+            yield scored()
 
     scored = rows.mapInArrow(run, "doc_id long, row long, n_tokens long, n_listed long, listed double, n_other long, "
                                   "spread double, model double")
