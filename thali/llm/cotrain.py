@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thali.llm.bpe import slices
-from thali.llm.common import prepare
+from thali.llm.common import hash_sample, prepare
 
 LABELLED, UNLABELLED = 20_000, 20_000
 ROUNDS, PER_ROUND, CONFIDENT = 5, 400, 0.9
@@ -155,9 +155,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, host_col: str, lang_
     known = (labels.filter(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull())
              .groupBy(F.col("doc_id").cast("long").alias("id"))
              .agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("y")))
-    train = known.filter(F.crc32(F.col("id").cast("string")) % 3 != 1).orderBy(F.xxhash64("id"), "id").limit(labelled)
+    train = known.filter(F.crc32(F.col("id").cast("string")) % 3 != 1)
+    train = hash_sample(train, labelled, train.count())
     rest = docs.select(F.col("doc_id").cast("long").alias("id")).filter(F.col("id").isNotNull()).distinct().join(
-        known, "id", "left_anti").orderBy(F.xxhash64("id"), "id").limit(unlabelled)
+        known, "id", "left_anti")
+    rest = hash_sample(rest, unlabelled, rest.count())
     sample = F.broadcast(train.unionByName(rest.withColumn("y", F.lit(-1))))       # bounded by both limits
     found = features(docs.join(sample.withColumnRenamed("id", "_id"), F.col("doc_id").cast("long") == F.col("_id"))
                      .select("doc_id", host_col, lang_col, "text"), host_col, lang_col)

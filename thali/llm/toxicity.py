@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thali.llm.bpe import _Memo, slices
-from thali.llm.common import cut_lineage, id_and_text
+from thali.llm.common import cut_lineage, hash_sample, id_and_text
 
 TRAIN_ROWS = 20_000
 THRESHOLD = 0.7
@@ -222,11 +222,11 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05) -> np.ndarray:
 def training_rows(labels: DataFrame, train_rows: int, label_col: str = "toxic") -> DataFrame:
     """(id, y, half): a bounded sample of the labelled rows outside the held-out third."""
     fold = F.crc32(F.col("doc_id").cast("string")) % 3
-    return (labels.filter(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & (fold != 1))
-            .groupBy(F.col("doc_id").cast("long").alias("id"))
-            .agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("y"))
-            .orderBy(F.xxhash64("id"), "id").limit(train_rows)
-            .withColumn("half", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)).cast("int")))
+    known = (labels.filter(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & (fold != 1))
+             .groupBy(F.col("doc_id").cast("long").alias("id"))
+             .agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("y")))
+    return hash_sample(known, train_rows, known.count()).withColumn(
+        "half", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)).cast("int"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
