@@ -63,6 +63,7 @@ def tables(spark, **over):
         payments=spark.createDataFrame(payments, S.PAYMENTS),
         ratings=spark.createDataFrame(ratings, S.RATINGS),
         sessions=spark.createDataFrame(sessions, S.SESSIONS),
+        admins=spark.createDataFrame([(1, "boss", None), (2, "cook", "c@example.com")], S.ADMINS),
     )
     frames.update(over)
     return from_frames(spark, **frames)

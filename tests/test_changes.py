@@ -106,7 +106,7 @@ def test_delete_orders_leaves_no_orphans_v7(spark):
     from thali.sources.model import from_frames
     t2 = from_frames(spark, customers=t.customers, menu_category=t.menu_category, menu_items=t.menu_items,
                      orders=ch["orders"], order_items=ch["order_items"], payments=ch["payments"],
-                     ratings=ch["ratings"], sessions=t.sessions)
+                     ratings=ch["ratings"], sessions=t.sessions, admins=t.admins)
     orphans = {r.fk: r.orphans for r in Q.fk_orphans(t2).collect()}
     assert orphans["order_items.order_id"] == 0 and orphans["payments.order_id"] == 0
     assert orphans["ratings.order_id"] == 0

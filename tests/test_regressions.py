@@ -172,3 +172,18 @@ def test_a_batch_without_times_leaves_its_rejects(spark, tmp_path):
     assert sorted(r.reason for r in rejects) == ["empty_cart", "missing_cart_id"]
     orders = spark.read.option("basePath", f"{out}/orders").parquet(f"{out}/orders").collect()
     assert [(r.batch, str(r.day), r.table_number) for r in orders] == [(1, "2024-02-03", "T-9")]
+
+
+def test_admin_profiles(spark):
+    t = tables(spark)
+    asks = spark.createDataFrame([(1, "boss", "c@example.com"), (2, "boss", None), (1, "", None), (2, "cook", "c@example.com"),
+                                  (3, "new", "")], Sc.ADMINS)
+    got = sorted((r.admin_id, r.username, r.reason) for r in C.admin_profile_reasons(t.admins, asks).collect())
+    assert got == sorted([(1, "boss", "email_taken"), (2, "boss", "username_taken"), (1, "", "missing_username"),
+                          (2, "cook", None), (3, "new", None)], key=lambda x: (x[0], x[1]))
+
+
+def test_parameters_are_read_like_parse_int():
+    from thali.operators.ordering import param_int
+
+    assert [param_int(x, 10) for x in (None, "", "0", "12abc", " 7", "x3", "-2", 5, "3.9")] == [10, 10, 10, 12, 7, 10, -2, 5, 3]

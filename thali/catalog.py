@@ -413,9 +413,13 @@ SELECT cu.customer_id,
        CASE WHEN COUNT(r.order_id) > 0
             THEN CAST(COALESCE(SUM(CASE WHEN r.status = 'completed' THEN r.total_amount ELSE 0 END), 0) AS DOUBLE)
                  / COUNT(r.order_id) ELSE 0.0 END AS avg_spent,
-       MAX(r.created_at) AS last_order
+       MAX(r.created_at) AS last_order,
+       -- printf rounds exact ties to even, toFixed up
+       '₹' || printf('%.0f', total_spent + CASE WHEN (total_spent * 2) % 2 = 1 THEN 0.1 ELSE 0 END) AS spent_text,
+       '₹' || printf('%.0f', avg_spent + CASE WHEN (avg_spent * 2) % 2 = 1 THEN 0.1 ELSE 0 END) AS avg_text,
+       coalesce(strftime(last_order, '%-d %b'), '-') AS last_order_text
 FROM m_customers cu LEFT JOIN m_rows r ON cu.customer_id = r.customer_id
-GROUP BY cu.customer_id, cu.name""", "per customer over R12's rows")(L.customer_report_stats)
+GROUP BY cu.customer_id, cu.name""", "per customer over R12's rows, with the page's texts")(L.customer_report_stats)
 
 # ------------------------------------------------ primitives P / J / A / O / F
 
@@ -481,7 +485,9 @@ UNION ALL SELECT 'ratings.item_id', 'menu_items.item_id', (SELECT COUNT(*) FROM
 UNION ALL SELECT 'ratings.order_id', 'orders.order_id', (SELECT COUNT(*) FROM m_ratings c WHERE c.order_id IS NOT NULL
           AND NOT EXISTS (SELECT 1 FROM m_orders p WHERE p.order_id = c.order_id))
 UNION ALL SELECT 'sessions.customer_id', 'customers.customer_id', (SELECT COUNT(*) FROM m_sessions c WHERE c.customer_id IS NOT NULL
-          AND NOT EXISTS (SELECT 1 FROM m_customers p WHERE p.customer_id = c.customer_id))""")(Qy.fk_orphans)
+          AND NOT EXISTS (SELECT 1 FROM m_customers p WHERE p.customer_id = c.customer_id))
+UNION ALL SELECT 'sessions.admin_id', 'admins.admin_id', (SELECT COUNT(*) FROM m_sessions c WHERE c.admin_id IS NOT NULL
+          AND NOT EXISTS (SELECT 1 FROM m_admins p WHERE p.admin_id = c.admin_id))""")(Qy.fk_orphans)
 
 register("v1_v2_customer_violations", """
 SELECT customer_id,
@@ -496,6 +502,21 @@ register("d9_duplicate_phones", """
 SELECT phone, COUNT(*) AS n FROM m_customers WHERE phone IS NOT NULL GROUP BY phone HAVING COUNT(*) > 1""")(
     lambda t: Qy.duplicate_keys(t.customers, ["phone"]))
 
+register("d9_duplicate_usernames", """
+SELECT username, COUNT(*) AS n FROM m_admins WHERE username IS NOT NULL GROUP BY username HAVING COUNT(*) > 1""")(
+    lambda t: Qy.duplicate_keys(t.admins, ["username"]))
+
+register("j8_admin_profile_reasons", """
+m_asks AS (SELECT admin_id, CASE WHEN admin_id % 7 = 0 THEN '' WHEN admin_id % 3 = 0 THEN 'shared' || (admin_id // 40) ELSE username END
+                  AS username, CASE WHEN admin_id % 5 = 0 THEN 'a' || (admin_id // 6) || '@example.com' ELSE email END AS email
+           FROM m_admins)
+SELECT s.admin_id, s.username, s.email,
+       CASE WHEN coalesce(s.username, '') = '' THEN 'missing_username'
+            WHEN EXISTS (SELECT 1 FROM m_admins o WHERE o.username = s.username AND o.admin_id <> s.admin_id) THEN 'username_taken'
+            WHEN EXISTS (SELECT 1 FROM m_admins o WHERE o.email = s.email AND o.admin_id <> s.admin_id) THEN 'email_taken' END AS reason
+FROM m_asks s""", "every admin asks for a changed profile")(
+    lambda t: D.admin_profile_reasons(t.admins, Rq.profile_requests(t)))
+
 # ------------------------------------------------------------ D change jobs
 
 register("d2_occupied_tables", f"""
@@ -663,11 +684,11 @@ SELECT customer_id, item_id, order_id, rating, reason FROM m_said""")(
         "customer_id", "item_id", "order_id", "rating", "reason"))
 
 register("d11_purge_sessions", f"""
-SELECT id, customer_id, created_at, expires_at FROM m_sessions
+SELECT id, customer_id, admin_id, created_at, expires_at FROM m_sessions
 WHERE expires_at > TIMESTAMP '{EVENTS_NOW}'
-QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY created_at DESC, id) = 1""")(
+QUALIFY row_number() OVER (PARTITION BY customer_id, admin_id ORDER BY created_at DESC, id) = 1""")(
     lambda t: D.purge_sessions(t.sessions, EVENTS_NOW)["sessions"].select(
-        "id", "customer_id", "created_at", "expires_at"))
+        "id", "customer_id", "admin_id", "created_at", "expires_at"))
 
 _MENU_REQUESTS_SQL = """
 m_req AS (

@@ -97,6 +97,7 @@ FOREIGN_KEYS = (
     ("ratings", "item_id", "menu_items", "item_id"),
     ("ratings", "order_id", "orders", "order_id"),
     ("sessions", "customer_id", "customers", "customer_id"),
+    ("sessions", "admin_id", "admins", "admin_id"),
 )
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from thali.functions import quality as Q
 from thali.functions.predicates import day_range, ts_literal, unexpired
 from thali.functions.scalars import coerce_bool, parse_float_prefix
+from thali.operators.joins import taken_by_other
 from thali.sources.io import cut_lineage
 from thali.sources.schema import MONEY, OPEN_STATUSES, PRICE
 
@@ -449,6 +450,18 @@ def record_payments(orders: DataFrame, payments: DataFrame, verified: DataFrame)
 
 # ---------------------------------------------------------------- accounts and ratings
 
+def admin_profile_reasons(admins: DataFrame, requests: DataFrame) -> DataFrame:
+    """Why an admin's new profile (admin_id, username, email) would be refused (NULL: it
+    would not): no user name, or a user name or e-mail that another admin holds."""
+    r = requests.select("admin_id", "username", "email")
+    r = taken_by_other(r, admins, "username", "admin_id", "_name")
+    r = taken_by_other(r, admins, "email", "admin_id", "_mail")
+    reason = (F.when(F.col("username").isNull() | (F.col("username") == ""), "missing_username")
+              .when(F.col("_name"), "username_taken").when(F.col("_mail") & (F.col("email") != ""), "email_taken"))
+    return r.select("admin_id", "username", "email", reason.alias("reason"))
+
+
+
 def delete_ratings(ratings: DataFrame, rating_ids: DataFrame) -> Change:
     """Admin deletes ratings by id; unknown ids are rejected ('not_found')."""
     ids = rating_ids.select("rating_id").filter(F.col("rating_id").isNotNull()).distinct()

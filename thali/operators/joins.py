@@ -33,6 +33,17 @@ def semi(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(other.select(*keys), list(keys), "left_semi")
 
 
+def taken_by_other(df: DataFrame, holders: DataFrame, value: str, owner: str, flag: str) -> DataFrame:
+    """Attach `flag`: does a row of `holders` with another `owner` hold the same `value`?
+
+    Holders are reduced to the least and greatest owner per value first, so nothing multiplies
+    however many rows share one; a NULL value is nobody's."""
+    ends = holders.filter(F.col(value).isNotNull()).groupBy(value).agg(
+        F.min(owner).alias("_least"), F.max(owner).alias("_greatest"))
+    other = (F.col("_least") != F.col(owner)) | (F.col("_greatest") != F.col(owner))
+    return df.join(ends, value, "left").withColumn(flag, F.coalesce(other, F.lit(False))).drop("_least", "_greatest")
+
+
 def anti(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows without a partner (NULL keys never match, so they are kept)."""
     return df.join(other.select(*keys), list(keys), "left_anti")

@@ -8,6 +8,7 @@ engine.
 
 from __future__ import annotations
 
+import re
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -27,12 +28,9 @@ def pg_desc(col: str) -> Column:
 
 
 def param_int(value, default: int) -> int:
-    """``parseInt(x) || d`` — absent, non-numeric and 0 all give d."""
-    try:
-        n = int(str(value).strip().split(".")[0])
-    except (TypeError, ValueError):
-        return default
-    return n or default
+    """``parseInt(x) || d``: the leading digits count ('12abc' is 12); absent, none or 0 give d."""
+    digits = re.match(r"\s*([+-]?[0-9]+)", "" if value is None else str(value))
+    return int(digits[1]) or default if digits else default
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:

@@ -16,7 +16,7 @@ from thali.functions.predicates import (as_date, day_range, non_empty, optional_
                                         period_predicate, ts_literal, within_hours)
 from thali.operators.aggregates import count_if, sum_if
 from thali.operators.joins import exists_flag
-from thali.operators.ordering import page
+from thali.operators.ordering import page, param_int
 from thali.sources.model import Tables
 from thali.sources.schema import DEFAULT_TABLES, OPEN_STATUSES
 
@@ -218,7 +218,7 @@ def recent_reviews(t: Tables, limit: int | None = 10, offset: int | None = 0, it
     Reviews meet their customers (inner join), the page is cut, and only the page meets the
     items: a left join on their key cannot drop or add rows.
     """
-    limit, offset = limit or 10, offset or 0
+    limit, offset = param_int(limit, 10), param_int(offset, 0)
     r = t.ratings.filter(non_empty("review_text"))
     cond = optional_eq("item_id", item_id)
     if cond is not None:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from thali.functions import scalars as S
 from thali.functions.predicates import before_day, conjunction, csv_list, day_range, in_list
 from thali.operators.aggregates import canonical_text, nested_array, repeat_array
-from thali.operators.ordering import oldest_first, page, top_k_per_group
+from thali.operators.ordering import oldest_first, page, param_int, top_k_per_group
 from thali.sources.model import Tables
 
 #: Ids of a page's orders are broadcast up to this many.
@@ -151,7 +151,7 @@ def order_history(t: Tables, customer_id: int | None = None, limit: int | None =
     For all customers at once the page is a per-customer ``row_number`` window
     (partial WindowGroupLimit before the shuffle bounds a hot customer).
     """
-    limit, offset = limit or 20, offset or 0
+    limit, offset = param_int(limit, 20), param_int(offset, 0)
     o = t.orders
     if customer_id is not None:
         o = o.filter(F.col("customer_id") == F.lit(customer_id))
@@ -215,8 +215,11 @@ def customer_report_stats(t: Tables) -> DataFrame:
     out = c.join(per, "customer_id", "left")
     n = F.coalesce("total_orders", F.lit(0)).cast("long")
     spent = F.coalesce("total_spent", F.lit(0))
+    avg = F.when(n > 0, S.money(spent) / n).otherwise(F.lit(0.0))
     return out.select(
         "customer_id", S.initials("name").alias("initials"), n.alias("total_orders"),
-        S.money(spent).alias("total_spent"),
-        F.when(n > 0, S.money(spent) / n).otherwise(F.lit(0.0)).alias("avg_spent"),
-        "last_order")
+        S.money(spent).alias("total_spent"), avg.alias("avg_spent"), "last_order",
+        # as the page shows them
+        F.concat(F.lit("₹"), S.fixed(S.money(spent), 0)).alias("spent_text"),
+        F.concat(F.lit("₹"), S.fixed(avg, 0)).alias("avg_text"),
+        F.coalesce(F.date_format("last_order", "d MMM"), F.lit("-")).alias("last_order_text"))

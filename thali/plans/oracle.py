@@ -59,9 +59,15 @@ m_ratings AS (
          CASE WHEN event_type = 'purchase' THEN event_id END AS order_id
   FROM events),
 m_sessions AS (
-  SELECT 's-' || CAST(event_id AS VARCHAR) AS session_id, user_id AS customer_id, CAST(ts AS TIMESTAMP) AS created_at,
-         CAST(ts AS TIMESTAMP) + INTERVAL '24' HOUR AS expires_at, event_id AS id
-  FROM events WHERE event_type = 'signup'),
+  SELECT 's-' || CAST(event_id AS VARCHAR) AS session_id, CASE WHEN event_type = 'signup' THEN user_id END AS customer_id,
+         CAST(ts AS TIMESTAMP) AS created_at, CAST(ts AS TIMESTAMP) + INTERVAL '24' HOUR AS expires_at, event_id AS id,
+         CASE WHEN event_type = 'error' THEN user_id END AS admin_id
+  FROM events WHERE event_type IN ('signup', 'error')),
+m_admins AS (
+  SELECT s_suppkey AS admin_id,
+         CASE WHEN s_suppkey % 10 = 0 THEN 'shared' || (s_suppkey // 20) ELSE lower(s_name) END AS username,
+         CASE WHEN s_suppkey % 4 <> 0 THEN 'a' || (s_suppkey // 3) || '@example.com' END AS email
+  FROM supplier),
 m_activity AS (
   SELECT event_id, user_id AS customer_id, CAST(ts AS TIMESTAMP) AS ts, event_type
   FROM events WHERE event_type <> 'signup'),

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from thali.functions.predicates import as_date, as_timestamp, period_predicate, period_filter, ts_literal
 from thali.functions.scalars import hour_of, money, to_day
-from thali.operators.ordering import top_k
+from thali.operators.ordering import param_int, top_k
 from thali.sources.model import Tables
 
 import datetime as dt
@@ -50,14 +50,14 @@ def item_sales(lines: DataFrame) -> DataFrame:
         F.sum(F.col("quantity") * F.col("price")).alias("total_revenue"))
 
 
-def best_sellers(t: Tables, period: str | None = "all", as_of=None, limit: int | None = 10,
+def best_sellers(t: Tables, period: str | None = "all", as_of=None, limit: int | str | None = 10,
                  check_fk: bool = True) -> DataFrame:
     """R2: items by quantity sold in the period, with revenue and category; top `limit`.
 
     Sold items meet the menu first (inner join, one row per item), then the top `limit` is
     cut, and only that meets the categories: a left join on their key cannot drop or add rows.
     """
-    limit = limit or 10
+    limit = param_int(limit, 10)
     sales = item_sales(lines_in_period(t, period, as_of, check_fk))
     order = [F.col("total_quantity_sold").desc_nulls_first(), F.col("item_id").asc()]
     if not check_fk:
@@ -72,7 +72,7 @@ def best_sellers(t: Tables, period: str | None = "all", as_of=None, limit: int |
     return top_k(rows, [F.col("total_quantity_sold").desc_nulls_first(), F.col("item_id").asc()], limit)
 
 
-def worst_sellers(t: Tables, period: str | None = "all", as_of=None, limit: int | None = 10,
+def worst_sellers(t: Tables, period: str | None = "all", as_of=None, limit: int | str | None = 10,
                   corrected: bool = False) -> DataFrame:
     """Available items by quantity ascending; never-sold items count 0.
 
@@ -80,7 +80,7 @@ def worst_sellers(t: Tables, period: str | None = "all", as_of=None, limit: int
     outer-joined `orders`, so the sums are all-time whatever the period.
     ``corrected=True`` counts only lines of orders in the period.
     """
-    limit = limit or 10
+    limit = param_int(limit, 10)
     # faithful: orders are outer-joined, so a line without an order counts
     lines = lines_in_period(t, period if corrected else None, as_of, check_fk=corrected)
     sales = item_sales(lines)
@@ -115,12 +115,12 @@ def sales_by_category(t: Tables, period: str | None = "all", as_of=None, correct
         .orderBy(F.col("total_revenue").desc_nulls_first(), F.col("category").asc_nulls_last())
 
 
-def revenue_trend(orders: DataFrame, as_of=None, days: int | None = 7, corrected: bool = False) -> DataFrame:
+def revenue_trend(orders: DataFrame, as_of=None, days: int | str | None = 7, corrected: bool = False) -> DataFrame:
     """Revenue per day since as_of - days (faithful: days without orders are absent, Q9).
 
     ``corrected=True`` fills the missing days with 0 from a date spine.
     """
-    days = days or 7
+    days = param_int(days, 7)
     start = as_timestamp(as_date(as_of)) - dt.timedelta(days=days)
     recent = orders.filter(F.col("created_at") >= ts_literal(start))
     out = recent.groupBy(to_day("created_at").alias("date")).agg(

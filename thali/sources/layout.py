@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from thali.sources.model import Tables, from_frames
 
 MODEL_TABLES = ("customers", "menu_category", "menu_items", "orders", "order_items", "payments",
-                "ratings", "sessions")
+                "ratings", "sessions", "admins")
 
 # Join key each table is bucketed by.
 BUCKET_KEYS = {"orders": "order_id", "order_items": "order_id", "payments": "order_id",
@@ -48,7 +48,7 @@ def write_partitioned(t: Tables, out_dir: str) -> None:
         .partitionBy("order_month").parquet(f"{out_dir}/order_items")
     t.payments.withColumn("pay_month", _month("created_at")).write.mode("overwrite") \
         .partitionBy("pay_month").parquet(f"{out_dir}/payments")
-    for name in ("customers", "menu_category", "menu_items", "ratings", "sessions"):
+    for name in ("customers", "menu_category", "menu_items", "ratings", "sessions", "admins"):
         getattr(t, name).write.mode("overwrite").parquet(f"{out_dir}/{name}")
 
 

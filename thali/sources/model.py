@@ -129,18 +129,30 @@ def bind_ratings(events: DataFrame) -> DataFrame:
     )
 
 
+def bind_admins(supplier: DataFrame) -> DataFrame:
+    """Staff accounts: every tenth user name is shared by two, e-mails by three; every fourth has none."""
+    k = F.col("s_suppkey")
+    return supplier.select(
+        k.alias("admin_id"),
+        F.when(k % 10 == 0, F.concat(F.lit("shared"), F.floor(k / 20).cast("string"))).otherwise(
+            F.lower(F.col("s_name"))).alias("username"),
+        F.when(k % 4 != 0, F.concat(F.lit("a"), F.floor(k / 3).cast("string"), F.lit("@example.com"))).alias("email"))
+
+
 def bind_sessions(events: DataFrame) -> DataFrame:
+    """Each signup opens its user's session; each error report one of the admin who reads it."""
     ts = F.col("ts").cast("timestamp_ntz")
-    return events.filter(F.col("event_type") == "signup").select(
+    owner = F.col("event_type") == "signup"
+    return events.filter(F.col("event_type").isin("signup", "error")).select(
         F.concat(F.lit("s-"), F.col("event_id").cast("string")).alias("session_id"),
-        F.col("user_id").alias("customer_id"),
+        F.when(owner, F.col("user_id")).alias("customer_id"),
         F.lit(None).cast("string").alias("ip_address"),
         F.lit(None).cast("string").alias("user_agent"),
         ts.alias("created_at"),
         (ts + F.expr("INTERVAL 24 HOURS")).alias("expires_at"),
         ts.alias("last_activity"),
         F.col("event_id").alias("id"),
-        F.lit(None).cast("long").alias("admin_id"),
+        F.when(~owner, F.col("user_id")).alias("admin_id"),
     )
 
 
@@ -215,6 +227,10 @@ class Tables:
     def sessions(self) -> DataFrame:
         return bind_sessions(self.raw("events"))
 
+    @cached_property
+    def admins(self) -> DataFrame:
+        return bind_admins(self.raw("supplier"))
+
     @cached_property
     def activity(self) -> DataFrame:
         return bind_activity(self.raw("events"))

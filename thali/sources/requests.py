@@ -65,6 +65,15 @@ def bought_ratings(t: Tables) -> DataFrame:
         F.lit("as ordered").alias("review_text"), F.col("created_at").alias("ts"))
 
 
+def profile_requests(t: Tables) -> DataFrame:
+    """Every admin asks for a profile: some without a user name, some with one or an e-mail of others."""
+    k = F.col("admin_id")
+    name = (F.when(k % 7 == 0, "").when(k % 3 == 0, F.concat(F.lit("shared"), F.floor(k / 40).cast("string")))
+            .otherwise(F.col("username")))
+    mail = F.when(k % 5 == 0, F.concat(F.lit("a"), F.floor(k / 6).cast("string"), F.lit("@example.com"))).otherwise(F.col("email"))
+    return t.admins.select("admin_id", name.alias("username"), mail.alias("email"))
+
+
 def birth_dates(t: Tables) -> DataFrame:
     """Two date-of-birth texts per customer, an hour apart: years 1890..2039, days 1..31 (some
     impossible), every 13th text malformed; the second lies 7 years before the first."""

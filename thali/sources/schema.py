@@ -74,6 +74,12 @@ RATINGS = T.StructType([
     T.StructField("order_id", T.LongType()),
 ])
 
+ADMINS = T.StructType([
+    T.StructField("admin_id", T.LongType()),
+    T.StructField("username", T.StringType()),
+    T.StructField("email", T.StringType()),
+])
+
 SESSIONS = T.StructType([
     T.StructField("session_id", T.StringType()),
     T.StructField("customer_id", T.LongType()),
