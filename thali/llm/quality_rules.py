@@ -7,9 +7,10 @@ and is removed. A document that keeps too few of its words is rejected, as is on
 fails the base rules.
 
 Copies and near copies must not make their own text look like boilerplate, so documents
-count as distinct by what else they hold: by the least and, separately, the greatest hash
-among their lines, and the larger of the two counts is taken. Copies share both, near
-copies mostly do; documents that share only the boilerplate line differ in them.
+count as distinct by what else they hold: by the least and the greatest hash among their
+lines. Copies share the pair, near copies mostly do; documents that share some lines differ
+in it. Documents that hold little but one and the same set of lines are near copies in this
+sense: they are left to near-dedup, which keeps one of them, where this rule would reject all.
 
 Scale: the texts themselves are not shuffled for the verdict, only (host, hash) rows; all
 counts are partial aggregates, and the join back is many lines to one count, which the
@@ -130,10 +131,10 @@ def boilerplate(found: DataFrame, min_docs: int = MIN_DOCS, min_share: int = MIN
     """(host, h): lines above both limits in their host."""
     host = F.coalesce(F.concat(F.lit("="), "host"), F.lit(""))     # null is a host of its own
     docs = found.select(host.alias("host"), "least", "greatest", "lines")
-    distinct = lambda *c: F.greatest(*(F.count_distinct(x) for x in c))
-    hosts = docs.groupBy("host").agg(distinct("least", "greatest").alias("docs"))
+    distinct = F.count_distinct("least", "greatest")
+    hosts = docs.groupBy("host").agg(distinct.alias("docs"))
     counts = (docs.select("host", "least", "greatest", F.explode("lines.h").alias("h"))
-              .groupBy("host", "h").agg(distinct("least", "greatest").alias("n")).filter(F.col("n") > min_docs))
+              .groupBy("host", "h").agg(distinct.alias("n")).filter(F.col("n") > min_docs))
     return counts.join(hosts, "host").filter(100 * F.col("n") > min_share * F.col("docs")).select("host", "h")
 
 
@@ -220,11 +221,10 @@ lines AS (SELECT doc_id, host, left(md5(array_to_string(ws, ' ')), 16) AS h, sum
 ends AS (SELECT doc_id, min(h) AS least, max(h) AS greatest FROM lines GROUP BY 1),
 ids AS (SELECT d.doc_id, host, coalesce(least, '0') AS least, coalesce(greatest, '0') AS greatest
         FROM d LEFT JOIN ends USING (doc_id)),
-hosts AS (SELECT host, greatest(count(DISTINCT least), count(DISTINCT greatest)) AS docs FROM ids GROUP BY 1),
+hosts AS (SELECT host, count(DISTINCT least || greatest) AS docs FROM ids GROUP BY 1),
 common AS (SELECT l.host, l.h FROM lines l JOIN ids ON ids.doc_id = l.doc_id JOIN hosts ON hosts.host IS NOT DISTINCT FROM l.host
            GROUP BY l.host, l.h, docs
-           HAVING greatest(count(DISTINCT least), count(DISTINCT greatest)) > {min_docs}
-              AND 100 * greatest(count(DISTINCT least), count(DISTINCT greatest)) > {min_share} * docs),
+           HAVING count(DISTINCT least || greatest) > {min_docs} AND 100 * count(DISTINCT least || greatest) > {min_share} * docs),
 lost AS (SELECT l.doc_id, sum(words) AS n FROM lines l JOIN common c ON c.host IS NOT DISTINCT FROM l.host AND c.h = l.h GROUP BY 1),
 s AS (SELECT w.doc_id, len(ws) AS n_words,
              length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
