@@ -43,6 +43,8 @@ LENGTH = 200
 GRAM = 32
 SHARD_BYTES = 2 << 20
 HOT_SEGMENTS = 20_000
+#: Bytes of a document that are hashed at a time.
+CHUNK_BYTES = 4 << 20
 #: Stands between the texts of a shard; occurs in no UTF-8 text.
 SEPARATOR = 0xFF
 
@@ -78,6 +80,12 @@ def segments(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[
     where the gram behind the key occurs at several places, so that the run may hold equal windows itself."""
     if len(data) < length:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    if len(data) > CHUNK_BYTES + length:           # a run cut at a chunk's end is two runs of one key
+        parts = [(at, segments(data[at:at + CHUNK_BYTES + length - 1], length, gram))
+                 for at in range(0, len(data) - length + 1, CHUNK_BYTES)]
+        key, _, windows, again = (np.concatenate([p[i] for _, p in parts]) for i in range(4))
+        start = np.concatenate([p[1] + at for at, p in parts])
+        return key, start, windows, again
     width = length - gram + 1
     hashes = gram_hashes(data, gram)
     least = sliding(hashes, width)
