@@ -38,8 +38,6 @@ NEIGHBOURS = 5
 BLOCK = 4096
 SEED = 5
 
-_ROWS = "t int, dim int, bucket int, vid long, ids array<long>, v array<double>"
-
 
 def hadamard(x: np.ndarray) -> np.ndarray:
     """Fast Walsh-Hadamard transform of the rows (a power of two long), without scaling."""
@@ -70,8 +68,9 @@ def axes(x: np.ndarray, table: int, probes: int) -> np.ndarray:
 
 
 def vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, v) of the rows that take part."""
-    v = F.col(vector_col).cast("array<double>")
+    """(id, v) of the rows that take part; single precision stays so, as it is half the bytes to move."""
+    single = rows.schema[vector_col].dataType.simpleString() == "array<float>"
+    v = F.col(vector_col).cast("array<float>" if single else "array<double>")
     return rows.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter(
         F.col("id").isNotNull() & (F.size("v") > 0)
         & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -89,7 +88,7 @@ def filed(distinct: DataFrame, tables: int, probes: int) -> DataFrame:
                 sizes = np.array([len(v) for v in lists])
                 for dim in np.unique(sizes):
                     rows = np.flatnonzero(sizes == dim)
-                    x = np.array([lists[i] for i in rows])
+                    x = np.array([lists[i] for i in rows], dtype=np.float64)
                     for t in range(tables):
                         near = axes(x, t, probes)
                         whose = pa.array(np.repeat(rows, near.shape[1]))
@@ -99,7 +98,9 @@ def filed(distinct: DataFrame, tables: int, probes: int) -> DataFrame:
                              pa.array(near.ravel().astype(np.int32)), *(part.column(c).take(whose) for c in range(3))],
                             names=["t", "dim", "bucket", "vid", "ids", "v"])
 
-    return distinct.select("vid", "ids", "v").mapInArrow(run, _ROWS)
+    kind = distinct.schema["v"].dataType.simpleString()
+    return distinct.select("vid", "ids", "v").mapInArrow(
+        run, f"t int, dim int, bucket int, vid long, ids array<long>, v {kind}")
 
 
 def best(q: np.ndarray, c: np.ndarray, vid: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -131,7 +132,7 @@ def search(queries: DataFrame, distinct: DataFrame, k: int, tables: int, probes:
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(left) and len(right):
-            c, q = np.stack(right["v"].to_list()), np.stack(left["v"].to_list())
+            c, q = (np.stack(x["v"].to_list()).astype(np.float64) for x in (right, left))
             vid, qid, ids = right["vid"].to_numpy(), left["vid"].tolist(), right["ids"].tolist()
             rows = [(qid[i], int(vid[p]), list(ids[p]), s) for i, places, scores in best(q, c, vid, k)
                     for p, s in zip(places.tolist(), scores.tolist())]
