@@ -63,6 +63,32 @@ def test_training_lowers_the_loss():
     assert lm.score(docs).sum() > 0.6 * before
 
 
+@pytest.mark.parametrize("sizes", [(900, 700, 3), (1, 5, 40, 2000, 1, 60)])
+def test_every_word_is_a_target_and_nothing_else(monkeypatch, sizes):
+    rng, seen, step = np.random.default_rng(5), [], G.GatedLM.gradient
+    docs = [np.append(rng.integers(2, 16, n), 1) for n in sizes]
+
+    def spy(self, x, y, h, fresh, *mask):
+        real = mask[0] if mask else np.ones(y.shape, bool)
+        seen.extend(zip(x[real].tolist(), y[real].tolist()))
+        return step(self, x, y, h, fresh, *mask)
+
+    monkeypatch.setattr(G.GatedLM, "gradient", spy)
+    model().train(docs, 100)
+    assert Counter(seen) == Counter((int(a), int(b)) for d in docs for a, b in zip([1, *d[:-1]], d))
+
+
+def test_places_without_a_word_have_no_gradient():
+    lm, rng = model(), np.random.default_rng(6)
+    x, y = rng.integers(0, 16, (2, 6, 3))
+    fresh, real = np.zeros((6, 3), bool), np.ones((6, 3), bool)
+    real[2:, 1] = real[:, 2] = False
+    a = lm.gradient(x, y, np.zeros((3, 5)), fresh, real)
+    x[~real], y[~real] = 7, 9
+    b = lm.gradient(x, y, np.zeros((3, 5)), fresh, real)
+    assert a[0] == b[0] and all(np.allclose(a[1][k], b[1][k]) for k in a[1])
+
+
 def expected(rows):
     own = {}
     counts = Counter()

@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +80,52 @@ def word_counts(docs: DataFrame) -> DataFrame:
             .groupBy(F.col("word").cast("string").alias("word")).agg(F.sum("n").alias("n")))
 
 
+def repeated(documents: Iterable[np.ndarray], tokens: int) -> Iterator[np.ndarray]:
+    """The documents; when they have fewer than ``tokens`` words, again until there were so many."""
+    held, have = [], 0
+    for d in documents:
+        yield d
+        have += len(d)
+        if have < tokens:
+            held.append(d)
+    while 0 < have < tokens:
+        for d in held:
+            yield d
+            have += len(d)
+            if have >= tokens:
+                break
+
+
+def lane_windows(documents: Iterable[np.ndarray], lanes: int, window: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(inputs, targets, fresh, real), each (time, lane), until every word was a target. A document stays in
+    its lane to its end; the lane then takes the next one. Places without a word are not ``real``."""
+    rest = iter(documents)
+    own: list[tuple[np.ndarray, int] | None] = [None] * lanes
+    while True:
+        x, y = np.zeros((2, window, lanes), dtype=np.int64)
+        fresh, real = np.zeros((2, window, lanes), dtype=bool)
+        for lane in range(lanes):
+            at = 0
+            while at < window:
+                if own[lane] is None:
+                    d = next(rest, None)
+                    if d is None:
+                        break
+                    own[lane] = d, 0
+                d, p = own[lane]
+                m = min(len(d) - p, window - at)
+                y[at:at + m, lane] = d[p:p + m]
+                x[at, lane] = d[p - 1]              # before its first word: an end token
+                x[at + 1:at + m, lane] = d[p:p + m - 1]
+                fresh[at, lane] = p == 0
+                real[at:at + m, lane] = True
+                own[lane] = (d, p + m) if p + m < len(d) else None
+                at += m
+        if not real.any():
+            return
+        yield x, y, fresh, real
+
+
 class GatedLM:
     """GRU with a class-factored softmax over ``classes * classes`` symbols; symbol 0 stands for all
     words that the model does not know."""
@@ -142,11 +188,13 @@ class GatedLM:
                               - np.log(np.exp(logit - top[:, None]).sum(axis=1)))
         return out
 
-    def gradient(self, inputs, targets, h, fresh):
-        """(loss, gradients, last state) of one window: truncated backpropagation."""
+    def gradient(self, inputs, targets, h, fresh, real=None):
+        """(loss, gradients, last state) of one window: truncated backpropagation. Places that are not
+        ``real`` hold no word and count for nothing."""
         w, k = self.w, self.hidden
         states, last, saved = self.steps(inputs, h, fresh, keep=True)
-        flat, y = states.reshape(-1, k), targets.ravel()
+        live = slice(None) if real is None else np.flatnonzero(real)
+        flat, y = states.reshape(-1, k)[live], targets.ravel()[live]
         cls, word = y // self.size, y % self.size
         n = len(y)
         g = {name: np.zeros_like(v) for name, v in w.items()}
@@ -169,7 +217,9 @@ class GatedLM:
             q /= n
             g["Uw"][c], g["bw"][c] = flat[rows].T @ q, q.sum(axis=0)
             back[rows] += q @ w["Uw"][c].T
-        back = back.reshape(states.shape)
+        whole = np.zeros((inputs.size, k), states.dtype)
+        whole[live] = back
+        back = whole.reshape(states.shape)
         dx = np.empty((*inputs.shape, 3 * k), np.float32)
         carry = np.zeros_like(h)
         for t in range(len(inputs) - 1, -1, -1):
@@ -188,42 +238,25 @@ class GatedLM:
         np.add.at(g["emb"], inputs.ravel(), flat_dx @ w["Wx"].T)
         return loss / n, g, last
 
-    def train(self, documents: list[np.ndarray], tokens: int, lanes: int = LANES, window: int = WINDOW,
+    def train(self, documents: Iterable[np.ndarray], tokens: int, lanes: int = LANES, window: int = WINDOW,
               rate: float = RATE) -> float:
-        """Adam over the documents' symbols, dealt to lanes, up to ``tokens`` of them; the mean loss."""
-        streams: list[list[np.ndarray]] = [[] for _ in range(lanes)]
-        for i, d in enumerate(documents):
-            streams[i % lanes].append(d)
-        per_lane = max(window, tokens // lanes)
-        end = documents[0][-1] if documents else 0
-        x = np.full((lanes, per_lane), end, dtype=np.int64)
-        y, fresh = x.copy(), np.zeros((lanes, per_lane), dtype=bool)
-        for lane, own in enumerate(streams):
-            at = 0
-            while own and at < per_lane:           # short of documents, a lane reads its own again
-                for d in own:
-                    m = min(len(d), per_lane - at)
-                    y[lane, at:at + m] = d[:m]
-                    x[lane, at + 1:at + m] = d[:m - 1]
-                    fresh[lane, at:at + 1] = True
-                    at += m
-                    if at >= per_lane:
-                        break
+        """Adam over all words of the documents, which are read again until there were at least ``tokens``
+        words; the mean loss. A window that is short of words moves the weights by that much less."""
         h = np.zeros((lanes, self.hidden), np.float32)
         first = {n: np.zeros_like(v) for n, v in self.w.items()}
         second = {n: np.zeros_like(v) for n, v in self.w.items()}
         losses = []
-        for step, at in enumerate(range(0, per_lane - window + 1, window), 1):
-            part = slice(at, at + window)
-            loss, g, h = self.gradient(x[:, part].T, y[:, part].T, h, fresh[:, part].T)
+        for step, (x, y, fresh, real) in enumerate(lane_windows(repeated(documents, tokens), lanes, window), 1):
+            loss, g, h = self.gradient(x, y, h, fresh, real)
             losses.append(loss)
+            pace = rate * real.mean()
             norm = math.sqrt(sum(float((v * v).sum()) for v in g.values()))
             scale = min(1.0, 1.0 / (norm + 1e-9))
             for n, v in g.items():
                 v = v * scale
                 first[n] = 0.9 * first[n] + 0.1 * v
                 second[n] = 0.99 * second[n] + 0.01 * v * v
-                self.w[n] = self.w[n] - (rate * (first[n] / (1 - 0.9 ** step))
+                self.w[n] = self.w[n] - (pace * (first[n] / (1 - 0.9 ** step))
                                          / (np.sqrt(second[n] / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
         return float(np.mean(losses)) if losses else 0.0
 
