@@ -1,3 +1,4 @@
+import inspect
 import math
 import zlib
 from collections import Counter
@@ -122,3 +123,14 @@ def test_empty_tables_and_no_training_rows(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     r = G.score_documents(documents(spark, [(held, "a b", "en", "a", 3)]), **SMALL).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0) and math.isfinite(r.score)
+
+
+def test_every_training_document_reaches_the_model(spark):
+    train = [i for i in range(20_000) if zlib.crc32(str(i).encode()) % 7 != 2][:2_000]
+    docs = documents(spark, [(i, f"own{i} and more", "en", "a", 0) for i in train])
+    symbols = {w.encode(): k for k, w in enumerate(["", "and", "more", *(f"own{i}" for i in train)], 1)}
+    counts = np.array([1, 2_000, 2_000, 2_000, *[1] * 2_000])
+    sample = inspect.signature(G.score_documents).parameters["train_docs"].default
+    before, after = G.GatedLM.start(counts), G.fit(docs, symbols, counts, sample, 2, 3, 20_000)
+    moved = (before.w["emb"] != after.w["emb"]).any(axis=1)          # what is never read stays as it starts
+    assert moved[1:len(symbols) + 1].all() and not moved[len(symbols) + 1:].any()

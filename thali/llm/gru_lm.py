@@ -10,11 +10,13 @@ The corpus gives it its statistics: every word of every training document is cou
 Spark. The most frequent ones (``VOCABULARY``) are the model's own words; all others are one
 symbol for it, and their share is spread over the words by their counts, add-one smoothed,
 so every text has a probability. Weights start from the counted frequencies and are fitted in
-rounds: each of a few tasks trains on its part of a bounded sample of training documents
-(``TRAIN_DOCS`` in the order of a hash, ``TRAIN_TOKENS`` words per task and round), and the
-results are averaged.
+rounds over successive parts of the corpus: each partition of the scan trains on its whole
+stream of the round's documents, and the results are averaged by the words they are from. Every
+word of every training document is trained on; a small corpus is read several times.
 
-Scale: words are counted per task before they are shuffled. Counts of the ``TOP`` most frequent
+Scale: words are counted per task before they are shuffled. Training holds one document per lane;
+its weights (0.5 MB a partition and round) are added up by ``TRAIN_TASKS`` tasks, so the driver
+gets as many rows for any input. Counts of the ``TOP`` most frequent
 words are broadcast (a fixed number of rows); the rest are looked up by a join of (document,
 word, times) rows, many to one. Texts are not shuffled.
 
@@ -32,6 +34,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +45,8 @@ CLASSES = 48
 VOCABULARY = CLASSES * CLASSES
 HIDDEN = 24
 TOP = 131_072
-TRAIN_DOCS, TRAIN_TASKS, TRAIN_ROUNDS, TRAIN_TOKENS = 1_500, 6, 3, 60_000
+#: ``TRAIN_TOKENS`` is the least number of words that a round trains on, ``TRAIN_TASKS`` add up the weights.
+TRAIN_TASKS, TRAIN_ROUNDS, TRAIN_TOKENS = 6, 3, 60_000
 LANES, WINDOW, RATE = 32, 20, 0.01
 SCORE_LANES, SCORE_WINDOW, SCORE_TOKENS = 512, 32, 2_000_000
 #: Distinct words that a task counts before it hands the counts on.
@@ -307,43 +311,74 @@ def most_frequent(counts: DataFrame, top: int) -> DataFrame:
     return counts.filter(step >= least) if least is not None else counts.limit(0)
 
 
-def fit(docs: DataFrame, symbols: dict[bytes, int], counts: np.ndarray, train_docs: int, tasks: int, rounds: int,
+def fit(docs: DataFrame, symbols: dict[bytes, int], counts: np.ndarray, train_docs: int | None, tasks: int, rounds: int,
         tokens: int) -> GatedLM:
-    """The model, from a bounded sample of training documents, in rounds of averaged local training."""
+    """The model, from every training document (``train_docs``: from so many, for trials), in rounds of
+    averaged local training over successive parts of them."""
     sc = docs.sparkSession.sparkContext
     model = GatedLM.start(counts)
-    ids = docs.filter(trains() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id")).distinct()
-    ids = hash_sample(ids, train_docs, ids.count()).withColumn("task", F.pmod(F.xxhash64("id", F.lit(4)), F.lit(tasks)))
-    rows = id_and_text(docs).join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("task", "doc_id", "text")
-    rows = cut_lineage(rows.repartition(tasks, "task"))           # at most train_docs documents
-    for _ in range(rounds):
+    rows = id_and_text(docs.filter(trains()))
+    if train_docs is not None:
+        ids = rows.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id")).distinct()
+        ids = hash_sample(ids, train_docs, ids.count())
+        rows = cut_lineage(rows.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("doc_id", "text"))
+    part = F.pmod(F.xxhash64("doc_id", "text", F.lit(4)), F.lit(rounds))
+    # how often a round reads its part: in a corpus of at least rounds x tokens words, once
+    passes = math.ceil(tokens * rounds / max(1, int(counts.sum())))
+    for k in range(rounds):
         sent = sc.broadcast((model.w, symbols))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             weights, known = sent.value
             own = GatedLM({n: v.copy() for n, v in weights.items()})
-            found, have = [], 0
-            for batch in batches:
-                for part in slices(batch, 50):
-                    for text in part.column(2).to_pylist():
-                        if have < tokens:
-                            found.append(np.array([known.get(w, 0) for w in text.encode().lower().split()] + [known[b""]]))
-                            have += len(found[-1])
-            if found:
-                own.train(found, tokens)
+            words = 0
+
+            def stream() -> Iterator[np.ndarray]:
+                nonlocal words
+                for batch in batches:
+                    for some in slices(batch, 50):
+                        for text in some.column(1).to_pylist():
+                            d = np.array([known.get(w, 0) for w in text.encode().lower().split()] + [known[b""]])
+                            words += len(d)
+                            yield d
+
+            if passes > 1:                     # few words altogether
+                held = list(stream())
+                own.train(held, passes * words)
+            else:
+                own.train(stream(), 0)
+            if words:
+                at = TaskContext.get().partitionId()
                 for name, v in own.w.items():
-                    yield pa.record_batch([pa.array([name]), pa.array([v.astype(np.float32).tobytes()], pa.binary())],
-                                          names=["name", "value"])
-
-        parts: dict[str, list[np.ndarray]] = {}
-        for name, value in rows.mapInArrow(run, "name string, value binary").collect():   # tasks x weights
-            parts.setdefault(name, []).append(np.frombuffer(value, np.float32).reshape(model.w[name].shape))
-        if parts:
-            model = GatedLM({n: np.mean(v, axis=0, dtype=np.float64).astype(np.float32) for n, v in parts.items()})
+                    yield pa.record_batch([pa.array([at], pa.int64()), pa.array([name]), pa.array([float(words)]),
+                                           pa.array([(v * np.float64(words)).astype(np.float64).tobytes()], pa.binary())],
+                                          names=["at", "name", "words", "value"])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            first, total = 0, {}
+            for batch in batches:
+                for at, name, words, value in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                    first = first if total else at
+                    n, v = total.get(name, (0.0, 0.0))
+                    total[name] = n + words, v + np.frombuffer(value, np.float64)
+            for name, (n, v) in total.items():
+                yield pa.record_batch([pa.array([first], pa.int64()), pa.array([name]), pa.array([n]),
+                                       pa.array([v.tobytes()], pa.binary())], names=["at", "name", "words", "value"])
+
+        schema = "at long, name string, words double, value binary"
+        # sorted, so that the sums are the same in every run
+        sums = (rows.filter(part == k).mapInArrow(run, schema).repartition(tasks, F.pmod("at", F.lit(tasks)))
+                .sortWithinPartitions("at", "name").mapInArrow(add, schema)).collect()      # tasks x weights
+        if sums:
+            total: dict[str, list] = {}
+            for r in sorted(sums, key=lambda r: (r["at"], r["name"])):
+                n, v = total.get(r["name"], (0.0, 0.0))
+                total[r["name"]] = n + r["words"], v + np.frombuffer(r["value"], np.float64)
+            model = GatedLM({name: (v / n).astype(np.float32).reshape(model.w[name].shape) for name, (n, v) in total.items()})
     return model
 
 
-def score_documents(docs: DataFrame, top: int = TOP, train_docs: int = TRAIN_DOCS, tasks: int = TRAIN_TASKS,
+def score_documents(docs: DataFrame, top: int = TOP, train_docs: int | None = None, tasks: int = TRAIN_TASKS,
                     rounds: int = TRAIN_ROUNDS, tokens: int = TRAIN_TOKENS) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``."""
     spark = docs.sparkSession
