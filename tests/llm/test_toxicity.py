@@ -48,6 +48,22 @@ def test_decoding(restorer, noisy, plain):
     assert restorer.word(noisy) == [plain]
 
 
+@pytest.mark.parametrize("noisy,plain", [("!diot", "idiot"), ("|oser", "loser"), ("iddiott", "idiot"), ("stuupiid", "stupid"),
+                                         ("st.up.id", "stupid"), ("i..d..i..o..t", "idiot"), ("id-iot", "idiot"),
+                                         ("(!diot,", "idiot"), ("garden!", "garden"), ("(garden)", "garden")])
+def test_decoding_of_common_disguises(restorer, noisy, plain):
+    assert plain in restorer.word(noisy)
+
+
+@pytest.mark.parametrize("text", ["i. d. i. o. t.", "i - d - i - o - t", "i .. d .. i .. o .. t"])
+def test_spaced_words_with_separators(restorer, text):
+    assert "idiot" in restorer.spaced(f"you {text} there".split())
+
+
+def test_long_tokens_of_digits_take_no_time(restorer):
+    assert restorer.word("a" + "1234567890" * 20 + "-?b")
+
+
 def test_spaced_words(restorer):
     assert "idiot" in restorer.spaced("you i d i o t there".split())
     assert restorer.spaced("a big b tree".split()) == []

@@ -1,10 +1,11 @@
 """Operator 6: toxicity scores over texts restored by a noisy-channel decoder.
 
 Writers hide words by leetspeak (``1d10t``), spacing (``s t u p i d``, ``s.t.u.p.i.d``) and
-repetition (``looooser``). Spans that show such signs become a lattice: a look-alike may
+repetition (``looooser``, ``iddiott``). Spans that show such signs become a lattice: a look-alike may
 stand for each letter it resembles, a separator or a repeated character may be dropped or
 kept, each at a cost in the channel; Viterbi decoding under a character 4-gram model picks
-the likeliest spelling. Everywhere else the lattice has a single path, the text itself.
+the likeliest spelling. Signs that plain text shows too (a doubled letter, a look-alike at a
+word's end, pieces of several letters) leave the plain reading beside the decoded one. Everywhere else the lattice has a single path, the text itself.
 Restored texts are scored.
 
 The character model counts every text of the corpus. The scorer learns from a bounded
@@ -59,11 +60,22 @@ _LOOKALIKE, _NOT_ONE, _DROP_SEPARATOR, _KEEP_SEPARATOR, _DROP_REPEAT = 1.0, 3.0,
 _LOOKS = "".join(map(re.escape, LOOKALIKES))
 _LEET = re.compile(rf"(?=[^\W\d_]*[{_LOOKS}])(?=[{_LOOKS}]*[^\W\d_])[^\W\d_{_LOOKS}]*(?:[^\W\d_]|[{_LOOKS}])+")
 _CHAIN = re.compile(rf"(?:[^\W_{_LOOKS}]|[{_LOOKS}])(?:[{re.escape(_SEPARATORS)}](?:[^\W_]|[{_LOOKS}])){{2,}}")
+_PIECES = re.compile(rf"(?:[^\W_{_LOOKS}]|[{_LOOKS}])+(?:[{re.escape(_SEPARATORS)}]+(?:[^\W_{_LOOKS}]|[{_LOOKS}])+)+")
+_RUN = re.compile(rf"[{re.escape(_SEPARATORS)}]+")
+_OTHER = re.compile(rf"(?:(?![{_LOOKS}])[\W_])+")
 _TRIPLE = re.compile(r"(.)\1\1")
 _DOUBLE = re.compile(r"(.)\1")
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "@$") + "«»“”‘’…¡¿–—"
 
 
+def spaced_sign(token: str) -> int:
+    """1 for a token that holds one character beside separators, 2 for separators alone, 0 for any other."""
+    if len(token) > 1 and token.isalnum():
+        return 0
+    core = token.strip(_SEPARATORS)
+    return 2 if not core else int(len(core) == 1 and (core.isalpha() or core in LOOKALIKES))
+
+
 def symbol(c: str) -> int:
     if "a" <= c <= "z":
         return ord(c) - 96
@@ -116,7 +128,10 @@ class Restorer:
     def __init__(self, model: np.ndarray):
         self.model = array("f", np.asarray(model, dtype=np.float32).tobytes())
 
-    def decode(self, span: str) -> str:
+    def decode(self, span: str, edges: bool = False) -> str:
+        """The likeliest spelling; with ``edges``, punctuation at the span's ends may also be just that."""
+        first = len(span) - len(span.lstrip(_EDGE)) if edges else 0
+        last = len(span.rstrip(_EDGE)) if edges else len(span)
         options = []
         for i, c in enumerate(span):
             here = []
@@ -128,6 +143,8 @@ class Restorer:
                 here.append((symbol(c), c, 0.0))
             if i and c == span[i - 1] and c not in _SEPARATORS:
                 here.append((-1, "", _DROP_REPEAT))
+            if not first <= i < last:
+                here.append((-1, "", 0.0))
             options.append(here)
         states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
         for here in options:
@@ -159,22 +176,32 @@ class Restorer:
                 return []
         if core.isalpha():
             if _TRIPLE.search(core) or len(_DOUBLE.findall(core)) >= 3:
-                return self.decode(core).split()
-            return [core]
-        if _CHAIN.fullmatch(core):
-            return self.decode(core).split()
-        core = _LEET.sub(lambda m: self.decode(m[0]) if not m[0].isalpha() else m[0], core)
-        return [x for x in re.split(r"[\W\d_]+", core) if x]
+                found = self.decode(core).split()
+            else:                                       # a double may be plain spelling: both readings count
+                found = [core, *(self.decode(core).split() if _DOUBLE.search(core) else [])]
+        elif _CHAIN.fullmatch(core):
+            found = self.decode(core).split()
+        else:
+            plain = _LEET.sub(lambda m: self.decode(m[0]) if not m[0].isalpha() else m[0], core)
+            found = [x for x in re.split(r"[\W\d_]+", plain) if x]
+            if found and _PIECES.fullmatch(core):       # pieces of one word, or words
+                found += self.decode(_RUN.sub(" ", core)).split()
+        if core != word:
+            for x in _OTHER.split(word):                # look-alikes at the ends: letters, or punctuation
+                inner = x.strip(_EDGE)
+                if inner != x and any(map(str.isalpha, inner)):
+                    found += self.decode(x, edges=True).split()
+        return list(dict.fromkeys(found))
 
     def spaced(self, tokens: list[str]) -> list[str]:
-        """Words of tokens among which runs of single characters may be spaced-out words."""
-        single = np.fromiter((len(t) == 1 and (t.isalpha() or t in LOOKALIKES) for t in tokens), dtype=np.int8,
-                             count=len(tokens))
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], single, [0]])))
+        """Words of tokens among which runs of single characters, with or without separators, may be
+        spaced-out words."""
+        kind = np.fromiter(map(spaced_sign, tokens), dtype=np.int8, count=len(tokens))
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], kind > 0, [0]])))
         out = []
         for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-            if b - a >= 3:
-                out += self.decode(" ".join(tokens[a:b])).split()
+            if (kind[a:b] == 1).sum() >= 3:
+                out += self.decode(_RUN.sub(" ", " ".join(tokens[a:b])).strip()).split()
         return out
 
 
