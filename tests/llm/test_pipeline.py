@@ -12,7 +12,7 @@ def test_stages_and_queries():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "near_dedup", "repeat_dedup", "packing"]
     entry = importlib.import_module("__spark_entry__")
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
-    assert numbers == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+    assert numbers == list(range(1, 14)) and set(ORACLE_SQL) <= set(QUERIES)
     assert {*QUERIES, "pipeline"} <= set(entry.queries())
 
 

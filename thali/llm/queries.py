@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thali.llm import ann, bpe, chat, cotrain, gru_lm, packing, quality_rules, simhash, suffix_dedup, toxicity
+from thali.llm import (ann, bpe, chat, cotrain, decontaminate, gru_lm, packing, periodic, quality_rules, simhash,
+                       suffix_dedup, toxicity, vector_codes)
 from thali.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +114,58 @@ def op10_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op10_line_frequency_rules"] = quality_rules.oracle_sql()
+
+
+@query
+def op11_broadcast_ngram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hit = decontaminate.hit_words(F.col("spans"))
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+ORACLE_SQL["op11_broadcast_ngram_decontamination"] = decontaminate.oracle_sql()
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """The documents' words; in those whose id's checksum ends in 0, a part is replaced by repeats of its beginning."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    some = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("words"))
+    g, n = F.floor(F.crc32(F.col("doc_id").cast("string")) / 10), F.when(F.size("words") > 0, F.size("words"))
+    some = some.withColumn("g", g).withColumn("n", n).withColumn("a", F.col("g") % F.col("n"))
+    some = some.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    place = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1), lambda i: F.when(
+        i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")))
+    planted = F.array_join(F.transform(place, lambda i: F.get("words", i.cast("int"))), " ")
+    return some.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_basic_factor_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"),
+                                                                 (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    found = found.withColumn("longest", longest)
+    length, period = F.col("longest.length"), -F.col("longest.period")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("longest.start")).alias("start"), length.alias("length"),
+        period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda s: F.concat(s, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+ORACLE_SQL["op12_basic_factor_runs"] = periodic.oracle_sql()
+
+
+@query
+def op13_memoised_cell_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.encode(table(spark, sf_dir, "embeddings"))
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return vector_codes.with_label_errors(coded).select(
+        F.col("id").alias("vec_id"), code.alias("code"), "error", "label_error",
+        F.lit(vector_codes.codebooks_digest(books)).alias("codebooks_sha256"))
+
+
+ORACLE_SQL["op13_memoised_cell_codes"] = vector_codes.oracle_sql()
