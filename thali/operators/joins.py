@@ -11,10 +11,12 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from thali.operators.scans import prefix_scan
+
 
 def exists_flag(df: DataFrame, other: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """``EXISTS(SELECT 1 FROM other WHERE keys match) AS name`` as a column.
@@ -54,53 +56,31 @@ def outer_with_condition(left: DataFrame, right: DataFrame, on: Column) -> DataF
     return left.join(right, on, "left")
 
 
-def valid_session_activity(sessions: DataFrame, activity: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+def valid_session_activity(sessions: DataFrame, activity: DataFrame, parts: int | None = None) -> DataFrame:
     """Each activity with the session it ran under, if that session was unexpired.
 
     A login deletes the customer's other sessions before creating a new one,
     so the session in force at `ts` is the owner's newest one started at or
     before `ts`, valid while ``ts < expires_at``: an as-of join, done as a
-    prefix scan that never compares pairs and never puts a whole owner in
-    one task:
-
-    1. sessions and activity are unioned and cut into (owner, time bucket)
-       groups of `bucket_seconds` (zone-free arithmetic, so deterministic);
-    2. within each group a running ``last(session)`` gives the session in
-       force, as far as the group knows;
-    3. a small table with one row per (owner, bucket) — its last session —
-       gives, by a window over the owner's earlier buckets, the session
-       carried in from before; it fills activity that precedes its bucket's
-       first session.
-
-    A group holds one owner's rows of one bucket, so a hot owner is split by
-    time; lower `bucket_seconds` when one owner's bucket would not fit a task.
+    prefix scan over the union of both, in time order per owner, that carries
+    the newest session along. It never compares pairs, and a hot owner is cut
+    into ranges by row count (``scans.prefix_scan``; `parts` ranges in all,
+    by default as many as shuffle partitions).
     The session's start comes along as ``session_start``.
     """
     sess_t = T.StructType([T.StructField("session_pk", T.LongType()), T.StructField("s_start", T.TimestampNTZType()),
                            T.StructField("s_end", T.TimestampNTZType())])
     s = sessions.select(
         F.col("customer_id").alias("owner"), F.col("created_at").alias("ts"), F.lit(0).alias("kind"),
+        F.col("id").cast("long").alias("pk"),
         F.struct(F.col("id").cast("long").alias("session_pk"), F.col("created_at").cast("timestamp_ntz").alias("s_start"),
                  F.col("expires_at").cast("timestamp_ntz").alias("s_end")).alias("sess"),
         F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("string").alias("event_type"))
     a = activity.select(
-        F.col("customer_id").alias("owner"), "ts", F.lit(1).alias("kind"), F.lit(None).cast(sess_t).alias("sess"),
-        "event_id", "event_type")
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    bucket = F.floor(F.timestamp_diff("SECOND", epoch, F.col("ts").cast("timestamp_ntz")) / F.lit(bucket_seconds))
-    u = s.unionByName(a).filter(F.col("owner").isNotNull()).withColumn("_b", bucket)
-    order = [F.col("ts"), F.col("kind"), F.col("sess.session_pk")]
-    local = Window.partitionBy("owner", "_b").orderBy(*order) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    u = u.withColumn("_local", F.last("sess", ignorenulls=True).over(local))
-    # One row per (owner, bucket) holding its last session (NULL when it has none).
-    last = u.groupBy("owner", "_b").agg(F.max_by(
-        F.when(F.col("kind") == 0, F.col("sess")),
-        F.when(F.col("kind") == 0, F.struct(*order))).alias("_last"))
-    before = Window.partitionBy("owner").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = last.withColumn("_carry", F.last("_last", ignorenulls=True).over(before)).drop("_last")
-    acts = u.filter(F.col("kind") == 1).join(carry, ["owner", "_b"], "left") \
-        .withColumn("_cur", F.coalesce("_local", "_carry"))
-    return acts.filter(F.col("_cur").isNotNull() & (F.col("ts") < F.col("_cur.s_end"))) \
-        .select(F.col("_cur.session_pk").alias("session_pk"), F.col("owner").alias("customer_id"),
-                "event_id", "event_type", "ts", F.col("_cur.s_start").alias("session_start"))
+        F.col("customer_id").alias("owner"), "ts", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("pk"),
+        F.lit(None).cast(sess_t).alias("sess"), "event_id", "event_type")
+    u = s.unionByName(a).filter(F.col("owner").isNotNull())
+    scanned = prefix_scan(u, ["owner"], ["ts", "kind", "pk", "event_id"], last={"cur": "sess"}, parts=parts)
+    return scanned.filter((F.col("kind") == 1) & (F.col("ts") < F.col("cur.s_end"))).select(
+        F.col("cur.session_pk").alias("session_pk"), F.col("owner").alias("customer_id"),
+        "event_id", "event_type", "ts", F.col("cur.s_start").alias("session_start"))
