@@ -17,6 +17,7 @@ from thali.functions import predicates as P
 from thali.functions import quality as Qy
 from thali.functions import scalars as Fx
 from thali.operators import changes as D
+from thali.operators import limiter
 from thali.operators.aggregates import canonical_text
 from thali.operators.joins import anti, valid_session_activity
 from thali.operators.ordering import keyset_page
@@ -44,9 +45,9 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 
-def register(name: str, sql: str | None, note: str = ""):
+def register(name: str, sql: str | None, note: str = "", recursive: bool = False):
     def deco(fn: Callable[[Tables], DataFrame]):
-        REGISTRY[name] = Query(fn, with_model(sql) if sql else None, note)
+        REGISTRY[name] = Query(fn, with_model(sql, recursive) if sql else None, note)
         return fn
     return deco
 
@@ -561,14 +562,12 @@ SELECT p.payment_id, p.order_id, CAST(p.amount AS DOUBLE) AS amount,
        p.razorpay_payment_id, p.created_at
 FROM m_payments p LEFT JOIN m_known k ON p.order_id = k.order_id
 UNION ALL
-SELECT NULL, k.order_id, CAST(o.total_amount AS DOUBLE), 'completed', 'cash', NULL, TIMESTAMP '{ORDERS_NOW}'
+SELECT (SELECT max(payment_id) FROM m_payments) + row_number() OVER (ORDER BY k.order_id), k.order_id,
+       CAST(o.total_amount AS DOUBLE), 'completed', 'cash', NULL, TIMESTAMP '{ORDERS_NOW}'
 FROM m_known k JOIN m_orders o ON o.order_id = k.order_id
-WHERE NOT EXISTS (SELECT 1 FROM m_payments p WHERE p.order_id = k.order_id)""", "new payment ids are hashes: compared as NULL")(
-    lambda t: D.mark_paid(t.orders, t.payments, Rq.cash_marks(t), ORDERS_NOW)["payments"].join(
-        t.payments.select("payment_id", F.lit(True).alias("old")), "payment_id", "left").select(
-        F.when(F.col("old"), F.col("payment_id")).alias("payment_id"), "order_id",
-        Fx.money("amount").alias("amount"), "payment_status", "payment_method", "razorpay_payment_id",
-        "created_at"))
+WHERE NOT EXISTS (SELECT 1 FROM m_payments p WHERE p.order_id = k.order_id)""")(
+    lambda t: D.mark_paid(t.orders, t.payments, Rq.cash_marks(t), ORDERS_NOW)["payments"].withColumn(
+        "amount", Fx.money("amount")))
 
 register("d10_cancel_rejects", """
 m_req AS (SELECT DISTINCT o_orderkey AS order_id,
@@ -669,14 +668,15 @@ SELECT s.ts, s.event_id, s.customer_id, s.item_id, s.order_id, s.rating,
 FROM m_sub s)"""
 
 register("d8_accepted_ratings", """
-SELECT od.customer_id, li.item_id, CAST(1 + (od.customer_id + li.item_id) % 5 AS INT) AS rating_value, min(od.created_at) AS created_at
+SELECT (SELECT max(rating_id) FROM m_ratings) + row_number() OVER (ORDER BY min(od.created_at), od.customer_id, li.item_id) AS rating_id,
+       od.customer_id, li.item_id, CAST(1 + (od.customer_id + li.item_id) % 5 AS INT) AS rating_value, min(od.created_at) AS created_at
 FROM m_order_items li JOIN m_orders od ON od.order_id = li.order_id JOIN m_menu_items it ON it.item_id = li.item_id
 WHERE NOT EXISTS (SELECT 1 FROM m_ratings r WHERE r.customer_id = od.customer_id AND r.item_id = li.item_id)
 GROUP BY od.customer_id, li.item_id HAVING bool_or(od.status = 'completed')""",
-         "every line rated by its customer: the new ratings (their ids are hashes and not compared)")(
+         "every line rated by its customer: the new ratings")(
     lambda t: D.eligible_ratings(t, Rq.bought_ratings(t))["ratings"].join(
         t.ratings.select("rating_id"), "rating_id", "left_anti").select(
-        "customer_id", "item_id", "rating_value", "created_at"))
+        "rating_id", "customer_id", "item_id", "rating_value", "created_at"))
 
 register("d8_rating_reasons", _RATING_SQL + """
 SELECT customer_id, item_id, order_id, rating, reason FROM m_said""")(
@@ -784,30 +784,39 @@ m_decided AS (
 register("d1_ingest_rejects", _CARTS_SQL + """
 SELECT cart_id, customer_id, table_number, ts, reason FROM m_decided WHERE reason IS NOT NULL""",
          "every order re-sent as a cart of its lines")(
-    lambda t: D.ingest_orders(t.orders, Rq.carts(t)).rejects)
-register("d1_ingest_orders", _CARTS_SQL + """
-SELECT CAST(NULL AS BIGINT) AS order_id, customer_id, table_number, CAST(total AS DECIMAL(12,2)) AS total_amount,
-       'pending' AS status, ts AS created_at
-FROM m_decided WHERE reason IS NULL""", "accepted carts; new order ids are hashes: compared as NULL")(
-    lambda t: D.ingest_orders(t.orders, Rq.carts(t))["orders"].withColumn(
-        "order_id", F.lit(None).cast("long")))
-register("d1_ingest_lines", _CARTS_SQL + """
-SELECT dc.table_number, dc.ts AS created_at, l_partkey AS item_id, CAST(l_quantity AS INT) AS quantity,
-       CAST(l_extendedprice AS DECIMAL(12,2)) AS price
-FROM m_decided dc JOIN lineitem ON 'cart-' || l_orderkey = dc.cart_id WHERE dc.reason IS NULL""",
-         "lines of the accepted carts, with their order's table and time")(
-    lambda t: (lambda ch: ch["order_items"].join(ch["orders"].select("order_id", "table_number", "created_at"), "order_id")
-               .select("table_number", "created_at", "item_id", "quantity", "price"))(D.ingest_orders(t.orders, Rq.carts(t))))
-register("d1_ingest_payments", _CARTS_SQL + """
-SELECT table_number, ts AS created_at, CAST(total AS DECIMAL(12,2)) AS amount,
+    lambda t: _ingested(t).rejects)
+
+#: Accepted carts with the ids that serial columns give them.
+_ACCEPTED_SQL = _CARTS_SQL + """,
+m_new AS (
+  SELECT *, row_number() OVER (ORDER BY ts, cart_id) - 1 AS place, sum(n) OVER (ORDER BY ts, cart_id) - n AS lines_before
+  FROM m_decided WHERE reason IS NULL)"""
+_NEW_ORDERS_SQL = _ACCEPTED_SQL + """
+SELECT CAST((SELECT max(order_id) FROM m_orders) + 1 + place AS BIGINT) AS order_id, customer_id, table_number,
+       CAST(total AS DECIMAL(12,2)) AS total_amount, 'pending' AS status, ts AS created_at
+FROM m_new"""
+_NEW_LINES_SQL = _ACCEPTED_SQL + """
+SELECT CAST((SELECT max(order_item_id) FROM m_order_items) + lines_before + row_number() OVER (
+              PARTITION BY cart_id ORDER BY l_linenumber, l_partkey, CAST(l_quantity AS INT), CAST(l_extendedprice AS DECIMAL(10,2))) AS BIGINT)
+         AS order_item_id,
+       CAST((SELECT max(order_id) FROM m_orders) + 1 + place AS BIGINT) AS order_id, l_partkey AS item_id,
+       CAST(l_quantity AS INT) AS quantity, CAST(l_extendedprice AS DECIMAL(12,2)) AS price
+FROM m_new JOIN lineitem ON 'cart-' || l_orderkey = cart_id"""
+
+
+def _ingested(t: Tables) -> D.Change:
+    return D.ingest_orders(t.orders, Rq.carts(t), D.order_ids(t))
+
+
+register("d1_ingest_orders", _NEW_ORDERS_SQL, "accepted carts")(lambda t: _ingested(t)["orders"])
+register("d1_ingest_lines", _NEW_LINES_SQL, "lines of the accepted carts")(lambda t: _ingested(t)["order_items"])
+register("d1_ingest_payments", _ACCEPTED_SQL + """
+SELECT CAST((SELECT max(payment_id) FROM m_payments) + 1 + place AS BIGINT) AS payment_id,
+       CAST((SELECT max(order_id) FROM m_orders) + 1 + place AS BIGINT) AS order_id, CAST(total AS DECIMAL(12,2)) AS amount,
        CASE WHEN online THEN 'completed' ELSE 'pending' END AS payment_status,
        CASE WHEN online THEN 'razorpay' ELSE 'cash' END AS payment_method,
-       CASE WHEN online THEN 'pay_' || substr(cart_id, 6) END AS razorpay_payment_id
-FROM m_decided WHERE reason IS NULL""", "payments of the accepted carts")(
-    lambda t: (lambda ch: ch["payments"].drop("created_at").join(
-        ch["orders"].select("order_id", "table_number", "created_at"), "order_id").select(
-        "table_number", "created_at", "amount", "payment_status", "payment_method", "razorpay_payment_id"))(
-        D.ingest_orders(t.orders, Rq.carts(t))))
+       CASE WHEN online THEN 'pay_' || substr(cart_id, 6) END AS razorpay_payment_id, ts AS created_at
+FROM m_new""", "payments of the accepted carts")(lambda t: _ingested(t)["payments"])
 register("d13_category_snapshot", """
 m_req AS (SELECT DISTINCT CASE WHEN CAST(substr(p_brand, 7) AS INT) % 2 = 0 THEN CAST(substr(p_brand, 7) AS INT) END
                    AS category_id, trim(' Menu ' || p_brand || ' ') AS category_name FROM part),
@@ -835,13 +844,14 @@ WHERE od.order_id IS NULL OR od.customer_id <> rq.customer_id""", "events as ver
         F.col("ts"))).rejects)
 
 register("d15_recorded_payments", """
-SELECT od.order_id, od.total_amount AS amount, 'pay_' || od.order_id AS razorpay_payment_id, od.created_at
+SELECT (SELECT max(payment_id) FROM m_payments) + row_number() OVER (ORDER BY od.created_at, od.order_id) AS payment_id,
+       od.order_id, od.total_amount AS amount, 'pay_' || od.order_id AS razorpay_payment_id, od.created_at
 FROM m_orders od
 WHERE NOT EXISTS (SELECT 1 FROM m_payments p WHERE p.order_id = od.order_id AND p.razorpay_payment_id = 'pay_' || od.order_id)""",
          "every order paid by its customer, twice in the batch; known references are not recorded again")(
     lambda t: D.record_payments(t.orders, t.payments, _own_payments(t))["payments"].join(
         t.payments.select("payment_id"), "payment_id", "left_anti").select(
-        "order_id", "amount", "razorpay_payment_id", "created_at"))
+        "payment_id", "order_id", "amount", "razorpay_payment_id", "created_at"))
 
 
 def _own_payments(t: Tables) -> DataFrame:
@@ -878,6 +888,28 @@ SELECT order_id, arg_max(status, (ts, status)) AS status, MAX(ts) AS ts,
 FROM m_updates WHERE status IN ('pending', 'preparing', 'ready', 'completed', 'cancelled') GROUP BY order_id""")(
     lambda t: St.latest_status_batch(Rq.status_updates(t).filter(Qy.status_ok("status"))))
 
+register("t1_exact_limiter", """
+m_req AS (SELECT CAST(user_id AS VARCHAR) AS client, CAST(ts AS TIMESTAMP) AS ts FROM events),
+m_opens AS (
+  SELECT client, min(ts) AS start FROM m_req GROUP BY client
+  UNION ALL
+  SELECT o.client, min(r.ts) FROM m_opens o JOIN m_req r ON r.client = o.client AND r.ts >= o.start + INTERVAL 1 DAY
+  GROUP BY o.client, o.start),
+m_in AS (SELECT r.client, r.ts, o.start FROM m_req r ASOF JOIN m_opens o ON r.client = o.client AND r.ts >= o.start)
+SELECT client, ts, start AS window_start, hits FROM (
+  SELECT *, row_number() OVER (PARTITION BY client, start ORDER BY ts) AS hits FROM m_in) WHERE hits > 2""",
+         "a window per client of one day from its first request on, 2 requests in each", recursive=True)(
+    lambda t: limiter.rate_limit(t.raw("events").select(F.col("user_id").cast("string").alias("client"), "ts"), 86_400, 2))
+
+_SEEN_SQL = _UPDATES_SQL + """,
+m_seen AS (SELECT order_id, ts, lag(ts) OVER (PARTITION BY order_id ORDER BY ts) AS before FROM m_updates),
+m_island AS (SELECT *, count(*) FILTER (WHERE before IS NULL OR ts - before > INTERVAL 6 HOURS)
+                         OVER (PARTITION BY order_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM m_seen)"""
+register("t2_arrivals", _SEEN_SQL + """
+SELECT order_id, min(ts) AS arrived_at, max(ts) AS last_seen, count(*) AS sightings FROM m_island GROUP BY order_id, k""",
+         "an order id arrives anew after six hours unseen")(
+    lambda t: St.arrivals(Rq.status_updates(t), "6 hours", "order_id", "ts"))
+
 register("q8_cart_price_mismatches", """
 m_pos AS (
   SELECT 'cart-' || l_orderkey AS cart_id,

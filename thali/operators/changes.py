@@ -6,37 +6,28 @@ folder by ``thali.sources.io.write_snapshot``.
 
 "Latest / first per key" is an aggregate (``max_by``/``min`` of a struct),
 not a window: partial aggregation keeps a hot key to one row per map
-partition. New keys are 63-bit hashes of the request's own fields, never a
-global row number; a request whose new key is already taken by something else
-is rejected (``key_collision``), not dropped or merged.
+partition. New rows get serial ids, as the
+source's serial columns give them: dense, from one above the greatest, in the order of
+the requests (``scans.with_serial``: prefix sums over ranges, at any partitioning), so no
+two can meet. Numbering needs the accepted requests once, so it writes them to the
+checkpoint folder; the rest of a job stays lazy.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thali.functions import quality as Q
 from thali.functions.predicates import day_range, ts_literal, unexpired
 from thali.functions.scalars import coerce_bool, parse_float_prefix
 from thali.operators.joins import taken_by_other
+from thali.operators.scans import next_id, with_prefix_sums, with_serial
 from thali.sources.io import cut_lineage
 from thali.sources.schema import MONEY, OPEN_STATUSES, PRICE
 
-MASK = 0x7FFFFFFFFFFFFFFF
-
-
-def new_key(*cols: str | Column) -> Column:
-    """A non-negative 63-bit key from the request's own fields; NULL is a value of its own
-    (a plain hash skips it, so (5, NULL) and (NULL, 5) would be one key)."""
-    def tagged(c: str | Column) -> Column:
-        c = F.col(c) if isinstance(c, str) else c
-        return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
-    return F.xxhash64(*map(tagged, cols)).bitwiseAND(F.lit(MASK))
-
-
 def optional(df: DataFrame, name: str, type_: str) -> DataFrame:
     """`df` with the column, NULL where requests do not carry it."""
     return df if name in df.columns else df.withColumn(name, F.lit(None).cast(type_))
@@ -52,6 +43,8 @@ class Change:
 
     tables: dict[str, DataFrame] = field(default_factory=dict)
     rejects: DataFrame | None = None
+    #: The next id of each serial column, for the batch after this one.
+    next_ids: dict[str, int] = field(default_factory=dict)
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
@@ -68,19 +61,28 @@ def _first_per_key(df: DataFrame, keys: list[str], order: list[str], id_col: str
 
 # ---------------------------------------------------------------- D1, D2
 
-def ingest_orders(orders: DataFrame, carts: DataFrame) -> Change:
+def order_ids(t) -> dict[str, int]:
+    """The next ids of the three tables that an order adds to."""
+    return {"order_id": next_id(t.orders, "order_id"), "order_item_id": next_id(t.order_items, "order_item_id"),
+            "payment_id": next_id(t.payments, "payment_id")}
+
+
+def ingest_orders(orders: DataFrame, carts: DataFrame, ids: dict[str, int] | None = None) -> Change:
     """D1 + D2: carts → new orders, order_items, payments; rejects with reasons.
 
     Order of checks as in the reference: empty cart, missing table, table
     occupied (an open order on that table that day, in the snapshot or placed
     earlier in this batch), invalid line. Total = Σ price·quantity, trusting
     client prices (Q8). A cart with `pay_ref` is paid online (completed
-    razorpay payment), else a pending cash payment. Idempotent by cart id: a
-    repeated cart id keeps its first copy and a cart whose order already exists
-    (same key, customer, table and time) is skipped; a cart that only shares the key of
-    another cart or order is rejected. Carts without an id, among them corrupt lines, are
+    razorpay payment), else a pending cash payment. A repeated cart id keeps its first copy, and a
+    cart whose order exists already (same customer, table, time and total) is skipped, so
+    re-sent carts add nothing. Carts without an id, among them corrupt lines, are
     rejected one by one (with ``_corrupt_record`` where the reader kept it).
+
+    New ids are serial in order of (time, cart id), lines in cart order, from `ids` on (``order_ids``;
+    default: one above the greatest order, and 1 for the tables not given).
     """
+    ids = ids or {"order_id": next_id(orders, "order_id"), "order_item_id": 1, "payment_id": 1}
     raw = optional(carts, "_corrupt_record", "string")
     c = raw.select("cart_id", "customer_id", F.trim("table_number").alias("table_number"),
                    F.col("ts").cast("timestamp_ntz").alias("ts"), "items", "pay_ref", "_corrupt_record")
@@ -90,50 +92,50 @@ def ingest_orders(orders: DataFrame, carts: DataFrame) -> Change:
     cols = [x for x in c.columns if x != "cart_id"]
     c = c.groupBy("cart_id").agg(F.min_by(F.struct(*cols), F.struct("ts", "table_number")).alias("_c")) \
         .select("cart_id", "_c.*")
-    c = c.withColumn("order_id", new_key(F.lit("order"), "cart_id")).withColumn("day", F.to_date("ts"))
-    c = c.join(orders.select("order_id", F.struct(F.col("customer_id").alias("c"), F.col("table_number").alias("t"),
-                                                  F.col("created_at").alias("at")).alias("_order")), "order_id", "left")
-    same = F.col("_order").eqNullSafe(F.struct(F.col("customer_id").alias("c"), F.col("table_number").alias("t"),
-                                               F.col("ts").alias("at")))
-    c = c.filter(F.col("_order").isNull() | ~same)
-    holder = c.groupBy("order_id").agg(F.min("cart_id").alias("_holder"))
-    c = c.join(holder, "order_id").withColumn("_taken", F.col("_order").isNotNull() | (F.col("_holder") != F.col("cart_id")))
-    static = Q.cart_reason("items", "table_number")
-    c = c.withColumn("_static", static)
+    total = F.aggregate("items", F.lit(0).cast(MONEY),
+                        lambda acc, x: (acc + x["price"] * x["quantity"]).cast(MONEY))
+    c = c.withColumn("day", F.to_date("ts")).withColumn("total", total)
+    sent = orders.select(F.col("customer_id").alias("_who"), F.col("table_number").alias("_table"),
+                         F.col("created_at").alias("_at"), F.col("total_amount").alias("_sum"))
+    c = c.join(sent, (F.col("ts") == F.col("_at")) & F.col("table_number").eqNullSafe(F.col("_table"))
+               & F.col("customer_id").eqNullSafe(F.col("_who")) & F.col("total").eqNullSafe(F.col("_sum")), "left_anti")
+    c = c.withColumn("_static", Q.cart_reason("items", "table_number"))
     open_existing = orders.filter(F.col("status").isin(*OPEN_STATUSES)).select(
         "table_number", F.to_date("created_at").alias("day")).distinct().withColumn("_occ", F.lit(True))
     c = c.join(open_existing, ["table_number", "day"], "left")
-    candidates = c.filter(F.col("_static").isNull() & F.col("_occ").isNull() & ~F.col("_taken"))
+    candidates = c.filter(F.col("_static").isNull() & F.col("_occ").isNull())
     winners = candidates.groupBy("table_number", "day").agg(
         F.min(F.struct("ts", "cart_id")).alias("_win"))
     c = c.join(winners, ["table_number", "day"], "left")
     beaten = F.col("_win").isNotNull() & (F.struct("ts", "cart_id") > F.col("_win"))
-    reason = (F.when(F.col("_taken"), F.lit("key_collision"))
-              .when(F.col("_static").isin("empty_cart", "missing_table"), F.col("_static"))
+    reason = (F.when(F.col("_static").isin("empty_cart", "missing_table"), F.col("_static"))
               .when(F.col("_occ") | beaten, F.lit("table_occupied"))
               .when(F.col("_static").isNotNull(), F.col("_static")))
-    c = c.withColumn("reason", reason)
-    ok = c.filter(F.col("reason").isNull())
-    total = F.aggregate("items", F.lit(0).cast(MONEY),
-                        lambda acc, x: (acc + x["price"] * x["quantity"]).cast(MONEY))
-    new_orders = ok.select("order_id", "customer_id", "table_number", total.alias("total_amount"),
+    # decided once: the accepted carts are numbered, the rejected ones reported
+    c = cut_lineage(c.withColumn("reason", reason).drop("_occ", "_win", "_static"))
+    ok = with_prefix_sums(c.filter(F.col("reason").isNull()), ["ts", "cart_id"], {"_n": F.lit(1), "_lines": F.size("items")})
+    ok = ok.withColumn("order_id", F.col("_n") + F.lit(ids["order_id"]).cast("long"))
+    new_orders = ok.select("order_id", "customer_id", "table_number", F.col("total").alias("total_amount"),
                            F.lit("pending").alias("status"), F.col("ts").alias("created_at"))
-    lines = ok.select("order_id", "cart_id", F.posexplode("items").alias("pos", "line")).select(
-        new_key(F.lit("line"), "cart_id", "pos").alias("order_item_id"), "order_id",
+    lines = ok.select("order_id", "_lines", F.posexplode("items").alias("pos", "line")).select(
+        (F.col("_lines") + F.col("pos") + F.lit(ids["order_item_id"]).cast("long")).alias("order_item_id"), "order_id",
         F.col("line.item_id").alias("item_id"), F.col("line.quantity").alias("quantity"),
         F.col("line.price").cast(MONEY).alias("price"))
     online = F.col("pay_ref").isNotNull()
     payments = ok.select(
-        new_key(F.lit("payment"), "cart_id").alias("payment_id"), "order_id",
-        total.alias("amount"),
+        (F.col("_n") + F.lit(ids["payment_id"]).cast("long")).alias("payment_id"), "order_id",
+        F.col("total").alias("amount"),
         F.when(online, "completed").otherwise("pending").alias("payment_status"),
         F.when(online, "razorpay").otherwise("cash").alias("payment_method"),
         F.col("pay_ref").alias("razorpay_payment_id"), F.col("ts").alias("created_at"))
+    made = c.filter(F.col("reason").isNull()).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("items")), F.lit(0))).first()
+    then = {"order_id": ids["order_id"] + made[0], "order_item_id": ids["order_item_id"] + made[1],
+            "payment_id": ids["payment_id"] + made[0]}
     shown = ["cart_id", "customer_id", "table_number", "ts", "reason"]
     if "_corrupt_record" in carts.columns:
         shown.append("_corrupt_record")
     rejects = c.filter(F.col("reason").isNotNull()).select(*shown).unionByName(unnamed.select(*shown))
-    return Change({"orders": new_orders, "order_items": lines, "payments": payments}, rejects)
+    return Change({"orders": new_orders, "order_items": lines, "payments": payments}, rejects, then)
 
 
 def price_mismatches(carts: DataFrame, menu_items: DataFrame) -> DataFrame:
@@ -169,10 +171,11 @@ def apply_status_updates(orders: DataFrame, updates: DataFrame) -> Change:
     return Change({"orders": snap}, bad.unionByName(unknown))
 
 
-def mark_paid(orders: DataFrame, payments: DataFrame, order_ids: DataFrame, as_of) -> Change:
+def mark_paid(orders: DataFrame, payments: DataFrame, order_ids: DataFrame, as_of, first_id: int | None = None) -> Change:
     """Every payment of a marked order becomes completed/cash; an order without
     payment gets a new completed cash payment of the order total. Unknown order → reject.
-    Applying it twice gives the same snapshot."""
+    Applying it twice gives the same snapshot. New payment ids are serial by order id, from
+    `first_id` on (default: one above the greatest of `payments`)."""
     marks = order_ids.select("order_id").filter(F.col("order_id").isNotNull()).distinct()
     known = marks.join(orders.select("order_id"), "order_id", "left_semi")
     unknown = marks.join(orders.select("order_id"), "order_id", "left_anti").withColumn("reason", F.lit("unknown_order"))
@@ -183,8 +186,9 @@ def mark_paid(orders: DataFrame, payments: DataFrame, order_ids: DataFrame, as_o
         .select(*payments.columns)
     missing = known.join(payments.select("order_id"), "order_id", "left_anti") \
         .join(orders.select("order_id", "total_amount"), "order_id")
+    missing = with_serial(missing, "payment_id", ["order_id"], first_id or next_id(payments, "payment_id"))
     inserted = missing.select(
-        new_key(F.lit("cash"), "order_id").alias("payment_id"), "order_id", F.col("total_amount").alias("amount"),
+        "payment_id", "order_id", F.col("total_amount").alias("amount"),
         F.lit("completed").alias("payment_status"), F.lit("cash").alias("payment_method"),
         F.lit(None).cast("string").alias("razorpay_payment_id"), _now(as_of).alias("created_at"))
     return Change({"payments": updated.unionByName(inserted)}, unknown)
@@ -302,20 +306,24 @@ def rating_reasons(t, submissions: DataFrame, existing: DataFrame | None = None)
 
 
 def eligible_ratings(t, submissions: DataFrame, as_of=None) -> Change:
-    """D8 + D7: accepted submissions become new ratings (first per key within the batch)."""
+    """D8 + D7: accepted submissions become new ratings (first per key within the batch), with serial ids in
+    order of time, customer and target."""
     checked = rating_reasons(t, submissions)
     ok = checked.filter(F.col("reason").isNull())
-    new = ok.select(new_key(F.lit("rating"), "customer_id", "item_id", "order_id", "ts").alias("rating_id"),
-                    "customer_id", F.col("rating").cast("int").alias("rating_value"),
-                    F.when(F.col("review_text") == "", None).otherwise(F.col("review_text")).alias("review_text"),
-                    F.col("ts").cast("timestamp_ntz").alias("created_at"), "item_id", "order_id")
-    # equal submissions have one id: the first stays, the others are duplicates like any other
-    new = new.withColumn("_again", F.row_number().over(Window.partitionBy("rating_id").orderBy("rating_value")))
-    repeated = new.filter("_again > 1").select("customer_id", "item_id", "order_id", F.lit("duplicate").alias("reason"))
-    deduped = dedupe_ratings(new.filter("_again = 1").drop("_again"))
+    said = F.struct(F.col("rating").cast("int").alias("rating_value"),
+                    F.when(F.col("review_text") == "", None).otherwise(F.col("review_text")).alias("review_text"))
+    # equal submissions are one row with a count: the first stays, the others are duplicates like any other
+    new = ok.groupBy("customer_id", "item_id", "order_id", F.col("ts").cast("timestamp_ntz").alias("created_at")).agg(
+        F.min(said).alias("_said"), F.count(F.lit(1)).alias("_n"))
+    new = with_serial(new, "rating_id", ["created_at", "customer_id", "item_id", "order_id"], 1)
+    repeated = new.filter("_n > 1").select("customer_id", "item_id", "order_id", F.explode(
+        F.array_repeat(F.lit("duplicate"), (F.col("_n") - 1).cast("int"))).alias("reason"))
+    deduped = dedupe_ratings(new.select("rating_id", "customer_id", "_said.*", "created_at", "item_id", "order_id"))
+    kept = with_serial(deduped["ratings"].withColumnRenamed("rating_id", "_asked"), "rating_id", ["_asked"],
+                       next_id(t.ratings, "rating_id")).select(*t.ratings.columns)
     rejects = checked.filter(F.col("reason").isNotNull()).select("customer_id", "item_id", "order_id", "reason") \
         .unionByName(deduped.rejects.select("customer_id", "item_id", "order_id", "reason")).unionByName(repeated)
-    return Change({"ratings": t.ratings.unionByName(deduped["ratings"])}, rejects)
+    return Change({"ratings": t.ratings.unionByName(kept)}, rejects)
 
 
 # ---------------------------------------------------------------- D11
@@ -362,31 +370,28 @@ def upsert_menu_items(menu_items: DataFrame, requests: DataFrame) -> Change:
         F.when(F.col("image_url") != "", F.col("image_url")).alias("image_url"),
         F.when(F.col("description") != "", F.col("description")).alias("description"),
         coerce_bool("is_available").alias("is_available"))
-    changed, unknown, taken = _upserted(menu_items, ok, "item_id", F.col("item_id"), "item")
+    changed, unknown = _upserted(menu_items, ok, "item_id")
     snap = menu_items.join(changed.select("item_id"), "item_id", "left_anti").unionByName(changed)
     rejects = r.filter(F.col("reason").isNotNull()).select("item_id", "item_name", "reason") \
-        .unionByName(unknown.select("item_id", "item_name", F.lit("not_found").alias("reason"))) \
-        .unionByName(taken.select("item_id", "item_name", F.lit("key_collision").alias("reason")))
+        .unionByName(unknown.select("item_id", "item_name", F.lit("not_found").alias("reason")))
     return Change({"menu_items": snap}, rejects)
 
 
-def _upserted(table: DataFrame, ok: DataFrame, key: str, new_id: Column, kind: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Changed rows, replaces of unknown ids and inserts whose new id is taken, from checked
-    requests. The last replace per id wins (by `ts`, then by content); an insert's id hashes its
-    content and its number among equal inserts. `new_id` brings the hash (column `key`) to the id's range."""
+def _upserted(table: DataFrame, ok: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Changed rows and replaces of unknown ids, from checked requests. The last replace per id wins (by `ts`,
+    then by content); inserts get serial ids by content and time. Equal inserts are numbered as one row with a count."""
     content = [c for c in table.columns if c != key]
     replaces = ok.filter(F.col(key).isNotNull())
     last = replaces.groupBy(key).agg(F.max_by(F.struct(*content), F.struct("ts", *content)).alias("_last")).select(
         key, "_last.*")
     unknown = replaces.join(table.select(key), key, "left_anti")
     last = last.join(table.select(key), key, "left_semi").select(*table.columns)
-    again = F.row_number().over(Window.partitionBy(*content).orderBy("ts"))
-    inserts = ok.filter(F.col(key).isNull()).withColumn("_again", again).withColumn(
-        key, new_key(F.lit(kind), *content, "_again")).withColumn(key, new_id)
-    holder = inserts.groupBy(key).agg(F.min(F.struct(*content, "_again")).alias("_holder"))
-    inserts = inserts.join(holder, key).join(table.select(key).withColumn("_known", F.lit(True)), key, "left")
-    free = F.col("_known").isNull() & F.struct(*content, "_again").eqNullSafe(F.col("_holder"))
-    return last.unionByName(inserts.filter(free).select(*table.columns)), unknown, inserts.filter(~free)
+    inserts = ok.filter(F.col(key).isNull()).groupBy(*content, "ts").agg(F.count(F.lit(1)).alias("_n"))
+    inserts = with_prefix_sums(inserts, [*content, "ts"], {"_at": F.col("_n")}).withColumn(
+        "_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    kind = table.schema[key].dataType
+    inserts = inserts.withColumn(key, (F.col("_at") + F.col("_k") + F.lit(next_id(table, key))).cast(kind))
+    return last.unionByName(inserts.select(*table.columns)), unknown
 
 
 def upsert_categories(menu_category: DataFrame, requests: DataFrame) -> Change:
@@ -396,12 +401,10 @@ def upsert_categories(menu_category: DataFrame, requests: DataFrame) -> Change:
     r = optional(requests, "ts", "timestamp_ntz").withColumn(
         "reason", F.when(name.isNull() | (name == ""), "missing_name"))
     ok = r.filter(F.col("reason").isNull()).select("category_id", "ts", name.alias("category_name"))
-    changed, unknown, taken = _upserted(menu_category.select("category_id", "category_name"), ok, "category_id",
-                                        (F.col("category_id") % F.lit(2**31 - 1)).cast("int"), "category")
+    changed, unknown = _upserted(menu_category.select("category_id", "category_name"), ok, "category_id")
     snap = menu_category.join(changed.select("category_id"), "category_id", "left_anti").unionByName(changed)
     rejects = r.filter(F.col("reason").isNotNull()).select("category_id", "category_name", "reason") \
-        .unionByName(unknown.select("category_id", "category_name", F.lit("not_found").alias("reason"))) \
-        .unionByName(taken.select("category_id", "category_name", F.lit("key_collision").alias("reason")))
+        .unionByName(unknown.select("category_id", "category_name", F.lit("not_found").alias("reason")))
     return Change({"menu_category": snap}, rejects)
 
 
@@ -436,16 +439,19 @@ def record_payments(orders: DataFrame, payments: DataFrame, verified: DataFrame)
     keys = ["order_id", "razorpay_payment_id"]
     known = payments.select(*keys).filter(F.col("razorpay_payment_id").isNotNull()).distinct().withColumn("_known", F.lit(True))
     fine = j.filter(F.col("reason").isNull()).join(known, keys, "left")
-    again = F.row_number().over(Window.partitionBy(*keys).orderBy("ts"))
-    fine = fine.withColumn("reason", F.when(F.col("_known") | (again > 1), F.lit("already_recorded"))).drop("_known")
-    j = j.filter(F.col("reason").isNotNull()).unionByName(fine.filter(F.col("reason").isNotNull()))
-    ok = fine.filter(F.col("reason").isNull())
-    new = ok.select(new_key(F.lit("payment"), "razorpay_payment_id", "order_id").alias("payment_id"), "order_id",
+    # equal requests are one row with a count, so a reference sent very often is no hot key
+    fine = fine.groupBy(*keys, "customer_id", "total_amount", "ts", "_known").agg(F.count(F.lit(1)).alias("_n"))
+    first = fine.groupBy(*keys).agg(F.min("ts").alias("_first"))
+    fine = fine.join(first, keys).withColumn("_new", F.col("_known").isNull() & F.col("ts").eqNullSafe(F.col("_first")))
+    again = fine.withColumn("_n", F.col("_n") - F.col("_new").cast("int")).filter("_n > 0").select(
+        "order_id", "customer_id", F.explode(F.array_repeat(F.lit("already_recorded"), F.col("_n").cast("int"))).alias("reason"))
+    ok = with_serial(fine.filter("_new"), "payment_id", ["ts", *keys], next_id(payments, "payment_id"))
+    new = ok.select("payment_id", "order_id",
                     F.col("total_amount").alias("amount"), F.lit("completed").alias("payment_status"),
                     F.lit("razorpay").alias("payment_method"), "razorpay_payment_id",
                     F.col("ts").cast("timestamp_ntz").alias("created_at"))
     return Change({"payments": payments.unionByName(new)},
-                  j.filter(F.col("reason").isNotNull()).select("order_id", "customer_id", "reason"))
+                  j.filter(F.col("reason").isNotNull()).select("order_id", "customer_id", "reason").unionByName(again))
 
 
 # ---------------------------------------------------------------- accounts and ratings
@@ -478,7 +484,7 @@ def end_sessions(sessions: DataFrame, session_ids: DataFrame) -> Change:
 def register_customers(customers: DataFrame, requests: DataFrame) -> Change:
     """Registrations (name, phone, ts): phone normalised to digits (V1), name checked (V2),
     refused when the phone already belongs to a customer ('exists') or to an earlier
-    registration of the batch ('duplicate'). New ids are hashes of the phone."""
+    registration of the batch ('duplicate'). New ids are serial by time and phone."""
     from thali.functions.scalars import digits_only
 
     r = requests.select("name", "phone", F.col("ts").cast("timestamp_ntz").alias("ts")) \
@@ -492,8 +498,9 @@ def register_customers(customers: DataFrame, requests: DataFrame) -> Change:
     first = ok.groupBy("phone_norm").agg(F.min(F.struct("ts", "name")).alias("_w"))
     ok = ok.join(first, "phone_norm").withColumn("_first", F.struct("ts", "name") == F.col("_w"))
     dup = ok.filter(~F.col("_first")).withColumn("reason", F.lit("duplicate"))
-    new = ok.filter(F.col("_first")).dropDuplicates(["phone_norm"]).select(
-        new_key(F.lit("customer"), "phone_norm").alias("customer_id"), F.trim("name").alias("name"),
+    new = with_serial(ok.filter(F.col("_first")).dropDuplicates(["phone_norm"]), "customer_id", ["ts", "phone_norm"],
+                      next_id(customers, "customer_id")).select(
+        "customer_id", F.trim("name").alias("name"),
         F.col("phone_norm").alias("phone"), F.col("ts").alias("created_at"), F.lit(None).cast("date").alias("dob"))
     rejects = r.filter(F.col("reason").isNotNull()).select("name", "phone", "ts", "reason") \
         .unionByName(dup.select("name", "phone", "ts", "reason"))

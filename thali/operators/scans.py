@@ -75,5 +75,5 @@ def next_id(table: DataFrame | None, column: str) -> int:
 
 def with_serial(rows: DataFrame, name: str, order: Sequence[str], start: int, parts: int | None = None) -> DataFrame:
     """`rows` with serial ids `start`, `start` + 1, ... in `order`, without a gap."""
-    numbered = with_prefix_sums(rows, order, {"_n": F.lit(1)}, parts)
-    return numbered.withColumn(name, (F.col("_n") + F.lit(start)).cast("long")).drop("_n")
+    numbered = with_prefix_sums(rows, order, {name: F.lit(1)}, parts)
+    return numbered.withColumn(name, F.col(name) + F.lit(start).cast("long"))

@@ -81,8 +81,8 @@ m_live_orders AS (
 """
 
 
-def with_model(body: str) -> str:
-    return "WITH " + MODEL_CTES.strip() + ",\n" + body.strip()
+def with_model(body: str, recursive: bool = False) -> str:
+    return ("WITH RECURSIVE " if recursive else "WITH ") + MODEL_CTES.strip() + ",\n" + body.strip()
 
 
 def period_sql(col: str, period: str | None, as_of: str) -> str:

@@ -154,17 +154,17 @@ class Store:
         return F.pmod(F.xxhash64(key), F.lit(spec["count"])).cast("long")
 
     def _bucket_files(self, df: DataFrame, table: str, spec: dict) -> dict[str, list[str]]:
-        """Write `df` by bucket. A bucket is as many files as tasks had rows of it: a hot key's rows stay spread."""
+        """Write `df` by bucket; adaptive execution makes small buckets few files and a hot one several."""
         files: dict[str, list[str]] = {}
-        for f in self.write(df.withColumn(BUCKET, self.bucket_of(spec)), table, [BUCKET]):
+        dealt = df.withColumn(BUCKET, self.bucket_of(spec)).hint("rebalance", BUCKET)
+        for f in self.write(dealt, table, [BUCKET]):
             files.setdefault(re.search(rf"/{BUCKET}=([^/]+)/", f)[1], []).append(f)
         return files
 
     def create(self, table: str, df: DataFrame, key: str, count: int = 64, span: int | None = None) -> int:
         """First commit of a bucketed table: `count` hash buckets of `key`, or buckets of `span` consecutive ids."""
         spec = {"key": key, "count": count, "span": span}
-        dealt = df.repartition(self.bucket_of(spec))
-        files = self._bucket_files(dealt, table, spec)
+        files = self._bucket_files(df, table, spec)
         return self.commit(buckets={table: {"spec": spec, "files": files}}, schemas={table: df.schema})
 
     def touched(self, table: str, keys: DataFrame, manifest: dict | None = None) -> list[str]:

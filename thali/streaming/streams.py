@@ -8,25 +8,26 @@ the session time zone and cast results back. Run streams with
 ``spark.sql.session.timeZone=UTC`` (as ``thali.session.get_spark`` does) so
 that day and hour windows align to wall-clock midnights and hours.
 
-State is always bounded: windowed aggregates and de-duplication drop
-state behind the watermark; the status tracker drops a key once its order
-is finished or idle past a timeout.
+No Python runs per row or key: windows, de-duplication and joins keep their state in the
+JVM and drop it behind the watermark, and state that lives as long as an order or a
+client's window (T1, T3) is a bucketed table in a ``Store``: each micro-batch is aggregated,
+merged into the buckets it touches and committed under its batch id, so a replayed batch
+changes nothing and readers see whole batches only.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import json
-from typing import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from thali.functions.predicates import ts_literal
-from thali.session import ship_package
+from thali.operators import limiter
+from thali.sources.commits import Store
+from thali.sources.io import cut_lineage
 from thali.sources.schema import OPEN_STATUSES
 
 
@@ -41,9 +42,9 @@ def _wall(c):
     return c.cast("timestamp_ntz")
 
 
-def _ms(ts) -> int:
-    """Epoch milliseconds of a pandas/stdlib timestamp (state timeouts are in ms)."""
-    return int(pd.Timestamp(ts).value // 1_000_000)
+def _start(frame: DataFrame, per_batch: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None):
+    w = frame.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+    return (w.trigger(**trigger) if trigger else w).start()
 
 
 # ------------------------------------------------------------------ T1, T4
@@ -82,52 +83,59 @@ def attempt_limits(attempts: DataFrame, max_attempts: int = 5, lifetime: str = "
         key, _wall(F.col("issued_at")).alias("issued_at"), "attempts")
 
 
-LIMIT_OUT = T.StructType([
-    T.StructField("client", T.StringType()),
-    T.StructField("ts", T.TimestampType()),
-    T.StructField("window_start", T.TimestampType()),
-    T.StructField("hits", T.LongType()),
-])
-LIMIT_STATE = T.StructType([T.StructField("window_start", T.TimestampType()), T.StructField("hits", T.LongType())])
+def _limit_batch(store: Store, batch: DataFrame, batch_id: int, window_us: int, max_requests: int, delay_us: int,
+                 buckets: int) -> None:
+    """Merge one micro-batch of (client, ts) into the clients' open windows."""
+    if store.has_batch(batch_id):
+        return
+    new = cut_lineage(limiter.counted(batch, "client", "ts"))
+    if new.isEmpty():
+        return
+    before = store.newest()
+    if before is None:
+        store.create("windows", store.spark.createDataFrame([], "client string, start long, hits long"), "client", buckets)
+        before = store.newest()
+    high = max(before["meta"].get("high", 0), new.agg(F.max("t")).first()[0])
+    refused: list[DataFrame] = []
+
+    def merge(held: DataFrame) -> DataFrame:
+        # the open window takes part as requests already counted; late requests count in it
+        was = held.join(new.select("client").distinct(), "client", "left_semi")
+        rows = new.join(was.select("client", F.col("start").alias("_open")), "client", "left").groupBy(
+            "client", F.greatest("t", "_open").alias("t")).agg(F.sum("n").alias("fresh"))
+        old = was.select("client", F.col("start").alias("t"), F.col("hits").alias("old"))
+        rows = cut_lineage(rows.join(old, ["client", "t"], "full").select(
+            "client", "t", F.coalesce("fresh", F.lit(0)).alias("fresh"), F.coalesce("old", F.lit(0)).alias("old")))
+        found = limiter.windows(rows.select("client", "t", (F.col("fresh") + F.col("old")).alias("n")), window_us)
+        found = cut_lineage(found.drop("n").join(rows.select("client", "t", F.col("fresh").alias("n")), ["client", "t"]))
+        refused.append(limiter.refusals(found, max_requests))
+        last = found.groupBy("client").agg(F.max("start").alias("start"), F.max_by("hits", "t").alias("hits"))
+        kept = held.join(new.select("client").distinct(), "client", "left_anti").unionByName(last)
+        # a window that closed before the watermark can take no more requests
+        return kept.filter(F.col("start") + window_us > high - delay_us)
+
+    files = store.rewritten("windows", new, merge, before)
+    out = refused[0]
+    store.commit(append={"refused": store.write(out, "refused")}, buckets={"windows": files}, schemas={"refused": out.schema},
+                 batch=batch_id, meta={"high": high}, after=before)
+
+
+def rate_limit(requests: DataFrame, path: str, checkpoint: str, window_seconds: int = 900, max_requests: int = 5,
+               delay_seconds: int = 900, key: str = "client", ts: str = "ts", buckets: int = 64, trigger: dict | None = None):
+    """T1 as the reference's limiter on a stream: each client gets a fixed window that opens at its first
+    request after the previous window closed; requests beyond `max_requests` in a window are refused.
+
+    The store at `path` holds one (start, hits) row per client with an open window and the appended table
+    ``refused`` (client, ts, window_start, hits). A micro-batch goes through the batch limiter together with
+    the open windows of its clients; a request that arrives after its window's successor opened counts in the
+    successor. Windows that closed `delay_seconds` before the newest request leave the state."""
+    store = Store(requests.sparkSession, path)
+    named = requests.select(F.col(key).cast("string").alias("client"), F.col(ts).alias("ts"))
 
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        _limit_batch(store, batch, batch_id, window_seconds * 1_000_000, max_requests, delay_seconds * 1_000_000, buckets)
 
-def _limiter(window_ms: int, max_requests: int):
-    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        ts = pd.concat([b["ts"] for b in batches], ignore_index=True).sort_values(kind="mergesort")
-        start, hits = state.get if state.exists else (None, 0)
-        refused = []
-        # One client's rows of one micro-batch, in time order: the chained windows are sequential.
-        for t in ts:
-            if start is None or _ms(t) >= _ms(start) + window_ms:
-                start, hits = t, 0
-            hits += 1
-            if hits > max_requests:
-                refused.append((key[0], t, start, hits))
-        if refused:
-            yield pd.DataFrame(refused, columns=[f.name for f in LIMIT_OUT.fields])
-        state.update((start, hits))
-        state.setTimeoutTimestamp(_ms(start) + window_ms)
-    return step
-
-
-def rate_limit(requests: DataFrame, window_seconds: int = 900, max_requests: int = 5,
-               delay: str = "15 minutes", key: str = "client", ts: str = "ts") -> DataFrame:
-    """T1 as the reference's limiter: each client gets a fixed window that opens at its
-    first request after the previous window closed; requests beyond `max_requests`
-    in a window are refused (emitted with their hit number).
-
-    Keyed state holds one (window start, hits) row per active client and is
-    dropped when the watermark passes the window's end.
-    """
-    ship_package(requests.sparkSession)
-    r = event_time(requests.select(F.col(key).alias("client"), F.col(ts).alias("ts")), "ts").withWatermark("ts", delay)
-    out = r.groupBy("client").applyInPandasWithState(
-        _limiter(window_seconds * 1000, max_requests), LIMIT_OUT, LIMIT_STATE, "append",
-        GroupStateTimeout.EventTimeTimeout)
-    return out.withColumn("ts", _wall(F.col("ts"))).withColumn("window_start", _wall(F.col("window_start")))
+    return _start(named, per_batch, checkpoint, trigger)
 
 
 def quota_breaches_batch(requests: DataFrame, window: str, max_requests: int, key: str = "client",
@@ -146,53 +154,79 @@ def new_arrivals(orders: DataFrame, delay: str = "1 hour", key: str = "order_id"
     return o.dropDuplicatesWithinWatermark([key]).withColumn(ts, _wall(F.col(ts)))
 
 
+def arrivals(sightings: DataFrame, delay: str = "1 hour", key: str = "order_id", ts: str = "created_at") -> DataFrame:
+    """T2 with expiry: an order id arrives anew whenever it was unseen for `delay`. One row per arrival:
+    the id, its first and last sighting, and their number.
+
+    Gaps and islands as session windows: on a table, and on a stream, where an island is emitted
+    once the watermark has passed its last sighting by `delay` (``new_arrivals`` alerts at first sight)."""
+    o = event_time(sightings.select(key, ts).filter(F.col(key).isNotNull()), ts).withWatermark(ts, delay)
+    # a window ends `delay` after its last sighting and takes in what comes before that
+    seen = o.groupBy(key, F.session_window(ts, delay).alias("w")).agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"),
+                                                                     F.count(F.lit(1)).alias("sightings"))
+    return seen.select(key, _wall(F.col("_first")).alias("arrived_at"), _wall(F.col("_last")).alias("last_seen"), "sightings")
+
+
 # ------------------------------------------------------------------ T3
 
-STATUS_OUT = T.StructType([
-    T.StructField("order_id", T.LongType()),
-    T.StructField("status", T.StringType()),
-    T.StructField("ts", T.TimestampType()),
-    T.StructField("is_open", T.BooleanType()),
-])
-STATUS_STATE = T.StructType([
-    T.StructField("status", T.StringType()),
-    T.StructField("ts", T.TimestampType()),
-])
-
-
-def _status_tracker(idle_ms: int):
-    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        order_id = key[0]
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat([b[["status", "ts"]] for b in batches], ignore_index=True)
-        if state.exists:
-            last_status, last_ts = state.get
-            rows = pd.concat([rows, pd.DataFrame({"status": [last_status], "ts": [last_ts]})], ignore_index=True)
-        # Latest update by (ts, status), vectorised.
-        latest = rows.sort_values(["ts", "status"], kind="mergesort").iloc[-1]
-        last_status, last_ts = latest["status"], latest["ts"]
-        is_open = last_status in OPEN_STATUSES
-        yield pd.DataFrame({"order_id": [order_id], "status": [last_status], "ts": [last_ts], "is_open": [is_open]})
-        # A finished order keeps its final state until the watermark passes its last update, so a
-        # late, earlier update cannot reopen it; an open order stays for the idle time after its last update.
-        state.update((last_status, last_ts))
-        state.setTimeoutTimestamp(_ms(last_ts) + (idle_ms if is_open else 0))
-
-    return step
-
-
-def live_order_status(updates: DataFrame, delay: str = "1 hour", idle_hours: float = 24) -> DataFrame:
-    """The live queue — latest status per order (by time, out-of-order within the
-    watermark allowed). A finished order (ready/completed/cancelled) is emitted with
-    is_open = false and leaves the state once the watermark passes its last update; an open
-    one leaves `idle_hours` after its last update, so state does not grow with orders that
-    are never closed (a later update of such an order is emitted as a new one)."""
-    ship_package(updates.sparkSession)
-    u = event_time(updates.select("order_id", "status", "ts")).withWatermark("ts", delay)
-    return u.groupBy("order_id").applyInPandasWithState(
-        _status_tracker(int(idle_hours * 3_600_000)), STATUS_OUT, STATUS_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+def _status_batch(store: Store, batch: DataFrame, batch_id: int, delay_us: int, buckets: int) -> None:
+    """Merge one micro-batch of status updates into the live table."""
+    if store.has_batch(batch_id):
+        return
+    before = store.newest()
+    high = (before or {"meta": {}})["meta"].get("high")
+    updates = batch.select("order_id", "status", F.col("ts").cast("timestamp_ntz").alias("ts")).filter(
+        F.col("order_id").isNotNull() & F.col("ts").isNotNull())
+    if high is not None:                                    # behind the watermark
+        updates = updates.filter(limiter.micros("ts") >= high - delay_us)
+    new = cut_lineage(latest_status_batch(updates))
+    if new.isEmpty():
+        return
+    if before is None:
+        store.create("live", new.limit(0), "order_id", buckets)
+        before = store.newest()
+    newest = new.agg(F.max(limiter.micros("ts"))).first()[0]
+    high = newest if high is None else max(high, newest)
+    final = ~F.coalesce("is_open", F.lit(False)) & (limiter.micros("ts") < high - delay_us)
+    done: list[DataFrame] = []
+
+    def merge(held: DataFrame) -> DataFrame:
+        merged = cut_lineage(latest_status_batch(held.unionByName(new)))
+        done.append(merged.filter(final))
+        return merged.filter(~final)
+
+    files = store.rewritten("live", new, merge, before)
+    store.commit(append={"finished": store.write(done[0], "finished")}, buckets={"live": files},
+                 schemas={"finished": new.schema}, batch=batch_id, meta={"high": high}, after=before)
+
+
+def live_order_status(updates: DataFrame, path: str, checkpoint: str, delay_seconds: int = 3600, buckets: int = 64,
+                      trigger: dict | None = None):
+    """The live queue as a table that a stream keeps: latest status per order (by time, then status).
+
+    Each micro-batch is reduced to one row per order and merged into the buckets of table ``live`` that it
+    touches. A finished order (ready/completed/cancelled) stays there until its last update lies `delay_seconds`
+    behind the newest one, so that a late update cannot reopen it, and then moves to the appended table
+    ``finished``; later updates behind that watermark are ignored. Read both with ``order_status``, the queue
+    with ``live_queue``."""
+    store = Store(updates.sparkSession, path)
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        _status_batch(store, batch, batch_id, delay_seconds * 1_000_000, buckets)
+
+    return _start(updates, per_batch, checkpoint, trigger)
+
+
+def live_queue(spark: SparkSession, path: str) -> DataFrame:
+    """The open orders of the live table."""
+    return Store(spark, path).read("live").filter("is_open")
+
+
+def order_status(spark: SparkSession, path: str) -> DataFrame:
+    """The latest status of every order seen, finished ones included."""
+    store = Store(spark, path)
+    rows = store.read("live").unionByName(store.read("finished"))
+    return latest_status_batch(rows)
 
 
 def latest_status_batch(updates: DataFrame) -> DataFrame:
@@ -204,76 +238,39 @@ def latest_status_batch(updates: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ T5
 
-SESSION_OUT = T.StructType([
-    T.StructField("session_pk", T.StringType()),
-    T.StructField("customer_id", T.LongType()),
-    T.StructField("event_id", T.StringType()),
-    T.StructField("event_type", T.StringType()),
-    T.StructField("ts", T.TimestampType()),
-])
-# The owner's sessions still unexpired at the watermark, as JSON [[pk, start_ms, end_ms], ...].
-SESSION_STATE = T.StructType([T.StructField("sessions", T.StringType())])
-
-
-def _sessions_as_of(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    owner = key[0]
-    if state.hasTimedOut:
-        state.remove()
-        return
-    rows = pd.concat(list(batches), ignore_index=True)[["ts", "kind", "session_pk", "s_end", "event_id", "event_type"]]
-    if state.exists:
-        kept = json.loads(state.get[0])
-        old = pd.DataFrame({"ts": pd.to_datetime([k[1] for k in kept], unit="ms"), "kind": 0,
-                            "session_pk": [k[0] for k in kept], "s_end": pd.to_datetime([k[2] for k in kept], unit="ms"),
-                            "event_id": None, "event_type": None})
-        rows = pd.concat([rows, old.astype({"ts": rows["ts"].dtype, "s_end": rows["s_end"].dtype})], ignore_index=True)
-    # As-of, vectorised: in time order, each row sees the newest session so far (forward fill).
-    rows["_order"] = pd.array([int(x) if isinstance(x, str) else None for x in rows["session_pk"]], dtype="Int64")
-    rows = rows.sort_values(["ts", "kind", "_order"], na_position="last", kind="mergesort")
-    is_session = rows["kind"] == 0
-    rows["cur_pk"] = rows["session_pk"].where(is_session).ffill()
-    rows["cur_end"] = rows["s_end"].where(is_session).ffill()
-    acts = rows[~is_session & rows["cur_pk"].notna() & (rows["ts"] < rows["cur_end"])]
-    if len(acts):
-        yield pd.DataFrame({"session_pk": acts["cur_pk"], "customer_id": owner,
-                            "event_id": acts["event_id"], "event_type": acts["event_type"], "ts": acts["ts"]})
-    # Keep the sessions a later (in-watermark) row could still fall into; drop the state when none.
-    watermark = state.getCurrentWatermarkMs()
-    sessions = rows[is_session].drop_duplicates("session_pk")
-    keep = [[r.session_pk, _ms(r.ts), _ms(r.s_end)] for r in sessions.itertuples() if _ms(r.s_end) > watermark]
-    if keep:
-        state.update((json.dumps(keep),))
-        state.setTimeoutTimestamp(max(k[2] for k in keep))
-    else:
-        state.remove()
-
-
-def valid_session_activity(sessions: DataFrame, activity: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """T5: activity with the session in force (the owner's newest session started at or
-    before it, unexpired) — the as-of join of J9 as keyed state.
-
-    State per owner is the list of its sessions not yet expired at the
-    watermark (bounded by time: a session leaves when the watermark passes its
-    expiry), so rows may arrive out of order within the watermark delay and
-    still meet the session an as-of join would give them; no pairs are formed.
-    Ids travel as text: a missing value would turn a pandas integer column into floating
-    point, which rounds ids above 2^53.
-    """
-    ship_package(sessions.sparkSession)
-    s = event_time(sessions.select(
-        F.col("customer_id").alias("owner"), F.col("created_at").alias("ts"), F.lit(0).alias("kind"),
-        F.col("id").cast("string").alias("session_pk"), F.col("expires_at").alias("s_end"),
-        F.lit(None).cast("string").alias("event_id"), F.lit(None).cast("string").alias("event_type")), "ts")
-    s = event_time(s, "s_end")
-    a = event_time(activity.select(
-        F.col("customer_id").alias("owner"), "ts", F.lit(1).alias("kind"),
-        F.lit(None).cast("string").alias("session_pk"), F.lit(None).cast("timestamp").alias("s_end"),
-        F.col("event_id").cast("string").alias("event_id"), "event_type"), "ts")
-    u = s.unionByName(a).withWatermark("ts", delay)
-    out = u.groupBy("owner").applyInPandasWithState(
-        _sessions_as_of, SESSION_OUT, SESSION_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    return out.select(F.col("session_pk").cast("long").alias("session_pk"), "customer_id",
-                      F.col("event_id").cast("long").alias("event_id"), "event_type", _wall(F.col("ts")).alias("ts"))
+def valid_session_activity(sessions: DataFrame, activity: DataFrame, delay: str = "1 hour", lifetime_hours: float = 24,
+                           slices: int = 4) -> DataFrame:
+    """T5: activity with the session in force (the owner's newest session started at or before it, unexpired):
+    the as-of join of J9 as a stream–stream join.
+
+    Both sides have a watermark, and a session meets activity only within `lifetime_hours` of its start, which
+    must be the longest time a session is valid (one that claims more counts as ending then). The join's state is
+    therefore dropped by time, and the newest of the sessions an activity met is taken (``max_by``) once the
+    watermark has passed the activity, when no earlier-started session can still arrive. A newest session older
+    than its lifetime is expired, so activity that meets none has none.
+
+    A session is filed under each slice of time it can be valid in (`slices` to a lifetime), so that a hot owner's
+    state is spread over tasks by time. Pairs are formed only between an activity and the owner's logins of
+    one lifetime. All state is the JVM's."""
+    life_us = int(lifetime_hours * 3_600_000_000)
+    life = F.expr(f"INTERVAL {life_us // 1_000_000} SECONDS")
+
+    def slice_of(c: Column) -> Column:
+        return F.floor(F.unix_micros(c) / F.lit(life_us // slices))
+
+    s = event_time(event_time(sessions.select(
+        F.col("customer_id").alias("owner"), F.col("id").cast("long").alias("session_pk"),
+        F.col("created_at").alias("s_start"), F.col("expires_at").alias("s_end")), "s_start"), "s_end")
+    s = s.filter(F.col("owner").isNotNull()).withWatermark("s_start", delay)
+    s = s.withColumn("s_slice", F.explode(F.sequence(slice_of(F.col("s_start")), slice_of(F.col("s_start") + life))))
+    a = event_time(activity.select(F.col("customer_id"), "ts", F.col("event_id").cast("long").alias("event_id"), "event_type"), "ts")
+    a = a.withWatermark("ts", delay).withColumn("slice", slice_of(F.col("ts")))
+    met = a.join(s, (F.col("customer_id") == F.col("owner")) & (F.col("slice") == F.col("s_slice"))
+                 & (F.col("ts") >= F.col("s_start")) & (F.col("ts") < F.col("s_start") + life))
+    newest = met.groupBy("customer_id", "event_id", "event_type", "ts").agg(
+        F.max_by(F.struct("session_pk", "s_end"), F.struct("s_start", "session_pk")).alias("cur"))
+    return newest.filter(F.col("ts") < F.col("cur.s_end")).select(
+        F.col("cur.session_pk").alias("session_pk"), "customer_id", "event_id", "event_type", _wall(F.col("ts")).alias("ts"))
 
 
 # ------------------------------------------------------------------ T6
@@ -297,58 +294,60 @@ def revenue_batch(orders: DataFrame, window: str = "1 day", ts: str = "created_a
 
 # ------------------------------------------------------------------ T7
 
-def ingest_stream(carts: DataFrame, orders_path: str, out_path: str, checkpoint: str, trigger: dict | None = None):
+def ingest_stream(carts: DataFrame, orders_path: str, out_path: str, checkpoint: str, trigger: dict | None = None,
+                  order_items_path: str | None = None, payments_path: str | None = None):
     """Carts arriving as a stream → D1/D2 per micro-batch via ``foreachBatch``.
 
     Each batch is checked against the orders snapshot plus everything already ingested on
-    the batch's own days: output is partitioned by order day, so a batch reads only those
-    folders. A batch writes its rows under ``batch=<id>`` with overwrite, so a batch replayed
-    after a failure replaces its own output (exactly-once per batch id). Order ids derive
-    from cart ids, so a re-sent cart is skipped. Carts without a time only yield rejects.
-    A read failure fails the batch; only output that does not exist yet counts as empty.
-    """
+    the batch's own days; ingested orders are filed by day, so a batch reads only those files.
+    New ids go on from the greatest of the snapshots and of the commits before.
+
+    The tables orders, order_items, payments and rejects of a batch are written to folders of their
+    own and become visible together, by one commit that carries the batch id (``Store``): a writer that
+    dies shows nothing, and a batch replayed after its commit writes nothing. A re-sent cart is
+    skipped by D1. Carts without a time only yield rejects. Read the result with ``ingested``."""
     from thali.operators.changes import ingest_orders
+    from thali.operators.scans import next_id
 
-    def exists(spark, path: str) -> bool:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    spark = carts.sparkSession
+    store = Store(spark, out_path)
+    sources = {"order_id": orders_path, "order_item_id": order_items_path, "payment_id": payments_path}
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.persist()                  # read four times below
+        if store.has_batch(batch_id):
+            return
+        before = store.newest()
+        ids = before["meta"]["next"] if before else {
+            k: next_id(spark.read.parquet(p), k) if p else 1 for k, p in sources.items()}
+        batch = batch.persist()                  # read several times below
         try:
-            base = spark.read.parquet(orders_path)
-            current = base
-            if exists(spark, f"{out_path}/orders"):
-                schema = T.StructType([*base.schema.fields, T.StructField("batch", T.LongType()), T.StructField("day", T.DateType())])
-                done = spark.read.schema(schema).parquet(f"{out_path}/orders").filter(F.col("batch") != batch_id)
-                current = base.unionByName(done.select(*base.columns, F.col("day").alias("_day")),
-                                           allowMissingColumns=True)
-            else:
-                current = base.withColumn("_day", F.lit(None).cast("date"))
             # Occupancy and re-sent carts only involve orders of the batch's own days (a
             # re-sent cart keeps its timestamp), so the check reads those days only.
-            lo, hi = batch.agg(F.min(F.to_date(F.col("ts").cast("timestamp_ntz"))),
-                               F.max(F.to_date(F.col("ts").cast("timestamp_ntz")))).first()
-            if lo is None:
-                current = current.limit(0)
-            else:
-                current = current.filter((F.col("_day").isNull() | F.col("_day").between(F.lit(lo), F.lit(hi)))
-                                         & (F.col("created_at") >= ts_literal(lo))
-                                         & (F.col("created_at") < ts_literal(hi + dt.timedelta(days=1))))
-                days = batch.select(F.to_date(F.col("ts").cast("timestamp_ntz")).alias("_on")).distinct()
+            day = F.to_date(F.col("ts").cast("timestamp_ntz"))
+            lo, hi = batch.agg(F.min(day), F.max(day)).first()
+            base = spark.read.parquet(orders_path)
+            current = base.limit(0)
+            if lo is not None:
+                days = batch.select(day.alias("_on")).distinct()
+                named = {str(r[0]) for r in days.collect()}          # as many as the batch has days
+                # the commits' files are pruned by name, the snapshot by its row groups
+                files = [f for f in store.files("orders") if f.split("/day=")[1].split("/")[0] in named] if before else []
+                current = base.filter((F.col("created_at") >= ts_literal(lo)) & (F.col("created_at") < ts_literal(hi + dt.timedelta(days=1))))
+                if files:
+                    current = current.unionByName(store.frame("orders", files, before).select(*base.columns))
                 current = current.join(days, F.to_date("created_at") == F.col("_on"), "left_semi")
-            change = ingest_orders(current.drop("_day"), batch)
-            for name, df in list(change.tables.items()) + [("rejects", change.rejects)]:
-                if name == "orders":
-                    df.withColumn("day", F.to_date("created_at")).write.mode("overwrite").partitionBy("day").parquet(
-                        f"{out_path}/{name}/batch={batch_id}")
-                else:
-                    df.write.mode("overwrite").parquet(f"{out_path}/{name}/batch={batch_id}")
+            change = ingest_orders(current, batch, ids)
+            tables = {**change.tables, "rejects": change.rejects}
+            shown = {name: df.withColumn("day", F.to_date("created_at")) if name == "orders" else df for name, df in tables.items()}
+            append = {name: store.write(df, name, ["day"] if name == "orders" else []) for name, df in shown.items()}
+            store.commit(append=append, schemas={name: df.schema for name, df in tables.items()}, batch=batch_id,
+                         meta={"next": change.next_ids}, after=before)
         finally:
             batch.unpersist()
 
-    w = carts.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
-    if trigger:
-        w = w.trigger(**trigger)
-    return w.start()
+    return _start(carts, per_batch, checkpoint, trigger)
+
+
+def ingested(spark: SparkSession, out_path: str, table: str) -> DataFrame:
+    """A table (orders, order_items, payments, rejects) as of the newest whole batch."""
+    return Store(spark, out_path).read(table)
