@@ -18,15 +18,18 @@ from thali.functions import quality as Qy
 from thali.functions import scalars as Fx
 from thali.operators import changes as D
 from thali.operators import limiter
-from thali.operators.aggregates import canonical_text
-from thali.operators.joins import anti, valid_session_activity
-from thali.operators.ordering import keyset_page
+from thali.operators.aggregates import canonical_text, daily_sketches, distinct_over
+from thali.operators.joins import anti, outer_with_condition, valid_session_activity
+from thali.operators.ordering import deep_page, keyset_page, pg_asc, pg_desc
 from thali.plans import admin as A
 from thali.plans import listings as L
 from thali.plans import sales as S
-from thali.plans.oracle import items_text_sql, period_sql, with_model
+from thali.plans.oracle import MODEL_CTES, items_text_sql, period_sql, with_model
 from thali.sources import requests as Rq
 from thali.sources.model import EVENTS_AS_OF, ORDERS_AS_OF, Tables, load
+from thali.sources import io
+from thali.sources.commits import Store
+from thali.streaming import replay
 from thali.streaming import streams as St
 
 OA = ORDERS_AS_OF
@@ -1098,3 +1101,155 @@ SELECT order_id, CASE WHEN epoch_us(TIMESTAMP '2024-01-15 12:00:00' - created_at
                       WHEN epoch_us(TIMESTAMP '2024-01-15 12:00:00' - created_at) / 60000000.0 > 10 THEN 'warning' ELSE '' END AS age_class
 FROM m_live_orders""", "every live order at one moment of the period")(
     lambda t: t.live_orders.select("order_id", Fx.age_class("created_at", "2024-01-15 12:00:00").alias("age_class")))
+
+# --------------------------------------------- sources, sinks and streams end to end
+
+register("s2_carts_from_json", _CARTS_SQL + """
+SELECT cart_id, customer_id, table_number, ts, n AS n_items, CAST(total AS DOUBLE) AS total FROM m_carts""",
+         "carts written as JSON lines and read back by S2")(lambda t: _json_carts(t))
+
+
+def _json_carts(t: Tables) -> DataFrame:
+    path = replay.scratch(t.spark, "carts")
+    io.write_json(Rq.carts(t).withColumn("ts", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")), path)
+    total = F.aggregate("items", F.lit(0).cast("decimal(22,2)"), lambda a, x: (a + x["price"] * x["quantity"]).cast("decimal(22,2)"))
+    return io.read_carts(t.spark, path).filter(F.col("_corrupt_record").isNull()).select(
+        "cart_id", "customer_id", "table_number", F.col("ts").cast("timestamp_ntz").alias("ts"),
+        F.size("items").cast("long").alias("n_items"),
+        F.when(F.size("items") > 0, Fx.money(total)).alias("total"))
+
+
+register("s3_order_documents", f"""
+SELECT od.order_id, od.status, {items_text_sql(_LIST_FIELDS)}
+FROM m_orders od
+LEFT JOIN m_order_items li ON od.order_id = li.order_id
+LEFT JOIN m_menu_items it ON li.item_id = it.item_id
+GROUP BY od.order_id, od.status""", "orders with their items as JSON documents (S3), written and parsed again")(
+    lambda t: _documents(t))
+
+
+def _documents(t: Tables) -> DataFrame:
+    orders = t.orders.select("order_id", "status").join(L.item_arrays(t), "order_id", "left")
+    path = replay.scratch(t.spark, "documents")
+    io.as_json_column(orders).write.text(path)
+    back = t.spark.read.text(path).select(F.from_json("value", orders.schema).alias("o")).select("o.*")
+    return back.select("order_id", "status", canonical_text(F.col("items"), list(L.LISTING_ITEM_FIELDS)).alias("items_text"),
+                       F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"))
+
+
+register("s4_appended_payments", """
+SELECT payment_method, count(*) AS payments, CAST(sum(amount) AS DOUBLE) AS amount FROM m_payments GROUP BY payment_method""",
+         "payments appended in two parts to a table by method (S4)")(lambda t: _appended(t))
+
+
+def _appended(t: Tables) -> DataFrame:
+    path = replay.scratch(t.spark, "payments")
+    for k in range(2):
+        io.append(t.payments.filter(F.col("payment_id") % 2 == k), path, ["payment_method"])
+    return t.spark.read.parquet(path).groupBy("payment_method").agg(
+        F.count(F.lit(1)).alias("payments"), Fx.money(F.sum("amount")).alias("amount"))
+
+
+register("s5_status_snapshot", REGISTRY["d3_status_snapshot"].sql.split(MODEL_CTES.strip() + ",\n", 1)[1],
+         "D3 on a bucketed table of committed versions")(lambda t: _status_version(t))
+
+
+def _status_version(t: Tables) -> DataFrame:
+    store = Store(t.spark, replay.scratch(t.spark, "orders"))
+    store.create("orders", t.orders, "order_id", span=max(1, t.orders.agg(F.max("order_id")).first()[0] // 16))
+    updates = Rq.status_updates(t)
+    store.update("orders", updates.filter(F.col("order_id") >= 0), lambda rows: D.apply_status_updates(rows, updates)["orders"])
+    return store.read("orders").withColumn("total_amount", Fx.money("total_amount"))
+
+
+register("t3_live_status_table", REGISTRY["t3_latest_status"].sql.split(MODEL_CTES.strip() + ",\n", 1)[1],
+         "the stream's table after all updates, in four batches")(lambda t: _live_status(t))
+
+
+def _live_status(t: Tables) -> DataFrame:
+    updates = Rq.status_updates(t).filter(Qy.status_ok("status"))
+    out = replay.scratch(t.spark, "live")
+    replay.run(updates, 4, "ts", lambda s, ck: St.live_order_status(s, out, ck, delay_seconds=3600, buckets=8, trigger={"availableNow": True}))
+    return St.order_status(t.spark, out)
+
+
+register("t7_ingested_orders", _NEW_ORDERS_SQL, "the carts as a stream of three batches")(lambda t: _streamed_carts(t, "orders"))
+register("t7_ingested_lines", _NEW_LINES_SQL, "lines of the streamed carts")(lambda t: _streamed_carts(t, "order_items"))
+
+
+def _streamed_carts(t: Tables, table: str) -> DataFrame:
+    paths = {name: replay.scratch(t.spark, name) for name in ("orders", "order_items", "payments", "out")}
+    for name in ("orders", "order_items", "payments"):
+        getattr(t, name).write.parquet(paths[name])
+    replay.run(Rq.carts(t), 3, "ts", lambda s, ck: St.ingest_stream(
+        s, paths["orders"], paths["out"], ck, {"availableNow": True}, paths["order_items"], paths["payments"]))
+    return St.ingested(t.spark, paths["out"], table)
+
+
+# ------------------------------------------------- primitives that had no key
+
+register("a3_weekly_customers_by_sketch", """
+SELECT date_trunc('week', created_at) AS week, count(DISTINCT customer_id) AS customers, count(*) AS orders, TRUE AS estimate_fits
+FROM m_orders GROUP BY 1""", "a week from its daily sketches, within four standard errors of the exact count")(lambda t: _weeks(t))
+
+
+def _weeks(t: Tables) -> DataFrame:
+    week = F.date_trunc("week", F.col("created_at")).cast("timestamp_ntz")
+    exact = t.orders.groupBy(week.alias("week")).agg(F.countDistinct("customer_id").alias("customers"))
+    days = daily_sketches(t.orders.filter(F.col("customer_id").isNotNull()), Fx.to_day("created_at"), "customer_id")
+    guess = distinct_over(days, F.date_trunc("week", F.col("day")).cast("timestamp_ntz").alias("week"))
+    fits = F.abs(F.col("distinct_values") - F.col("customers")) <= F.greatest(F.lit(1), 4 * 0.01625 * F.col("customers"))
+    return exact.join(guess, "week").select("week", "customers", F.col("n").alias("orders"), fits.alias("estimate_fits"))
+
+
+register("f25_line_totals", """
+SELECT order_item_id, CAST(quantity * price AS DOUBLE) AS line_total FROM m_order_items""", "what a bill shows per line")(
+    lambda t: t.order_items.select("order_item_id", Fx.money(Fx.line_total("quantity", "price")).alias("line_total")))
+
+register("j4_orders_with_online_payment", """
+SELECT od.order_id, py.payment_id FROM m_orders od
+LEFT JOIN m_payments py ON py.order_id = od.order_id AND py.payment_method = 'razorpay'""",
+         "the predicate in ON drops partners, never orders")(
+    lambda t: (lambda p: outer_with_condition(t.orders, p, (p["_order"] == t.orders["order_id"]) & (p["payment_method"] == "razorpay"))
+               .select("order_id", "payment_id"))(t.payments.select("payment_id", "payment_method", F.col("order_id").alias("_order"))))
+
+for _kind, _where in (("new", "CAST(created_at AS DATE) = DATE '1999-05-05'"), ("no_dob", "dob IS NULL")):
+    register(f"p12_customers_{_kind}", f"SELECT customer_id, name, phone, dob FROM m_customers WHERE {_where}",
+             "segment of the users page")(
+        lambda t, kind=_kind: t.customers.filter(P.customer_segment(kind, "1999-05-05")).select("customer_id", "name", "phone", "dob"))
+
+register("o6_orders_listing_text_parameters", _filtered_listing_sql("od.status != 'completed'", 12, 5),
+         "limit and offset as request texts: the leading digits count")(
+    lambda t: L.with_items_text(L.orders_listing(t, view_type="active", limit="12abc", offset=" 5x", as_of=OA)))
+
+register("o3_deep_page", """
+SELECT order_item_id, order_id, quantity FROM m_order_items
+ORDER BY quantity DESC, order_item_id LIMIT 500 OFFSET (SELECT count(*) // 2 FROM m_order_items)""",
+         "500 rows from the middle of all lines, by range")(lambda t: _middle(t))
+
+
+def _middle(t: Tables) -> DataFrame:
+    lines = t.order_items.select("order_item_id", "order_id", "quantity")
+    return deep_page(lines, [pg_desc("quantity"), pg_asc("order_item_id")], 500, lines.count() // 2)
+
+
+register("delete_ratings_snapshot", """
+SELECT rating_id, customer_id FROM m_ratings WHERE rating_id NOT IN (SELECT event_id FROM events WHERE event_type = 'error')""",
+         "an admin deletes the ratings of error events")(
+    lambda t: D.delete_ratings(t.ratings, t.raw("events").filter("event_type = 'error'").select(F.col("event_id").alias("rating_id")))["ratings"]
+    .select("rating_id", "customer_id"))
+
+register("end_sessions_snapshot", """
+SELECT session_id, customer_id, admin_id FROM m_sessions WHERE id % 3 <> 0""", "every third session logs out")(
+    lambda t: D.end_sessions(t.sessions, t.sessions.filter("id % 3 = 0").select("session_id"))["sessions"].select(
+        "session_id", "customer_id", "admin_id"))
+
+register("register_customers_snapshot", """
+m_ask AS (SELECT s_name, s_suppkey, CAST(9000000000 + s_suppkey * 40 AS VARCHAR) AS phone FROM supplier),
+m_fresh AS (SELECT phone, s_suppkey FROM m_ask WHERE phone NOT IN (SELECT phone FROM m_customers))
+SELECT customer_id, phone FROM m_customers
+UNION ALL SELECT (SELECT max(customer_id) FROM m_customers) + row_number() OVER (ORDER BY phone), phone FROM m_fresh""",
+         "suppliers register as customers; some phones are known")(
+    lambda t: D.register_customers(t.customers, t.raw("supplier").select(
+        F.lit("New Guest").alias("name"), (F.lit(9000000000) + F.col("s_suppkey") * 40).cast("string").alias("phone"),
+        F.lit("2001-08-01 10:00:00").cast("timestamp_ntz").alias("ts")))["customers"].select("customer_id", "phone"))

@@ -104,19 +104,30 @@ FOREIGN_KEYS = (
 def fk_orphans(tables, fks=FOREIGN_KEYS) -> DataFrame:
     """V7: for each foreign key, the number of child rows whose non-NULL key has no parent.
 
-    One anti-join per key; each side is projected to the key column only.
+    One exchange for all keys: every table is read once and gives a (key space, key, role) row per
+    key column; one aggregate per (key space, key) sees whether the key has a parent and how many
+    children of each foreign key hold it. Its partial step makes a hot key one row per task.
     """
-    frames = []
-    for child, ccol, parent, pcol in fks:
-        c = getattr(tables, child).select(F.col(ccol).alias("k")).filter(F.col("k").isNotNull())
-        p = getattr(tables, parent).select(F.col(pcol).alias("k"))
-        orphans = c.join(p, "k", "left_anti")
-        frames.append(orphans.agg(F.count(F.lit(1)).alias("orphans")).select(
-            F.lit(f"{child}.{ccol}").alias("fk"), F.lit(f"{parent}.{pcol}").alias("parent"), "orphans"))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    spaces: dict[tuple[str, str], int] = {}
+    roles: dict[str, list[tuple[int, str, int]]] = {}
+    for i, (child, ccol, parent, pcol) in enumerate(fks):
+        if (parent, pcol) not in spaces:
+            spaces[parent, pcol] = len(spaces)
+            roles.setdefault(parent, []).append((spaces[parent, pcol], pcol, -1))
+        roles.setdefault(child, []).append((spaces[parent, pcol], ccol, i))
+    union = None
+    for name, own in roles.items():
+        tagged = F.explode(F.array(*(F.struct(F.lit(space).alias("space"), F.col(col).cast("long").alias("k"), F.lit(fk).alias("fk"))
+                                     for space, col, fk in own)))
+        rows = getattr(tables, name).select(tagged.alias("x")).select("x.*").filter(F.col("k").isNotNull())
+        union = rows if union is None else union.unionByName(rows)
+    keys = union.groupBy("space", "k").agg(
+        F.max(F.col("fk") == -1).alias("known"),
+        *(F.count(F.when(F.col("fk") == i, 1)).alias(f"c{i}") for i in range(len(fks))))
+    total = keys.filter(~F.col("known")).agg(*(F.coalesce(F.sum(f"c{i}"), F.lit(0)).alias(f"c{i}") for i in range(len(fks))))
+    per_key = F.explode(F.array(*(F.struct(F.lit(f"{c}.{cc}").alias("fk"), F.lit(f"{p}.{pc}").alias("parent"),
+                                           F.col(f"c{i}").alias("orphans")) for i, (c, cc, p, pc) in enumerate(fks))))
+    return total.select(per_key.alias("x")).select("x.*")
 
 
 def duplicate_keys(df: DataFrame, keys: list[str], skip_null: bool = True) -> DataFrame:

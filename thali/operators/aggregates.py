@@ -53,3 +53,20 @@ def canonical_text(arr: Column, fields: Sequence[str]) -> Column:
     pieces = F.transform(arr, lambda x: F.concat_ws(
         "|", *[F.coalesce(x[f].cast("string"), F.lit("~")) for f in fields]))
     return F.array_join(F.coalesce(pieces, F.array().cast("array<string>")), ";")
+
+
+#: Sketches of 2^12 registers: a relative standard error of 1.04 / 2^6 = 1.6 %.
+SKETCH_LG = 12
+
+
+def daily_sketches(df: DataFrame, day: Column, value: str, lg: int = SKETCH_LG) -> DataFrame:
+    """A3 kept by day: (day, sketch, n): a HyperLogLog sketch of the day's distinct values and its rows. The
+    table grows with the days, not the rows, and a new day is appended without reading the old ones."""
+    return df.groupBy(day.alias("day")).agg(F.hll_sketch_agg(value, F.lit(lg)).alias("sketch"), F.count(F.lit(1)).alias("n"))
+
+
+def distinct_over(sketches: DataFrame, *groups: Column) -> DataFrame:
+    """A3 over any period: the estimated distinct values of the days' union, per group. Values that occur on
+    several days count once, which sums of daily counts cannot give."""
+    return sketches.groupBy(*groups).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_values"),
+                                         F.sum("n").alias("n"))

@@ -17,6 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
 from thali.functions.predicates import ts_literal
+from thali.operators.scans import SUB
+from thali.sources.io import cut_lineage
+
+#: Pages that end within so many rows are a top-k.
+SHALLOW = 100_000
 
 
 def pg_asc(col: str) -> Column:
@@ -27,10 +32,15 @@ def pg_desc(col: str) -> Column:
     return F.col(col).desc_nulls_first()
 
 
-def param_int(value, default: int) -> int:
-    """``parseInt(x) || d``: the leading digits count ('12abc' is 12); absent, none or 0 give d."""
+def leading_int(value, default: int) -> int:
+    """``parseInt(x)``: the leading digits count ('12abc' is 12); absent or none give the default."""
     digits = re.match(r"\s*([+-]?[0-9]+)", "" if value is None else str(value))
-    return int(digits[1]) or default if digits else default
+    return int(digits[1]) if digits else default
+
+
+def param_int(value, default: int) -> int:
+    """``parseInt(x) || d``: as ``leading_int``, and 0 gives the default too."""
+    return leading_int(value, default) or default
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
@@ -39,13 +49,31 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
 
 
 def page(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) -> DataFrame:
-    """O3: LIMIT/OFFSET page. Deep offsets scan more; see ``keyset_page``."""
+    """O3: LIMIT/OFFSET page. A page that ends beyond ``SHALLOW`` rows is cut out by range (``deep_page``)."""
+    if int(offset) + int(limit) > SHALLOW:
+        return deep_page(df, order, limit, offset)
     out = df.orderBy(*order)
     if offset:
         out = out.offset(int(offset))
     return out.limit(int(limit))
 
 
+def deep_page(df: DataFrame, order: Sequence[Column], limit: int, offset: int, parts: int | None = None) -> DataFrame:
+    """O3 at any offset: rows are dealt into ranges of `order` and written to the checkpoint folder, the ranges
+    are counted, and only those that hold the page are sorted. The rows before the page are counted, never
+    collected or sorted; a top-k would bring offset + limit rows to one task."""
+    spread = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+    held = cut_lineage(spread.withColumn(SUB, F.spark_partition_id()))
+    before, skip, wanted = 0, 0, []
+    for sub, n in sorted((r[SUB], r["count"]) for r in held.groupBy(SUB).count().collect()):    # one row per range
+        if before + n > offset and before < offset + limit:
+            skip = skip if wanted else offset - before
+            wanted.append(sub)
+        before += n
+    page_rows = held.filter(F.col(SUB).isin(wanted)).drop(SUB) if wanted else held.limit(0).drop(SUB)
+    return page_rows.orderBy(*order).offset(skip).limit(int(limit))
+
+
 def keyset_page(df: DataFrame, ts: str, key: str, limit: int, after: tuple | None = None) -> DataFrame:
     """O3 (deep pages): newest first, strictly after the last (ts, key) seen.
 

@@ -21,12 +21,10 @@ from pyspark.sql import functions as F
 from thali.functions import scalars as S
 from thali.functions.predicates import before_day, conjunction, csv_list, day_range, in_list
 from thali.operators.aggregates import canonical_text, nested_array, repeat_array
-from thali.operators.ordering import oldest_first, page, param_int, top_k_per_group
+from thali.operators.ordering import SHALLOW, leading_int, oldest_first, page, param_int, pg_asc, pg_desc, top_k_per_group
+from thali.sources.io import cut_lineage
 from thali.sources.model import Tables
 
-#: Ids of a page's orders are broadcast up to this many.
-MAX_BROADCAST_IDS = 100_000
-
 LISTING_ITEM_FIELDS = ("order_item_id", "quantity", "price", "item_name")
 HISTORY_ITEM_FIELDS = ("order_item_id", "quantity", "price", "item_name", "image_url")
 
@@ -99,8 +97,11 @@ def orders_listing(t: Tables, status: str | None = None, date_filter: str | None
     broken by order_id, newest first.
 
     An order that has its customer (inner join) yields at least one row, so the page's rows
-    come from the first offset+limit such orders; only they meet payments and lines.
+    come from the first offset+limit such orders. They are computed once (written to the checkpoint
+    folder, at most ``SHALLOW`` of them) and only they meet payments and lines. A deeper page is cut
+    out of all rows by range (``deep_page``). `limit` and `offset` may be request texts.
     """
+    limit, offset = leading_int(limit, 50), leading_int(offset, 0)
     o = orders if orders is not None else t.orders
     preds = []
     if view_type == "active":
@@ -115,20 +116,24 @@ def orders_listing(t: Tables, status: str | None = None, date_filter: str | None
     o = o.filter(conjunction(preds))
     c = t.customers.select("customer_id", F.col("name").alias("customer_name"),
                            F.col("phone").alias("customer_phone"))
-    order = [F.col("created_at").desc_nulls_first(), F.col("order_id").desc(),
-             F.col("payment_status").asc_nulls_last(), F.col("payment_method").asc_nulls_last(),
-             F.col("razorpay_payment_id").asc_nulls_last()]
+    order = [pg_desc("created_at"), pg_desc("order_id"), pg_asc("payment_status"), pg_asc("payment_method"),
+             pg_asc("razorpay_payment_id")]
     cols = ["order_id", "customer_id", "customer_name", "customer_phone", "table_number", "total_amount",
             "status", "created_at", "payment_status", "payment_method", "razorpay_payment_id", "_k"]
-    rows_needed = int(offset) + int(limit)
-    first = o.join(c, "customer_id").orderBy(*order[:2]).limit(rows_needed)
-    # offset + limit ids: broadcast while that is a small number, however large the tables
-    ids = first.select("order_id")
-    ids = F.broadcast(ids) if rows_needed <= MAX_BROADCAST_IDS else ids
     pay_cols = ["order_id", "payment_status", "payment_method", "razorpay_payment_id"]
-    pays = t.payments.select(*pay_cols).join(ids, "order_id", "left_semi") \
-        .groupBy(*pay_cols).agg(F.count(F.lit(1)).alias("_k"))
+    pays = t.payments.select(*pay_cols)
+    if offset + limit <= SHALLOW:
+        first = cut_lineage(o.join(c, "customer_id").orderBy(*order[:2]).limit(offset + limit))
+        pays = pays.join(F.broadcast(first.select("order_id")), "order_id", "left_semi")
+    else:
+        first = o.join(c, "customer_id")
+    pays = pays.groupBy(*pay_cols).agg(F.count(F.lit(1)).alias("_k"))
     rows = page(first.join(pays, "order_id", "left").select(*cols), order, limit, offset)
+    if limit > SHALLOW:
+        ids = rows.select("order_id").distinct()
+    else:
+        rows = cut_lineage(rows)            # at most `limit` rows, used twice
+        ids = F.broadcast(rows.select("order_id").distinct())
     return attach_items(rows, item_arrays(t, LISTING_ITEM_FIELDS, sort_by="item_name", orders=ids), LISTING_ITEM_FIELDS)
 
 
@@ -159,9 +164,8 @@ def order_history(t: Tables, customer_id: int | None = None, limit: int | None =
         "customer_id", "order_id", "table_number", "total_amount", "status", "created_at",
         "payment_status", "payment_method", "razorpay_payment_id", "_k")
     rows = top_k_per_group(rows, ["customer_id"], [
-        F.col("created_at").desc_nulls_first(), F.col("order_id").desc(),
-        F.col("payment_status").asc_nulls_last(), F.col("payment_method").asc_nulls_last(),
-        F.col("razorpay_payment_id").asc_nulls_last()], limit, offset)
+        pg_desc("created_at"), pg_desc("order_id"), pg_asc("payment_status"), pg_asc("payment_method"),
+        pg_asc("razorpay_payment_id")], limit, offset)
     # Arrays only for the orders on some customer's page (with long histories most orders
     # are off-page), built in one pass over the paged rows.
     return nest_items_into(rows, named_lines(t), HISTORY_ITEM_FIELDS)

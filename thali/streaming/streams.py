@@ -299,7 +299,7 @@ def ingest_stream(carts: DataFrame, orders_path: str, out_path: str, checkpoint:
     """Carts arriving as a stream → D1/D2 per micro-batch via ``foreachBatch``.
 
     Each batch is checked against the orders snapshot plus everything already ingested on
-    the batch's own days; ingested orders are filed by day, so a batch reads only those files.
+    the batch's own days; ingested orders are filed by month, so a batch reads only its months' files.
     New ids go on from the greatest of the snapshots and of the commits before.
 
     The tables orders, order_items, payments and rejects of a batch are written to folders of their
@@ -322,24 +322,24 @@ def ingest_stream(carts: DataFrame, orders_path: str, out_path: str, checkpoint:
         batch = batch.persist()                  # read several times below
         try:
             # Occupancy and re-sent carts only involve orders of the batch's own days (a
-            # re-sent cart keeps its timestamp), so the check reads those days only.
+            # re-sent cart keeps its timestamp), so only those days are looked at.
             day = F.to_date(F.col("ts").cast("timestamp_ntz"))
             lo, hi = batch.agg(F.min(day), F.max(day)).first()
             base = spark.read.parquet(orders_path)
             current = base.limit(0)
             if lo is not None:
                 days = batch.select(day.alias("_on")).distinct()
-                named = {str(r[0]) for r in days.collect()}          # as many as the batch has days
-                # the commits' files are pruned by name, the snapshot by its row groups
-                files = [f for f in store.files("orders") if f.split("/day=")[1].split("/")[0] in named] if before else []
-                current = base.filter((F.col("created_at") >= ts_literal(lo)) & (F.col("created_at") < ts_literal(hi + dt.timedelta(days=1))))
-                if files:
-                    current = current.unionByName(store.frame("orders", files, before).select(*base.columns))
+                # the commits' files are pruned by their month, then like the snapshot by their row groups
+                months = {r[0] for r in days.select(F.date_format("_on", "yyyy-MM")).distinct().collect()}
+                files = [f for f in store.files("orders") if f.split("/month=")[1].split("/")[0] in months] if before else []
+                current = store.frame("orders", files, before).select(*base.columns).unionByName(base) if files else base
+                current = current.filter((F.col("created_at") >= ts_literal(lo)) & (F.col("created_at") < ts_literal(hi + dt.timedelta(days=1))))
                 current = current.join(days, F.to_date("created_at") == F.col("_on"), "left_semi")
             change = ingest_orders(current, batch, ids)
             tables = {**change.tables, "rejects": change.rejects}
-            shown = {name: df.withColumn("day", F.to_date("created_at")) if name == "orders" else df for name, df in tables.items()}
-            append = {name: store.write(df, name, ["day"] if name == "orders" else []) for name, df in shown.items()}
+            by_month = tables["orders"].withColumn("month", F.date_format("created_at", "yyyy-MM"))
+            append = {name: store.write(df, name) for name, df in tables.items() if name != "orders"}
+            append["orders"] = store.write(by_month.hint("rebalance", "month"), "orders", ["month"])
             store.commit(append=append, schemas={name: df.schema for name, df in tables.items()}, batch=batch_id,
                          meta={"next": change.next_ids}, after=before)
         finally:
