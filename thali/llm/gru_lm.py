@@ -31,6 +31,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,9 @@ HIDDEN = 24
 TOP = 131_072
 #: ``TRAIN_TOKENS`` is the least number of words that a round trains on, ``TRAIN_TASKS`` add up the weights.
 TRAIN_TASKS, TRAIN_ROUNDS, TRAIN_TOKENS = 6, 3, 60_000
-LANES, WINDOW, RATE = 32, 20, 0.01
+#: Lanes trained side by side, and the rate that suits so many; a task with few words has fewer lanes, for as many
+#: steps (``STEPS``) as it can, at a rate that follows their root.
+LANES, WINDOW, RATE, STEPS = 256, 20, 0.03, 150
 SCORE_LANES, SCORE_WINDOW, SCORE_TOKENS = 512, 32, 2_000_000
 #: Distinct words that a task counts before it hands the counts on.
 COUNT_WORDS = 200_000
@@ -101,8 +104,9 @@ def repeated(documents: Iterable[np.ndarray], tokens: int) -> Iterator[np.ndarra
 
 
 def lane_windows(documents: Iterable[np.ndarray], lanes: int, window: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(inputs, targets, fresh, real), each (time, lane), until every word was a target. A document stays in
-    its lane to its end; the lane then takes the next one. Places without a word are not ``real``."""
+    """(inputs, targets, fresh, real, busy) until every word was a target; the first four are (time, busy lane). A
+    document stays in its lane to its end; the lane then takes the next one. Places without a word are not
+    ``real``, lanes without one are not ``busy``."""
     rest = iter(documents)
     own: list[tuple[np.ndarray, int] | None] = [None] * lanes
     while True:
@@ -127,7 +131,8 @@ def lane_windows(documents: Iterable[np.ndarray], lanes: int, window: int) -> It
                 at += m
         if not real.any():
             return
-        yield x, y, fresh, real
+        busy = np.flatnonzero(real.any(axis=0))
+        yield x[:, busy], y[:, busy], fresh[:, busy], real[:, busy], busy
 
 
 class GatedLM:
@@ -138,7 +143,6 @@ class GatedLM:
         self.w = weights
         self.hidden = weights["Wh"].shape[0]
         self.classes, self.size = weights["bw"].shape
-        self.projected = None       # every symbol's input to the gates, once the weights are fixed
 
     @staticmethod
     def start(counts: np.ndarray, hidden: int = HIDDEN, classes: int = CLASSES) -> GatedLM:
@@ -151,45 +155,74 @@ class GatedLM:
         small = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
         mass = share.sum(axis=1)
         return GatedLM({
-            "emb": small(n, hidden), "Wx": small(hidden, 3 * hidden), "Wh": small(hidden, 3 * hidden),
+            "emb": small(n, 3 * hidden), "Wh": small(hidden, 3 * hidden),
             "b": np.zeros(3 * hidden, np.float32), "Uc": small(hidden, classes) * 0.1,
             "bc": np.log(mass).astype(np.float32), "Uw": small(classes, hidden, classes) * 0.1,
             "bw": np.log(share / mass[:, None]).astype(np.float32)})
 
     def steps(self, inputs: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None, keep: bool = False):
-        """States after each of the inputs (time, lane); ``fresh`` marks where a document starts."""
+        """States after each of the inputs (time, lane); ``fresh`` marks where a document starts. A symbol's
+        embedding is its input to the three gates."""
         w, k = self.w, self.hidden
-        x = w["emb"][inputs] @ w["Wx"] + w["b"] if self.projected is None else self.projected[inputs]
-        states, saved = np.empty((*inputs.shape, k), np.float32), []
+        x = w["emb"][inputs]
+        x += w["b"]
+        states, saved = np.empty((*inputs.shape, k), x.dtype), []
         for t in range(len(inputs)):
-            if fresh is not None:
+            if fresh is not None and fresh[t].any():
                 h = h * ~fresh[t][:, None]
             g = h @ w["Wh"]
-            gates = 1 / (1 + np.exp(-(x[t, :, :2 * k] + g[:, :2 * k])))
-            z, r = gates[:, :k], gates[:, k:]
-            n = np.tanh(x[t, :, 2 * k:] + r * g[:, 2 * k:])
-            new = n + z * (h - n)
+            gates = x[t, :, :2 * k]
+            gates += g[:, :2 * k]
+            np.negative(gates, out=gates)
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            z, r, gn = gates[:, :k], gates[:, k:], g[:, 2 * k:]
+            n = x[t, :, 2 * k:]
+            n += r * gn
+            np.tanh(n, out=n)
+            new = states[t]
+            np.subtract(h, n, out=new)
+            new *= z
+            new += n
             if keep:
-                saved.append((h, z, r, n, g[:, 2 * k:]))
-            states[t] = h = new
+                saved.append((h, z, r, n, gn))
+            h = new
         return states, h, saved
 
+    def by_class(self, y: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """An order of the targets by class, and each class's (class, begin, end) in it."""
+        cls = y // self.size
+        order = np.argsort(cls.astype(np.int16), kind="stable")
+        cut = np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=self.classes))]).tolist()
+        return order, [(c, cut[c], cut[c + 1]) for c in range(self.classes) if cut[c] < cut[c + 1]]
+
+    @staticmethod
+    def softmax(logit: np.ndarray) -> np.ndarray:
+        """Softmax of the rows, in place. Log-odds here are far from what single precision can hold."""
+        logit -= logit.max(axis=1, keepdims=True)
+        np.exp(logit, out=logit)
+        logit /= logit.sum(axis=1, keepdims=True)
+        return logit
+
     def log_probabilities(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log of each target's probability; states (n, hidden), targets (n)."""
         w = self.w
-        cls, word = targets // self.size, targets % self.size
-        logit = states @ w["Uc"] + w["bc"]
-        top = logit.max(axis=1)
-        out = logit[np.arange(len(cls)), cls] - top - np.log(np.exp(logit - top[:, None]).sum(axis=1))
-        order = np.argsort(cls, kind="stable")
-        cut = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            rows = order[cut[c]:cut[c + 1]]
-            if len(rows):
-                logit = states[rows] @ w["Uw"][c] + w["bw"][c]
-                top = logit.max(axis=1)
-                out[rows] += (logit[np.arange(len(rows)), word[rows]] - top
-                              - np.log(np.exp(logit - top[:, None]).sum(axis=1)))
+        order, parts = self.by_class(targets)
+        flat, cls, word = states[order], (targets // self.size)[order], (targets % self.size)[order]
+        at = np.arange(len(order))
+
+        def logs(logit: np.ndarray, of: np.ndarray) -> np.ndarray:
+            logit -= logit.max(axis=1, keepdims=True)
+            chosen = logit[at[:len(of)], of]
+            np.exp(logit, out=logit)
+            return chosen - np.log(logit.sum(axis=1))
+
+        found = logs(flat @ w["Uc"] + w["bc"], cls)
+        for c, a, b in parts:
+            found[a:b] += logs(flat[a:b] @ w["Uw"][c] + w["bw"][c], word[a:b])
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def gradient(self, inputs, targets, h, fresh, real=None):
@@ -197,77 +230,99 @@ class GatedLM:
         ``real`` hold no word and count for nothing."""
         w, k = self.w, self.hidden
         states, last, saved = self.steps(inputs, h, fresh, keep=True)
-        live = slice(None) if real is None else np.flatnonzero(real)
-        flat, y = states.reshape(-1, k)[live], targets.ravel()[live]
-        cls, word = y // self.size, y % self.size
-        n = len(y)
+        live = np.arange(inputs.size) if real is None else np.flatnonzero(real)
+        y = targets.ravel()[live]
+        order, parts = self.by_class(y)
+        live, y = live[order], y[order]
+        flat, cls, word = states.reshape(-1, k)[live], y // self.size, y % self.size
+        n, at = len(y), np.arange(len(y))
         g = {name: np.zeros_like(v) for name, v in w.items()}
-        logit = flat @ w["Uc"] + w["bc"]
-        p = np.exp(logit - logit.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        loss = -np.log(p[np.arange(n), cls] + 1e-20).sum()
-        p[np.arange(n), cls] -= 1
+        p = self.softmax(flat @ w["Uc"] + w["bc"])
+        loss = -np.log(p[at, cls] + 1e-20).sum()
+        p[at, cls] -= 1
         p /= n
         g["Uc"], g["bc"] = flat.T @ p, p.sum(axis=0)
         back = p @ w["Uc"].T
-        for c in np.unique(cls):
-            rows = np.flatnonzero(cls == c)
-            logit = flat[rows] @ w["Uw"][c] + w["bw"][c]
-            q = np.exp(logit - logit.max(axis=1, keepdims=True))
-            q /= q.sum(axis=1, keepdims=True)
-            at = np.arange(len(rows))
-            loss -= np.log(q[at, word[rows]] + 1e-20).sum()
-            q[at, word[rows]] -= 1
+        for c, a, b in parts:
+            some = flat[a:b]
+            q = self.softmax(some @ w["Uw"][c] + w["bw"][c])
+            loss -= np.log(q[at[:b - a], word[a:b]] + 1e-20).sum()
+            q[at[:b - a], word[a:b]] -= 1
             q /= n
-            g["Uw"][c], g["bw"][c] = flat[rows].T @ q, q.sum(axis=0)
-            back[rows] += q @ w["Uw"][c].T
+            g["Uw"][c], g["bw"][c] = some.T @ q, q.sum(axis=0)
+            back[a:b] += q @ w["Uw"][c].T
         whole = np.zeros((inputs.size, k), states.dtype)
         whole[live] = back
         back = whole.reshape(states.shape)
-        dx = np.empty((*inputs.shape, 3 * k), np.float32)
+        # gradients at the gates: through the input (dx) and through the state (dg)
+        dx, dg = np.empty((2, *inputs.shape, 3 * k), states.dtype)
         carry = np.zeros_like(h)
         for t in range(len(inputs) - 1, -1, -1):
             before, z, r, m, gn = saved[t]
             d = back[t] + carry
-            dn = d * (1 - z) * (1 - m * m)
-            dz = d * (before - m) * z * (1 - z)
-            dr = dn * gn * r * (1 - r)
-            dx[t] = np.concatenate([dz, dr, dn], axis=1)
-            dg = np.concatenate([dz, dr, dn * r], axis=1)
-            g["Wh"] += before.T @ dg
-            carry = (d * z + dg @ w["Wh"].T) * ~fresh[t][:, None]
-        flat_dx = dx.reshape(-1, 3 * k)
-        g["Wx"] = w["emb"][inputs].reshape(-1, k).T @ flat_dx
+            dz, dr, dn = dx[t, :, :k], dx[t, :, k:2 * k], dx[t, :, 2 * k:]
+            keep = d * z
+            np.subtract(d, keep, out=d)                     # d (1 - z)
+            np.multiply(keep, before - m, out=dz)
+            dz *= 1 - z
+            np.multiply(d, 1 - m * m, out=dn)
+            np.multiply(dn, r, out=dg[t, :, 2 * k:])
+            np.multiply(dn, gn, out=dr)
+            dr *= r * (1 - r)
+            dg[t, :, :2 * k] = dx[t, :, :2 * k]
+            carry = dg[t] @ w["Wh"].T
+            carry += keep
+            if fresh[t].any():
+                carry *= ~fresh[t][:, None]
+        g["Wh"] = np.concatenate([s[0] for s in saved]).T @ dg.reshape(-1, 3 * k)
+        flat_dx, rows = dx.reshape(-1, 3 * k), inputs.ravel()
         g["b"] = flat_dx.sum(axis=0)
-        np.add.at(g["emb"], inputs.ravel(), flat_dx @ w["Wx"].T)
+        order = np.argsort(rows.astype(np.int16) if len(w["emb"]) < 1 << 15 else rows, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(rows[order]) != 0]))
+        g["emb"][rows[order[first]]] = np.add.reduceat(flat_dx[order], first, axis=0)
         return loss / n, g, last
 
     def train(self, documents: Iterable[np.ndarray], tokens: int, lanes: int = LANES, window: int = WINDOW,
               rate: float = RATE) -> float:
         """Adam over all words of the documents, which are read again until there were at least ``tokens``
-        words; the mean loss. A window that is short of words moves the weights by that much less."""
+        words; the mean loss. A window that is short of words moves the weights by that much less. Embeddings
+        are updated in the rows that a window holds (their moments rest between)."""
+        if tokens:
+            few = min(lanes, max(8, tokens // (window * STEPS)))
+            lanes, rate = few, rate * math.sqrt(few / lanes)
+        stream = repeated(documents, tokens)
+        head = list(islice(stream, lanes))                       # fewer documents than lanes: as many lanes
+        lanes = max(1, len(head))
         h = np.zeros((lanes, self.hidden), np.float32)
         first = {n: np.zeros_like(v) for n, v in self.w.items()}
         second = {n: np.zeros_like(v) for n, v in self.w.items()}
         losses = []
-        for step, (x, y, fresh, real) in enumerate(lane_windows(repeated(documents, tokens), lanes, window), 1):
-            loss, g, h = self.gradient(x, y, h, fresh, real)
+        for step, (x, y, fresh, real, busy) in enumerate(lane_windows(chain(head, stream), lanes, window), 1):
+            loss, g, h[busy] = self.gradient(x, y, h[busy], fresh, real)
             losses.append(loss)
-            pace = rate * real.mean()
-            norm = math.sqrt(sum(float((v * v).sum()) for v in g.values()))
-            scale = min(1.0, 1.0 / (norm + 1e-9))
+            pace = rate * real.sum() / (window * lanes)
+            rows = np.unique(x)
+            g["emb"] = g["emb"][rows]
+            scale = min(1.0, 1.0 / (math.sqrt(sum(float(np.vdot(v, v)) for v in g.values())) + 1e-9))
             for n, v in g.items():
-                v = v * scale
-                first[n] = 0.9 * first[n] + 0.1 * v
-                second[n] = 0.99 * second[n] + 0.01 * v * v
-                self.w[n] = self.w[n] - (pace * (first[n] / (1 - 0.9 ** step))
-                                         / (np.sqrt(second[n] / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
+                at = rows if n == "emb" else slice(None)
+                v *= scale
+                one = first[n][at] * 0.9
+                one += 0.1 * v
+                two = second[n][at] * 0.99
+                v *= v
+                two += 0.01 * v
+                first[n][at], second[n][at] = one, two
+                two = np.sqrt(two * (1 / (1 - 0.99 ** step)))
+                two += 1e-8
+                one *= pace / (1 - 0.9 ** step)
+                one /= two
+                self.w[n][at] -= one.astype(self.w[n].dtype, copy=False)
         return float(np.mean(losses)) if losses else 0.0
 
     def score(self, documents: list[np.ndarray], lanes: int = SCORE_LANES, window: int = SCORE_WINDOW) -> np.ndarray:
         """log10 probability of each whole document; the state goes on from window to window."""
         out = np.zeros(len(documents))
-        self.projected = self.w["emb"] @ self.w["Wx"] + self.w["b"]
         order = sorted(range(len(documents)), key=lambda i: -len(documents[i]))
         for at in range(0, len(order), lanes):
             some = order[at:at + lanes]
@@ -293,7 +348,6 @@ class GatedLM:
                 logs[keep] = self.log_probabilities(states.reshape(-1, self.hidden)[keep], y.T.ravel()[keep])
                 total[:live] += logs.reshape(width, live).sum(axis=0)
             out[some] = total / math.log(10)
-        self.projected = None
         return out
 
 
@@ -329,7 +383,7 @@ def fit(docs: DataFrame, symbols: dict[bytes, int], counts: np.ndarray, train_do
         sent = sc.broadcast((model.w, symbols))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            weights, known = sent.value
+            (weights, known), zeros = sent.value, repeat(0)
             own = GatedLM({n: v.copy() for n, v in weights.items()})
             words = 0
 
@@ -338,7 +392,7 @@ def fit(docs: DataFrame, symbols: dict[bytes, int], counts: np.ndarray, train_do
                 for batch in batches:
                     for some in slices(batch, 50):
                         for text in some.column(1).to_pylist():
-                            d = np.array([known.get(w, 0) for w in text.encode().lower().split()] + [known[b""]])
+                            d = np.array([*map(known.get, [*text.encode().lower().split(), b""], zeros)])
                             words += len(d)
                             yield d
 
