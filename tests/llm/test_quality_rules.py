@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import pytest
 from helpers import ROWS, documents, same, with_clashes, words
 
 from thali.llm import quality_rules as Q
@@ -56,10 +57,34 @@ def test_common_lines_go_and_depleted_documents_are_rejected(spark):
 def test_copies_are_no_boilerplate(spark):
     text = "\n".join(f"sentence{j} of{j} a{j} text{j} that{j} is{j} copied{j}" for j in range(20))
     rows = [(i, text, "en", "h", 0) for i in range(100)]
-    rows += [(200 + i, text.replace(f"sentence{i % 18 + 1} ", f"phrase{i} "), "en", "h", 0) for i in range(100)]
+    # the same lines in another order, case and spacing are the same set
+    rows += [(200 + i, "\n".join(reversed(text.split("\n"))).upper() + "\n \n", "en", "h", 0) for i in range(100)]
     assert all(r.kept for r in Q.verdicts(documents(spark, rows)).collect())
 
 
+@pytest.mark.parametrize("shift", range(3))
+def test_pages_of_one_template_are_depleted(spark, shift):
+    template = "\n".join(f"part{j} of{j} the{j} template{j} number{shift}" for j in range(30))
+    rows = [(i, template + f"\nonly line {i + 1000 * shift} is own", "en", "h", 0) for i in range(300)]
+    rows += pages(50, start=1000)
+    found = {r.doc_id: r for r in Q.verdicts(documents(spark, rows)).collect()}
+    assert all(found[i].depleted and found[i].removed_words == 150 and not found[i].kept for i in range(300))
+    assert all(found[1000 + i].kept for i in range(50))
+
+
+def test_a_line_in_very_many_documents_goes_in_a_host_of_any_size(spark):
+    rows = [(i, (f"common line {i % 2}\n" if i < 60 else "") + " ".join(f"w{i}x{j}" for j in range(60)), "en", "h", 0) for i in range(2000)]
+    for cap, gone in ((10_000, 0), (29, 60), (30, 0)):
+        found = Q.verdicts(documents(spark, rows), min_docs=20, max_docs=cap).collect()
+        assert sum(r.removed_words > 0 for r in found) == gone and all(r.kept for r in found)
+
+
+def test_very_long_documents(spark):
+    rows = pages(30) + [(999, "Home About\n" + "\n".join(f"l{j} m{j}" for j in range(200_000)), "en", "h", 0)]
+    r = {x.doc_id: x for x in Q.verdicts(documents(spark, rows)).collect()}[999]
+    assert (r.n_words, r.removed_words, r.kept) == (400_002, 2, True)
+
+
 def test_repeated_rows_and_clashing_ids(spark):
     rows = pages(3) + pages(1) + [(1, "other text " * 60, "en", "h", 0)]
     found = Q.verdicts(documents(spark, rows)).collect()

@@ -6,11 +6,11 @@ Lines are counted per host in distinct documents; a line above both limits is bo
 and is removed. A document that keeps too few of its words is rejected, as is one that
 fails the base rules.
 
-Copies and near copies must not make their own text look like boilerplate, so documents
-count as distinct by what else they hold: by the least and the greatest hash among their
-lines. Copies share the pair, near copies mostly do; documents that share some lines differ
-in it. Documents that hold little but one and the same set of lines are near copies in this
-sense: they are left to near-dedup, which keeps one of them, where this rule would reject all.
+A document is its set of normalised lines: exact copies (in whatever order of lines) are one
+document, so copying a text does not make boilerplate of it; documents that differ in any line count
+each. A line is boilerplate in more than ``MIN_DOCS`` documents of a host that are also more than
+``MIN_SHARE`` percent of them, or in more than ``MAX_DOCS``, however large the host. Near copies of one
+text are pages of one template in this sense: a host with many of them loses their common lines.
 
 Scale: the texts themselves are not shuffled for the verdict, only (host, hash) rows; all
 counts are partial aggregates, and the join back is many lines to one count, which the
@@ -19,7 +19,8 @@ of the pass (hashes, numbers) is written once to the shared checkpoint folder.
 
 Defined results: a null or empty text has no words and fails the base rules; a null host
 is a host of its own; repeated rows are one document in the counts and each get the same
-verdict; an empty table gives no rows; extra columns are kept by ``clean_documents``.
+verdict; an empty table gives no rows; very long texts are read whole; extra columns, whatever their
+names, are ignored by ``verdicts`` and kept by ``clean_documents``.
 """
 
 from __future__ import annotations
@@ -37,8 +38,9 @@ from pyspark.sql import functions as F
 from thali.llm.bpe import slices
 from thali.llm.common import cut_lineage, prepare
 
-#: A line is boilerplate in more documents of a host than this number and than this share (percent) of them.
-MIN_DOCS, MIN_SHARE = 20, 2
+#: A line is boilerplate in more documents of a host than this number and than this share (percent) of them,
+#: and in more than ``MAX_DOCS`` documents of any host.
+MIN_DOCS, MIN_SHARE, MAX_DOCS = 20, 2, 10_000
 #: A document is depleted when boilerplate lines hold more than this share (percent) of its words.
 MAX_REMOVED = 70
 MIN_WORDS, MAX_REPEATED = 50, 50
@@ -84,8 +86,9 @@ def repeated_words(words: list[list[bytes]]) -> np.ndarray:
 
 
 def document_lines(docs: DataFrame, host_col: str = "source") -> DataFrame:
-    """(doc_id, key, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, least, greatest,
-    lines array<struct<h, words>>): one row per row of ``docs``; key is a hash of the text."""
+    """(doc_id, key, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, line_set,
+    lines array<struct<h, words>>): one row per row of ``docs``; key is a hash of the text, line_set one of
+    the distinct normalised lines."""
     prepare(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"),
@@ -97,7 +100,7 @@ def document_lines(docs: DataFrame, host_col: str = "source") -> DataFrame:
                 texts = part.column(3).to_pylist()
                 words = [t.encode().split() for t in texts]
                 stats: tuple[list, ...] = ([], [], [], [])
-                least, greatest, lines = [], [], []
+                line_set, lines = [], []
                 for t, w in zip(texts, words):
                     seen, repeats = set(), 0
                     for line in t.split("\n"):
@@ -112,38 +115,40 @@ def document_lines(docs: DataFrame, host_col: str = "source") -> DataFrame:
                     for column, x in zip(stats, (len(w), len(t) - len(_SPACE.findall(t)),
                                                  len(_SYMBOLS.findall(t)), repeats)):
                         column.append(x)
-                    least.append(min(own, default=0) - (1 << 63))
-                    greatest.append(max(own, default=0) - (1 << 63))
+                    held = np.sort(np.fromiter(own, dtype=np.uint64, count=len(own)))
+                    line_set.append(line_hash(held.tobytes()) - (1 << 63))
                     lines.append([{"h": h - (1 << 63), "words": k} for h, k in own.items()])
                 yield pa.record_batch(
                     [part.column(0), part.column(2), part.column(1), *(pa.array(x, pa.int64()) for x in stats),
-                     pa.array(repeated_words(words)), pa.array(least, pa.int64()), pa.array(greatest, pa.int64()),
+                     pa.array(repeated_words(words)), pa.array(line_set, pa.int64()),
                      pa.array(lines, pa.list_(pa.struct([("h", pa.int64()), ("words", pa.int64())])))],
                     names=["doc_id", "key", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines",
-                           "n_repeat_words", "least", "greatest", "lines"])
+                           "n_repeat_words", "line_set", "lines"])
 
     return rows.mapInArrow(run, (
         "doc_id long, key long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-        "n_repeat_words long, least long, greatest long, lines array<struct<h: long, words: long>>"))
+        "n_repeat_words long, line_set long, lines array<struct<h: long, words: long>>"))
 
 
-def boilerplate(found: DataFrame, min_docs: int = MIN_DOCS, min_share: int = MIN_SHARE) -> DataFrame:
-    """(host, h): lines above both limits in their host."""
+def boilerplate(found: DataFrame, min_docs: int = MIN_DOCS, min_share: int = MIN_SHARE,
+                max_docs: int = MAX_DOCS) -> DataFrame:
+    """(host, h): lines in too many distinct documents of their host."""
     host = F.coalesce(F.concat(F.lit("="), "host"), F.lit(""))     # null is a host of its own
-    docs = found.select(host.alias("host"), "least", "greatest", "lines")
-    distinct = F.count_distinct("least", "greatest")
-    hosts = docs.groupBy("host").agg(distinct.alias("docs"))
-    counts = (docs.select("host", "least", "greatest", F.explode("lines.h").alias("h"))
-              .groupBy("host", "h").agg(distinct.alias("n")).filter(F.col("n") > min_docs))
-    return counts.join(hosts, "host").filter(100 * F.col("n") > min_share * F.col("docs")).select("host", "h")
+    # exact copies are one row before their lines are counted
+    docs = found.select(host.alias("host"), "line_set", "lines").groupBy("host", "line_set").agg(F.first("lines.h").alias("hs"))
+    hosts = docs.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
+    counts = docs.select("host", F.explode("hs").alias("h")).groupBy("host", "h").agg(
+        F.count(F.lit(1)).alias("n")).filter(F.col("n") > min_docs)
+    return counts.join(hosts, "host").filter(
+        (100 * F.col("n") > min_share * F.col("docs")) | (F.col("n") > max_docs)).select("host", "h")
 
 
 def verdicts(docs: DataFrame, host_col: str = "source", min_docs: int = MIN_DOCS, min_share: int = MIN_SHARE,
-             max_removed: int = MAX_REMOVED) -> DataFrame:
+             max_removed: int = MAX_REMOVED, max_docs: int = MAX_DOCS) -> DataFrame:
     """Statistics and verdict per row: the base rules, then ``removed`` (hashes of boilerplate lines),
     ``removed_words``, ``depleted`` and ``kept``."""
     found = cut_lineage(document_lines(docs, host_col))
-    common = boilerplate(found, min_docs, min_share)
+    common = boilerplate(found, min_docs, min_share, max_docs)
     lines = found.dropDuplicates(["doc_id", "key", "host"]).select(
         "doc_id", "key", F.coalesce(F.concat(F.lit("="), "host"), F.lit("")).alias("host"),
         F.explode("lines").alias("line")).select("doc_id", "key", "host", F.col("line.h").alias("h"), "line.words")
@@ -152,7 +157,7 @@ def verdicts(docs: DataFrame, host_col: str = "source", min_docs: int = MIN_DOCS
     hit = hit.select(*(F.col(c).alias("_" + c) for c in hit.columns))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     same_host = F.coalesce(F.concat(F.lit("="), "host"), F.lit("")) == F.col("_host")
-    joined = found.drop("lines", "least", "greatest").join(
+    joined = found.drop("lines", "line_set").join(
         hit, (F.col("doc_id").eqNullSafe(F.col("_doc_id"))) & (F.col("key") == F.col("_key")) & same_host, "left")
     words = F.coalesce("_removed_words", F.lit(0))
     return joined.select(
@@ -201,7 +206,8 @@ def clean_documents(docs: DataFrame, host_col: str = "source", **limits: int) ->
     return out.select(*docs.columns)
 
 
-def oracle_sql(min_docs: int = MIN_DOCS, min_share: int = MIN_SHARE, max_removed: int = MAX_REMOVED) -> str:
+def oracle_sql(min_docs: int = MIN_DOCS, min_share: int = MIN_SHARE, max_removed: int = MAX_REMOVED,
+               max_docs: int = MAX_DOCS) -> str:
     """The query over these verdicts in DuckDB SQL."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return f"""
@@ -218,13 +224,13 @@ dup AS (SELECT doc_id, sum(c - 1) AS n FROM (SELECT doc_id, line, count(*) AS c
 norm AS (SELECT doc_id, host, regexp_extract_all(translate(line, '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM raw),
 lines AS (SELECT doc_id, host, left(md5(array_to_string(ws, ' ')), 16) AS h, sum(len(ws)) AS words
           FROM norm WHERE len(ws) > 0 GROUP BY ALL),
-ends AS (SELECT doc_id, min(h) AS least, max(h) AS greatest FROM lines GROUP BY 1),
-ids AS (SELECT d.doc_id, host, coalesce(least, '0') AS least, coalesce(greatest, '0') AS greatest
-        FROM d LEFT JOIN ends USING (doc_id)),
-hosts AS (SELECT host, count(DISTINCT least || greatest) AS docs FROM ids GROUP BY 1),
+sets AS (SELECT doc_id, string_agg(h, ',' ORDER BY h) AS line_set FROM lines GROUP BY 1),
+ids AS (SELECT d.doc_id, host, coalesce(line_set, '') AS line_set FROM d LEFT JOIN sets USING (doc_id)),
+hosts AS (SELECT host, count(DISTINCT line_set) AS docs FROM ids GROUP BY 1),
 common AS (SELECT l.host, l.h FROM lines l JOIN ids ON ids.doc_id = l.doc_id JOIN hosts ON hosts.host IS NOT DISTINCT FROM l.host
            GROUP BY l.host, l.h, docs
-           HAVING count(DISTINCT least || greatest) > {min_docs} AND 100 * count(DISTINCT least || greatest) > {min_share} * docs),
+           HAVING count(DISTINCT line_set) > {min_docs} AND (100 * count(DISTINCT line_set) > {min_share} * docs
+                  OR count(DISTINCT line_set) > {max_docs})),
 lost AS (SELECT l.doc_id, sum(words) AS n FROM lines l JOIN common c ON c.host IS NOT DISTINCT FROM l.host AND c.h = l.h GROUP BY 1),
 s AS (SELECT w.doc_id, len(ws) AS n_words,
              length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
