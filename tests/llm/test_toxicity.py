@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -64,6 +65,61 @@ def test_long_tokens_of_digits_take_no_time(restorer):
     assert restorer.word("a" + "1234567890" * 20 + "-?b")
 
 
+@pytest.mark.parametrize("token", ["a" * 1_000_000 + ".b1", "a" * 1_000_000, "ab" * 500_000 + "1", "abcdefg" * 140_000 + "00t",
+                                   "1" * 1_000_000 + "x", "x" + "." * 1_000_000 + "y", "hello" * 200_000])
+def test_very_long_tokens_take_time_in_proportion(restorer, token):
+    began = time.process_time()
+    restorer.word(token)
+    assert time.process_time() - began < 5
+
+
+def exhaustive(restorer, span):
+    """The best score over every path through the lattice, and the spellings that reach it."""
+    paths = [(0, 0.0, "")]
+    for i, c in enumerate(span):
+        here = []
+        if c in T.LOOKALIKES:
+            here += [(x, 1.0) for x in T.LOOKALIKES[c]] + [(" ", 3.0)]
+        elif c in T._SEPARATORS:
+            here += [(" ", 1.0), ("", 0.3)]
+        else:
+            here.append((c, 0.0))
+        if i and c == span[i - 1] and c not in T._SEPARATORS:
+            here.append(("", 0.3))
+        paths = [(k if not x else (k * T.SYMBOLS + T.symbol(x)) % T.CONTEXTS,
+                  v - cost + (restorer.model[k * T.SYMBOLS + T.symbol(x)] if x else 0.0), text + x)
+                 for k, v, text in paths for x, cost in here]
+    return max(v + restorer.model[k * T.SYMBOLS] for k, v, _ in paths), paths
+
+
+@pytest.mark.parametrize("alphabet", ["ab1", "aio0!l", "st.u-", "aaab", "o0 .", "xx1"])
+def test_decoding_is_the_best_path_of_the_lattice(restorer, alphabet):
+    rng = random.Random(alphabet)
+    for _ in range(60):
+        span = "".join(rng.choice(alphabet) * rng.choice([1, 1, 1, 2, 3]) for _ in range(rng.randint(1, 6)))[:8]
+        best, paths = exhaustive(restorer, span)
+        found = restorer.decode(span)
+        assert max(v + restorer.model[k * T.SYMBOLS] for k, v, text in paths if text == found) == pytest.approx(best, abs=1e-6), span
+
+
+@pytest.mark.parametrize("span", ["a" * 14 + "b", "s" + "o" * 13 + "n", "b" + "1" * 5 + "d", "a." + "." * 12 + "b", "idio" + "t" * 14])
+def test_long_repeats_decode_to_the_best_path(restorer, span):
+    best, paths = exhaustive(restorer, span)
+    found = restorer.decode(span)
+    assert max(v + restorer.model[k * T.SYMBOLS] for k, v, text in paths if text == found) == pytest.approx(best, abs=1e-6)
+
+
+def test_copies_in_the_sample_prefer_no_class(spark):
+    rows, labels = corpus(300)
+    # each toxic text once more under another id with a clean label: both count, neither displaces the other
+    rows += [(5000 + i, rows[i][1], "en", "s", 0) for i in range(0, 300, 5)]
+    docs, marks = frames(spark, rows, labels + [(5000 + i, 0) for i in range(0, 300, 5)])
+    scores = {r.doc_id: r.score for r in T.score_documents(docs, marks).collect()}
+    toxic = [scores[i] for i, y in labels if y]
+    clean = [scores[i] for i, y in labels if not y]
+    assert min(toxic) > np.median(clean)
+
+
 def test_spaced_words(restorer):
     assert "idiot" in restorer.spaced("you i d i o t there".split())
     assert restorer.spaced("a big b tree".split()) == []

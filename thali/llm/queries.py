@@ -85,7 +85,7 @@ def op5_cross_polytope_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame
 @query
 def op6_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return scores.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"), "score",
+    return scores.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -102,7 +102,7 @@ def op8_external_induced_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame
 @query
 def op9_co_training_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = cotrain.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return scores.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"), "content_score",
+    return scores.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"), "content_score",
                          "metadata_score", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

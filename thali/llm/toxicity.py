@@ -9,8 +9,8 @@ word's end, pieces of several letters) leave the plain reading beside the decode
 Restored texts are scored.
 
 The character model counts every text of the corpus. The scorer learns from a bounded
-sample of labelled rows (``TRAIN_ROWS``, taken in the order of a hash of the id, near copies
-among them counted once): which words and word beginnings speak for toxic documents, and a
+sample of labelled rows (``TRAIN_ROWS``, taken in the order of a hash of the id; copies
+among them count once per label): which words and word beginnings speak for toxic documents, and a
 logistic regression over a document's evidence. The evidence of each half of the sample is
 measured with the words of the other half, so the regression sees it as on new documents.
 
@@ -21,7 +21,9 @@ Scale: every pass over the texts is a map over the scan's partitions. What is sh
 Defined results: null and empty texts have no evidence and get the regression's base score;
 without usable labels (none, or one class only) every score is the smoothed share of toxic
 labels; labels that are null are ignored, of contradicting labels of one document the
-majority counts (ties: toxic); repeated rows get equal scores; extra columns are ignored.
+majority counts (ties: toxic); repeated rows get equal scores; an empty table gives no rows. Very long
+texts and tokens are read whole, in time in proportion to their length. Extra columns, whatever their names,
+are ignored by ``score_documents`` and kept by ``without_toxic``.
 """
 
 from __future__ import annotations
@@ -58,7 +60,8 @@ _SEPARATORS = ".-_*~'/·,:;=^ "
 _LOOKALIKE, _NOT_ONE, _DROP_SEPARATOR, _KEEP_SEPARATOR, _DROP_REPEAT = 1.0, 3.0, 0.3, 1.0, 0.3
 
 _LOOKS = "".join(map(re.escape, LOOKALIKES))
-_LEET = re.compile(rf"(?=[^\W\d_]*[{_LOOKS}])(?=[{_LOOKS}]*[^\W\d_])[^\W\d_{_LOOKS}]*(?:[^\W\d_]|[{_LOOKS}])+")
+_MIXED = re.compile(rf"(?:[^\W\d_]|[{_LOOKS}])+")       # letters and look-alikes together
+_LOOK = re.compile(f"[{_LOOKS}]")
 _CHAIN = re.compile(rf"(?:[^\W_{_LOOKS}]|[{_LOOKS}])(?:[{re.escape(_SEPARATORS)}](?:[^\W_]|[{_LOOKS}])){{2,}}")
 _PIECES = re.compile(rf"(?:[^\W_{_LOOKS}]|[{_LOOKS}])+(?:[{re.escape(_SEPARATORS)}]+(?:[^\W_{_LOOKS}]|[{_LOOKS}])+)+")
 _RUN = re.compile(rf"[{re.escape(_SEPARATORS)}]+")
@@ -132,9 +135,10 @@ class Restorer:
         """The likeliest spelling; with ``edges``, punctuation at the span's ends may also be just that."""
         first = len(span) - len(span.lstrip(_EDGE)) if edges else 0
         last = len(span.rstrip(_EDGE)) if edges else len(span)
-        options = []
-        for i, c in enumerate(span):
-            here = []
+        n = len(span)
+
+        def options(i: int) -> list[tuple[int, str, float]]:
+            c, here = span[i], []
             if c in LOOKALIKES:
                 here += [(symbol(x), x, _LOOKALIKE) for x in LOOKALIKES[c]] + [(0, " ", _NOT_ONE)]
             elif c in _SEPARATORS:
@@ -145,19 +149,39 @@ class Restorer:
                 here.append((-1, "", _DROP_REPEAT))
             if not first <= i < last:
                 here.append((-1, "", 0.0))
-            options.append(here)
+            return here
+
         states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
-        for here in options:
-            new: dict[int, tuple[float, tuple | None]] = {}
-            for context, (score, path) in states.items():
-                for s, c, cost in here:
-                    if s < 0:
-                        to, value, way = context, score - cost, path
-                    else:
-                        code = context * SYMBOLS + s
-                        to, value, way = code % CONTEXTS, score - cost + self.model[code], (c, path)
-                    if to not in new or value > new[to][0]:
-                        new[to] = (value, way)
+        i, forced = 0, 0
+        while i < n:
+            here = options(i)
+            if len(here) == 1:
+                forced += 1
+                if forced > 3:
+                    # three symbols without a choice: one context is left, and further ones only follow it
+                    j = i
+                    while j < n and len(options(j)) == 1:
+                        j += 1
+                    (_, (score, path)), = states.items()
+                    a, b, c = map(symbol, span[j - 3:j])
+                    states = {(a * SYMBOLS + b) * SYMBOLS + c: (score, (span[i:j], path))}
+                    i = j
+                    continue
+            else:
+                forced = 0
+            new, source = self._step(states, here)
+            i += 1
+            if i < n and span[i] == span[i - 1] and options(i) == here and all(k == f for k, f in source.items()):
+                # a repeat that every state outlives by itself goes on so to the repeat's end
+                gain = {k: new[k][0] - states[k][0] for k in new}
+                if all(gain[k] <= gain[to] + 1e-9 for k in new for to in self._followers(k, here)):
+                    j = i
+                    while j < n and span[j] == span[i] and (first <= j < last) == (first <= i < last):
+                        j += 1
+                    for k, (score, path) in new.items():
+                        kept = path[0] * (j - i) if path is not states[k][1] else ""
+                        new[k] = score + (j - i) * gain[k], (kept, path) if kept else path
+                    i = j
             states = new
         path = max(((v + self.model[k * SYMBOLS], w) for k, (v, w) in states.items()), key=lambda x: x[0])[1]
         out = []
@@ -166,6 +190,25 @@ class Restorer:
             path = path[1]
         return "".join(reversed(out))
 
+    def _step(self, states: dict, here: list[tuple[int, str, float]]) -> tuple[dict, dict[int, int]]:
+        """Best (score, path) per context after one more place, and the context each came from."""
+        new: dict[int, tuple[float, tuple | None]] = {}
+        source: dict[int, int] = {}
+        for context, (score, path) in states.items():
+            for s, c, cost in here:
+                if s < 0:
+                    to, value, way = context, score - cost, path
+                else:
+                    code = context * SYMBOLS + s
+                    to, value, way = code % CONTEXTS, score - cost + self.model[code], (c, path)
+                if to not in new or value > new[to][0]:
+                    new[to], source[to] = (value, way), context
+        return new, source
+
+    @staticmethod
+    def _followers(context: int, here: list[tuple[int, str, float]]) -> list[int]:
+        return [context if s < 0 else (context * SYMBOLS + s) % CONTEXTS for s, _, _ in here]
+
     def word(self, word: str) -> list[str]:
         """The words that one (lower-cased) token stands for."""
         if word.isalpha():
@@ -182,7 +225,7 @@ class Restorer:
         elif _CHAIN.fullmatch(core):
             found = self.decode(core).split()
         else:
-            plain = _LEET.sub(lambda m: self.decode(m[0]) if not m[0].isalpha() else m[0], core)
+            plain = _MIXED.sub(lambda m: self.decode(m[0]) if _LOOK.search(m[0]) and any(map(str.isalpha, m[0])) else m[0], core)
             found = [x for x in re.split(r"[\W\d_]+", plain) if x]
             if found and _PIECES.fullmatch(core):       # pieces of one word, or words
                 found += self.decode(_RUN.sub(" ", core)).split()
@@ -283,11 +326,13 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> dic
                                        pa.array(words, pa.list_(pa.string()))],
                                       names=["kind", "low", "high", "words"])
 
-    # near copies among the sample count once: they share the least or the greatest window
+    # near copies among the sample count once per label: they share the least and the greatest window. Copies are
+    # in one half, whatever their labels
+    half = F.pmod(F.xxhash64("low", "high"), F.lit(2))
     sample = cut_lineage(
         id_and_text(rows).mapInArrow(sketch, "kind long, low long, high long, words array<string>")
-        .groupBy("low").agg(F.min(F.struct("kind", "high", "words")).alias("d")).select("d.*")
-        .groupBy("high").agg(F.min(F.struct("kind", "words")).alias("d")).select("d.*"))
+        .groupBy("low", "high", F.floor(F.col("kind") / 2).alias("y")).agg(F.min("words").alias("words"))
+        .select((2 * F.col("y") + half).alias("kind"), "words"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [Counter() for _ in range(4)]
