@@ -1,7 +1,7 @@
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -132,3 +132,19 @@ def test_ids_are_returned(spark):
     found = packing.pack(documents(spark), vocabulary(), with_ids=True)
     assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in found.collect())
     assert same(found.drop("ids"), packing.pack(documents(spark), vocabulary()))
+
+
+def test_repeated_rows_spread_over_the_blocks(spark):
+    docs = documents(spark, [(7, "the same text again", "en", "a", 0)] * 3000
+                     + [(100 + i, f"text number {i} of many", "en", "a", 0) for i in range(3000)]).repartition(6)
+    packed = packing.pack(docs, vocabulary(), block_pieces=500).collect()
+    blocks = Counter(r.sequence_id >> 32 for r in packed if r.start == 0 and r.doc_id == 7)
+    assert len(packed) >= 6000 and len(blocks) == 12 and max(blocks.values()) < 400
+
+
+def test_leftover_goes_to_the_cheapest_sequences():
+    lengths = np.array([60] * 5)                       # three sequences of 100; two pieces fit nowhere whole
+    out = packing.pack_lengths(lengths, 100, 1.0, 1.0)
+    cut = [(p, s) for p, _, n, s, _ in out if n < 60]
+    assert sum(n for _, _, n, _, _ in out) == 300 and {p for p, _ in cut} == {3, 4}
+    assert cut == [(3, 0), (3, 1), (4, 2), (4, 1)]

@@ -9,8 +9,8 @@ a capacity). Pieces that fit nowhere whole are cut over the room that is left, s
 last sequence of a block holds padding.
 
 Scale: tokenizing is a map over the scan's partitions that emits numbers only, one row per
-piece. Pieces are dealt to blocks by a hash of (document, start), so neither a hot source
-nor a very long document meets in one task; a block holds about ``block_pieces`` pieces and
+piece. Pieces are dealt to blocks by a hash of (document, start, place in the scan), so neither a hot
+source, nor a very long document, nor a row that is repeated very often meets in one task; a block holds about ``block_pieces`` pieces and
 is packed by itself in bounded memory. The number of blocks follows the number of pieces,
 the padding is at most one sequence per block (about 1/400 of the tokens).
 
@@ -130,18 +130,19 @@ def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY, linear: float =
         cost[s] += linear * n + quadratic * n * n
         if room[s]:
             heapq.heappush(heap, (cost[s], s))
-    free = [s for s in range(n_sequences) if room[s]]
-    free.sort(key=lambda s: (cost[s], s), reverse=True)
-    for p in left:                                 # cut what fits nowhere whole over the room left
+    free = [(cost[s], s) for s in range(n_sequences) if room[s]]
+    heapq.heapify(free)
+    for p in left:                                 # cut what fits nowhere whole, over the cheapest sequences with room
         at, n = 0, int(lengths[p])
         while n:
-            s = free[-1]
+            s = heapq.heappop(free)[1]
             m = min(n, int(room[s]))
             out.append((p, at, m, s, capacity - int(room[s])))
             room[s] -= m
+            cost[s] += linear * m + quadratic * m * m
             at, n = at + m, n - m
-            if not room[s]:
-                free.pop()
+            if room[s]:
+                heapq.heappush(free, (cost[s], s))
     return out
 
 
@@ -171,9 +172,10 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
         out = pd.concat([packed, full]) if len(packed) and len(full) else (packed if len(packed) else full)
         return out if with_ids else out.drop(columns="ids")
 
-    # pandas has no missing integers: a missing id travels as 0 and a flag
+    # pandas has no missing integers: a missing id travels as 0 and a flag. Rows that repeat each other differ in
+    # their place in the scan, so they do not meet in one block
     dealt = pieces(docs, vocabulary, capacity, end_id, with_ids).withColumns(
-        {"block": F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(blocks)), "named": F.col("doc_id").isNotNull(),
+        {"block": F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(blocks)), "named": F.col("doc_id").isNotNull(),
          "doc_id": F.coalesce("doc_id", F.lit(0))})
     return dealt.groupBy("block").applyInPandas(run, columns).select(
         F.when(F.col("named"), F.col("doc_id")).alias("doc_id"), *names[1:], *(["ids"] if with_ids else []))
