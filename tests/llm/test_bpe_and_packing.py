@@ -139,7 +139,7 @@ def test_repeated_rows_spread_over_the_blocks(spark):
                      + [(100 + i, f"text number {i} of many", "en", "a", 0) for i in range(3000)]).repartition(6)
     packed = packing.pack(docs, vocabulary(), block_pieces=500).collect()
     blocks = Counter(r.sequence_id >> 32 for r in packed if r.start == 0 and r.doc_id == 7)
-    assert len(packed) >= 6000 and len(blocks) == 12 and max(blocks.values()) < 400
+    assert len(packed) >= 6000 and len(blocks) >= 12 and max(blocks.values()) < 400
 
 
 def test_leftover_goes_to_the_cheapest_sequences():
