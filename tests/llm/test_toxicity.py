@@ -92,8 +92,10 @@ def exhaustive(restorer, span):
     return max(v + restorer.model[k * T.SYMBOLS] for k, v, _ in paths), paths
 
 
+@pytest.mark.parametrize("short", [0, 40])
 @pytest.mark.parametrize("alphabet", ["ab1", "aio0!l", "st.u-", "aaab", "o0 .", "xx1"])
-def test_decoding_is_the_best_path_of_the_lattice(restorer, alphabet):
+def test_decoding_is_the_best_path_of_the_lattice(restorer, alphabet, monkeypatch, short):
+    monkeypatch.setattr(T, "SHORT", short)
     rng = random.Random(alphabet)
     for _ in range(60):
         span = "".join(rng.choice(alphabet) * rng.choice([1, 1, 1, 2, 3]) for _ in range(rng.randint(1, 6)))[:8]
@@ -103,7 +105,8 @@ def test_decoding_is_the_best_path_of_the_lattice(restorer, alphabet):
 
 
 @pytest.mark.parametrize("span", ["a" * 14 + "b", "s" + "o" * 13 + "n", "b" + "1" * 5 + "d", "a." + "." * 12 + "b", "idio" + "t" * 14])
-def test_long_repeats_decode_to_the_best_path(restorer, span):
+def test_long_repeats_decode_to_the_best_path(restorer, span, monkeypatch):
+    monkeypatch.setattr(T, "SHORT", 0)
     best, paths = exhaustive(restorer, span)
     found = restorer.decode(span)
     assert max(v + restorer.model[k * T.SYMBOLS] for k, v, text in paths if text == found) == pytest.approx(best, abs=1e-6)

@@ -51,6 +51,8 @@ MIN_SUPPORT = 3
 PREFIXES = (4, 5, 6)
 SYMBOLS = 28                      # space, a to z, any other letter
 CONTEXTS = SYMBOLS ** 3
+#: Spans of so many characters are decoded place by place; longer ones skip what has one reading, to the same result.
+SHORT = 40
 
 # Letters that look-alikes stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g",
@@ -153,6 +155,19 @@ class Restorer:
 
         states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
         i, forced = 0, 0
+        while n <= SHORT and i < n:         # nothing to shorten: place by place
+            here, new = options(i), {}
+            for context, (score, path) in states.items():
+                for s, c, cost in here:
+                    if s < 0:
+                        to, value, way = context, score - cost, path
+                    else:
+                        code = context * SYMBOLS + s
+                        to, value, way = code % CONTEXTS, score - cost + self.model[code], (c, path)
+                    if to not in new or value > new[to][0]:
+                        new[to] = (value, way)
+            states = new
+            i += 1
         while i < n:
             here = options(i)
             if len(here) == 1:
