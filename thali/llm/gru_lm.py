@@ -50,8 +50,12 @@ TOP = 131_072
 TRAIN_TASKS, TRAIN_ROUNDS, TRAIN_TOKENS = 6, 3, 60_000
 #: Lanes trained side by side, and the rate that suits so many; a task with few words has fewer lanes, for as many
 #: steps (``STEPS``) as it can, at a rate that follows their root.
-LANES, WINDOW, RATE, STEPS = 256, 20, 0.03, 150
+LANES, WINDOW, RATE, STEPS = 128, 50, 0.03, 60
+#: Words that a task holds while it orders their documents.
+DEAL_WORDS = 2_000_000
 SCORE_LANES, SCORE_WINDOW, SCORE_TOKENS = 512, 32, 2_000_000
+#: Rows of a softmax at a time, so that it stays in a core's own memory.
+SOFTMAX_ROWS = 4096
 #: Distinct words that a task counts before it hands the counts on.
 COUNT_WORDS = 200_000
 END = ""           # the end token: no word is empty
@@ -103,6 +107,34 @@ def repeated(documents: Iterable[np.ndarray], tokens: int) -> Iterator[np.ndarra
                 break
 
 
+def dealt(documents: Iterable[np.ndarray], lanes: int, words: int) -> Iterator[np.ndarray]:
+    """The documents, so many words of them at a time in another order: those that are long for a lane's share of the
+    words start early, longest first, spread over the first half of the others. Otherwise the last ones would
+    keep a few lanes busy alone."""
+    rest = iter(documents)
+    while True:
+        held, have = [], 0
+        for d in rest:
+            held.append(d)
+            have += len(d)
+            if have >= words:
+                break
+        if not held:
+            return
+        long = sorted((d for d in held if len(d) * lanes > have / 4), key=len, reverse=True)
+        others = [d for d in held if len(d) * lanes <= have / 4]
+        ahead, share = 0.0, 2 * len(long) / max(1, len(others))
+        each = iter(long)
+        yield from islice(each, lanes // 2)
+        for d in others:
+            ahead += share
+            if ahead >= 1:
+                yield from islice(each, int(ahead))
+                ahead %= 1
+            yield d
+        yield from each
+
+
 def lane_windows(documents: Iterable[np.ndarray], lanes: int, window: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(inputs, targets, fresh, real, busy) until every word was a target; the first four are (time, busy lane). A
     document stays in its lane to its end; the lane then takes the next one. Places without a word are not
@@ -161,34 +193,39 @@ class GatedLM:
             "bw": np.log(share / mass[:, None]).astype(np.float32)})
 
     def steps(self, inputs: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None, keep: bool = False):
-        """States after each of the inputs (time, lane); ``fresh`` marks where a document starts. A symbol's
-        embedding is its input to the three gates."""
+        """States (time, hidden, lane) after each of the inputs (time, lane), the last state (lane, hidden) and what
+        the way back needs; ``fresh`` marks where a document starts. A symbol's embedding is its input to the three
+        gates. Lanes are the last axis, so that each gate of a step is one contiguous block."""
         w, k = self.w, self.hidden
-        x = w["emb"][inputs]
-        x += w["b"]
-        states, saved = np.empty((*inputs.shape, k), x.dtype), []
+        sign = np.ones(3 * k, w["Wh"].dtype)
+        sign[:2 * k] = -1                                    # exp(-a) is what a sigmoid takes
+        x = np.ascontiguousarray(((w["emb"] + w["b"]) * sign)[inputs].transpose(0, 2, 1))
+        to_gates = np.ascontiguousarray((w["Wh"] * sign).T)
+        starts = [False] * len(inputs) if fresh is None else fresh.any(axis=1).tolist()
+        states = np.empty((len(inputs), k, inputs.shape[1]), x.dtype)
+        before = np.empty_like(states) if keep else None
+        g = np.empty_like(x) if keep else np.empty((1, *x.shape[1:]), x.dtype)
+        h = np.ascontiguousarray(h.T, x.dtype)
         for t in range(len(inputs)):
-            if fresh is not None and fresh[t].any():
-                h = h * ~fresh[t][:, None]
-            g = h @ w["Wh"]
-            gates = x[t, :, :2 * k]
-            gates += g[:, :2 * k]
-            np.negative(gates, out=gates)
+            if starts[t]:
+                h = h * ~fresh[t]
+            if keep:
+                before[t] = h
+            own = g[t if keep else 0]
+            np.matmul(to_gates, h, out=own)
+            gates, n = x[t, :2 * k], x[t, 2 * k:]
+            gates += own[:2 * k]
             np.exp(gates, out=gates)
             gates += 1
             np.reciprocal(gates, out=gates)
-            z, r, gn = gates[:, :k], gates[:, k:], g[:, 2 * k:]
-            n = x[t, :, 2 * k:]
-            n += r * gn
+            n += gates[k:] * own[2 * k:]
             np.tanh(n, out=n)
             new = states[t]
             np.subtract(h, n, out=new)
-            new *= z
+            new *= gates[:k]
             new += n
-            if keep:
-                saved.append((h, z, r, n, gn))
             h = new
-        return states, h, saved
+        return states, np.ascontiguousarray(h.T), (before, x, g[:, 2 * k:]) if keep else None
 
     def by_class(self, y: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
         """An order of the targets by class, and each class's (class, begin, end) in it."""
@@ -198,11 +235,18 @@ class GatedLM:
         return order, [(c, cut[c], cut[c + 1]) for c in range(self.classes) if cut[c] < cut[c + 1]]
 
     @staticmethod
-    def softmax(logit: np.ndarray) -> np.ndarray:
-        """Softmax of the rows, in place. Log-odds here are far from what single precision can hold."""
-        logit -= logit.max(axis=1, keepdims=True)
-        np.exp(logit, out=logit)
-        logit /= logit.sum(axis=1, keepdims=True)
+    def shifted(logit: np.ndarray) -> np.ndarray:
+        """Logits for ``exp``, in place: shifted by their rows' largest only where single precision could not hold
+        their powers."""
+        if logit.size and not -60 < logit.min() <= logit.max() < 60:
+            logit -= logit.max(axis=1, keepdims=True)
+        return logit
+
+    @classmethod
+    def softmax(cls, logit: np.ndarray) -> np.ndarray:
+        """Softmax of the rows, in place."""
+        np.exp(cls.shifted(logit), out=logit)
+        logit *= (1 / (logit @ np.ones(logit.shape[1], logit.dtype)))[:, None]
         return logit
 
     def log_probabilities(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
@@ -210,17 +254,23 @@ class GatedLM:
         w = self.w
         order, parts = self.by_class(targets)
         flat, cls, word = states[order], (targets // self.size)[order], (targets % self.size)[order]
-        at = np.arange(len(order))
+        at, ones = np.arange(len(order)), np.ones(self.size, states.dtype)
+        found, sums = np.empty((2, len(order)), states.dtype)
 
-        def logs(logit: np.ndarray, of: np.ndarray) -> np.ndarray:
-            logit -= logit.max(axis=1, keepdims=True)
-            chosen = logit[at[:len(of)], of]
+        def logs(logit: np.ndarray, of: np.ndarray, a: int, b: int) -> None:
+            found[a:b] += self.shifted(logit)[at[:b - a], of]
             np.exp(logit, out=logit)
-            return chosen - np.log(logit.sum(axis=1))
-
-        found = logs(flat @ w["Uc"] + w["bc"], cls)
+            sums[a:b] *= logit @ ones
+
+        found[:], sums[:] = 0, 1
+        for a in range(0, len(order), SOFTMAX_ROWS):
+            b = min(len(order), a + SOFTMAX_ROWS)
+            logs(flat[a:b] @ w["Uc"] + w["bc"], cls[a:b], a, b)
+        found -= np.log(sums)
+        sums[:] = 1
         for c, a, b in parts:
-            found[a:b] += logs(flat[a:b] @ w["Uw"][c] + w["bw"][c], word[a:b])
+            logs(flat[a:b] @ w["Uw"][c] + w["bw"][c], word[a:b], a, b)
+        found -= np.log(sums)
         out = np.empty_like(found)
         out[order] = found
         return out
@@ -229,57 +279,63 @@ class GatedLM:
         """(loss, gradients, last state) of one window: truncated backpropagation. Places that are not
         ``real`` hold no word and count for nothing."""
         w, k = self.w, self.hidden
-        states, last, saved = self.steps(inputs, h, fresh, keep=True)
+        states, last, (before, x, gn) = self.steps(inputs, h, fresh, keep=True)
         live = np.arange(inputs.size) if real is None else np.flatnonzero(real)
         y = targets.ravel()[live]
         order, parts = self.by_class(y)
         live, y = live[order], y[order]
-        flat, cls, word = states.reshape(-1, k)[live], y // self.size, y % self.size
+        flat, cls, word = states.transpose(0, 2, 1).reshape(-1, k)[live], y // self.size, y % self.size
         n, at = len(y), np.arange(len(y))
         g = {name: np.zeros_like(v) for name, v in w.items()}
         p = self.softmax(flat @ w["Uc"] + w["bc"])
-        loss = -np.log(p[at, cls] + 1e-20).sum()
+        likely = p[at, cls]
         p[at, cls] -= 1
-        p /= n
-        g["Uc"], g["bc"] = flat.T @ p, p.sum(axis=0)
+        g["Uc"], g["bc"] = flat.T @ p / n, p.sum(axis=0) / n
         back = p @ w["Uc"].T
         for c, a, b in parts:
-            some = flat[a:b]
-            q = self.softmax(some @ w["Uw"][c] + w["bw"][c])
-            loss -= np.log(q[at[:b - a], word[a:b]] + 1e-20).sum()
-            q[at[:b - a], word[a:b]] -= 1
-            q /= n
-            g["Uw"][c], g["bw"][c] = some.T @ q, q.sum(axis=0)
-            back[a:b] += q @ w["Uw"][c].T
+            some, own, of = flat[a:b], w["Uw"][c], (at[:b - a], word[a:b])
+            q = some @ own
+            q += w["bw"][c]
+            self.softmax(q)
+            chosen = q[of]
+            likely[a:b] *= chosen
+            q[of] = chosen - 1
+            np.matmul(some.T, q, out=g["Uw"][c])
+            g["bw"][c] = np.ones(b - a, q.dtype) @ q
+            back[a:b] += q @ own.T
+        g["Uw"] /= n
+        g["bw"] /= n
+        loss = -np.log(likely + 1e-20).sum()
+        back /= n
         whole = np.zeros((inputs.size, k), states.dtype)
         whole[live] = back
-        back = whole.reshape(states.shape)
-        # gradients at the gates: through the input (dx) and through the state (dg)
-        dx, dg = np.empty((2, *inputs.shape, 3 * k), states.dtype)
-        carry = np.zeros_like(h)
+        d = np.ascontiguousarray(whole.reshape(*inputs.shape, k).transpose(0, 2, 1))
+        # what a gradient at a state is multiplied with on its way to the gates z, r and n
+        z, r, m = x[:, :k], x[:, k:2 * k], x[:, 2 * k:]
+        to_n = (1 - z) * (1 - m * m)
+        factor = np.empty((len(inputs), 3, *x[0, :k].shape), states.dtype)
+        np.multiply(to_n, r, out=factor[:, 2])
+        np.multiply(factor[:, 2], (1 - r) * gn, out=factor[:, 1])
+        np.multiply((before - m) * z, 1 - z, out=factor[:, 0])
+        starts = fresh.any(axis=1).tolist()
+        carry = np.zeros_like(d[0])
         for t in range(len(inputs) - 1, -1, -1):
-            before, z, r, m, gn = saved[t]
-            d = back[t] + carry
-            dz, dr, dn = dx[t, :, :k], dx[t, :, k:2 * k], dx[t, :, 2 * k:]
-            keep = d * z
-            np.subtract(d, keep, out=d)                     # d (1 - z)
-            np.multiply(keep, before - m, out=dz)
-            dz *= 1 - z
-            np.multiply(d, 1 - m * m, out=dn)
-            np.multiply(dn, r, out=dg[t, :, 2 * k:])
-            np.multiply(dn, gn, out=dr)
-            dr *= r * (1 - r)
-            dg[t, :, :2 * k] = dx[t, :, :2 * k]
-            carry = dg[t] @ w["Wh"].T
-            carry += keep
-            if fresh[t].any():
-                carry *= ~fresh[t][:, None]
-        g["Wh"] = np.concatenate([s[0] for s in saved]).T @ dg.reshape(-1, 3 * k)
-        flat_dx, rows = dx.reshape(-1, 3 * k), inputs.ravel()
-        g["b"] = flat_dx.sum(axis=0)
+            own = d[t]
+            own += carry
+            factor[t] *= own
+            carry = w["Wh"] @ factor[t].reshape(3 * k, -1)
+            carry += own * z[t]
+            if starts[t]:
+                carry *= ~fresh[t]
+        dx = factor.reshape(len(inputs), 3 * k, -1)
+        g["Wh"] = np.matmul(before, dx.transpose(0, 2, 1)).sum(axis=0)
+        np.multiply(d, to_n, out=dx[:, 2 * k:])              # through the input, n takes r no more
+        flat_dx, rows = dx.transpose(0, 2, 1).reshape(-1, 3 * k), inputs.ravel()
         order = np.argsort(rows.astype(np.int16) if len(w["emb"]) < 1 << 15 else rows, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], np.diff(rows[order]) != 0]))
-        g["emb"][rows[order[first]]] = np.add.reduceat(flat_dx[order], first, axis=0)
+        sums = np.add.reduceat(flat_dx[order], first, axis=0)
+        g["emb"][rows[order[first]]] = sums
+        g["b"] = sums.sum(axis=0)
         return loss / n, g, last
 
     def train(self, documents: Iterable[np.ndarray], tokens: int, lanes: int = LANES, window: int = WINDOW,
@@ -290,7 +346,7 @@ class GatedLM:
         if tokens:
             few = min(lanes, max(8, tokens // (window * STEPS)))
             lanes, rate = few, rate * math.sqrt(few / lanes)
-        stream = repeated(documents, tokens)
+        stream = dealt(repeated(documents, tokens), lanes, DEAL_WORDS)
         head = list(islice(stream, lanes))                       # fewer documents than lanes: as many lanes
         lanes = max(1, len(head))
         h = np.zeros((lanes, self.hidden), np.float32)
@@ -341,11 +397,12 @@ class GatedLM:
                     part = documents[some[p]][t:t + width]
                     y[p, :len(part)] = part
                 x = np.concatenate([last[:live, None], y[:, :-1]], axis=1)
-                states, new, _ = self.steps(np.ascontiguousarray(x.T), h[:live])
+                states, new, _ = self.steps(x.T, h[:live])
                 h[:live], last[:live] = new, y[:, -1]
                 keep = mask.T.ravel()
                 logs = np.zeros(keep.shape)
-                logs[keep] = self.log_probabilities(states.reshape(-1, self.hidden)[keep], y.T.ravel()[keep])
+                flat = states.transpose(0, 2, 1).reshape(-1, self.hidden)
+                logs[keep] = self.log_probabilities(flat[keep], y.T.ravel()[keep])
                 total[:live] += logs.reshape(width, live).sum(axis=0)
             out[some] = total / math.log(10)
         return out
@@ -447,16 +504,19 @@ def score_documents(docs: DataFrame, top: int = TOP, train_docs: int | None = No
     known_tokens = sum(n for _, n in own)
     other_tokens, other_words = n_all - known_tokens, max(0, n_words - sum(1 for _, n in own if n))
     model = fit(docs, symbols, np.array([other_tokens, *(n for _, n in own)]), train_docs, tasks, rounds, tokens)
-    log_count = {r.word.encode(): math.log10(r.n + 1) for r in frequent}
-    if end_count:
-        log_count[b""] = math.log10(end_count + 1)
-    sent = spark.sparkContext.broadcast((model.w, symbols, log_count))
-    listed = spark.sparkContext.broadcast(frozenset(log_count))
+    # every listed word's place: the model's own words first, then the other frequent ones
+    places = dict(symbols)
+    logs = [0.0, *(math.log10(n + 1) for _, n in own)]
+    for r in frequent:
+        if places.setdefault(r.word.encode(), len(logs)) == len(logs):
+            logs.append(math.log10(r.n + 1))
+    sent = spark.sparkContext.broadcast((model.w, places, np.array(logs), len(symbols), end_count > 0))
+    listed = spark.sparkContext.broadcast(frozenset(places) - (set() if end_count else {b""}))
     rows = id_and_text(docs).withColumn("row", F.xxhash64("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, known, logs = sent.value
-        lm = GatedLM(weights)
+        weights, known, logs, n_own, end_known = sent.value
+        lm, zeros = GatedLM(weights), repeat(0)
         names = ["doc_id", "row", "n_tokens", "n_listed", "listed", "n_other", "spread", "model"]
         kinds = [pa.int64()] * 4 + [pa.float64(), pa.int64(), pa.float64(), pa.float64()]
         held: list[tuple] = []
@@ -473,11 +533,12 @@ def score_documents(docs: DataFrame, top: int = TOP, train_docs: int | None = No
             for part in slices(batch, 100):
                 for doc, text, row in zip(*(part.column(c).to_pylist() for c in range(3))):
                     words = [*text.encode().lower().split(), b""]
-                    own = np.fromiter((known.get(w, 0) for w in words), dtype=np.int32, count=len(words))
-                    found = [logs.get(w) for w in words]
-                    sure = [x for x in found if x is not None]
-                    spread = sum(x for x, i in zip(found, own.tolist()) if not i and x is not None)
-                    held.append((doc, row, len(words), len(sure), math.fsum(sure), int((own == 0).sum()), spread))
+                    place = np.fromiter(map(known.get, words, zeros), dtype=np.int32, count=len(words))
+                    other, log = place > n_own, logs[place]
+                    n_listed = int((place > 0).sum()) - (not end_known)
+                    own = np.where(other, 0, place)
+                    held.append((doc, row, len(words), n_listed, math.fsum(log.tolist()), int((own == 0).sum()),
+                                 math.fsum(log[other].tolist())))
                     ids.append(own)
                     size += len(own)
                 if size >= SCORE_TOKENS:           # many documents at once: their lanes stay full for longer
