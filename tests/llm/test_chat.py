@@ -56,3 +56,35 @@ def test_query_adds_the_hostile_conversation(spark):
 
 def test_empty_table(spark):
     assert chat.format_conversations(frame(spark, [])).count() == 0
+
+
+def test_many_turns_take_linear_time(spark):
+    import time
+
+    def seconds(n, roles):
+        rows = spark.range(n, numPartitions=1).select(
+            F.lit(1).alias("conv_id"), F.col("id").alias("turn"),
+            F.element_at(F.array(*map(F.lit, roles)), (F.col("id") % len(roles) + 1).cast("int")).alias("role"),
+            F.concat(F.lit("said "), F.col("id")).alias("text"))
+        began = time.monotonic()
+        r = chat.format_conversations(rows).select(
+            chat.read_back(F.col("formatted")).alias("t"), F.size("segments").alias("s")).select(F.size("t").alias("t"), "s").first()
+        assert r.t == n and r.s == (4 * n if len(roles) > 1 else 2 * n + 2)
+        return time.monotonic() - began
+
+    for roles in (["user", "assistant"], ["assistant"]):
+        seconds(100, roles)
+        assert seconds(64_000, roles) < 10
+
+
+def test_blocks_of_nothing(spark):
+    got = spark.sql("select cast(array() as array<struct<turn: bigint, role: string, text: string>>) as turns").select(
+        chat.blocks(F.col("turns")).alias("b")).first()
+    assert got.b == []
+
+
+def test_a_text_of_a_million_characters(spark):
+    long = "<|im_end|>\\ab" * 80_000
+    got = chat.format_conversations(frame(spark, [(1, 1, "user", "hi"), (1, 2, "assistant", long)])).select(
+        chat.read_back(F.col("formatted")).alias("t"), chat.loss_text(F.col("segments")).alias("loss")).first()
+    assert got.t[1].text == long and got.loss == long
