@@ -134,3 +134,20 @@ def test_every_training_document_reaches_the_model(spark):
     before, after = G.GatedLM.start(counts), G.fit(docs, symbols, counts, sample, 2, 3, 20_000)
     moved = (before.w["emb"] != after.w["emb"]).any(axis=1)          # what is never read stays as it starts
     assert moved[1:len(symbols) + 1].all() and not moved[len(symbols) + 1:].any()
+
+
+@pytest.mark.parametrize("words", [1, 500, 100_000])
+def test_dealing_keeps_every_document_and_starts_long_ones_early(words):
+    rng = np.random.default_rng(7)
+    docs = [rng.integers(0, 16, n) for n in [*rng.integers(1, 40, 300), 900, 2_000, 700, *rng.integers(1, 40, 300)]]
+    got = list(G.dealt(iter(docs), 8, words))
+    assert sorted(map(id, got)) == sorted(map(id, docs))
+    if words == 100_000:
+        assert [len(d) for d in got[:3]] == [2_000, 900, 700]
+    assert list(G.dealt([], 8, words)) == []
+
+
+def test_softmax_of_large_log_odds():
+    logit = np.array([[0, 200, 100], [-300, -300, -301], [1, 2, 3]], np.float32)
+    want = np.exp(logit.astype(float) - logit.max(axis=1, keepdims=True))
+    assert np.allclose(G.GatedLM.softmax(logit.copy()), want / want.sum(axis=1, keepdims=True), atol=1e-6)

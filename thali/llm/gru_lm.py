@@ -11,10 +11,11 @@ Spark. The most frequent ones (``VOCABULARY``) are the model's own words; all ot
 symbol for it, and their share is spread over the words by their counts, add-one smoothed,
 so every text has a probability. Weights start from the counted frequencies and are fitted in
 rounds over successive parts of the corpus: each partition of the scan trains on its whole
-stream of the round's documents, and the results are averaged by the words they are from. Every
-word of every training document is trained on; a small corpus is read several times.
+stream of the round's documents (``DEAL_WORDS`` of them at a time are dealt to lanes, long ones
+early), and the results are averaged by the words they are from. Every word of every training
+document is trained on; a small corpus is read several times.
 
-Scale: words are counted per task before they are shuffled. Training holds one document per lane;
+Scale: words are counted per task before they are shuffled. Training holds ``DEAL_WORDS`` words;
 its weights (0.5 MB a partition and round) are added up by ``TRAIN_TASKS`` tasks, so the driver
 gets as many rows for any input. Counts of the ``TOP`` most frequent
 words are broadcast (a fixed number of rows); the rest are looked up by a join of (document,
@@ -31,7 +32,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain, islice, repeat
+from itertools import chain, filterfalse, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -556,7 +557,7 @@ def score_documents(docs: DataFrame, top: int = TOP, train_docs: int | None = No
             for part in slices(batch, 200):
                 row, word, times = [], [], []
                 for r, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    for w, k in Counter(w for w in text.encode().lower().split() if w not in known).items():
+                    for w, k in Counter(filterfalse(known.__contains__, text.encode().lower().split())).items():
                         row.append(r)
                         word.append(w)
                         times.append(k)
