@@ -15,6 +15,7 @@ from thali.sources import requests
 from thali.sources import schema as S
 from thali.sources.commits import Store
 from thali.sources.model import load
+from thali.streaming import replay
 from thali.streaming import streams as St
 
 
@@ -370,3 +371,23 @@ def test_arrivals_after_expiry_as_stream_and_table(spark):
     s = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path + "/*")
     _run(St.arrivals(s, "1 hour"), "t2_islands")
     assert minutes(spark.table("t2_islands").filter("order_id < 9").collect()) == want
+
+
+def test_a_replayed_table_comes_in_batches_of_many_files(spark):
+    """Each batch is written and read by as many tasks as make its rows; the batches keep their order and one checkpoint."""
+    at = F.when(F.col("id") != 399, F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 7919 % 397 * 60))
+    rows = spark.range(0, 400, 1, 8).select("id", at.cast("timestamp_ntz").alias("ts"))
+    seen = []
+
+    def start(stream, checkpoint):
+        def take(batch, number):
+            found = batch.withColumn("file", F.input_file_name()).collect()
+            seen.append((number, [r.ts for r in found], {r.id for r in found}, {r.file for r in found}))
+        return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    replay.run(rows, 3, "ts", start)
+    assert [number for number, *_ in seen] == [0, 1, 2]
+    assert sorted(i for _, _, ids, _ in seen for i in ids) == list(range(400))
+    assert [len(files) for *_, files in seen] == [8, 8, 8]
+    times = [sorted(t or dt.datetime.min for t in ts) for _, ts, _, _ in seen]
+    assert all(a[-1] < b[0] for a, b in zip(times, times[1:])) and times[0][0] == dt.datetime.min
