@@ -151,3 +151,24 @@ def test_softmax_of_large_log_odds():
     logit = np.array([[0, 200, 100], [-300, -300, -301], [1, 2, 3]], np.float32)
     want = np.exp(logit.astype(float) - logit.max(axis=1, keepdims=True))
     assert np.allclose(G.GatedLM.softmax(logit.copy()), want / want.sum(axis=1, keepdims=True), atol=1e-6)
+
+
+@pytest.mark.parametrize("scale", [1, 30, 1000])
+def test_weights_bound_the_logits_that_need_no_shift(scale):
+    lm, rng = model(3), np.random.default_rng(3)
+    lm.w["Uw"] *= scale
+    states = rng.uniform(-1, 1, (50, 5))
+    largest = max(np.abs(states @ u + b).max() for u, b in ((lm.w["Uc"], lm.w["bc"]), *zip(lm.w["Uw"], lm.w["bw"])))
+    assert lm.small_logits(states) == (scale < 1000) and (largest < 60 or not lm.small_logits(states))
+    y = rng.integers(0, 16, 50)
+    cls, word = states @ lm.w["Uc"] + lm.w["bc"], np.einsum("nk,nkj->nj", states, lm.w["Uw"][y // 4]) + lm.w["bw"][y // 4]
+    at, lse = np.arange(50), lambda v: np.log(np.exp(v - v.max(axis=1, keepdims=True)).sum(axis=1)) + v.max(axis=1)
+    want = cls[at, y // 4] - lse(cls) + word[at, y % 4] - lse(word)
+    assert np.allclose(lm.log_probabilities(states, y), want, atol=1e-6)
+
+
+def test_scores_and_unlisted_words_come_from_one_pass(spark):
+    rows = [(k, f"a b b w{k} w{k} v{k % 3}", "en", "a", 3) for k in range(40)]
+    scored = G.score_documents(with_clashes(documents(spark, rows)), top=2, **SMALL)
+    assert "MapInArrow" not in scored._jdf.queryExecution().executedPlan().toString()      # texts are not read again
+    assert {r.n_tokens for r in scored.collect()} == {7}

@@ -32,7 +32,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain, filterfalse, islice, repeat
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thali.llm.bpe import slices
-from thali.llm.common import cut_lineage, hash_sample, id_and_text
+from thali.llm.common import cut_lineage, hash_sample, id_and_text, written
 
 CLASSES = 48
 VOCABULARY = CLASSES * CLASSES
@@ -236,17 +236,24 @@ class GatedLM:
         return order, [(c, cut[c], cut[c + 1]) for c in range(self.classes) if cut[c] < cut[c + 1]]
 
     @staticmethod
-    def shifted(logit: np.ndarray) -> np.ndarray:
+    def shifted(logit: np.ndarray, small: bool = False) -> np.ndarray:
         """Logits for ``exp``, in place: shifted by their rows' largest only where single precision could not hold
-        their powers."""
-        if logit.size and not -60 < logit.min() <= logit.max() < 60:
+        their powers. ``small`` ones are known to need no shift."""
+        if not small and logit.size and not -60 < logit.min() <= logit.max() < 60:
             logit -= logit.max(axis=1, keepdims=True)
         return logit
 
+    def small_logits(self, states: np.ndarray) -> bool:
+        """Whether the weights bound all logits of such states below what ``shifted`` looks for."""
+        if not states.size:
+            return True
+        w, top = self.w, max(float(states.max()), -float(states.min()))
+        return all(bool((np.abs(w[u]).sum(axis=-2) * top + np.abs(w[b])).max() < 59) for u, b in (("Uc", "bc"), ("Uw", "bw")))
+
     @classmethod
-    def softmax(cls, logit: np.ndarray) -> np.ndarray:
+    def softmax(cls, logit: np.ndarray, small: bool = False) -> np.ndarray:
         """Softmax of the rows, in place."""
-        np.exp(cls.shifted(logit), out=logit)
+        np.exp(cls.shifted(logit, small), out=logit)
         logit *= (1 / (logit @ np.ones(logit.shape[1], logit.dtype)))[:, None]
         return logit
 
@@ -257,9 +264,10 @@ class GatedLM:
         flat, cls, word = states[order], (targets // self.size)[order], (targets % self.size)[order]
         at, ones = np.arange(len(order)), np.ones(self.size, states.dtype)
         found, sums = np.empty((2, len(order)), states.dtype)
+        small = self.small_logits(states)
 
         def logs(logit: np.ndarray, of: np.ndarray, a: int, b: int) -> None:
-            found[a:b] += self.shifted(logit)[at[:b - a], of]
+            found[a:b] += self.shifted(logit, small)[at[:b - a], of]
             np.exp(logit, out=logit)
             sums[a:b] *= logit @ ones
 
@@ -287,8 +295,9 @@ class GatedLM:
         live, y = live[order], y[order]
         flat, cls, word = states.transpose(0, 2, 1).reshape(-1, k)[live], y // self.size, y % self.size
         n, at = len(y), np.arange(len(y))
+        small = self.small_logits(flat)
         g = {name: np.zeros_like(v) for name, v in w.items()}
-        p = self.softmax(flat @ w["Uc"] + w["bc"])
+        p = self.softmax(flat @ w["Uc"] + w["bc"], small)
         likely = p[at, cls]
         p[at, cls] -= 1
         g["Uc"], g["bc"] = flat.T @ p / n, p.sum(axis=0) / n
@@ -297,7 +306,7 @@ class GatedLM:
             some, own, of = flat[a:b], w["Uw"][c], (at[:b - a], word[a:b])
             q = some @ own
             q += w["bw"][c]
-            self.softmax(q)
+            self.softmax(q, small)
             chosen = q[of]
             likely[a:b] *= chosen
             q[of] = chosen - 1
@@ -512,60 +521,59 @@ def score_documents(docs: DataFrame, top: int = TOP, train_docs: int | None = No
         if places.setdefault(r.word.encode(), len(logs)) == len(logs):
             logs.append(math.log10(r.n + 1))
     sent = spark.sparkContext.broadcast((model.w, places, np.array(logs), len(symbols), end_count > 0))
-    listed = spark.sparkContext.broadcast(frozenset(places) - (set() if end_count else {b""}))
     rows = id_and_text(docs).withColumn("row", F.xxhash64("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, known, logs, n_own, end_known = sent.value
         lm, zeros = GatedLM(weights), repeat(0)
-        names = ["doc_id", "row", "n_tokens", "n_listed", "listed", "n_other", "spread", "model"]
-        kinds = [pa.int64()] * 4 + [pa.float64(), pa.int64(), pa.float64(), pa.float64()]
+        names = ["doc_id", "row", "n_tokens", "n_listed", "listed", "n_other", "spread", "rare", "model"]
+        kinds = [pa.int64()] * 4 + [pa.float64(), pa.int64(), pa.float64()]
         held: list[tuple] = []
         ids: list[np.ndarray] = []
+        ends: list[int] = [0]              # of the documents' unlisted words in ``rare``
+        rare: list[pa.StructArray] = []
 
         def scored() -> pa.RecordBatch:
-            columns = [*zip(*held), lm.score(ids)]
+            columns = [pa.array(c, kind) for c, kind in zip(zip(*held), kinds)]
+            columns += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(rare)), pa.array(lm.score(ids))]
             held.clear()
             ids.clear()
-            return pa.record_batch([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=names)
+            rare.clear()
+            ends[1:] = []
+            return pa.record_batch(columns, names=names)
 
         size = 0
         for batch in batches:
             for part in slices(batch, 100):
+                found, times = [], []
                 for doc, text, row in zip(*(part.column(c).to_pylist() for c in range(3))):
                     words = [*text.encode().lower().split(), b""]
                     place = np.fromiter(map(known.get, words, zeros), dtype=np.int32, count=len(words))
                     other, log = place > n_own, logs[place]
                     n_listed = int((place > 0).sum()) - (not end_known)
                     own = np.where(other, 0, place)
+                    unlisted = Counter(map(words.__getitem__, np.flatnonzero(place == 0).tolist()))
                     held.append((doc, row, len(words), n_listed, math.fsum(log.tolist()), int((own == 0).sum()),
                                  math.fsum(log[other].tolist())))
+                    found += unlisted.keys()
+                    times += unlisted.values()
+                    ends.append(ends[-1] + len(unlisted))
                     ids.append(own)
                     size += len(own)
+                rare.append(pa.StructArray.from_arrays([pa.array(found, pa.binary()), pa.array(times, pa.int32())],
+                                                       names=["word", "times"]))
                 if size >= SCORE_TOKENS:           # many documents at once: their lanes stay full for longer
                     yield scored()
                     size = 0
         if held:
             yield scored()
 
-    scored = rows.mapInArrow(run, "doc_id long, row long, n_tokens long, n_listed long, listed double, n_other long, "
-                                  "spread double, model double")
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = listed.value
-        for batch in batches:
-            for part in slices(batch, 200):
-                row, word, times = [], [], []
-                for r, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    for w, k in Counter(filterfalse(known.__contains__, text.encode().lower().split())).items():
-                        row.append(r)
-                        word.append(w)
-                        times.append(k)
-                yield pa.record_batch([pa.array(row, pa.int64()), pa.array(word, pa.binary()), pa.array(times, pa.int32())],
-                                      names=["row", "word", "times"])
-
-    unlisted = rows.select("row", "text").mapInArrow(rare, "row long, word binary, times int").withColumn(
-        "word", F.col("word").cast("string"))
+    # written, as it is read twice: texts are cut into words once for the scores and the unlisted words
+    scored, _ = written(rows.mapInArrow(
+        run, "doc_id long, row long, n_tokens long, n_listed long, listed double, n_other long, spread double, "
+             "rare array<struct<word: binary, times: int>>, model double"))
+    unlisted = scored.select("row", F.explode("rare").alias("x")).select(
+        "row", F.col("x.word").cast("string").alias("word"), F.col("x.times").alias("times"))
     looked = unlisted.join(counts, "word").groupBy("row").agg(
         F.sum("times").alias("n_rare"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rare"))
     # repeated rows have one key, so their sums hold each of them
@@ -573,7 +581,7 @@ def score_documents(docs: DataFrame, top: int = TOP, train_docs: int | None = No
     rare_sum = F.coalesce(F.col("rare") / F.col("copies"), F.lit(0.0))
     base = F.lit(math.log10(n_all + n_words + 1))
     other = F.lit(math.log10(other_tokens + other_words + 1))
-    return scored.withColumn("copies", copies).join(looked, "row", "left").select(
+    return scored.drop("rare").withColumn("copies", copies).join(looked, "row", "left").select(
         "doc_id", "n_tokens",
         (F.col("n_listed") + F.coalesce(F.col("n_rare") / F.col("copies"), F.lit(0.0)).cast("long")).alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
