@@ -1,9 +1,11 @@
 import inspect
 import math
+import resource
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import ROWS, documents, with_clashes
 
@@ -172,3 +174,52 @@ def test_scores_and_unlisted_words_come_from_one_pass(spark):
     scored = G.score_documents(with_clashes(documents(spark, rows)), top=2, **SMALL)
     assert "MapInArrow" not in scored._jdf.queryExecution().executedPlan().toString()      # texts are not read again
     assert {r.n_tokens for r in scored.collect()} == {7}
+
+
+def test_windows_ask_for_little_new_memory():
+    rng = np.random.default_rng(8)
+    lm = G.GatedLM.start(rng.integers(1, 50, G.VOCABULARY))
+    x, y = rng.integers(0, G.VOCABULARY, (2, G.WINDOW, G.LANES))
+    fresh, real, h = np.zeros(x.shape, bool), np.ones(x.shape, bool), np.zeros((G.LANES, G.HIDDEN), np.float32)
+    for k in range(20):
+        lm.gradient(x, y, h, fresh, real)
+        if k == 4:
+            before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before < 15 * 600       # pages: 1,400 a window before
+
+
+def test_gradient_of_the_rows_read_is_that_of_all():
+    lm, rng = model(), np.random.default_rng(9)
+    x, y = rng.integers(0, 12, (2, 40, 3))
+    fresh, real, h = rng.random(x.shape) < 0.2, np.ones(x.shape, bool), rng.normal(size=(3, 5))
+    loss, g, _ = lm.gradient(x, y, h, fresh, real)
+    same, own, _ = lm.gradient(x, y, h, fresh, real, False)
+    assert loss == same and np.array_equal(g["emb"][np.unique(x)], own["emb"])
+    assert not np.delete(g["emb"], np.unique(x), axis=0).any()
+
+
+@pytest.mark.parametrize("sizes", [(1,), (1, 2, 8, 9, 300, 1, 8, 7)])
+def test_sums_of_stretches(sizes):
+    rows = np.random.default_rng(10).normal(size=(sum(sizes), 6))
+    ends = np.cumsum(sizes)
+    want = [rows[e - n:e].sum(axis=0) for e, n in zip(ends, sizes)]
+    assert np.allclose(G.GatedLM.sums_of_equal(rows, ends - sizes), want)
+
+
+def test_words_are_those_of_bytes():
+    texts = ["", " ", "a", "  A\t\x0bb B \n", "x\x0c\ry\x1cz\x85\xa0w", "\u00c4\u2003q \u0130 I", "\n", "end "] * 2
+    want = [t.encode().lower().split() for t in texts]
+    words, sizes = G.words_of(pa.array(["cut off", *texts])[1:])
+    assert words.to_pylist() == [w for d in want for w in d] and sizes.tolist() == [len(d) for d in want]
+    place = G.numbered(words, pa.array([b"", b"a", b"b"], pa.binary()))
+    ids, ends = G.with_ends(place, sizes, 1)
+    known = {b"a": 2, b"b": 3}
+    assert [d.tolist() for d in np.split(ids, ends[:-1])] == [[*(known.get(w, 0) for w in d), 1] for d in want]
+
+
+@pytest.mark.parametrize("held", [1, 200_000])
+def test_counts_of_words_that_leave_a_task_in_parts(spark, monkeypatch, held):
+    monkeypatch.setattr(G, "COUNT_WORDS", held)
+    rows = [(None, f"a A b{k % 7} c{k}", "en", "a", 3) for k in range(40)]
+    want = Counter({"": 40, **Counter(w for r in rows for w in r[1].lower().split())})
+    assert Counter({r.word: r.n for r in G.word_counts(documents(spark, rows)).collect()}) == want

@@ -30,12 +30,12 @@ extra columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain, islice, repeat
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,9 +56,13 @@ LANES, WINDOW, RATE, STEPS = 128, 50, 0.03, 60
 DEAL_WORDS = 2_000_000
 SCORE_LANES, SCORE_WINDOW, SCORE_TOKENS = 512, 32, 2_000_000
 #: Rows of a softmax at a time, so that it stays in a core's own memory.
-SOFTMAX_ROWS = 4096
+SOFTMAX_ROWS = 1024
+#: Rows that are added up side by side, not one stretch after the other.
+SHORT = 8
 #: Distinct words that a task counts before it hands the counts on.
 COUNT_WORDS = 200_000
+#: Bytes of texts whose words a task holds at a time.
+TEXT_BYTES = 4_000_000
 END = ""           # the end token: no word is empty
 
 
@@ -66,27 +70,56 @@ def trains():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 != 2, F.lit(True))
 
 
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words of the texts, one text after the other, and how many each text has."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = split.flatten().cast(pa.binary())
+    real = pc.greater(pc.binary_length(words), 0)          # a text that begins or ends with a space: also an empty piece
+    ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+    so_far = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    return words.filter(real), np.diff(so_far[ends], prepend=0)
+
+
+def numbered(words: pa.Array, listed: pa.Array) -> np.ndarray:
+    """Each word's place in the list, from 1 on; 0 for what is not listed."""
+    return pc.fill_null(pc.index_in(words, value_set=listed), -1).to_numpy(zero_copy_only=False) + 1
+
+
+def by_size(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of texts (its column 1) in pieces of about ``TEXT_BYTES``, as equal ones have as many rows."""
+    return slices(batch, max(1, batch.num_rows * TEXT_BYTES // max(1, batch.column(1).nbytes)))
+
+
+def with_ends(symbols: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of documents of these sizes with an end after each, and where each document now ends."""
+    ends = np.cumsum(sizes + 1)
+    out, word = np.full(len(symbols) + len(sizes), end, np.int32), np.ones(len(symbols) + len(sizes), bool)
+    word[ends - 1] = False
+    out[word] = symbols
+    return out, ends
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over all training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        held: list[pa.Table] = []
 
-        def take() -> pa.RecordBatch:
-            out = pa.record_batch([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())],
-                                  names=["word", "n"])
-            seen.clear()
-            return out
+        def merged() -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
         for batch in batches:
-            for rows in slices(batch, 100):
-                for text in rows.column(1).to_pylist():
-                    seen.update(text.encode().lower().split())
-                seen[b""] += rows.num_rows
-                if len(seen) > COUNT_WORDS:
-                    yield take()
-        if seen:
-            yield take()
+            for rows in by_size(batch):
+                words, _ = words_of(rows.column(1))
+                counted = words.value_counts()
+                held.append(pa.table([pa.concat_arrays([counted.field(0), pa.array([b""], pa.binary())]),
+                                      pa.concat_arrays([counted.field(1), pa.array([rows.num_rows], pa.int64())])], names=["word", "n"]))
+                if sum(t.num_rows for t in held) > 2 * COUNT_WORDS:
+                    held[:] = [merged()]
+                    if held[0].num_rows > COUNT_WORDS:
+                        yield from held.pop().to_batches()
+        if held:
+            yield from merged().to_batches()
 
     return (id_and_text(docs.filter(trains())).mapInArrow(run, "word binary, n long")
             .groupBy(F.col("word").cast("string").alias("word")).agg(F.sum("n").alias("n")))
@@ -143,8 +176,8 @@ def lane_windows(documents: Iterable[np.ndarray], lanes: int, window: int) -> It
     rest = iter(documents)
     own: list[tuple[np.ndarray, int] | None] = [None] * lanes
     while True:
-        x, y = np.zeros((2, window, lanes), dtype=np.int64)
-        fresh, real = np.zeros((2, window, lanes), dtype=bool)
+        y, begins = np.zeros((lanes, window), dtype=np.int64), []
+        filled = np.zeros(lanes, dtype=np.int64)
         for lane in range(lanes):
             at = 0
             while at < window:
@@ -155,17 +188,21 @@ def lane_windows(documents: Iterable[np.ndarray], lanes: int, window: int) -> It
                     own[lane] = d, 0
                 d, p = own[lane]
                 m = min(len(d) - p, window - at)
-                y[at:at + m, lane] = d[p:p + m]
-                x[at, lane] = d[p - 1]              # before its first word: an end token
-                x[at + 1:at + m, lane] = d[p:p + m - 1]
-                fresh[at, lane] = p == 0
-                real[at:at + m, lane] = True
+                y[lane, at:at + m] = d[p:p + m]
+                begins.append((lane, at, d[p - 1], p == 0))      # before its first word: an end token
                 own[lane] = (d, p + m) if p + m < len(d) else None
                 at += m
-        if not real.any():
+            filled[lane] = at
+        busy = np.flatnonzero(filled)
+        if not len(busy):
             return
-        busy = np.flatnonzero(real.any(axis=0))
-        yield x[:, busy], y[:, busy], fresh[:, busy], real[:, busy], busy
+        x, fresh = np.zeros_like(y), np.zeros(y.shape, dtype=bool)
+        x[:, 1:] = y[:, :-1]
+        lane, at, word, new = map(np.array, zip(*begins))
+        x[lane, at], fresh[lane, at] = word, new
+        real = np.arange(window) < filled[:, None]
+        x[~real] = 0
+        yield (*(np.ascontiguousarray(v[busy].T) for v in (x, y, fresh, real)), busy)
 
 
 class GatedLM:
@@ -176,6 +213,15 @@ class GatedLM:
         self.w = weights
         self.hidden = weights["Wh"].shape[0]
         self.classes, self.size = weights["bw"].shape
+        self.rooms: dict[str, np.ndarray] = {}
+
+    def room(self, name: str, *shape: int) -> np.ndarray:
+        """An array for values that the next call may overwrite: memory that every window asked for anew would cost
+        as much as the sums in it."""
+        size, have = math.prod(shape), self.rooms.get(name)
+        if have is None or have.size < size or have.dtype != self.w["Wh"].dtype:
+            have = self.rooms[name] = np.empty(size, self.w["Wh"].dtype)
+        return have[:size].reshape(shape)
 
     @staticmethod
     def start(counts: np.ndarray, hidden: int = HIDDEN, classes: int = CLASSES) -> GatedLM:
@@ -196,17 +242,22 @@ class GatedLM:
     def steps(self, inputs: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None, keep: bool = False):
         """States (time, hidden, lane) after each of the inputs (time, lane), the last state (lane, hidden) and what
         the way back needs; ``fresh`` marks where a document starts. A symbol's embedding is its input to the three
-        gates. Lanes are the last axis, so that each gate of a step is one contiguous block."""
-        w, k = self.w, self.hidden
+        gates. Lanes are the last axis, so that each gate of a step is one contiguous block. All but the last state
+        lies in ``room``."""
+        w, k, (times, lanes) = self.w, self.hidden, inputs.shape
         sign = np.ones(3 * k, w["Wh"].dtype)
         sign[:2 * k] = -1                                    # exp(-a) is what a sigmoid takes
-        x = np.ascontiguousarray(((w["emb"] + w["b"]) * sign)[inputs].transpose(0, 2, 1))
+        emb = np.add(w["emb"], w["b"], out=self.room("emb", *w["emb"].shape))
+        emb *= sign
+        rows, x = self.room("rows", times, lanes, 3 * k), self.room("x", times, 3 * k, lanes)
+        np.take(emb, inputs, axis=0, out=rows, mode="clip")
+        np.copyto(x, rows.transpose(0, 2, 1))
         to_gates = np.ascontiguousarray((w["Wh"] * sign).T)
         starts = [False] * len(inputs) if fresh is None else fresh.any(axis=1).tolist()
-        states = np.empty((len(inputs), k, inputs.shape[1]), x.dtype)
-        before = np.empty_like(states) if keep else None
-        g = np.empty_like(x) if keep else np.empty((1, *x.shape[1:]), x.dtype)
-        h = np.ascontiguousarray(h.T, x.dtype)
+        states = self.room("states", times, k, lanes)
+        before = self.room("before", times, k, lanes) if keep else None
+        g = self.room("gates", times if keep else 1, 3 * k, lanes)
+        h, spare = np.ascontiguousarray(h.T, x.dtype), self.room("spare", k, lanes)
         for t in range(len(inputs)):
             if starts[t]:
                 h = h * ~fresh[t]
@@ -219,7 +270,8 @@ class GatedLM:
             np.exp(gates, out=gates)
             gates += 1
             np.reciprocal(gates, out=gates)
-            n += gates[k:] * own[2 * k:]
+            np.multiply(gates[k:], own[2 * k:], out=spare)
+            n += spare
             np.tanh(n, out=n)
             new = states[t]
             np.subtract(h, n, out=new)
@@ -228,6 +280,19 @@ class GatedLM:
             h = new
         return states, np.ascontiguousarray(h.T), (before, x, g[:, 2 * k:]) if keep else None
 
+    def with_ones(self, states: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """The states (time, hidden, lane) of the ``live`` places as rows, with a one for the biases behind, in ``room``."""
+        times, k, lanes = states.shape
+        each = self.room("each", times, lanes, k + 1)
+        each[..., :k] = states.transpose(0, 2, 1)
+        each[..., k] = 1
+        return np.take(each.reshape(-1, k + 1), live, axis=0, out=self.room("flat", len(live), k + 1), mode="clip")
+
+    def outputs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The softmaxes' weights, a column for each of their outputs, with the biases as the last row."""
+        w = self.w
+        return np.vstack([w["Uc"], w["bc"]]), np.concatenate([w["Uw"], w["bw"][:, None]], axis=1)
+
     def by_class(self, y: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
         """An order of the targets by class, and each class's (class, begin, end) in it."""
         cls = y // self.size
@@ -259,94 +324,155 @@ class GatedLM:
 
     def log_probabilities(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log of each target's probability; states (n, hidden), targets (n)."""
-        w = self.w
         order, parts = self.by_class(targets)
-        flat, cls, word = states[order], (targets // self.size)[order], (targets % self.size)[order]
-        at, ones = np.arange(len(order)), np.ones(self.size, states.dtype)
-        found, sums = np.empty((2, len(order)), states.dtype)
-        small = self.small_logits(states)
+        flat = np.ones((len(order), self.hidden + 1), states.dtype)
+        np.take(states, order, axis=0, out=flat[:, :-1])
+        out = np.empty(len(order), states.dtype)
+        out[order] = self.sorted_log_probabilities(flat, targets[order], parts)
+        return out
 
-        def logs(logit: np.ndarray, of: np.ndarray, a: int, b: int) -> None:
-            found[a:b] += self.shifted(logit, small)[at[:b - a], of]
-            np.exp(logit, out=logit)
-            sums[a:b] *= logit @ ones
+    def sorted_log_probabilities(self, flat: np.ndarray, targets: np.ndarray, parts: list[tuple[int, int, int]]) -> np.ndarray:
+        """Of states with a one behind and targets in the order of ``by_class``."""
+        to_class, to_word = self.outputs()
+        cls, word = targets // self.size, targets % self.size
+        at, small = np.arange(SOFTMAX_ROWS), self.small_logits(flat)
+        found, sums = np.empty((2, len(flat)), flat.dtype)
+
+        def logs(weights: np.ndarray, of: np.ndarray, begin: int, end: int) -> None:
+            ones = np.ones(weights.shape[1], flat.dtype)
+            for a in range(begin, end, SOFTMAX_ROWS):
+                b = min(end, a + SOFTMAX_ROWS)
+                logit = np.matmul(flat[a:b], weights, out=self.room("logit", b - a, weights.shape[1]))
+                found[a:b] += self.shifted(logit, small)[at[:b - a], of[a:b]]
+                np.exp(logit, out=logit)
+                sums[a:b] *= logit @ ones
 
         found[:], sums[:] = 0, 1
-        for a in range(0, len(order), SOFTMAX_ROWS):
-            b = min(len(order), a + SOFTMAX_ROWS)
-            logs(flat[a:b] @ w["Uc"] + w["bc"], cls[a:b], a, b)
+        logs(to_class, cls, 0, len(flat))
         found -= np.log(sums)
         sums[:] = 1
         for c, a, b in parts:
-            logs(flat[a:b] @ w["Uw"][c] + w["bw"][c], word[a:b], a, b)
+            logs(to_word[c], word, a, b)
         found -= np.log(sums)
-        out = np.empty_like(found)
-        out[order] = found
-        return out
+        return found
+
+    def softmax_gradient(self, flat: np.ndarray, y: np.ndarray, parts: list[tuple[int, int, int]]):
+        """(sum of the losses, gradients at the states, gradients at the weights and biases of both softmaxes) for
+        states with a one behind and targets in the order of ``by_class``. Powers of the logits are not divided by
+        their sums: the product that takes them back to the states gives these too, and fewer numbers take them."""
+        w, k, n = self.w, self.hidden, len(y)
+        to_class, to_word = self.outputs()
+        small, at = self.small_logits(flat), np.arange(n)
+        power, back = self.room("power", n, self.size), self.room("back", n, k)
+        ahead, scaled = self.room("ahead", n, k + 1), self.room("scaled", n, k + 1)
+        likely, back[:] = np.ones(n, flat.dtype), 0
+        ones = np.ones((self.size, 1), flat.dtype)
+
+        def forth(weights: np.ndarray, a: int, b: int) -> None:
+            to_states = np.concatenate([weights[:-1].T, ones], axis=1)
+            for a in range(a, b, SOFTMAX_ROWS):
+                to = min(b, a + SOFTMAX_ROWS)
+                some = np.matmul(flat[a:to], weights, out=power[a:to])
+                np.exp(self.shifted(some, small), out=some)
+                np.matmul(some, to_states, out=ahead[a:to])
+
+        def settle(of: np.ndarray, rows: np.ndarray) -> None:
+            chosen, sums = power[at, of], ahead[:, k]
+            power[at, of] = chosen - sums
+            np.multiply(likely, chosen / sums, out=likely)
+            share = (1 / (sums * n))[:, None]
+            np.multiply(flat, share, out=scaled)
+            np.multiply(ahead, share, out=ahead)
+            np.add(back, ahead[:, :k], out=back)
+            np.take(rows, y if of is word else cls, axis=0, out=scaled_rows, mode="clip")
+            np.subtract(back, scaled_rows, out=back)
+
+        cls, word, scaled_rows = y // self.size, y % self.size, self.room("own", n, k)
+        forth(to_class, 0, n)
+        settle(cls, np.ascontiguousarray(w["Uc"].T) / n)
+        of_class = scaled.T @ power
+        for c, a, b in parts:
+            forth(to_word[c], a, b)
+        settle(word, np.ascontiguousarray(w["Uw"].transpose(0, 2, 1)).reshape(-1, k) / n)
+        of_word = np.zeros_like(to_word)
+        for c, a, b in parts:
+            np.matmul(scaled[a:b].T, power[a:b], out=of_word[c])
+        return -np.log(likely + 1e-20).sum(), back, {
+            "Uc": of_class[:k], "bc": of_class[k], "Uw": np.ascontiguousarray(of_word[:, :k]), "bw": np.ascontiguousarray(of_word[:, k])}
 
-    def gradient(self, inputs, targets, h, fresh, real=None):
+    @staticmethod
+    def sums_of_equal(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Sums of the stretches of ``rows`` that begin at ``first``; short ones are added up side by side."""
+        size = np.diff(np.append(first, len(rows)))
+        sums = rows[first]
+        few = np.flatnonzero((size > 1) & (size <= SHORT))
+        for j in range(1, SHORT):
+            few = few[size[few] > j]
+            sums[few] += rows[first[few] + j]
+        ones = np.ones(len(rows), rows.dtype)
+        for i in np.flatnonzero(size > SHORT).tolist():
+            a, b = first[i], first[i] + size[i]
+            np.matmul(ones[a:b], rows[a:b], out=sums[i])
+        return sums
+
+    def gradient(self, inputs, targets, h, fresh, real=None, whole=True):
         """(loss, gradients, last state) of one window: truncated backpropagation. Places that are not
-        ``real`` hold no word and count for nothing."""
-        w, k = self.w, self.hidden
+        ``real`` hold no word and count for nothing. Not ``whole``: that of the embeddings has rows for the
+        distinct inputs only, in their order."""
+        w, k, (times, lanes) = self.w, self.hidden, inputs.shape
         states, last, (before, x, gn) = self.steps(inputs, h, fresh, keep=True)
         live = np.arange(inputs.size) if real is None else np.flatnonzero(real)
         y = targets.ravel()[live]
         order, parts = self.by_class(y)
         live, y = live[order], y[order]
-        flat, cls, word = states.transpose(0, 2, 1).reshape(-1, k)[live], y // self.size, y % self.size
-        n, at = len(y), np.arange(len(y))
-        small = self.small_logits(flat)
-        g = {name: np.zeros_like(v) for name, v in w.items()}
-        p = self.softmax(flat @ w["Uc"] + w["bc"], small)
-        likely = p[at, cls]
-        p[at, cls] -= 1
-        g["Uc"], g["bc"] = flat.T @ p / n, p.sum(axis=0) / n
-        back = p @ w["Uc"].T
-        for c, a, b in parts:
-            some, own, of = flat[a:b], w["Uw"][c], (at[:b - a], word[a:b])
-            q = some @ own
-            q += w["bw"][c]
-            self.softmax(q, small)
-            chosen = q[of]
-            likely[a:b] *= chosen
-            q[of] = chosen - 1
-            np.matmul(some.T, q, out=g["Uw"][c])
-            g["bw"][c] = np.ones(b - a, q.dtype) @ q
-            back[a:b] += q @ own.T
-        g["Uw"] /= n
-        g["bw"] /= n
-        loss = -np.log(likely + 1e-20).sum()
-        back /= n
-        whole = np.zeros((inputs.size, k), states.dtype)
-        whole[live] = back
-        d = np.ascontiguousarray(whole.reshape(*inputs.shape, k).transpose(0, 2, 1))
-        # what a gradient at a state is multiplied with on its way to the gates z, r and n
-        z, r, m = x[:, :k], x[:, k:2 * k], x[:, 2 * k:]
-        to_n = (1 - z) * (1 - m * m)
-        factor = np.empty((len(inputs), 3, *x[0, :k].shape), states.dtype)
-        np.multiply(to_n, r, out=factor[:, 2])
-        np.multiply(factor[:, 2], (1 - r) * gn, out=factor[:, 1])
-        np.multiply((before - m) * z, 1 - z, out=factor[:, 0])
+        loss, back, g = self.softmax_gradient(self.with_ones(states, live), y, parts)
+        places = self.room("places", inputs.size, k)
+        if len(live) < len(places):
+            places[:] = 0
+        places[live] = back
+        d = self.room("d", times, k, lanes)
+        np.copyto(d, places.reshape(times, lanes, k).transpose(0, 2, 1))
+        rows = self.room("rows", times, lanes, 3 * k)
         starts = fresh.any(axis=1).tolist()
-        carry = np.zeros_like(d[0])
-        for t in range(len(inputs) - 1, -1, -1):
-            own = d[t]
+        # of a step: gradients at its gates z, r and n, through the input, where r does not count, and through the state
+        f, to_n, rest = self.room("f", 3, k, lanes), self.room("to_n", k, lanes), self.room("rest", k, lanes)
+        of_gates, carry, g["Wh"] = f.reshape(3 * k, lanes), self.room("carry", k, lanes), np.zeros_like(w["Wh"])
+        carry[:] = 0
+        for t in range(times - 1, -1, -1):
+            own, z, r, m = d[t], x[t, :k], x[t, k:2 * k], x[t, 2 * k:]
             own += carry
-            factor[t] *= own
-            carry = w["Wh"] @ factor[t].reshape(3 * k, -1)
-            carry += own * z[t]
+            np.subtract(1, z, out=rest)
+            rest *= own
+            np.subtract(before[t], m, out=f[0])
+            f[0] *= z
+            f[0] *= rest
+            np.multiply(m, m, out=to_n)
+            np.subtract(1, to_n, out=to_n)
+            to_n *= rest
+            np.multiply(to_n, r, out=f[2])
+            np.subtract(1, r, out=f[1])
+            f[1] *= gn[t]
+            f[1] *= f[2]
+            np.matmul(w["Wh"], of_gates, out=carry)
+            own *= z
+            carry += own
             if starts[t]:
                 carry *= ~fresh[t]
-        dx = factor.reshape(len(inputs), 3 * k, -1)
-        g["Wh"] = np.matmul(before, dx.transpose(0, 2, 1)).sum(axis=0)
-        np.multiply(d, to_n, out=dx[:, 2 * k:])              # through the input, n takes r no more
-        flat_dx, rows = dx.transpose(0, 2, 1).reshape(-1, 3 * k), inputs.ravel()
-        order = np.argsort(rows.astype(np.int16) if len(w["emb"]) < 1 << 15 else rows, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], np.diff(rows[order]) != 0]))
-        sums = np.add.reduceat(flat_dx[order], first, axis=0)
-        g["emb"][rows[order[first]]] = sums
+            g["Wh"] += before[t] @ of_gates.T
+            f[2] = to_n
+            rows[t] = of_gates.T
+        symbols = inputs.ravel()
+        order = np.argsort(symbols.astype(np.int16) if len(w["emb"]) < 1 << 15 else symbols, kind="stable")
+        sorted_rows = np.take(rows.reshape(-1, 3 * k), order, axis=0, out=self.room("sorted", len(order), 3 * k), mode="clip")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(symbols[order]) != 0]))
+        sums = self.sums_of_equal(sorted_rows, first)
         g["b"] = sums.sum(axis=0)
-        return loss / n, g, last
+        if whole:
+            g["emb"] = np.zeros_like(w["emb"])
+            g["emb"][symbols[order[first]]] = sums
+        else:
+            g["emb"] = sums
+        return loss / len(y), g, last
 
     def train(self, documents: Iterable[np.ndarray], tokens: int, lanes: int = LANES, window: int = WINDOW,
               rate: float = RATE) -> float:
@@ -364,26 +490,29 @@ class GatedLM:
         second = {n: np.zeros_like(v) for n, v in self.w.items()}
         losses = []
         for step, (x, y, fresh, real, busy) in enumerate(lane_windows(chain(head, stream), lanes, window), 1):
-            loss, g, h[busy] = self.gradient(x, y, h[busy], fresh, real)
+            loss, g, h[busy] = self.gradient(x, y, h[busy], fresh, real, False)
             losses.append(loss)
             pace = rate * real.sum() / (window * lanes)
-            rows = np.unique(x)
-            g["emb"] = g["emb"][rows]
+            rows = np.flatnonzero(np.bincount(x.ravel()))
             scale = min(1.0, 1.0 / (math.sqrt(sum(float(np.vdot(v, v)) for v in g.values())) + 1e-9))
+            root = math.sqrt(1 - 0.99 ** step)
             for n, v in g.items():
-                at = rows if n == "emb" else slice(None)
-                v *= scale
-                one = first[n][at] * 0.9
-                one += 0.1 * v
-                two = second[n][at] * 0.99
-                v *= v
-                two += 0.01 * v
-                first[n][at], second[n][at] = one, two
-                two = np.sqrt(two * (1 / (1 - 0.99 ** step)))
-                two += 1e-8
-                one *= pace / (1 - 0.9 ** step)
-                one /= two
-                self.w[n][at] -= one.astype(self.w[n].dtype, copy=False)
+                one, two = (first[n], second[n]) if n != "emb" else (first[n][rows], second[n][rows])
+                change = self.room("change", *v.shape)
+                one *= 0.9
+                one += np.multiply(v, 0.1 * scale, out=change)
+                two *= 0.99
+                change *= change                                 # 0.01 of the square
+                two += change
+                np.sqrt(two, out=change)
+                change += 1e-8 * root
+                np.divide(one, change, out=change)
+                change *= pace * root / (1 - 0.9 ** step)
+                if n == "emb":
+                    first[n][rows], second[n][rows] = one, two
+                    self.w[n][rows] -= change
+                else:
+                    self.w[n] -= change
         return float(np.mean(losses)) if losses else 0.0
 
     def score(self, documents: list[np.ndarray], lanes: int = SCORE_LANES, window: int = SCORE_WINDOW) -> np.ndarray:
@@ -409,10 +538,12 @@ class GatedLM:
                 x = np.concatenate([last[:live, None], y[:, :-1]], axis=1)
                 states, new, _ = self.steps(x.T, h[:live])
                 h[:live], last[:live] = new, y[:, -1]
-                keep = mask.T.ravel()
-                logs = np.zeros(keep.shape)
-                flat = states.transpose(0, 2, 1).reshape(-1, self.hidden)
-                logs[keep] = self.log_probabilities(flat[keep], y.T.ravel()[keep])
+                keep = np.flatnonzero(mask.T)
+                targets = y.T.ravel()[keep]
+                sort, parts = self.by_class(targets)
+                keep = keep[sort]
+                logs = np.zeros(mask.size)
+                logs[keep] = self.sorted_log_probabilities(self.with_ones(states, keep), targets[sort], parts)
                 total[:live] += logs.reshape(width, live).sum(axis=0)
             out[some] = total / math.log(10)
         return out
@@ -450,18 +581,19 @@ def fit(docs: DataFrame, symbols: dict[bytes, int], counts: np.ndarray, train_do
         sent = sc.broadcast((model.w, symbols))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            (weights, known), zeros = sent.value, repeat(0)
+            weights, known = sent.value
+            listed = pa.array(sorted(known, key=known.get), pa.binary())
             own = GatedLM({n: v.copy() for n, v in weights.items()})
             words = 0
 
             def stream() -> Iterator[np.ndarray]:
                 nonlocal words
                 for batch in batches:
-                    for some in slices(batch, 50):
-                        for text in some.column(1).to_pylist():
-                            d = np.array([*map(known.get, [*text.encode().lower().split(), b""], zeros)])
-                            words += len(d)
-                            yield d
+                    for some in by_size(batch):
+                        found, sizes = words_of(some.column(1))
+                        read, ends = with_ends(numbered(found, listed), sizes, known[b""])
+                        words += len(read)
+                        yield from np.split(read, ends[:-1])
 
             if passes > 1:                     # few words altogether
                 held = list(stream())
@@ -520,48 +652,47 @@ def score_documents(docs: DataFrame, top: int = TOP, train_docs: int | None = No
     for r in frequent:
         if places.setdefault(r.word.encode(), len(logs)) == len(logs):
             logs.append(math.log10(r.n + 1))
-    sent = spark.sparkContext.broadcast((model.w, places, np.array(logs), len(symbols), end_count > 0))
+    sent = spark.sparkContext.broadcast((model.w, pa.array(places, pa.binary()), np.array(logs), len(symbols), end_count > 0))
     rows = id_and_text(docs).withColumn("row", F.xxhash64("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, known, logs, n_own, end_known = sent.value
-        lm, zeros = GatedLM(weights), repeat(0)
+        weights, listed, logs, n_own, end_known = sent.value
+        lm = GatedLM(weights)
         names = ["doc_id", "row", "n_tokens", "n_listed", "listed", "n_other", "spread", "rare", "model"]
-        kinds = [pa.int64()] * 4 + [pa.float64(), pa.int64(), pa.float64()]
-        held: list[tuple] = []
+        held: list[tuple[pa.Array, ...]] = []
         ids: list[np.ndarray] = []
-        ends: list[int] = [0]              # of the documents' unlisted words in ``rare``
-        rare: list[pa.StructArray] = []
+        size = 0
 
         def scored() -> pa.RecordBatch:
-            columns = [pa.array(c, kind) for c, kind in zip(zip(*held), kinds)]
-            columns += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(rare)), pa.array(lm.score(ids))]
+            columns = [*map(pa.concat_arrays, zip(*held)), pa.array(lm.score(ids))]
             held.clear()
             ids.clear()
-            rare.clear()
-            ends[1:] = []
             return pa.record_batch(columns, names=names)
 
-        size = 0
         for batch in batches:
-            for part in slices(batch, 100):
-                found, times = [], []
-                for doc, text, row in zip(*(part.column(c).to_pylist() for c in range(3))):
-                    words = [*text.encode().lower().split(), b""]
-                    place = np.fromiter(map(known.get, words, zeros), dtype=np.int32, count=len(words))
-                    other, log = place > n_own, logs[place]
-                    n_listed = int((place > 0).sum()) - (not end_known)
-                    own = np.where(other, 0, place)
-                    unlisted = Counter(map(words.__getitem__, np.flatnonzero(place == 0).tolist()))
-                    held.append((doc, row, len(words), n_listed, math.fsum(log.tolist()), int((own == 0).sum()),
-                                 math.fsum(log[other].tolist())))
-                    found += unlisted.keys()
-                    times += unlisted.values()
-                    ends.append(ends[-1] + len(unlisted))
-                    ids.append(own)
-                    size += len(own)
-                rare.append(pa.StructArray.from_arrays([pa.array(found, pa.binary()), pa.array(times, pa.int32())],
-                                                       names=["word", "times"]))
+            for part in by_size(batch):
+                words, sizes = words_of(part.column(1))
+                place = numbered(words, listed)
+                unlisted = np.flatnonzero(place == 0)
+                rare = words.take(pa.array(unlisted)).dictionary_encode()
+                place, ends = with_ends(place, sizes, 1)         # the end is the first one listed
+                begins, log, other = ends - sizes - 1, logs[place], place > n_own
+                own = np.where(other, 0, place)
+                sums = lambda v, kind: pa.array(np.add.reduceat(v, begins, dtype=kind))
+                # unlisted words once a document
+                kinds = max(1, len(rare.dictionary))
+                pair, times = np.unique(np.repeat(np.arange(len(sizes)), sizes)[unlisted] * kinds + rare.indices.to_numpy(),
+                                        return_counts=True)
+                of, word = np.divmod(pair, kinds)
+                rare = pa.StructArray.from_arrays([rare.dictionary.take(pa.array(word)), pa.array(times, pa.int32())],
+                                                  names=["word", "times"])
+                upto = np.searchsorted(of, np.arange(len(sizes) + 1))
+                held.append((part.column(0), part.column(2), pa.array(sizes + 1),
+                             pa.array(np.add.reduceat(place > 0, begins, dtype=np.int64) - (not end_known)), sums(log, np.float64),
+                             sums(own == 0, np.int64), sums(np.where(other, log, 0.0), np.float64),
+                             pa.ListArray.from_arrays(pa.array(upto, pa.int32()), rare)))
+                ids += np.split(own, ends[:-1])
+                size += len(own)
                 if size >= SCORE_TOKENS:           # many documents at once: their lanes stay full for longer
                     yield scored()
                     size = 0
